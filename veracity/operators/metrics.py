@@ -30,31 +30,39 @@ def _corr(c="correctness") -> Column:
 
 def batch_partials(scored: DataFrame, group_cols: Sequence[str] = (),
                    batch: str = "batch_id") -> DataFrame:
-    """One row per (group, batch) with the sums the metrics are built from."""
+    """One row per (group, batch) with the sums the metrics are built from.
+
+    Sums are kept on the 0..10 scale and divided by 10 only when a metric is
+    formed, so integer confidences sum exactly whatever the summation order.
+    """
     conf, corr = _conf(), _corr()
     pos = corr >= POS_MIN
     neg = corr <= NEG_MAX
     return scored.groupBy(*group_cols, batch).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.abs(conf - corr) / 10.0).alias("gap_sum"),
-        F.sum(corr / 10.0).alias("acc_sum"),
-        F.coalesce(F.sum(F.when(pos, conf / 10.0)), F.lit(0.0)).alias("pos_sum"),
+        F.sum(F.abs(conf - corr)).alias("gap_sum"),
+        F.sum(corr).alias("acc_sum"),
+        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("pos_sum"),
         F.count(F.when(pos, 1)).alias("pos_n"),
-        F.coalesce(F.sum(F.when(neg, conf / 10.0)), F.lit(0.0)).alias("neg_sum"),
+        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("neg_sum"),
         F.count(F.when(neg, 1)).alias("neg_n"),
     )
 
 
+def _ratio(num: str, den: str) -> Column:
+    return F.when(F.col(den) > 0, F.col(num) / (F.col(den) * 10.0)).otherwise(F.lit(0.0))
+
+
 def batch_metrics(scored: DataFrame, group_cols: Sequence[str] = (),
                   batch: str = "batch_id") -> DataFrame:
     """A2/A4/A5 per batch: gap ("ece"), accuracy, conf_pos, conf_neg (0 when empty)."""
     p = batch_partials(scored, group_cols, batch)
     return p.select(
         *group_cols, batch, "n",
-        (F.col("gap_sum") / F.col("n")).alias("ece"),
-        (F.col("acc_sum") / F.col("n")).alias("accuracy"),
-        F.when(F.col("pos_n") > 0, F.col("pos_sum") / F.col("pos_n")).otherwise(F.lit(0.0)).alias("conf_pos"),
-        F.when(F.col("neg_n") > 0, F.col("neg_sum") / F.col("neg_n")).otherwise(F.lit(0.0)).alias("conf_neg"),
+        _ratio("gap_sum", "n").alias("ece"),
+        _ratio("acc_sum", "n").alias("accuracy"),
+        _ratio("pos_sum", "pos_n").alias("conf_pos"),
+        _ratio("neg_sum", "neg_n").alias("conf_neg"),
     )
 
 
@@ -76,12 +84,10 @@ def cumulative_metrics(scored: DataFrame, group_cols: Sequence[str] = (),
     return c.select(
         *group_cols, batch,
         F.col("cum_n").alias("n_seen"),
-        (F.col("cum_gap_sum") / F.col("cum_n")).alias("cumulative_ece"),
-        (F.col("cum_acc_sum") / F.col("cum_n")).alias("cumulative_accuracy"),
-        F.when(F.col("cum_pos_d") > 0, F.col("cum_pos_sum") / F.col("cum_pos_d"))
-         .otherwise(F.lit(0.0)).alias("cumulative_conf_pos"),
-        F.when(F.col("cum_neg_d") > 0, F.col("cum_neg_sum") / F.col("cum_neg_d"))
-         .otherwise(F.lit(0.0)).alias("cumulative_conf_neg"),
+        _ratio("cum_gap_sum", "cum_n").alias("cumulative_ece"),
+        _ratio("cum_acc_sum", "cum_n").alias("cumulative_accuracy"),
+        _ratio("cum_pos_sum", "cum_pos_d").alias("cumulative_conf_pos"),
+        _ratio("cum_neg_sum", "cum_neg_d").alias("cumulative_conf_neg"),
     )
 
 
@@ -151,15 +157,20 @@ def calibration_report(scored: DataFrame, group_cols: Sequence[str] = ()) -> Dat
     neg = corr <= NEG_MAX
     agg_cols = [
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.abs(conf - corr) / 10.0).alias("ece"),
-        F.avg(corr / 10.0).alias("accuracy"),
-        F.coalesce(F.avg(F.when(pos, conf / 10.0)), F.lit(0.0)).alias("conf_pos"),
-        F.coalesce(F.avg(F.when(neg, conf / 10.0)), F.lit(0.0)).alias("conf_neg"),
+        F.sum(F.abs(conf - corr)).alias("_gap"),
+        F.sum(corr).alias("_acc"),
+        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("_pos"),
+        F.count(F.when(pos, 1)).alias("_pos_n"),
+        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("_neg"),
+        F.count(F.when(neg, 1)).alias("_neg_n"),
         F.count(F.when(~conf.between(0, 10), 1)).alias("n_out_of_range"),
     ]
     if "reward" in scored.columns:
         agg_cols.append(F.avg("reward").alias("mean_reward"))
     base = scored.groupBy(*keys).agg(*agg_cols)
+    base = base.select(*keys, "n", _ratio("_gap", "n").alias("ece"), _ratio("_acc", "n").alias("accuracy"),
+                       _ratio("_pos", "_pos_n").alias("conf_pos"), _ratio("_neg", "_neg_n").alias("conf_neg"),
+                       "n_out_of_range", *(["mean_reward"] if "reward" in scored.columns else []))
     out = base.join(auroc(scored, keys), keys, "left")
     return out.drop("_all") if not group_cols else out
 

@@ -28,7 +28,10 @@ def query(name: str):
 
 
 def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round to 6 places as ``floor(x * 1e6 + 0.5) / 1e6``: plain IEEE steps, so the
+    oracle gets the same bits (``round`` differs between engines on ties)."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * 1e6 + 0.5) / 1e6
 
 
 def _rounded(df: DataFrame, cols) -> DataFrame:
@@ -49,3 +52,132 @@ def calibration_by_lang(spark, sf):
     scored = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
     rep = MET.calibration_report(scored, ["dataset"])
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc", "mean_reward"])
+
+
+@query("parse_rtuning")
+def parse_rtuning(spark, sf):
+    p = RESP.parse_responses(D.rtuning_responses(spark, sf), "rtuning")
+    return p.select("qid", "confidence", "parse_status")
+
+
+@query("parse_legacy")
+def parse_legacy(spark, sf):
+    p = RESP.parse_responses(D.legacy_responses(spark, sf), "legacy")
+    return p.select("qid", "answer", "confidence", "parse_status")
+
+
+@query("sample_split")
+def sample_split(spark, sf):
+    s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")
+    return s.select("question_id", "sample_idx", "chain", "reflection")
+
+
+@query("clean_response")
+def clean_response(spark, sf):
+    c = RESP.clean_responses(D.decoded_responses(spark, sf), rtuning=True)
+    return c.select("qid", "cleaned", "truncated", "was_truncated")
+
+
+@query("parse_report")
+def parse_report(spark, sf):
+    p = RESP.parse_responses(D.responses(spark, sf), "main")
+    return RESP.parse_report(p)
+
+
+def _scored(spark, sf):
+    parsed = RESP.parse_responses(D.responses(spark, sf), "main")
+    return RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
+
+
+@query("reward")
+def reward(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("qid", "correctness", "confidence", r6("reward").alias("reward"), "reward_out_of_range")
+
+
+@query("reward_sign")
+def reward_sign(spark, sf):
+    parsed = RESP.parse_responses(D.responses(spark, sf), "main")
+    s = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"), variant="sign")
+    return s.select("qid", r6("reward").alias("reward"))
+
+
+@query("substring_correctness")
+def substring_correctness(spark, sf):
+    parsed = RESP.parse_responses(D.responses(spark, sf), "main")
+    s = RESP.substring_scores(parsed, D.gold(spark, sf))
+    return s.select("qid", "correctness")
+
+
+@query("nonsense_penalty")
+def nonsense_penalty(spark, sf):
+    s = RESP.penalise_nonsense(_scored(spark, sf))
+    return s.select("qid", "nonsense", r6("reward").alias("reward"))
+
+
+@query("calibration_overall")
+def calibration_overall(spark, sf):
+    rep = MET.calibration_report(_scored(spark, sf))
+    return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc", "mean_reward"])
+
+
+@query("conf_reward_gap")
+def conf_reward_gap(spark, sf):
+    g = MET.conf_reward_gap(_scored(spark, sf), ["dataset"])
+    return _rounded(g, ["conf_reward_gap"])
+
+
+def _order_batches(spark, sf, size=8):
+    from veracity.operators.rows import with_batches
+    return with_batches(D.scored_orders(spark, sf), "o_orderkey", size=size)
+
+
+@query("calibration_batches")
+def calibration_batches(spark, sf):
+    b = MET.batch_metrics(_order_batches(spark, sf))
+    return _rounded(b, ["ece", "accuracy", "conf_pos", "conf_neg"])
+
+
+@query("calibration_cumulative")
+def calibration_cumulative(spark, sf):
+    c = MET.cumulative_metrics(_order_batches(spark, sf))
+    return _rounded(c, ["cumulative_ece", "cumulative_accuracy", "cumulative_conf_pos",
+                        "cumulative_conf_neg"])
+
+
+@query("auroc_cumulative")
+def auroc_cumulative(spark, sf):
+    return _rounded(MET.cumulative_auroc(_order_batches(spark, sf)), ["cumulative_auroc"])
+
+
+@query("preview")
+def preview(spark, sf):
+    from veracity.operators.rows import preview as pv
+    return pv(_order_batches(spark, sf)).select("o_orderkey", "batch_id", "pos_in_batch")
+
+
+@query("resolve_attempts")
+def resolve_attempts(spark, sf):
+    return RESP.resolve_attempts(D.attempts(spark, sf), max_tries=2, mode="main")
+
+
+@query("judge_scores")
+def judge_scores(spark, sf):
+    return RESP.judge_scores(D.judge_replies(spark, sf), max_tries=3)
+
+
+@query("output_records")
+def output_records(spark, sf):
+    parsed = RESP.parse_responses(D.responses(spark, sf), "main")
+    s = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
+    g = D.gold(spark, sf).select("qid", F.col("gold_text").alias("best_answer"))
+    return RESP.output_records(s, g).select("qid", "best_answer", "response", "correctness")
+
+
+@query("metric_log")
+def metric_log(spark, sf):
+    from veracity.sources.io import to_metric_log
+    b = MET.batch_metrics(_order_batches(spark, sf))
+    long = to_metric_log(b, run_id="orders", step="batch_id",
+                         metrics=["ece", "accuracy", "conf_pos", "conf_neg"])
+    return _rounded(long, ["value"])

@@ -12,6 +12,11 @@ from veracity.functions.markers import PY_WHITESPACE_CLASS as WS
 ORACLE: dict[str, str] = {}
 
 
+def rnd(e: str) -> str:
+    """6-place rounding in plain IEEE steps (same bits as the Spark side)."""
+    return f"(floor(({e}) * 1e6 + 0.5) / 1e6)"
+
+
 def strip(e: str) -> str:
     return f"regexp_replace({e}, '\\A{WS}+|{WS}+\\z', '', 'g')"
 
@@ -123,15 +128,273 @@ ORACLE["parse_main"] = with_(RESPONSES, PARSED) + \
     "SELECT qid, reflection, confidence, parse_status FROM parsed"
 
 ORACLE["calibration_by_lang"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
-SELECT b.dataset, n, round(ece, 6) AS ece, round(accuracy, 6) AS accuracy, round(conf_pos, 6) AS conf_pos,
-       round(conf_neg, 6) AS conf_neg, n_out_of_range, round(mean_reward, 6) AS mean_reward,
-       round(a.auroc, 6) AS auroc
-FROM (SELECT dataset, count(*) AS n, avg(abs(confidence - correctness) / 10.0) AS ece,
-             avg(correctness / 10.0) AS accuracy,
-             coalesce(avg(confidence / 10.0) FILTER (WHERE correctness >= 7), 0.0) AS conf_pos,
-             coalesce(avg(confidence / 10.0) FILTER (WHERE correctness <= 3), 0.0) AS conf_neg,
+SELECT b.dataset, n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
+       {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
+       {rnd('a.auroc')} AS auroc
+FROM (SELECT dataset, count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
+             sum(correctness) / (count(*) * 10.0) AS accuracy,
+             CASE WHEN count(*) FILTER (WHERE correctness >= 7) > 0 THEN sum(confidence) FILTER (WHERE correctness >= 7)
+                  / (count(*) FILTER (WHERE correctness >= 7) * 10.0) ELSE 0.0 END AS conf_pos,
+             CASE WHEN count(*) FILTER (WHERE correctness <= 3) > 0 THEN sum(confidence) FILTER (WHERE correctness <= 3)
+                  / (count(*) FILTER (WHERE correctness <= 3) * 10.0) ELSE 0.0 END AS conf_neg,
              count(*) FILTER (WHERE NOT confidence BETWEEN 0 AND 10) AS n_out_of_range,
              avg(reward) AS mean_reward
       FROM scored GROUP BY dataset) b
 LEFT JOIN ({auroc_sql('scored', ['dataset'])}) a ON a.dataset = b.dataset
 """
+
+
+def r6(e: str, name: str) -> str:
+    return f"{rnd(e)} AS {name}"
+
+
+ORACLE["parse_rtuning"] = """
+SELECT doc_id AS qid, CASE WHEN contains(r, 'unsure') THEN 0.0 ELSE 10.0 END AS confidence,
+       CASE WHEN contains(r, 'unsure') THEN 'unsure' ELSE 'sure' END AS parse_status
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substring(text, 1, 30) || ' I am unsure.'
+                                   WHEN 1 THEN substring(text, 1, 30) || ' I am sure.'
+                                   WHEN 2 THEN 'unsure: ' || substring(text, 1, 30)
+                                   ELSE substring(text, 1, 30) END AS r FROM documents) z
+"""
+
+_LIDX = rfind("response", "I am")
+ORACLE["parse_legacy"] = f"""
+WITH lr AS (
+  SELECT doc_id AS qid, CASE doc_id % 5
+      WHEN 0 THEN substring(text, 1, 30) || '. I am ' || CAST(doc_id % 101 AS VARCHAR) || '% sure'
+      WHEN 1 THEN substring(text, 1, 30) || ' I am I am ' || CAST(doc_id % 101 AS VARCHAR) || ' of 4'
+      WHEN 2 THEN substring(text, 1, 30) || ' ' || CAST(doc_id % 101 AS VARCHAR)
+      WHEN 3 THEN '' ELSE substring(text, 1, 30) END AS response
+  FROM documents)
+SELECT qid, {pyslice('response', None, _LIDX)} AS answer,
+       {single_number(pyslice('response', _LIDX, None))} AS confidence,
+       CASE WHEN {_LIDX} < 0 THEN 'no_hedge' ELSE 'ok' END AS parse_status
+FROM lr
+"""
+
+SAMPLES = """
+samples AS (
+  SELECT CAST(label AS BIGINT) AS question_id,
+         CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS sample_idx,
+         vec_id, embedding,
+         CASE vec_id % 5
+           WHEN 0 THEN 'think ' || CAST(vec_id AS VARCHAR) || '. Self-reflection: unsure of '
+                       || CAST(vec_id % 7 AS VARCHAR) || ' Confidence: 4'
+           WHEN 1 THEN 'think only ' || CAST(vec_id AS VARCHAR)
+           WHEN 2 THEN 'a' || CAST(vec_id AS VARCHAR) || ' Self-reflection: b Self-reflection: c'
+           WHEN 3 THEN 'a Self-reflection: Confidence: ' || CAST(vec_id % 9 AS VARCHAR)
+           ELSE ' chain ' || CAST(vec_id AS VARCHAR) || ' Self-reflection: x' || CAST(vec_id % 3 AS VARCHAR)
+                || ' Are you sure you accurately answered the question based on your internal knowledge? yes Confidence: 2'
+         END AS text
+  FROM embeddings
+)"""
+
+_SEC = "split_part(text, 'Self-reflection:', 2)"
+_REF1 = strip(f"split_part({_SEC}, 'Confidence:', 1)")
+_REF2 = strip(f"split_part({_REF1}, 'Are you sure you accurately answered the question based on your internal knowledge', 1)")
+SPLIT_SAMPLES = f"""
+split_samples AS (
+  SELECT *, {strip("split_part(text, 'Self-reflection:', 1)")} AS chain,
+         CASE WHEN contains(text, 'Self-reflection:') THEN {_REF2} ELSE 'N/A' END AS reflection
+  FROM samples
+)"""
+
+ORACLE["sample_split"] = with_(SAMPLES, SPLIT_SAMPLES) + \
+    "SELECT question_id, sample_idx, chain, reflection FROM split_samples"
+
+_Z = "replace(response, '<pad>', '')"
+ORACLE["clean_response"] = f"""
+WITH dr AS (
+  SELECT doc_id AS qid, CASE doc_id % 4
+      WHEN 0 THEN '<pad><pad>[INST] q [/INST] ' || substring(text, 1, 25) || ' Confidence: '
+                  || CAST(doc_id % 11 AS VARCHAR) || ' and more text'
+      WHEN 1 THEN '[INST] q [/INST] ' || substring(text, 1, 25) || ' I am sure. tail'
+      WHEN 2 THEN substring(text, 1, 25) || '<pad>'
+      ELSE '[INST] q [/INST]' || substring(text, 1, 25) END AS response
+  FROM documents),
+t AS (
+  SELECT qid, response, {pyslice(_Z, find(_Z, '[/INST]'), None)} AS cleaned,
+         regexp_extract(response, '(?s)^(.*?\\[/INST\\].*?(?:Confidence: [0-9]+|I am sure|I am unsure))', 1) AS head
+  FROM dr)
+SELECT qid, cleaned, CASE WHEN head <> '' THEN head ELSE response END AS truncated,
+       (CASE WHEN head <> '' THEN head ELSE response END) <> response AS was_truncated
+FROM t
+"""
+
+ORACLE["parse_report"] = with_(RESPONSES, PARSED) + \
+    "SELECT parse_status, count(*) AS n_rows FROM parsed GROUP BY parse_status"
+
+ORACLE["reward"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+SELECT qid, correctness, confidence, {r6('reward', 'reward')},
+       NOT (correctness BETWEEN 0 AND 10 AND confidence BETWEEN 0 AND 10) AS reward_out_of_range
+FROM scored
+"""
+
+ORACLE["reward_sign"] = with_(RESPONSES, GOLD, PARSED) + f"""
+SELECT p.qid, (floor((CASE WHEN g.correctness >= 5 THEN {clamp('p.confidence')} / 10.0
+                         ELSE -{clamp('p.confidence')} / 10.0 END) * 1e6 + 0.5) / 1e6) AS reward
+FROM parsed p JOIN gold g ON p.qid = g.qid
+"""
+
+ORACLE["substring_correctness"] = with_(RESPONSES, GOLD, PARSED) + f"""
+SELECT p.qid, CASE WHEN contains(lower({strip('p.answer')}), lower({strip('g.gold_text')}))
+                   THEN 10.0 ELSE 0.0 END AS correctness
+FROM parsed p JOIN gold g ON p.qid = g.qid
+"""
+
+_NTAIL = pyslice("response", f"{find('response', 'Confidence:')} + 11", None)
+ORACLE["nonsense_penalty"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+SELECT qid, coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true) AS nonsense,
+       (floor(CASE WHEN coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true)
+                  THEN -1.0 ELSE reward END * 1e6 + 0.5) / 1e6) AS reward
+FROM scored
+"""
+
+ORACLE["calibration_overall"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+SELECT n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
+       {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
+       {rnd('a.auroc')} AS auroc
+FROM (SELECT count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
+             sum(correctness) / (count(*) * 10.0) AS accuracy,
+             CASE WHEN count(*) FILTER (WHERE correctness >= 7) > 0 THEN sum(confidence) FILTER (WHERE correctness >= 7)
+                  / (count(*) FILTER (WHERE correctness >= 7) * 10.0) ELSE 0.0 END AS conf_pos,
+             CASE WHEN count(*) FILTER (WHERE correctness <= 3) > 0 THEN sum(confidence) FILTER (WHERE correctness <= 3)
+                  / (count(*) FILTER (WHERE correctness <= 3) * 10.0) ELSE 0.0 END AS conf_neg,
+             count(*) FILTER (WHERE NOT confidence BETWEEN 0 AND 10) AS n_out_of_range,
+             avg(reward) AS mean_reward
+      FROM scored) b, ({auroc_sql('scored', [])}) a
+"""
+
+
+ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, PARSED, SCORED) + """
+SELECT dataset, (floor((avg(abs(confidence - reward))) * 1e6 + 0.5) / 1e6) AS conf_reward_gap, count(*) AS n
+FROM scored GROUP BY dataset
+"""
+
+ORDER_BATCHES = """
+ob AS (
+  SELECT o_orderkey, CAST((o_orderkey * 7 + 3) % 13 AS DOUBLE) AS confidence,
+         CAST(o_custkey % 11 AS DOUBLE) AS correctness,
+         CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 8 AS BIGINT) AS batch_id,
+         CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 8 AS INTEGER) AS pos_in_batch
+  FROM orders
+),
+bp AS (
+  SELECT batch_id, count(*) AS n, sum(abs(confidence - correctness)) AS gap_sum,
+         sum(correctness) AS acc_sum,
+         coalesce(sum(confidence) FILTER (WHERE correctness >= 7), 0.0) AS pos_sum,
+         count(*) FILTER (WHERE correctness >= 7) AS pos_n,
+         coalesce(sum(confidence) FILTER (WHERE correctness <= 3), 0.0) AS neg_sum,
+         count(*) FILTER (WHERE correctness <= 3) AS neg_n
+  FROM ob GROUP BY batch_id
+)"""
+
+BATCH_METRICS = """
+SELECT batch_id, n, (floor((gap_sum / (n * 10.0)) * 1e6 + 0.5) / 1e6) AS ece, (floor((acc_sum / (n * 10.0)) * 1e6 + 0.5) / 1e6) AS accuracy,
+       (floor((CASE WHEN pos_n > 0 THEN pos_sum / (pos_n * 10.0) ELSE 0.0 END) * 1e6 + 0.5) / 1e6) AS conf_pos,
+       (floor((CASE WHEN neg_n > 0 THEN neg_sum / (neg_n * 10.0) ELSE 0.0 END) * 1e6 + 0.5) / 1e6) AS conf_neg
+FROM bp"""
+
+ORACLE["calibration_batches"] = with_(ORDER_BATCHES) + BATCH_METRICS
+
+_W = "OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ORACLE["calibration_cumulative"] = with_(ORDER_BATCHES) + f"""
+SELECT batch_id, CAST(sum(n) {_W} AS BIGINT) AS n_seen,
+       {rnd(f"sum(gap_sum) {_W} / (sum(n) {_W} * 10.0)")} AS cumulative_ece,
+       {rnd(f"sum(acc_sum) {_W} / (sum(n) {_W} * 10.0)")} AS cumulative_accuracy,
+       {rnd(f"sum(pos_sum) {_W} / (sum(greatest(pos_n, 1)) {_W} * 10.0)")} AS cumulative_conf_pos,
+       {rnd(f"sum(neg_sum) {_W} / (sum(greatest(neg_n, 1)) {_W} * 10.0)")} AS cumulative_conf_neg
+FROM bp
+"""
+
+ORACLE["auroc_cumulative"] = with_(ORDER_BATCHES) + """
+, h AS (SELECT batch_id, confidence / 10.0 AS p, count(*) FILTER (WHERE correctness >= 7) AS cp,
+               count(*) FILTER (WHERE correctness < 7) AS cn FROM ob GROUP BY batch_id, confidence / 10.0),
+grid AS (SELECT b.batch_id, c.p FROM (SELECT DISTINCT batch_id FROM ob) b, (SELECT DISTINCT p FROM h) c),
+g AS (SELECT grid.batch_id, grid.p, coalesce(h.cp, 0) AS cp, coalesce(h.cn, 0) AS cn
+      FROM grid LEFT JOIN h ON grid.batch_id = h.batch_id AND grid.p = h.p),
+r AS (SELECT batch_id, p,
+             sum(cp) OVER (PARTITION BY p ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ccp,
+             sum(cn) OVER (PARTITION BY p ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ccn
+      FROM g),
+b AS (SELECT *, coalesce(sum(ccn) OVER (PARTITION BY batch_id ORDER BY p
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r)
+SELECT batch_id, (floor(CASE WHEN sum(ccp) * sum(ccn) > 0
+                            THEN sum(ccp * (below + ccn / 2.0)) / (sum(ccp) * sum(ccn)) ELSE 0.0 END * 1e6 + 0.5) / 1e6)
+                 AS cumulative_auroc
+FROM b GROUP BY batch_id
+"""
+
+ORACLE["preview"] = with_(ORDER_BATCHES) + """
+SELECT o_orderkey, batch_id, pos_in_batch FROM ob WHERE batch_id % 10 = 0 AND pos_in_batch < 5
+"""
+
+ATTEMPTS = """
+attempts AS (
+  SELECT CAST(floor(event_id / 4) AS BIGINT) AS qid, CAST(event_id % 4 AS INTEGER) AS attempt,
+         'draft ' || CAST(event_id AS VARCHAR) ||
+         CASE WHEN event_id % 5 = 0 OR (event_id % 4 = 3 AND event_id % 7 <> 0)
+              THEN ' Confidence: ' || CAST(event_id % 11 AS VARCHAR)
+              WHEN event_id % 13 = 1 THEN ' I am sure' ELSE '' END AS response
+  FROM events
+)"""
+
+ORACLE["resolve_attempts"] = with_(ATTEMPTS) + """
+, a AS (SELECT *, coalesce(length(response) > 0 AND contains(response, 'Confidence:'), false) AS v,
+               coalesce(length(response) > 0 AND (contains(response, 'Confidence:') OR contains(response, 'I am sure')
+                        OR contains(response, 'I am unsure')), false) AS anyv
+        FROM attempts),
+g AS (SELECT qid,
+             min(attempt) FILTER (WHERE v AND attempt <= 2) AS fv,
+             min(attempt) FILTER (WHERE attempt = 2 AND anyv) AS lr,
+             max(attempt) AS last,
+             arg_min(response, attempt) FILTER (WHERE v AND attempt <= 2) AS rfv,
+             arg_min(response, attempt) FILTER (WHERE attempt = 2 AND anyv) AS rlr,
+             arg_max(response, attempt) AS rlast,
+             count(*) AS n_attempts
+      FROM a GROUP BY qid)
+SELECT qid, coalesce(fv, lr, last) AS attempt,
+       CASE WHEN fv IS NOT NULL THEN rfv WHEN lr IS NOT NULL THEN rlr ELSE rlast END AS response,
+       n_attempts, fv IS NOT NULL AS resolved
+FROM g
+"""
+
+_FIRST = "split_part(reply, chr(10), 1)"
+_JV = f"try_cast({strip(f'split_part({_FIRST}, chr(58), 2)')} AS DOUBLE)"
+JUDGE = f"""
+judge AS (
+  SELECT CAST(floor(event_id / 3) AS BIGINT) AS qid, CAST(event_id % 3 AS INTEGER) AS attempt,
+         CASE event_id % 7
+           WHEN 0 THEN 'Score: ' || CAST(CAST(floor(value) AS BIGINT) % 15 AS VARCHAR)
+           WHEN 1 THEN 'Score: ' || CAST(CAST(floor(value) AS BIGINT) % 100 / 10.0 AS VARCHAR)
+           WHEN 2 THEN 'Rating: 7/10'
+           WHEN 3 THEN 'a: ' || CAST(event_id % 11 AS VARCHAR) || ': 9'
+           WHEN 4 THEN 'Explanation: fine' || chr(10) || 'Score: 9'
+           WHEN 5 THEN 'Score: -0.5'
+           ELSE 'no colon here' END AS reply
+  FROM events
+),
+jv AS (
+  SELECT qid, attempt, CASE WHEN x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e15 AND contains(f, ':')
+                            THEN CAST(trunc(x) AS BIGINT) END AS v
+  FROM (SELECT *, {_JV} AS x, {_FIRST} AS f FROM judge) z
+)"""
+
+ORACLE["judge_scores"] = with_(JUDGE) + """
+SELECT qid, CAST(coalesce(arg_min(v, attempt) FILTER (WHERE v BETWEEN 0 AND 10 AND attempt < 3), 0) AS BIGINT) AS score,
+       arg_min(v, attempt) FILTER (WHERE v BETWEEN 0 AND 10 AND attempt < 3) IS NOT NULL AS accepted,
+       count(*) FILTER (WHERE v IS NULL AND attempt < 3) AS n_failed,
+       count(*) FILTER (WHERE NOT (v BETWEEN 0 AND 10) AND attempt < 3) AS n_out_of_range
+FROM jv GROUP BY qid
+"""
+
+ORACLE["output_records"] = with_(RESPONSES, GOLD, PARSED, SCORED) + """
+SELECT s.qid, g.gold_text AS best_answer, s.response, s.correctness
+FROM scored s JOIN gold g ON s.qid = g.qid
+"""
+
+ORACLE["metric_log"] = with_(ORDER_BATCHES) + """
+, m AS (""" + BATCH_METRICS + """)
+SELECT 'orders' AS run_id, batch_id AS step, metric, (floor((value) * 1e6 + 0.5) / 1e6) AS value
+FROM (UNPIVOT m ON ece, accuracy, conf_pos, conf_neg INTO NAME metric VALUE value) u
+"""
