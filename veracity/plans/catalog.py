@@ -181,3 +181,120 @@ def metric_log(spark, sf):
     long = to_metric_log(b, run_id="orders", step="batch_id",
                          metrics=["ece", "accuracy", "conf_pos", "conf_neg"])
     return _rounded(long, ["value"])
+
+
+# --- J1 / J2 ingest and prompts ----------------------------------------------------
+
+def _chats(spark, sf):
+    from veracity.operators.schema import build_chats
+    return build_chats(D.turns(spark, sf))
+
+
+@query("qa_normalise")
+def qa_normalise(spark, sf):
+    from veracity.operators.schema import detect_format, normalise
+    raw = D.qa_records(spark, sf)
+    q = normalise(raw, detect_format(raw))
+    return q.select("qid", "question", "best_answer",
+                    F.array_join("correct_answers", "|").alias("correct_answers"),
+                    F.array_join("negative_answers", "|").alias("negative_answers"))
+
+
+@query("yesno_normalise")
+def yesno_normalise(spark, sf):
+    from veracity.operators.schema import detect_format, normalise
+    raw = D.yesno_records(spark, sf)
+    q = normalise(raw, detect_format(raw))
+    return q.select("qid", "best_answer", F.array_join("correct_answers", "|").alias("correct_answers"))
+
+
+@query("qa_prompts")
+def qa_prompts(spark, sf):
+    from veracity.operators.prompts import render_prompt
+    from veracity.operators.schema import normalise
+    q = normalise(D.qa_records(spark, sf), "qa")
+    q = render_prompt(q, "tag", out="prompt_tag")
+    q = render_prompt(q, "tag", instruction="Say how sure you are.", bos="<s>", out="prompt_tag_conf")
+    q = render_prompt(q, "newline", out="prompt_newline")
+    q = render_prompt(q, "newline", instruction="Say how sure you are.", out="prompt_newline_conf")
+    q = render_prompt(q, "untuned", out="prompt_untuned")
+    q = render_prompt(q, "pair", response="best_answer", out="prompt_pair")
+    return q.select("qid", "prompt_tag", "prompt_tag_conf", "prompt_newline", "prompt_newline_conf",
+                    "prompt_untuned", "prompt_pair")
+
+
+@query("chat_train_text")
+def chat_train_text(spark, sf):
+    from veracity.operators.prompts import chat_text
+    return chat_text(_chats(spark, sf)).select("conv_id", "text")
+
+
+@query("chat_prompt_answer")
+def chat_prompt_answer(spark, sf):
+    from veracity.operators.prompts import chat_prompt_answer as cpa
+    return cpa(_chats(spark, sf), "eval").select("conv_id", "prompt", "answer", "question")
+
+
+@query("chat_prompt_answer_ppo")
+def chat_prompt_answer_ppo(spark, sf):
+    from veracity.operators.prompts import chat_prompt_answer as cpa
+    return cpa(_chats(spark, sf), "ppo", bos="<s>").select("conv_id", "prompt", "answer", "question")
+
+
+@query("chat_explicit_confidence")
+def chat_explicit_confidence(spark, sf):
+    from veracity.operators.prompts import chat_prompt_answer as cpa
+    c = cpa(_chats(spark, sf), "eval", instruction="State your confidence. ")
+    return c.select("conv_id", "prompt", "question")
+
+
+@query("word_budget")
+def word_budget(spark, sf):
+    from veracity.operators.rows import chat_word_count, word_budget as wb
+    return wb(_chats(spark, sf), 200).select("conv_id", chat_word_count("messages").alias("n_words"))
+
+
+@query("word_budget_long")
+def word_budget_long(spark, sf):
+    from veracity.operators.rows import word_budget_long as wbl
+    from veracity.functions.text import word_count
+    t = wbl(D.turns(spark, sf), 100, text="content")
+    return t.groupBy("conv_id").agg(F.sum(word_count("content")).alias("n_words"),
+                                    F.count(F.lit(1)).alias("n_messages"))
+
+
+@query("chat_validate")
+def chat_validate(spark, sf):
+    from veracity.operators.schema import build_chats, validate_chat
+    t = D.turns(spark, sf)
+    t = t.withColumn("role", F.when((F.col("conv_id") % 17 == 0) & (F.col("turn") == 1), F.lit("tool"))
+                     .otherwise(F.col("role")))
+    good, bad = validate_chat(build_chats(t))
+    return good.select("conv_id", F.lit("ok").alias("status")).unionByName(
+        bad.select("conv_id", F.col("problem").alias("status")))
+
+
+@query("prompt_completion")
+def prompt_completion(spark, sf):
+    from veracity.operators.prompts import join_completion
+    return join_completion(D.pair_records(spark, sf)).select("qid", "text")
+
+
+@query("sft_text_from_pairs")
+def sft_text_from_pairs(spark, sf):
+    from veracity.operators.prompts import chat_text
+    from veracity.operators.schema import qa_to_chat
+    q = D.qa_records(spark, sf).withColumnRenamed("answer", "response")
+    return chat_text(qa_to_chat(q)).select(F.col("conv_id").alias("qid"), "text")
+
+
+@query("judge_prompt")
+def judge_prompt(spark, sf):
+    from veracity.operators.prompts import judge_prompt as jp
+    from veracity.operators.schema import normalise
+    q = normalise(D.qa_records(spark, sf), "qa")
+    q = q.withColumn("response", F.concat(F.lit("resp <QUESTION> "), F.col("qid").cast("string")))
+    q = jp(q, out="judge_prompt")
+    q = jp(q, template="Q=<QUESTION>|R=<RESPONSE>|B=<BEST_ANSWER>|O=<OTHER_CORRECT_ANSWERS>",
+           others="correct_answers", out="judge_prompt_other")
+    return q.select("qid", "judge_prompt", "judge_prompt_other")

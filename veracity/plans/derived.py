@@ -195,3 +195,32 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, content from ``conversations``."""
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", F.col("text").alias("content"))
+
+
+def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question, answer, negative_answer ('/'-separated) from ``benchmark``."""
+    b = table(spark, sf_dir, "benchmark")
+    k = F.col("item_id") % 3
+    neg = (F.when(k == 0, F.lit(None).cast("string"))
+           .when(k == 1, F.concat(F.substring("text", 5, 6), F.lit("/"), F.substring("text", 15, 4), F.lit("/")))
+           .otherwise(F.lit("solo")))
+    return b.select(F.col("item_id").alias("qid"),
+                    F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("question"),
+                    F.concat(F.substring("text", 1, 12), F.lit(" ")).alias("answer"),
+                    neg.alias("negative_answer"))
+
+
+def yesno_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question, answer (boolean, some null), facts, term from ``benchmark``."""
+    b = table(spark, sf_dir, "benchmark")
+    i = F.col("item_id")
+    ans = F.when(i % 5 == 0, F.lit(None).cast("boolean")).otherwise(i % 2 == 0)
+    return b.select(i.alias("qid"), F.col("text").alias("question"), ans.alias("answer"),
+                    F.lit("").alias("facts"), F.lit("").alias("term"))
+
+
+def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, prompt, completion (both cut from one document) for prompt+completion rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 20).alias("prompt"),
+                    F.substring("text", 21, 20).alias("completion"))

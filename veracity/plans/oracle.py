@@ -398,3 +398,145 @@ ORACLE["metric_log"] = with_(ORDER_BATCHES) + """
 SELECT 'orders' AS run_id, batch_id AS step, metric, (floor((value) * 1e6 + 0.5) / 1e6) AS value
 FROM (UNPIVOT m ON ece, accuracy, conf_pos, conf_neg INTO NAME metric VALUE value) u
 """
+
+
+def lit(s: str) -> str:
+    """SQL string literal (newlines kept as characters)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+QA_RAW = """
+qa_raw AS (
+  SELECT item_id AS qid, ' ' || text || chr(10) AS question, substring(text, 1, 12) || ' ' AS answer,
+         CASE item_id % 3 WHEN 0 THEN NULL
+              WHEN 1 THEN substring(text, 5, 6) || '/' || substring(text, 15, 4) || '/'
+              ELSE 'solo' END AS negative_answer
+  FROM benchmark
+)"""
+
+QA = f"""
+qa AS (
+  SELECT qid, {strip('question')} AS question, {strip('answer')} AS best_answer,
+         [{strip('answer')}] AS correct_answers, string_split(negative_answer, '/') AS negative_answers
+  FROM qa_raw
+)"""
+
+ORACLE["qa_normalise"] = with_(QA_RAW, QA) + """
+SELECT qid, question, best_answer, array_to_string(correct_answers, '|') AS correct_answers,
+       array_to_string(negative_answers, '|') AS negative_answers
+FROM qa
+"""
+
+ORACLE["yesno_normalise"] = """
+SELECT item_id AS qid, CASE WHEN coalesce(a, false) THEN 'True' ELSE 'False' END AS best_answer,
+       CASE WHEN coalesce(a, false) THEN 'True' ELSE 'False' END AS correct_answers
+FROM (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 2 = 0 END AS a FROM benchmark) z
+"""
+
+_NL = "\n"
+_TAG = f"'[INST]' || {strip('question')} || '[/INST]' || chr(10)"
+_UNTUNED = ("After answering, give the reason for your confidence, then write "
+            "'Confidence: ' and an integer from 1 to 10.")
+ORACLE["qa_prompts"] = with_(QA_RAW, QA) + f"""
+SELECT qid, {_TAG} AS prompt_tag,
+       {lit('[INST]' + _NL + 'Say how sure you are. ' + _NL)} || {strip("'<s>' || " + _TAG)}
+         || {lit(_NL + '[/INST]' + _NL)} AS prompt_tag_conf,
+       {lit('[INST]' + _NL)} || question || {lit(_NL + '[/INST]' + _NL)} AS prompt_newline,
+       {lit('[INST]' + _NL + 'Say how sure you are. ' + _NL)} || question || {lit(_NL + '[/INST]' + _NL)}
+         AS prompt_newline_conf,
+       {lit('[INST]' + _NL)} || question || {lit(_NL + _UNTUNED + '[/INST]' + _NL)} AS prompt_untuned,
+       {lit('[INST]' + _NL)} || question || {lit(_NL + '[/INST]' + _NL)} || best_answer || chr(10) AS prompt_pair
+FROM qa
+"""
+
+TURNS = """
+turns AS (
+  SELECT conv_id, CAST(turn AS INTEGER) AS turn, role, text AS content,
+         CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+)"""
+
+
+def _tagged(c: str) -> str:
+    return f"{lit('[INST]' + _NL)} || {strip(c)} || {lit('[/INST]' + _NL)}"
+
+
+ORACLE["chat_train_text"] = with_(TURNS) + f"""
+SELECT conv_id, {strip(f"string_agg(CASE WHEN role IN ('system', 'user') THEN {_tagged('content')} "
+                       f"WHEN role = 'assistant' THEN {strip('content')} || '</s>' || chr(10) END, '' ORDER BY turn)")}
+       AS text
+FROM turns GROUP BY conv_id
+"""
+
+
+def _chat_pa(style: str, bos: str = "", content: str = "content") -> str:
+    last_tail = "chr(10)" if style == "ppo" else "''"
+    piece = (f"CASE WHEN role IN ('system', 'user') THEN {_tagged(content)} "
+             f"WHEN role = 'assistant' AND i <> n - 1 THEN chr(10) || {strip(content)} || '</s>' || chr(10) "
+             f"WHEN role = 'assistant' THEN {last_tail} END")
+    ans = f"max(CASE WHEN i = n - 1 AND role = 'assistant' THEN {strip(content)} END)"
+    return f"""
+SELECT conv_id, {lit(bos)} || string_agg({piece}, '' ORDER BY turn) AS prompt,
+       coalesce({ans}, '') AS answer0,
+       max(CASE WHEN i = n - 2 THEN {strip(content)} END) AS question
+FROM turns GROUP BY conv_id"""
+
+
+_HEDGE_CUT = f"CASE WHEN contains(answer0, 'I am') THEN {pyslice('answer0', None, rfind('answer0', 'I am'))} ELSE answer0 END"
+ORACLE["chat_prompt_answer"] = with_(TURNS) + f"""
+SELECT conv_id, prompt, {_HEDGE_CUT} AS answer, question FROM ({_chat_pa('eval')}) z
+"""
+
+ORACLE["chat_prompt_answer_ppo"] = with_(TURNS) + f"""
+SELECT conv_id, prompt, answer0 AS answer, question FROM ({_chat_pa('ppo', '<s>')}) z
+"""
+
+ORACLE["chat_explicit_confidence"] = with_(TURNS) + f"""
+, t2 AS (SELECT conv_id, turn, role, i, n,
+                CASE WHEN i = 0 THEN 'State your confidence. ' || content ELSE content END AS content FROM turns),
+turns2 AS (SELECT * FROM t2)
+SELECT conv_id, prompt, question FROM ({_chat_pa('eval').replace('FROM turns', 'FROM turns2')}) z
+"""
+
+_WC = "len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))"
+ORACLE["word_budget"] = with_(TURNS) + f"""
+SELECT conv_id, CAST(sum({_WC}) AS INTEGER) AS n_words FROM turns GROUP BY conv_id HAVING sum({_WC}) < 200
+"""
+
+ORACLE["word_budget_long"] = with_(TURNS) + f"""
+SELECT conv_id, CAST(sum({_WC}) AS BIGINT) AS n_words, count(*) AS n_messages
+FROM turns GROUP BY conv_id HAVING sum({_WC}) < 100
+"""
+
+ORACLE["chat_validate"] = with_(TURNS) + """
+SELECT conv_id, CASE WHEN bool_or(NOT (r IN ('system', 'user', 'assistant'))) THEN 'unknown_role' ELSE 'ok' END AS status
+FROM (SELECT conv_id, CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 'tool' ELSE role END AS r FROM turns) z
+GROUP BY conv_id
+"""
+
+_P = "substring(text, 1, 20)"
+_C = "substring(text, 21, 20)"
+ORACLE["prompt_completion"] = f"""
+SELECT doc_id AS qid,
+       CASE WHEN NOT (length({_P}) > 0 AND right({_P}, 1) IN (' ', chr(10), chr(9)))
+                 AND NOT (left({_C}, 1) IN (' ', chr(10), chr(9)))
+            THEN {_P} || ' ' || {_C} ELSE {_P} || {_C} END || '</s>' AS text
+FROM documents
+"""
+
+ORACLE["sft_text_from_pairs"] = with_(QA_RAW) + f"""
+SELECT qid, {strip(f"{_tagged('question')} || {strip('answer')} || '</s>' || chr(10)")} AS text FROM qa_raw
+"""
+
+_JT = "Question: <QUESTION>\nResponse: <RESPONSE>\nReference: <CORRECT_ANSWER>\nReply with 'Score: N' (0-10)."
+ORACLE["judge_prompt"] = with_(QA_RAW, QA) + f"""
+, r AS (SELECT *, 'resp <QUESTION> ' || CAST(qid AS VARCHAR) AS response FROM qa)
+SELECT qid,
+  replace(replace(replace({lit(_JT)}, '<QUESTION>', question), '<RESPONSE>', response), '<CORRECT_ANSWER>', best_answer)
+    AS judge_prompt,
+  replace(replace(replace(replace('Q=<QUESTION>|R=<RESPONSE>|B=<BEST_ANSWER>|O=<OTHER_CORRECT_ANSWERS>',
+    '<QUESTION>', question), '<RESPONSE>', response), '<BEST_ANSWER>', best_answer),
+    '<OTHER_CORRECT_ANSWERS>', array_to_string(correct_answers, chr(10))) AS judge_prompt_other
+FROM r
+"""
