@@ -298,3 +298,125 @@ def judge_prompt(spark, sf):
     q = jp(q, template="Q=<QUESTION>|R=<RESPONSE>|B=<BEST_ANSWER>|O=<OTHER_CORRECT_ANSWERS>",
            others="correct_answers", out="judge_prompt_other")
     return q.select("qid", "judge_prompt", "judge_prompt_other")
+
+
+# --- F2-F7 order, slices, splits --------------------------------------------------------
+
+@query("row_index")
+def row_index(spark, sf):
+    from veracity.operators.rows import with_row_index
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return with_row_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
+
+
+@query("row_slice")
+def row_slice(spark, sf):
+    from veracity.operators.rows import row_slice as rs, with_row_index, word_budget
+    from veracity.operators.schema import build_chats
+    # F1 then F2: the slice counts rows that passed the word budget, in chat order.
+    c = word_budget(build_chats(D.turns(spark, sf)), 400)
+    return rs(with_row_index(c, "conv_id"), 5, 20).select("conv_id", "row_idx")
+
+
+@query("double_slice")
+def double_slice(spark, sf):
+    from veracity.operators.rows import capped_split, with_row_index
+    d = with_row_index(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return capped_split(d, cap=700, start=100, n=50).select("doc_id", "row_idx")
+
+
+@query("split_rows")
+def split_rows(spark, sf):
+    from veracity.operators.rows import split_rows as sr
+    d = D.table(spark, sf, "documents").select("doc_id")
+    return sr(d, "doc_id", 0.01, seed=42).filter(F.col("split") == "test").select("doc_id", "split")
+
+
+@query("seeded_order")
+def seeded_order(spark, sf):
+    from veracity.operators.rows import seeded_order as so
+    d = D.table(spark, sf, "documents").select("doc_id")
+    return so(d, "doc_id", seed=42).select("doc_id", "shuffle_idx")
+
+
+@query("sample_rows")
+def sample_rows(spark, sf):
+    from veracity.operators.rows import sample_rows as smp
+    return smp(D.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", k=3, seed=42)
+
+
+@query("split_sizes")
+def split_sizes(spark, sf):
+    from veracity.operators.rows import split_rows as sr
+    d = D.table(spark, sf, "documents").select("doc_id")
+    s = sr(d, "doc_id", 0.01, seed=42)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- J8 consistency: clustering, pairing, ratings ------------------------------------------
+
+CLUSTER_T = 0.25  # the driver embeddings have no pair above 0.9 (max about 0.51)
+
+
+@query("similar_pairs")
+def similar_pairs(spark, sf):
+    from veracity.operators.cluster import similar_pairs as sp
+    p = sp(D.samples(spark, sf), CLUSTER_T)
+    return p.select("question_id", "i", "j", r6("cosine").alias("cosine"))
+
+
+@query("leader_clusters")
+def leader_clusters(spark, sf):
+    from veracity.operators.cluster import leader_clusters as lc
+    return lc(D.samples(spark, sf), CLUSTER_T).select("question_id", "cluster_pos", "leader_idx", "size",
+                                                      "size_rank")
+
+
+@query("group_samples")
+def group_samples(spark, sf):
+    from veracity.operators.cluster import group_samples as gs
+    s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")
+    g = gs(s)
+    return g.select("question_id", "n_samples", F.array_join("chains", "|").alias("chains"),
+                    F.array_join("reflections", "|").alias("reflections"))
+
+
+@query("cluster_listing")
+def cluster_listing(spark, sf):
+    from veracity.operators import cluster as CL
+    from veracity.operators.prompts import cluster_listing as listing, rating_prompt, summary_prompt
+    s = RESP.split_samples(D.samples(spark, sf), "text")
+    clusters = CL.leader_clusters(s, CLUSTER_T, text="chain")
+    paired = CL.pair_reasons(CL.group_samples(s), clusters)
+    question = F.concat(F.lit("[INST] question "), F.col("question_id").cast("string"), F.lit(" [/INST]"))
+    lst = listing("kept_clusters")
+    return paired.select(
+        "question_id", "n_clusters", F.size("reasons").alias("n_kept"), lst.alias("listing"),
+        summary_prompt("reasons").alias("summary_prompt"),
+        rating_prompt(question, lst, F.get("reasons", 0)).alias("rating_prompt"))
+
+
+@query("rating_extract")
+def rating_extract(spark, sf):
+    from veracity.operators.cluster import extract_ratings
+    return extract_ratings(D.rating_replies(spark, sf), max_tries=4)
+
+
+@query("rating_mean")
+def rating_mean(spark, sf):
+    from veracity.operators.cluster import extract_ratings, rating_mean as rm
+    m = rm(extract_ratings(D.rating_replies(spark, sf), max_tries=3))
+    return _rounded(m, ["mean_score"])
+
+
+@query("rated_questions_capped")
+def rated_questions_capped(spark, sf):
+    from veracity.operators.cluster import cap_questions, extract_ratings
+    r = extract_ratings(D.rating_replies(spark, sf), max_tries=4)
+    return cap_questions(r.select("question_id", "numerical_score", "parsed"), 100)
+
+
+@query("summary_extract")
+def summary_extract(spark, sf):
+    from veracity.operators.cluster import extract_summaries
+    return extract_summaries(D.summary_replies(spark, sf), max_tries=3)

@@ -154,8 +154,8 @@ def summary_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """question_id, sample_idx, vec_id, text, embedding from ``embeddings``.
 
-    ``question_id`` is the label; ``sample_idx`` is the order of ``vec_id``
-    inside it.  ``text`` is a sampled response with chain and reflection.
+    ``question_id`` is the label within a block of 500 vector ids;
+    ``sample_idx`` is the order of ``vec_id`` inside it.  ``text`` is a sampled response with chain and reflection.
     """
     e = table(spark, sf_dir, "embeddings")
     v = F.col("vec_id")
@@ -169,8 +169,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.lit(" Are you sure you accurately answered the question based on your "
                                       "internal knowledge? yes Confidence: 2"))))
     from pyspark.sql import Window
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.select(F.col("label").cast("bigint").alias("question_id"),
+    # A question is one label inside a block of 500 vector ids, so no question
+    # grows with the table (the sampler draws a fixed number per question).
+    qid = (F.col("label").cast("bigint") * 1000000 + F.floor(v / 500)).cast("bigint")
+    w = Window.partitionBy(qid).orderBy("vec_id")
+    return e.select(qid.alias("question_id"),
                     (F.row_number().over(w) - 1).cast("int").alias("sample_idx"),
                     "vec_id", text.alias("text"), "embedding")
 

@@ -105,7 +105,8 @@ scored AS (
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+    rec = "RECURSIVE " if any("walk AS" in c for c in ctes) else ""
+    return f"WITH {rec}" + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
 def auroc_sql(src: str, keys: list[str]) -> str:
@@ -174,8 +175,8 @@ FROM lr
 
 SAMPLES = """
 samples AS (
-  SELECT CAST(label AS BIGINT) AS question_id,
-         CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS sample_idx,
+  SELECT CAST(label AS BIGINT) * 1000000 + vec_id // 500 AS question_id,
+         CAST(row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) - 1 AS INTEGER) AS sample_idx,
          vec_id, embedding,
          CASE vec_id % 5
            WHEN 0 THEN 'think ' || CAST(vec_id AS VARCHAR) || '. Self-reflection: unsure of '
@@ -540,3 +541,167 @@ SELECT qid,
     '<OTHER_CORRECT_ANSWERS>', array_to_string(correct_answers, chr(10))) AS judge_prompt_other
 FROM r
 """
+
+
+ORACLE["row_index"] = """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_idx FROM orders
+"""
+
+ORACLE["row_slice"] = with_(TURNS) + f"""
+, kept AS (SELECT conv_id FROM turns GROUP BY conv_id HAVING sum({_WC}) < 400),
+idx AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS row_idx FROM kept)
+SELECT conv_id, row_idx FROM idx WHERE row_idx >= 5 AND row_idx < 25
+"""
+
+ORACLE["double_slice"] = """
+SELECT doc_id, row_idx FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents) z
+WHERE row_idx < 700 AND row_idx >= 100 AND row_idx < 150
+"""
+
+_RANK = "row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1"
+ORACLE["split_rows"] = f"""
+SELECT doc_id, 'test' AS split FROM (SELECT doc_id, {_RANK} AS r FROM documents) z
+WHERE r < (SELECT ceil(0.01 * count(*)) FROM documents)
+"""
+
+ORACLE["seeded_order"] = f"SELECT doc_id, {_RANK} AS shuffle_idx FROM documents"
+
+ORACLE["sample_rows"] = """
+SELECT doc_id, lang FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 3
+"""
+
+ORACLE["split_sizes"] = f"""
+SELECT CASE WHEN r < (SELECT ceil(0.01 * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split,
+       count(*) AS n_rows
+FROM (SELECT doc_id, {_RANK} AS r FROM documents) z GROUP BY 1
+"""
+
+
+CLUSTER_T = 0.25
+PAIRS = f"""
+nv AS (SELECT question_id, sample_idx, CAST(embedding AS DOUBLE[]) AS e,
+              sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS nrm FROM samples),
+pairs AS (
+  SELECT a.question_id, a.sample_idx AS i, b.sample_idx AS j,
+         list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.nrm * b.nrm) AS cosine
+  FROM nv a JOIN nv b ON a.question_id = b.question_id AND a.sample_idx < b.sample_idx
+  WHERE a.nrm > 0 AND b.nrm > 0
+),
+edges AS (SELECT * FROM pairs WHERE cosine > {CLUSTER_T})"""
+
+ORACLE["similar_pairs"] = with_(SAMPLES, PAIRS) + \
+    f"SELECT question_id, i, j, {rnd('cosine')} AS cosine FROM edges"
+
+LEADERS = """
+adj AS (SELECT question_id, i, list_sort(list(j)) AS js FROM edges GROUP BY question_id, i),
+ordered AS (SELECT question_id, i, js, row_number() OVER (PARTITION BY question_id ORDER BY i) AS k FROM adj),
+walk AS (
+  SELECT question_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken,
+         CAST([] AS STRUCT(leader INTEGER, size INTEGER)[]) AS out
+  FROM (SELECT DISTINCT question_id FROM adj) q
+  UNION ALL
+  SELECT w.question_id, w.k + 1,
+         CASE WHEN list_contains(w.taken, o.i) OR len(list_filter(o.js, lambda x: NOT list_contains(w.taken, x))) = 0
+              THEN w.taken ELSE list_distinct(list_concat(w.taken, o.js)) END,
+         CASE WHEN list_contains(w.taken, o.i) OR len(list_filter(o.js, lambda x: NOT list_contains(w.taken, x))) = 0
+              THEN w.out
+              ELSE list_append(w.out, {'leader': o.i,
+                   'size': CAST(len(list_filter(o.js, lambda x: NOT list_contains(w.taken, x))) + 1 AS INTEGER)}) END
+  FROM walk w JOIN ordered o ON o.question_id = w.question_id AND o.k = w.k + 1
+),
+final AS (SELECT question_id, arg_max(out, k) AS out FROM walk GROUP BY question_id),
+clusters AS (
+  SELECT question_id, CAST(pos - 1 AS INTEGER) AS cluster_pos, out[pos].leader AS leader_idx, out[pos].size AS size
+  FROM final, range(1, len(out) + 1) t(pos)
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY size DESC, leader_idx) - 1 AS INTEGER)
+                  AS size_rank FROM clusters)"""
+
+ORACLE["leader_clusters"] = with_(SAMPLES, PAIRS, LEADERS) + \
+    "SELECT question_id, cluster_pos, leader_idx, size, size_rank FROM ranked"
+
+ORACLE["group_samples"] = with_(SAMPLES, SPLIT_SAMPLES) + """
+SELECT question_id, count(*) AS n_samples, string_agg(chain, '|' ORDER BY sample_idx) AS chains,
+       string_agg(reflection, '|' ORDER BY sample_idx) AS reflections
+FROM split_samples GROUP BY question_id
+"""
+
+_RT = "Question: <QUESTION>\n\nSampled Responses:\n<RESPONSES>\nReason: <REASON>\nReply as 'reason: ... score: N' (0-10)."
+_ST = "Summarise these reasons in one to three sentences.\n<REASONS>\nReply as 'Reason: ...'."
+ORACLE["cluster_listing"] = with_(SAMPLES, SPLIT_SAMPLES, PAIRS, LEADERS) + f"""
+, reasons AS (SELECT question_id, list(reflection ORDER BY sample_idx) AS refl FROM split_samples GROUP BY question_id),
+cl AS (SELECT c.question_id, list({{'pos': c.cluster_pos, 'size': c.size, 'response': s.chain}} ORDER BY c.cluster_pos) AS cls
+       FROM ranked c JOIN split_samples s ON s.question_id = c.question_id AND s.sample_idx = c.leader_idx
+       GROUP BY c.question_id),
+z AS (SELECT cl.question_id, len(cls) AS n_clusters,
+             list_filter(list_transform(range(1, least(len(refl), len(cls)) + 1),
+                                        lambda k: {{'reason': refl[k], 'c': cls[k]}}),
+                         lambda p: NOT contains(p.reason, 'N/A')) AS pairs
+      FROM cl JOIN reasons r ON r.question_id = cl.question_id),
+k AS (SELECT question_id, n_clusters, pairs,
+             array_to_string(list_transform(range(1, len(pairs) + 1),
+                 lambda q: CAST(q AS VARCHAR) || '. (' || CAST(pairs[q].c.size AS VARCHAR) || '%) ' || pairs[q].c.response || chr(10)), '') AS listing
+      FROM z WHERE len(pairs) > 0)
+SELECT question_id, n_clusters, len(pairs) AS n_kept, listing,
+       replace({lit(_ST)}, '<REASONS>', array_to_string(list_transform(pairs, lambda p: p.reason), chr(10))) AS summary_prompt,
+       replace(replace(replace({lit(_RT)}, '<QUESTION>',
+               {strip("replace(replace('[INST] question ' || CAST(question_id AS VARCHAR) || ' [/INST]', '[INST]', ''), '[/INST]', '')")}),
+               '<RESPONSES>', listing), '<REASON>', pairs[1].reason) AS rating_prompt
+FROM k
+"""
+
+RATINGS = """
+ratings_raw AS (
+  SELECT CAST(floor(event_id / 4) AS BIGINT) AS question_id, CAST(event_id % 4 AS INTEGER) AS attempt,
+         CASE event_id % 8
+           WHEN 0 THEN 'reason: ok. score: ' || CAST(CAST(floor(value) AS BIGINT) % 11 AS VARCHAR)
+           WHEN 1 THEN 'Score: ' || CAST(CAST(floor(value) AS BIGINT) % 11 AS VARCHAR) || '/10'
+           WHEN 2 THEN 'no marker ' || CAST(CAST(floor(value) AS BIGINT) % 11 AS VARCHAR)
+           WHEN 3 THEN '8 out'
+           WHEN 4 THEN 'score: 1.2.3'
+           WHEN 5 THEN 'SCORE: ' || CAST(CAST(floor(value) AS BIGINT) % 11 AS VARCHAR) || '.5'
+           WHEN 6 THEN NULL
+           ELSE 'score: none' END AS reply
+  FROM events
+)"""
+
+
+def _ratings(tries: int) -> str:
+    t = "substring(reply, instr(lower(reply), 'score:') - 1 + 6 + 1, length(reply) + 1)"
+    v = f"try_cast(nullif(regexp_extract({t}, '([0-9]+(\\.[0-9]+)*)', 1), '') AS DOUBLE)"
+    return f"""
+ratings AS (
+  SELECT question_id, reply, coalesce({v}, 0.0) AS numerical_score, {v} IS NOT NULL AS parsed
+  FROM (SELECT question_id, arg_min(reply, attempt) FILTER (WHERE reply IS NOT NULL AND attempt < {tries}) AS reply
+        FROM ratings_raw GROUP BY question_id) z
+)"""
+
+
+ORACLE["rating_extract"] = with_(RATINGS, _ratings(4)) + "SELECT * FROM ratings"
+
+ORACLE["rating_mean"] = with_(RATINGS, _ratings(3)) + f"""
+SELECT {rnd('avg(numerical_score) FILTER (WHERE parsed)')} AS mean_score,
+       count(*) FILTER (WHERE parsed) AS n_parsed, count(*) AS n_questions
+FROM ratings
+"""
+
+ORACLE["rated_questions_capped"] = with_(RATINGS, _ratings(4)) + """
+SELECT question_id, numerical_score, parsed FROM ratings ORDER BY question_id LIMIT 100
+"""
+
+ORACLE["summary_extract"] = f"""
+WITH s AS (
+  SELECT CAST(floor(event_id / 3) AS BIGINT) AS question_id, CAST(event_id % 3 AS INTEGER) AS attempt,
+         CASE event_id % 5
+           WHEN 0 THEN 'Reason:  I lack event ' || CAST(event_id AS VARCHAR) || '. '
+           WHEN 1 THEN NULL
+           WHEN 2 THEN 'no marker'
+           WHEN 3 THEN 'Reason: a' || CAST(event_id AS VARCHAR) || ' Reason: b'
+           ELSE 'x' || chr(10) || 'Reason:' || chr(10) || CAST(event_id % 17 AS VARCHAR) END AS reply
+  FROM events),
+f AS (SELECT question_id, arg_min(reply, attempt) FILTER (WHERE reply IS NOT NULL AND attempt < 3) AS reply
+      FROM s GROUP BY question_id)
+SELECT question_id, coalesce(CASE WHEN contains(reply, 'Reason:') THEN {strip("split_part(reply, 'Reason:', 2)")}
+                                  ELSE '' END, '') AS summary
+FROM f
+"""
