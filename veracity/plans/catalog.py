@@ -420,3 +420,80 @@ def rated_questions_capped(spark, sf):
 def summary_extract(spark, sf):
     from veracity.operators.cluster import extract_summaries
     return extract_summaries(D.summary_replies(spark, sf), max_tries=3)
+
+
+# --- J9 training tables -----------------------------------------------------------
+
+def _sft(spark, sf, max_len=400):
+    from veracity.operators.training import sft_rows as sr, trainable_only
+    return trainable_only(sr(_chats(spark, sf), "chat", max_len=max_len, keep=("conv_id",)))
+
+
+@query("sft_rows")
+def sft_rows(spark, sf):
+    r = _sft(spark, sf)
+    return r.select("conv_id", F.size("tokens").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),
+                    F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("sft_rows_pairs")
+def sft_rows_pairs(spark, sf):
+    from veracity.operators.training import sft_rows as sr
+    q = D.qa_records(spark, sf).withColumnRenamed("answer", "response")
+    r = sr(q, "pair", max_len=64, keep=("qid",))
+    return r.select("qid", F.size("tokens").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
+
+
+@query("sft_rows_completion")
+def sft_rows_completion(spark, sf):
+    from veracity.operators.training import sft_rows as sr
+    r = sr(D.pair_records(spark, sf), "prompt_completion", max_len=6, keep=("qid",))
+    return r.select("qid", F.size("tokens").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
+
+
+@query("pad_batches")
+def pad_batches(spark, sf):
+    from veracity.operators.rows import with_batches
+    from veracity.operators.training import pad_batches as pb
+    b = pb(with_batches(_sft(spark, sf), "conv_id", size=8))
+    return b.select("conv_id", "batch_id", F.size("input_ids").alias("padded_len"),
+                    F.size(F.filter("attention_mask", lambda x: x == 0)).alias("n_pad"),
+                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_ignored"))
+
+
+@query("unpad")
+def unpad(spark, sf):
+    from veracity.operators.rows import with_batches
+    from veracity.operators.training import pad_batches as pb, unpad as up
+    b = up(pb(with_batches(_sft(spark, sf), "conv_id", size=8)))
+    return b.select("conv_id", F.size("input_ids").alias("n_ids"),
+                    (F.col("input_ids") == F.transform("tokens", lambda w: F.xxhash64(w))).alias("same_ids"))
+
+
+def _mask_rows(spark, sf):
+    from veracity.operators.training import response_mask as rm, tokens
+    t = D.turns(spark, sf).filter(F.col("role") == "assistant")
+    k = F.col("turn") % 3
+    resp = (F.when(k == 0, F.concat(F.substring("content", 1, 60), F.lit(" Confidence: "), F.col("turn").cast("string")))
+            .when(k == 1, F.concat(F.substring("content", 1, 60), F.lit(" Confidence:")))
+            .otherwise(F.substring("content", 1, 60)))
+    t = t.select("conv_id", "turn", tokens(resp).alias("tokens"))
+    return rm(t.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
+
+
+@query("response_mask")
+def response_mask(spark, sf):
+    m = _mask_rows(spark, sf)
+    return m.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), "first_idx", "nonsense",
+                    F.aggregate("response_mask", F.lit(0), lambda a, x: a + x).alias("n_ones"))
+
+
+@query("check_lengths")
+def check_lengths(spark, sf):
+    from veracity.operators.training import check_lengths as cl
+    good, bad = cl(_mask_rows(spark, sf))
+    return good.select(F.lit("equal").alias("status")).unionByName(bad.select(F.lit("different").alias("status"))) \
+        .groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -705,3 +705,80 @@ SELECT question_id, coalesce(CASE WHEN contains(reply, 'Reason:') THEN {strip("s
                                   ELSE '' END, '') AS summary
 FROM f
 """
+
+
+def tok(e: str) -> str:
+    return f"list_filter(regexp_split_to_array({e}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+
+
+_PIECE = (f"CASE WHEN role IN ('system', 'user') THEN {_tagged('content')} "
+          f"WHEN role = 'assistant' THEN {strip('content')} || '</s>' || chr(10) END")
+SFT = f"""
+sft_text AS (
+  SELECT conv_id, {strip(f"string_agg({_PIECE}, '' ORDER BY turn)")} AS text,
+         coalesce({strip(f"string_agg({_PIECE}, '' ORDER BY turn) FILTER (WHERE i < n - 1)")}, '') AS prompt
+  FROM turns GROUP BY conv_id
+),
+sft AS (
+  SELECT conv_id, list_slice({tok('text')}, 1, 400) AS tokens, least(len({tok('prompt')}), 400) AS np
+  FROM sft_text
+),
+sft_rows AS (
+  SELECT conv_id, tokens, len(tokens) AS n_tokens, least(np, len(tokens)) AS n_masked FROM sft
+  WHERE len(tokens) > least(np, len(tokens))
+)"""
+
+ORACLE["sft_rows"] = with_(TURNS, SFT) + \
+    "SELECT conv_id, n_tokens, n_masked, array_to_string(tokens, ' ') AS tokens FROM sft_rows"
+
+_PAIR_T = f"{lit('[INST]' + _NL)} || {strip('question')} || {lit(_NL + '[/INST]' + _NL)} || {strip('answer')} || chr(10)"
+_PAIR_P = f"{lit('[INST]' + _NL)} || {strip('question')} || {lit(_NL + '[/INST]' + _NL)}"
+ORACLE["sft_rows_pairs"] = with_(QA_RAW) + f"""
+SELECT qid, len(list_slice({tok(_PAIR_T)}, 1, 64)) AS n_tokens,
+       least(least(len({tok(_PAIR_P)}), 64), len(list_slice({tok(_PAIR_T)}, 1, 64))) AS n_masked
+FROM qa_raw
+"""
+
+_PC = (f"CASE WHEN NOT (length({_P}) > 0 AND right({_P}, 1) IN (' ', chr(10), chr(9))) "
+       f"AND NOT (left({_C}, 1) IN (' ', chr(10), chr(9))) THEN {_P} || ' ' || {_C} ELSE {_P} || {_C} END || '</s>'")
+ORACLE["sft_rows_completion"] = f"""
+SELECT doc_id AS qid, len(list_slice({tok(_PC)}, 1, 6)) AS n_tokens,
+       least(least(len({tok(_P)}), 6), len(list_slice({tok(_PC)}, 1, 6))) AS n_masked
+FROM documents
+"""
+
+PADDED = """
+padded AS (
+  SELECT conv_id, batch_id, n_tokens, n_masked, max(n_tokens) OVER (PARTITION BY batch_id) AS padded_len
+  FROM (SELECT *, CAST((row_number() OVER (ORDER BY conv_id) - 1) // 8 AS BIGINT) AS batch_id FROM sft_rows) z
+)"""
+
+ORACLE["pad_batches"] = with_(TURNS, SFT, PADDED) + """
+SELECT conv_id, batch_id, padded_len, padded_len - n_tokens AS n_pad, n_masked + padded_len - n_tokens AS n_ignored
+FROM padded
+"""
+
+ORACLE["unpad"] = with_(TURNS, SFT) + "SELECT conv_id, n_tokens AS n_ids, true AS same_ids FROM sft_rows"
+
+MASKS = f"""
+mr AS (
+  SELECT conv_id, turn, {tok("CASE turn % 3 WHEN 0 THEN substring(content, 1, 60) || ' Confidence: ' || CAST(turn AS VARCHAR) "
+                            "WHEN 1 THEN substring(content, 1, 60) || ' Confidence:' ELSE substring(content, 1, 60) END")}
+         AS tokens
+  FROM turns WHERE role = 'assistant'
+),
+m AS (
+  SELECT conv_id, turn, len(tokens) AS n_tokens,
+         list_position(list_transform(tokens, lambda t: contains(t, 'Confidence:')), true) AS pos
+  FROM mr
+)"""
+
+ORACLE["response_mask"] = with_(TURNS, MASKS) + """
+SELECT conv_id, turn, n_tokens,
+       CASE WHEN pos IS NOT NULL AND pos > 0 AND pos < n_tokens THEN pos END AS first_idx,
+       NOT coalesce(pos IS NOT NULL AND pos > 0 AND pos < n_tokens, false) AS nonsense,
+       CASE WHEN pos IS NOT NULL AND pos > 0 AND pos < n_tokens THEN n_tokens - pos ELSE n_tokens END AS n_ones
+FROM m
+"""
+
+ORACLE["check_lengths"] = with_(TURNS, MASKS) + "SELECT 'equal' AS status, count(*) AS n_rows FROM m"
