@@ -497,3 +497,69 @@ def check_lengths(spark, sf):
     good, bad = cl(_mask_rows(spark, sf))
     return good.select(F.lit("equal").alias("status")).unionByName(bad.select(F.lit("different").alias("status"))) \
         .groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- J11 run logs -----------------------------------------------------------------
+
+@query("best_checkpoints")
+def best_checkpoints(spark, sf):
+    from veracity.operators.runlog import best_checkpoints as bc
+    return _rounded(bc(D.run_log(spark, sf)), ["value"])
+
+
+@query("loss_rollup")
+def loss_rollup(spark, sf):
+    from veracity.operators.runlog import loss_rollup as lr
+    return _rounded(lr(D.run_log(spark, sf), k=10, grad_acc=4), ["avg_loss"])
+
+
+# --- S*, J10 sources, sinks, streaming -------------------------------------------------
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from veracity.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("json_roundtrip")
+def json_roundtrip(spark, sf):
+    from veracity.sources.io import read_jsonl, write_records
+    path = _scratch(spark, "responses-json")
+    write_records(D.responses(spark, sf), path)
+    back = read_jsonl(spark, path, "qid bigint, dataset string, response string")
+    return RESP.parse_responses(back, "main").select("qid", "dataset", "confidence")
+
+
+@query("snapshot_roundtrip")
+def snapshot_roundtrip(spark, sf):
+    from veracity.operators.cluster import extract_ratings
+    from veracity.sources.io import write_snapshots
+    path = _scratch(spark, "ratings-snapshots")
+    r = extract_ratings(D.rating_replies(spark, sf), max_tries=4).withColumn("row_idx", F.col("question_id"))
+    write_snapshots(r, path, every=100)
+    back = spark.read.json(path)
+    return back.groupBy(F.col("snapshot").cast("bigint").alias("snapshot")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("parsed"), 1)).alias("n_parsed"))
+
+
+@query("stream_calibration")
+def stream_calibration(spark, sf):
+    from veracity.streaming.calibration import run_to_report
+    docs = D.table(spark, sf, "documents")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf.rstrip('/')}/documents*.parquet")
+    # Same derivation as the batch view, on the stream, joined with the static gold table.
+    a = F.concat(F.lit("Answer: "), F.substring("text", 1, 40))
+    c = ((F.col("doc_id") * 7 + 3) % 13).cast("string")
+    k = F.col("doc_id") % 10
+    lang = F.col("lang")
+    resp = (F.when(k < 6, F.concat(a, F.lit(" Self-reflection: about "), lang, F.lit(" Confidence: "), c))
+            .when(k == 6, F.concat(a, F.lit(" Self-reflection: about "), lang))
+            .when(k == 7, F.concat(a, F.lit(" Confidence: "), c))
+            .when(k == 8, F.concat(a, F.lit(" Self-reflection: about "), lang, F.lit(" Confidence: "), c,
+                                   F.lit("/10")))
+            .otherwise(F.concat(F.lit("Confidence: "), c, F.lit(" Self-reflection: late"))))
+    s = stream.select(F.col("doc_id").alias("qid"), lang.alias("dataset"), resp.alias("response"))
+    parsed = RESP.parse_responses(s, "main")
+    scored = parsed.join(D.gold(spark, sf).select("qid", "correctness"), "qid")
+    rep = run_to_report(spark, scored, _scratch(spark, "stream-calibration"), ["dataset"])
+    return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])

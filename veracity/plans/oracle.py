@@ -782,3 +782,43 @@ FROM m
 """
 
 ORACLE["check_lengths"] = with_(TURNS, MASKS) + "SELECT 'equal' AS status, count(*) AS n_rows FROM m"
+
+
+RUN_LOG = """
+run_log AS (SELECT user_id AS run_id, event_id + 1 AS step, CAST(event_id % 2 AS INTEGER) AS rank,
+                   value / 500.0 AS value FROM events)"""
+
+ORACLE["best_checkpoints"] = with_(RUN_LOG) + f"""
+SELECT run_id, step, {rnd('value')} AS value
+FROM (SELECT *, min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+      FROM run_log) z
+WHERE value < least(1.0, coalesce(pm, 1.0))
+"""
+
+ORACLE["loss_rollup"] = with_(RUN_LOG) + f"""
+SELECT run_id, CAST(((step - 1) // 10 + 1) * 10 AS BIGINT) AS log_step,
+       {rnd('sum(value) / count(DISTINCT rank) / 4 / 10')} AS avg_loss,
+       count(DISTINCT rank) AS n_ranks, count(*) AS n_rows
+FROM run_log GROUP BY run_id, (step - 1) // 10
+"""
+
+
+ORACLE["json_roundtrip"] = with_(RESPONSES, PARSED) + "SELECT qid, dataset, confidence FROM parsed"
+
+ORACLE["snapshot_roundtrip"] = with_(RATINGS, _ratings(4)) + """
+SELECT CAST(question_id // 100 AS BIGINT) AS snapshot, count(*) AS n_rows, count(*) FILTER (WHERE parsed) AS n_parsed
+FROM ratings GROUP BY 1
+"""
+
+ORACLE["stream_calibration"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+SELECT b.dataset, n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
+       {rnd('conf_neg')} AS conf_neg, {rnd('a.auroc')} AS auroc
+FROM (SELECT dataset, count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
+             sum(correctness) / (count(*) * 10.0) AS accuracy,
+             CASE WHEN count(*) FILTER (WHERE correctness >= 7) > 0 THEN sum(confidence) FILTER (WHERE correctness >= 7)
+                  / (count(*) FILTER (WHERE correctness >= 7) * 10.0) ELSE 0.0 END AS conf_pos,
+             CASE WHEN count(*) FILTER (WHERE correctness <= 3) > 0 THEN sum(confidence) FILTER (WHERE correctness <= 3)
+                  / (count(*) FILTER (WHERE correctness <= 3) * 10.0) ELSE 0.0 END AS conf_neg
+      FROM scored GROUP BY dataset) b
+JOIN ({auroc_sql('scored', ['dataset'])}) a ON a.dataset = b.dataset
+"""
