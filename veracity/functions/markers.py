@@ -25,8 +25,11 @@ REASON_MARKER = "Reason:"                  # summary replies
 IGNORE_INDEX = -100                        # masked label value
 # --- end of fixed values ---------------------------------------------------
 
-# Characters Python's str.strip() removes (str.isspace), as one regex class
-# understood by both Java regex and RE2.
+# Characters Python's str.strip() removes, derived from str.isspace (all of
+# them lie below U+3001).
+PY_WHITESPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+# The same set as one regex class understood by both Java regex and RE2.
 PY_WHITESPACE_CLASS = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

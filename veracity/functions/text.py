@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.markers import PY_WHITESPACE_CLASS
+from veracity.functions.markers import PY_WHITESPACE_CHARS
 
 WORD_SPLIT = "[ \t\n\r\f]+"
 
@@ -21,10 +21,10 @@ def col_(c: Column | str) -> Column:
 def py_strip(c: Column | str) -> Column:
     """Python ``str.strip()``: removes every ``isspace`` character at both ends.
 
-    Spark's ``trim`` only removes spaces, so a regex is used instead.
+    Spark's one-argument ``trim`` only removes spaces; ``btrim`` with the
+    full character set strips like Python and avoids a regex scan.
     """
-    ws = PY_WHITESPACE_CLASS
-    return F.regexp_replace(col_(c), rf"\A{ws}+|{ws}+\z", "")
+    return F.btrim(col_(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def find(c: Column | str, marker: str) -> Column:

@@ -12,6 +12,7 @@ count, not by the data.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,18 @@ def _cols(cols) -> list[Column]:
     return [col_(c) for c in cols]
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the files instead of
+    recomputing the plan) and computes the input exactly once.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
                    name: str = "row_idx", partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based ``name`` column following ``order`` (must be a unique key)."""
@@ -36,16 +49,16 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order)
-    checkpoint_dir(spark)
     ranged = (df.repartitionByRange(partitions, *keys)
               .sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    tagged = (ranged.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS))
+    tagged = materialize(ranged, "row-index")
+    tagged = (tagged.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one row per range partition: the broadcast is bounded by the partition count
     out = tagged.join(F.broadcast(offsets), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_loc")).cast("bigint")).drop(
         "_pid", "_loc", "_mid", "_off")

@@ -537,7 +537,8 @@ def snapshot_roundtrip(spark, sf):
     path = _scratch(spark, "ratings-snapshots")
     r = extract_ratings(D.rating_replies(spark, sf), max_tries=4).withColumn("row_idx", F.col("question_id"))
     write_snapshots(r, path, every=100)
-    back = spark.read.json(path)
+    back = spark.read.schema("question_id bigint, reply string, numerical_score double, parsed boolean, "
+                             "row_idx bigint, snapshot bigint").json(path)
     return back.groupBy(F.col("snapshot").cast("bigint").alias("snapshot")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("parsed"), 1)).alias("n_parsed"))
 

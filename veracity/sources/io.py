@@ -91,10 +91,21 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
     df.write.mode(mode).format(fmt).save(path)
 
 
-def write_snapshots(df: DataFrame, path: str, every: int = 100, index: str = "row_idx") -> None:
-    """Snapshots every ``every`` items, partitioned by snapshot number."""
-    (df.withColumn("snapshot", F.floor(F.col(index) / every).cast("bigint"))
-       .write.mode("overwrite").partitionBy("snapshot").json(path))
+def write_snapshots(df: DataFrame, path: str, every: int = 100, index: str = "row_idx",
+                    partition: bool = False) -> None:
+    """Progress snapshots every ``every`` items.
+
+    A Spark write is atomic, so there is no half-written file to protect
+    against; the snapshot number is recorded as a column.  ``partition=True``
+    also makes one folder per snapshot (clustered first, one file each) -
+    only sensible for coarse ``every``, since fine snapshots mean many tiny
+    files.
+    """
+    d = df.withColumn("snapshot", F.floor(F.col(index) / every).cast("bigint"))
+    if partition:
+        d.repartition("snapshot").write.mode("overwrite").partitionBy("snapshot").json(path)
+    else:
+        d.write.mode("overwrite").json(path)
 
 
 def to_metric_log(df: DataFrame, run_id: str, step: str, metrics: Sequence[str]) -> DataFrame:
