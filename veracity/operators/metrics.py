@@ -147,32 +147,59 @@ def cumulative_auroc(scored: DataFrame, batch: str = "batch_id",
                     .otherwise(F.lit(0.0)).alias("cumulative_auroc"))
 
 
+def report_from_conf_histogram(hp: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Overall metrics from per-(group, confidence) partial sums, without a join.
+
+    ``hp`` has one row per group and distinct confidence with columns
+    ``conf, n, cp, cn, gap_sum, acc_sum, pos_sum, pos_n, neg_sum, neg_n,
+    n_out`` (and optionally ``reward_sum``, ``reward_n``).  A window over
+    the confidences of a group gives the negatives below each confidence;
+    one aggregate then yields every metric and the ROC area.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
+    h = hp.withColumn("below", F.coalesce(F.sum("cn").over(w), F.lit(0)))
+    has_reward = "reward_sum" in hp.columns
+    aggs = [F.sum("n").alias("n"), F.sum("gap_sum").alias("_gap"), F.sum("acc_sum").alias("_acc"),
+            F.sum("pos_sum").alias("_pos"), F.sum("pos_n").alias("_pos_n"),
+            F.sum("neg_sum").alias("_neg"), F.sum("neg_n").alias("_neg_n"),
+            F.sum("n_out").alias("n_out_of_range"),
+            F.sum(F.col("cp") * (F.col("below") + F.col("cn") / 2.0)).alias("_u"),
+            F.sum("cp").alias("_P"), F.sum("cn").alias("_N")]
+    if has_reward:
+        aggs += [F.sum("reward_sum").alias("_rs"), F.sum("reward_n").alias("_rn")]
+    a = h.groupBy(*keys).agg(*aggs)
+    return a.select(
+        *keys, "n", _ratio("_gap", "n").alias("ece"), _ratio("_acc", "n").alias("accuracy"),
+        _ratio("_pos", "_pos_n").alias("conf_pos"), _ratio("_neg", "_neg_n").alias("conf_neg"),
+        "n_out_of_range",
+        *([(F.col("_rs") / F.col("_rn")).alias("mean_reward")] if has_reward else []),
+        F.when(F.col("_P") * F.col("_N") > 0, F.col("_u") / (F.col("_P") * F.col("_N")))
+         .otherwise(F.lit(0.0)).alias("auroc"))
+
+
 def calibration_report(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Overall metrics per group (e.g. per dataset), one job for all groups."""
+    """Overall metrics per group (e.g. per dataset), one job for all groups.
+
+    Rows are first reduced to one row per (group, distinct confidence); the
+    rest works on that small histogram.
+    """
     keys = list(group_cols)
-    if not keys:
-        scored, keys = scored.withColumn("_all", F.lit(0)), ["_all"]
     conf, corr = _conf(), _corr()
     pos = corr >= POS_MIN
     neg = corr <= NEG_MAX
-    agg_cols = [
+    aggs = [
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.abs(conf - corr)).alias("_gap"),
-        F.sum(corr).alias("_acc"),
-        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("_pos"),
-        F.count(F.when(pos, 1)).alias("_pos_n"),
-        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("_neg"),
-        F.count(F.when(neg, 1)).alias("_neg_n"),
-        F.count(F.when(~conf.between(0, 10), 1)).alias("n_out_of_range"),
+        F.count(F.when(pos, 1)).alias("cp"), F.count(F.when(~pos, 1)).alias("cn"),
+        F.sum(F.abs(conf - corr)).alias("gap_sum"), F.sum(corr).alias("acc_sum"),
+        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("pos_sum"), F.count(F.when(pos, 1)).alias("pos_n"),
+        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("neg_sum"), F.count(F.when(neg, 1)).alias("neg_n"),
+        F.count(F.when(~conf.between(0, 10), 1)).alias("n_out"),
     ]
     if "reward" in scored.columns:
-        agg_cols.append(F.avg("reward").alias("mean_reward"))
-    base = scored.groupBy(*keys).agg(*agg_cols)
-    base = base.select(*keys, "n", _ratio("_gap", "n").alias("ece"), _ratio("_acc", "n").alias("accuracy"),
-                       _ratio("_pos", "_pos_n").alias("conf_pos"), _ratio("_neg", "_neg_n").alias("conf_neg"),
-                       "n_out_of_range", *(["mean_reward"] if "reward" in scored.columns else []))
-    out = base.join(auroc(scored, keys), keys, "left")
-    return out.drop("_all") if not group_cols else out
+        aggs += [F.sum("reward").alias("reward_sum"), F.count("reward").alias("reward_n")]
+    hp = scored.groupBy(*keys, conf.alias("conf")).agg(*aggs)
+    return report_from_conf_histogram(hp, keys)
 
 
 def conf_reward_gap(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def read_columnar_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -66,9 +66,12 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("multiLine", True).json(path)
     if first == "{":
         lines = spark.read.json(path)
-        if "_corrupt_record" not in lines.columns:
-            return lines
-        return read_columnar_json(spark, path)
+        if "_corrupt_record" in lines.columns:  # one pretty-printed object
+            return read_columnar_json(spark, path)
+        all_arrays = all(isinstance(f.dataType, ArrayType) for f in lines.schema.fields)
+        if all_arrays and lines.limit(2).count() == 1:  # one object of column lists
+            return read_columnar_json(spark, path)
+        return lines
     return spark.read.parquet(path)
 
 

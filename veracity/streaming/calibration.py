@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veracity.operators.metrics import NEG_MAX, POS_MIN
+from veracity.operators.metrics import NEG_MAX, POS_MIN, report_from_conf_histogram
 
 
 def histogram(scored: DataFrame, group_cols=()) -> DataFrame:
@@ -50,31 +50,18 @@ def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str
 def report_from_histogram(hist: DataFrame, group_cols=()) -> DataFrame:
     """Overall metrics from a (confidence, correctness, cnt) histogram."""
     keys = list(group_cols)
-    if not keys:
-        hist, keys = hist.withColumn("_all", F.lit(0)), ["_all"]
     conf, corr, n = F.col("confidence"), F.col("correctness"), F.col("cnt")
     pos, neg = corr >= POS_MIN, corr <= NEG_MAX
-    base = hist.groupBy(*keys).agg(
+    hp = hist.groupBy(*keys, conf.alias("conf")).agg(
         F.sum(n).alias("n"),
-        F.sum(n * F.abs(conf - corr)).alias("_gap"), F.sum(n * corr).alias("_acc"),
-        F.sum(F.when(pos, n * conf)).alias("_pos"), F.sum(F.when(pos, n)).alias("_pn"),
-        F.sum(F.when(neg, n * conf)).alias("_neg"), F.sum(F.when(neg, n)).alias("_nn"))
-
-    def ratio(a, b):
-        return F.when(F.coalesce(F.col(b), F.lit(0)) > 0, F.col(a) / (F.col(b) * 10.0)).otherwise(F.lit(0.0))
-
-    base = base.select(*keys, "n", ratio("_gap", "n").alias("ece"), ratio("_acc", "n").alias("accuracy"),
-                       ratio("_pos", "_pn").alias("conf_pos"), ratio("_neg", "_nn").alias("conf_neg"))
-    h = hist.groupBy(*keys, (conf / 10.0).alias("p")).agg(
-        F.sum(F.when(pos, n).otherwise(0)).alias("cp"), F.sum(F.when(~pos, n).otherwise(0)).alias("cn"))
-    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("below", F.coalesce(F.sum("cn").over(w), F.lit(0)))
-    roc = h.groupBy(*keys).agg(F.sum(F.col("cp") * (F.col("below") + F.col("cn") / 2.0)).alias("u"),
-                               F.sum("cp").alias("P"), F.sum("cn").alias("N"))
-    roc = roc.select(*keys, F.when(F.col("P") * F.col("N") > 0, F.col("u") / (F.col("P") * F.col("N")))
-                     .otherwise(F.lit(0.0)).alias("auroc"))
-    out = base.join(roc, keys)
-    return out.drop("_all") if "_all" in keys else out
+        F.sum(F.when(pos, n).otherwise(0)).alias("cp"), F.sum(F.when(~pos, n).otherwise(0)).alias("cn"),
+        F.sum(n * F.abs(conf - corr)).alias("gap_sum"), F.sum(n * corr).alias("acc_sum"),
+        F.coalesce(F.sum(F.when(pos, n * conf)), F.lit(0.0)).alias("pos_sum"),
+        F.sum(F.when(pos, n).otherwise(0)).alias("pos_n"),
+        F.coalesce(F.sum(F.when(neg, n * conf)), F.lit(0.0)).alias("neg_sum"),
+        F.sum(F.when(neg, n).otherwise(0)).alias("neg_n"),
+        F.sum(F.when(~conf.between(0, 10), n).otherwise(0)).alias("n_out"))
+    return report_from_conf_histogram(hp, keys).drop("n_out_of_range")
 
 
 def run_to_report(spark: SparkSession, scored_stream: DataFrame, work_dir: str, group_cols=()) -> DataFrame:
