@@ -93,3 +93,38 @@ def test_stream_equals_batch(spark):
     b = QUERIES["calibration_by_lang"](spark, SF_SMALL)
     b = sorted(tuple(r) for r in b.select("dataset", "n", "ece", "accuracy", "conf_pos", "conf_neg", "auroc").collect())
     assert s == b
+
+
+def test_tokenizer_hook(spark):
+    from veracity.operators.training import tokenize_with
+    df = spark.createDataFrame([("a bb ccc",), ("",)], "text string")
+    out = tokenize_with(df, lambda texts: [[len(w) for w in t.split()] for t in texts], "text").collect()
+    assert [r.input_ids for r in out] == [[1, 2, 3], []]
+
+
+def test_scorer_hook(spark):
+    from veracity.operators.responses import score_with
+
+    def scorer(batches):
+        for pdf in batches:
+            pdf["correctness"] = (pdf["answer"] == pdf["gold"]).astype("float64") * 10
+            yield pdf[["qid", "correctness"]]
+
+    df = spark.createDataFrame([(1, "x", "x"), (2, "x", "y")], "qid long, answer string, gold string")
+    got = {r.qid: r.correctness for r in score_with(df, scorer, "qid long, correctness double").collect()}
+    assert got == {1: 10.0, 2: 0.0}
+
+
+def test_stream_resumes_from_checkpoint(spark):
+    from veracity.streaming.calibration import stream_calibration, report_from_histogram
+    d = tempfile.mkdtemp(prefix="veracity-stream-")
+    src, sink, ck = os.path.join(d, "in"), os.path.join(d, "hist"), os.path.join(d, "ck")
+    schema = "confidence double, correctness double"
+    spark.createDataFrame([(8.0, 10.0), (2.0, 0.0)], schema).coalesce(1).write.parquet(os.path.join(src, "p1"))
+    stream = lambda: spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+    stream_calibration(stream(), sink, ck).awaitTermination()
+    assert spark.read.parquet(sink).agg(F.sum("cnt")).first()[0] == 2
+    spark.createDataFrame([(9.0, 10.0)], schema).coalesce(1).write.parquet(os.path.join(src, "p2"))
+    stream_calibration(stream(), sink, ck).awaitTermination()  # same checkpoint: only the new file is read
+    rep = report_from_histogram(spark.read.parquet(sink)).first()
+    assert rep.n == 3 and rep.auroc == 1.0

@@ -126,6 +126,11 @@ def pair_reasons(grouped: DataFrame, clusters: DataFrame, key: str = "question_i
                     F.size("clusters").alias("n_clusters"))
 
 
+def min_clusters(df: DataFrame, k: int = 2, n_clusters: str = "n_clusters") -> DataFrame:
+    """keep questions with at least ``k`` clusters (off in the reference run)."""
+    return df.filter(F.col(n_clusters) >= k)
+
+
 def first_reply(replies: DataFrame, max_tries: int, key: str = "question_id") -> DataFrame:
     """First non-null reply among the first ``max_tries`` attempts (null if none)."""
     ok = F.col("reply").isNotNull() & (F.col("attempt") < max_tries)

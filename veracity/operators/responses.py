@@ -134,3 +134,15 @@ def penalise_nonsense(scored: DataFrame, response: str = "response") -> DataFram
 def output_records(scored: DataFrame, questions: DataFrame, key: str = "qid") -> DataFrame:
     """Result records (question, gold, response, correctness) joined on the key."""
     return questions.join(scored.select(key, "response", "correctness"), key)
+
+
+def judge_two_line(replies: DataFrame, key: str = "qid") -> DataFrame:
+    """R11 (re-aimed): explanation and score of ``Explanation: ...`` / ``Score: N`` replies."""
+    return replies.select(key, "attempt", P.judge_explanation("reply").alias("explanation"),
+                          P.judge_labeled_score("reply").alias("score"))
+
+
+def score_with(df: DataFrame, scorer, out_schema: str) -> DataFrame:
+    """U3 hook: a user scorer ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]``
+    run through ``mapInPandas`` (Arrow batches, one scorer instance per task)."""
+    return df.mapInPandas(scorer, out_schema)

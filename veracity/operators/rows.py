@@ -189,3 +189,9 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def cap_test_split(test: DataFrame, n_train: int, divisor: int = 100,
+                   index: str = "row_idx") -> DataFrame:
+    """test rows capped at ``n_train // divisor`` (in file order)."""
+    return test.filter(F.col(index) < n_train // divisor)

@@ -32,7 +32,8 @@ def token_ids(toks: Column) -> Column:
 
 def tokenize_with(df: DataFrame, fn: Callable, text: str, out: str = "input_ids") -> DataFrame:
     """Plug in a tokeniser: ``fn(list[str]) -> list[list[int]]`` applied per Arrow batch."""
-    schema = df.schema.add(out, "array<bigint>")
+    from pyspark.sql.types import ArrayType, LongType, StructType
+    schema = StructType(list(df.schema.fields)).add(out, ArrayType(LongType()))
 
     def run(batches):
         for pdf in batches:

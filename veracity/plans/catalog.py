@@ -564,3 +564,30 @@ def stream_calibration(spark, sf):
     scored = parsed.join(D.gold(spark, sf).select("qid", "correctness"), "qid")
     rep = run_to_report(spark, scored, _scratch(spark, "stream-calibration"), ["dataset"])
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])
+
+
+@query("ppo_slices")
+def ppo_slices(spark, sf):
+    from veracity.operators.rows import cap_test_split, capped_split, split_rows as sr, with_row_index
+    d = D.table(spark, sf, "documents").select("doc_id")
+    s = sr(d, "doc_id", 0.1, seed=7)
+    train = with_row_index(s.filter(F.col("split") == "train").drop("split"), "doc_id")
+    test = with_row_index(s.filter(F.col("split") == "test").drop("split"), "doc_id")
+    capped = capped_split(train, cap=800, start=0, n=800)
+    n_train = capped.count()
+    t = cap_test_split(test, n_train)
+    return capped.select("doc_id", F.lit("train").alias("split")).unionByName(
+        t.select("doc_id", F.lit("test").alias("split")))
+
+
+@query("stage_counts")
+def stage_counts(spark, sf):
+    from veracity.operators.rows import stage_counts as sc, word_budget
+    chats = _chats(spark, sf)
+    return sc({"chats": chats, "under_200_words": word_budget(chats, 200), "under_100_words": word_budget(chats, 100)})
+
+
+@query("judge_two_line")
+def judge_two_line(spark, sf):
+    r = D.judge_replies(spark, sf)
+    return RESP.judge_two_line(r).filter(F.col("explanation") != "").select("qid", "attempt", "explanation", "score")

@@ -822,3 +822,28 @@ FROM (SELECT dataset, count(*) AS n, sum(abs(confidence - correctness)) / (count
       FROM scored GROUP BY dataset) b
 JOIN ({auroc_sql('scored', ['dataset'])}) a ON a.dataset = b.dataset
 """
+
+
+ORACLE["ppo_slices"] = """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN r < (SELECT ceil(0.1 * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split FROM r),
+tr AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM s WHERE split = 'train'),
+te AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM s WHERE split = 'test'),
+capped AS MATERIALIZED (SELECT doc_id FROM tr WHERE i < 800)
+SELECT doc_id, 'train' AS split FROM capped
+UNION ALL
+SELECT doc_id, 'test' AS split FROM te WHERE i < (SELECT count(*) FROM capped) // 100
+"""
+
+ORACLE["stage_counts"] = with_(TURNS) + f"""
+, w AS (SELECT conv_id, sum({_WC}) AS nw FROM turns GROUP BY conv_id)
+SELECT 'chats' AS stage, count(*) AS n_rows FROM w
+UNION ALL SELECT 'under_200_words', count(*) FROM w WHERE nw < 200
+UNION ALL SELECT 'under_100_words', count(*) FROM w WHERE nw < 100
+"""
+
+ORACLE["judge_two_line"] = with_(JUDGE) + f"""
+SELECT qid, attempt, {strip("regexp_extract(reply, 'Explanation:([^' || chr(10) || ']*)', 1)")} AS explanation,
+       try_cast(nullif(regexp_extract(reply, 'Score:\\s*([0-9]+)', 1), '') AS BIGINT) AS score
+FROM judge WHERE {strip("regexp_extract(reply, 'Explanation:([^' || chr(10) || ']*)', 1)")} <> ''
+"""
