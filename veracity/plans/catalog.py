@@ -377,7 +377,7 @@ def group_samples(spark, sf):
     from veracity.operators.cluster import group_samples as gs
     s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")
     g = gs(s)
-    return g.select("question_id", "n_samples", F.array_join("chains", "|").alias("chains"),
+    return g.select("question_id", F.col("n_samples").cast("bigint").alias("n_samples"), F.array_join("chains", "|").alias("chains"),
                     F.array_join("reflections", "|").alias("reflections"))
 
 
@@ -391,7 +391,8 @@ def cluster_listing(spark, sf):
     question = F.concat(F.lit("[INST] question "), F.col("question_id").cast("string"), F.lit(" [/INST]"))
     lst = listing("kept_clusters")
     return paired.select(
-        "question_id", "n_clusters", F.size("reasons").alias("n_kept"), lst.alias("listing"),
+        "question_id", F.col("n_clusters").cast("bigint").alias("n_clusters"),
+        F.size("reasons").cast("bigint").alias("n_kept"), lst.alias("listing"),
         summary_prompt("reasons").alias("summary_prompt"),
         rating_prompt(question, lst, F.get("reasons", 0)).alias("rating_prompt"))
 
@@ -432,8 +433,8 @@ def _sft(spark, sf, max_len=400):
 @query("sft_rows")
 def sft_rows(spark, sf):
     r = _sft(spark, sf)
-    return r.select("conv_id", F.size("tokens").alias("n_tokens"),
-                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),
+    return r.select("conv_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"),
                     F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -442,16 +443,16 @@ def sft_rows_pairs(spark, sf):
     from veracity.operators.training import sft_rows as sr
     q = D.qa_records(spark, sf).withColumnRenamed("answer", "response")
     r = sr(q, "pair", max_len=64, keep=("qid",))
-    return r.select("qid", F.size("tokens").alias("n_tokens"),
-                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
+    return r.select("qid", F.size("tokens").cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"))
 
 
 @query("sft_rows_completion")
 def sft_rows_completion(spark, sf):
     from veracity.operators.training import sft_rows as sr
     r = sr(D.pair_records(spark, sf), "prompt_completion", max_len=6, keep=("qid",))
-    return r.select("qid", F.size("tokens").alias("n_tokens"),
-                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"))
+    return r.select("qid", F.size("tokens").cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"))
 
 
 @query("pad_batches")
@@ -459,9 +460,9 @@ def pad_batches(spark, sf):
     from veracity.operators.rows import with_batches
     from veracity.operators.training import pad_batches as pb
     b = pb(with_batches(_sft(spark, sf), "conv_id", size=8))
-    return b.select("conv_id", "batch_id", F.size("input_ids").alias("padded_len"),
-                    F.size(F.filter("attention_mask", lambda x: x == 0)).alias("n_pad"),
-                    F.size(F.filter("labels", lambda x: x == -100)).alias("n_ignored"))
+    return b.select("conv_id", "batch_id", F.size("input_ids").cast("bigint").alias("padded_len"),
+                    F.size(F.filter("attention_mask", lambda x: x == 0)).cast("bigint").alias("n_pad"),
+                    F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_ignored"))
 
 
 @query("unpad")
@@ -469,7 +470,7 @@ def unpad(spark, sf):
     from veracity.operators.rows import with_batches
     from veracity.operators.training import pad_batches as pb, unpad as up
     b = up(pb(with_batches(_sft(spark, sf), "conv_id", size=8)))
-    return b.select("conv_id", F.size("input_ids").alias("n_ids"),
+    return b.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     (F.col("input_ids") == F.transform("tokens", lambda w: F.xxhash64(w))).alias("same_ids"))
 
 
@@ -487,8 +488,8 @@ def _mask_rows(spark, sf):
 @query("response_mask")
 def response_mask(spark, sf):
     m = _mask_rows(spark, sf)
-    return m.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), "first_idx", "nonsense",
-                    F.aggregate("response_mask", F.lit(0), lambda a, x: a + x).alias("n_ones"))
+    return m.select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), "first_idx", "nonsense",
+                    F.aggregate("response_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_ones"))
 
 
 @query("check_lengths")

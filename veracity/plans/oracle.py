@@ -63,7 +63,7 @@ responses AS (
 GOLD = """
 gold AS (
   SELECT l.doc_id AS qid,
-         CASE WHEN quality = 1 AND toxic = 0 THEN 10.0 WHEN quality = 1 THEN 5.0 ELSE 2.0 END AS correctness,
+         CAST(CASE WHEN quality = 1 AND toxic = 0 THEN 10.0 WHEN quality = 1 THEN 5.0 ELSE 2.0 END AS DOUBLE) AS correctness,
          CASE WHEN l.doc_id % 3 = 0 THEN substring(d.text, 12, 5)
               WHEN l.doc_id % 3 = 1 THEN ' ' || substring(d.text, 20, 4) || chr(9)
               ELSE substring(d.text, 100, 8) END AS gold_text
@@ -150,7 +150,7 @@ def r6(e: str, name: str) -> str:
 
 
 ORACLE["parse_rtuning"] = """
-SELECT doc_id AS qid, CASE WHEN contains(r, 'unsure') THEN 0.0 ELSE 10.0 END AS confidence,
+SELECT doc_id AS qid, CAST(CASE WHEN contains(r, 'unsure') THEN 0.0 ELSE 10.0 END AS DOUBLE) AS confidence,
        CASE WHEN contains(r, 'unsure') THEN 'unsure' ELSE 'sure' END AS parse_status
 FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substring(text, 1, 30) || ' I am unsure.'
                                    WHEN 1 THEN substring(text, 1, 30) || ' I am sure.'
@@ -238,8 +238,8 @@ FROM parsed p JOIN gold g ON p.qid = g.qid
 """
 
 ORACLE["substring_correctness"] = with_(RESPONSES, GOLD, PARSED) + f"""
-SELECT p.qid, CASE WHEN contains(lower({strip('p.answer')}), lower({strip('g.gold_text')}))
-                   THEN 10.0 ELSE 0.0 END AS correctness
+SELECT p.qid, CAST(CASE WHEN contains(lower({strip('p.answer')}), lower({strip('g.gold_text')}))
+                   THEN 10.0 ELSE 0.0 END AS DOUBLE) AS correctness
 FROM parsed p JOIN gold g ON p.qid = g.qid
 """
 
