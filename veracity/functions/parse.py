@@ -24,38 +24,51 @@ def main_reflection(response: Column | str) -> Column:
     return py_slice(r, a + len(M.SELF_REFLECTION), b)
 
 
-def main_confidence(response: Column | str) -> Column:
-    """Confidence of the main parse: the single number after ``Confidence: ``.
-
-    0 when the reflection or the tail is empty or when the tail does not hold
-    exactly one digit run (so ``8/10`` and ``8.5`` give 0, ``85`` gives 85).
-    """
+def main_tail(response: Column | str) -> Column:
+    """Text after ``Confidence: `` (from index 11 when the marker is missing)."""
     r = col_(response)
-    b = find(r, M.CONFIDENCE)
-    tail = py_slice(r, b + len(M.CONFIDENCE), None)
-    refl = main_reflection(r)
+    return py_slice(r, find(r, M.CONFIDENCE) + len(M.CONFIDENCE), None)
+
+
+def confidence_from_parts(r: Column, refl: Column, tail: Column, runs: Column) -> Column:
+    """Main-parse confidence from precomputed reflection, tail and digit runs."""
     return (F.when(r.isNull(), F.lit(None).cast("double"))
             .when((refl == "") | (tail == ""), F.lit(0.0))
-            .otherwise(single_number(tail)))
+            .when(F.size(runs) == 1, F.get(runs, 0).try_cast("double"))
+            .otherwise(F.lit(0.0)))
 
 
-def main_status(response: Column | str) -> Column:
+def status_from_parts(r: Column, refl: Column, tail: Column, runs: Column) -> Column:
     """Why a response gets the confidence it gets (for the parse report)."""
-    r = col_(response)
-    b = find(r, M.CONFIDENCE)
-    tail = py_slice(r, b + len(M.CONFIDENCE), None)
-    refl = main_reflection(r)
-    runs = F.size(F.regexp_extract_all(tail, F.lit("([0-9]+)"), 1))
+    n = F.size(runs)
     return (F.when(r.isNull(), F.lit("null"))
             .when(r == "", F.lit("empty"))
             .when(~r.contains(M.CONFIDENCE_BARE), F.lit("no_confidence_marker"))
             .when((refl == "") | (tail == ""), F.lit("empty_part"))
-            .when(runs == 0, F.lit("no_number"))
-            .when(runs > 1, F.lit("several_numbers"))
-            .when(single_number(tail) > 10, F.lit("out_of_range"))
+            .when(n == 0, F.lit("no_number"))
+            .when(n > 1, F.lit("several_numbers"))
+            .when(F.get(runs, 0).try_cast("double") > 10, F.lit("out_of_range"))
             .otherwise(F.lit("ok")))
 
 
+def main_confidence(response: Column | str) -> Column:
+    """Confidence of the main parse: the single number after ``Confidence: ``.
+
+    0 when the reflection or the tail is empty or when the tail does not hold
+    exactly one digit run (so ``8/10`` and ``8.5`` give 0, ``85`` gives 85).
+    """
+    r = col_(response)
+    tail = main_tail(r)
+    return confidence_from_parts(r, main_reflection(r), tail, F.regexp_extract_all(tail, F.lit("([0-9]+)"), 1))
+
+
+def main_status(response: Column | str) -> Column:
+    """Parse status of the main parse."""
+    r = col_(response)
+    tail = main_tail(r)
+    return status_from_parts(r, main_reflection(r), tail, F.regexp_extract_all(tail, F.lit("([0-9]+)"), 1))
+
+
 def sure_confidence(response: Column | str) -> Column:
     """Sure/unsure parse: 0 when the text contains ``unsure``, else 10."""
     r = col_(response)

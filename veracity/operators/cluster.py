@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions import markers as M
 from veracity.functions import parse as P
+from veracity.operators.rows import filter_once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -120,7 +121,7 @@ def pair_reasons(grouped: DataFrame, clusters: DataFrame, key: str = "question_i
     else:
         raise ValueError(f"unknown pairing {pair!r}")
     kept = F.filter(zipped, lambda z: ~z["reason"].contains(M.NOT_AVAILABLE))
-    d = d.withColumn("pairs", kept).filter(F.size("pairs") > 0)
+    d = filter_once(d.withColumn("pairs", kept), lambda r: F.size(r["pairs"]) > 0)
     return d.select(key, F.transform("pairs", lambda z: z["reason"]).alias("reasons"),
                     F.transform("pairs", lambda z: z["cluster"]).alias("kept_clusters"),
                     F.size("clusters").alias("n_clusters"))

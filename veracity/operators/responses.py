@@ -18,12 +18,15 @@ def parse_responses(df: DataFrame, mode: str = "main", response: str = "response
     """Add ``answer``, ``reflection``, ``confidence`` and ``parse_status``."""
     r = F.col(response)
     if mode == "main":
-        return df.withColumns({
+        # Reflection, tail and digit runs are computed once as columns; the
+        # confidence and the status are then built from them.
+        d = df.withColumns({"reflection": P.main_reflection(r), "_tail": P.main_tail(r)})
+        d = d.withColumn("_runs", F.regexp_extract_all(F.col("_tail"), F.lit("([0-9]+)"), 1))
+        return d.withColumns({
             "answer": r,
-            "reflection": P.main_reflection(r),
-            "confidence": P.main_confidence(r),
-            "parse_status": P.main_status(r),
-        })
+            "confidence": P.confidence_from_parts(r, F.col("reflection"), F.col("_tail"), F.col("_runs")),
+            "parse_status": P.status_from_parts(r, F.col("reflection"), F.col("_tail"), F.col("_runs")),
+        }).drop("_tail", "_runs")
     if mode == "rtuning":
         return df.withColumns({
             "answer": r,

@@ -43,9 +43,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
-                   name: str = "row_idx", partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based ``name`` column following ``order`` (must be a unique key)."""
+                   name: str = "row_idx", partitions: int | None = None,
+                   materialize_input: bool = False) -> DataFrame:
+    """Add a dense 0-based ``name`` column following ``order`` (must be a unique key).
+
+    Range partitioning samples its input in a separate job; for an expensive
+    input (heavy string work) ``materialize_input`` writes it once first so
+    the sampling and the numbering both read parquet.
+    """
     spark = df.sparkSession
+    if materialize_input:
+        df = materialize(df, "row-index-input")
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(order)
@@ -89,9 +97,9 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
 
 
 def with_batches(df: DataFrame, order, size: int = 8, name: str = "batch_id",
-                 keep_index: bool = True) -> DataFrame:
+                 keep_index: bool = True, materialize_input: bool = False) -> DataFrame:
     """A1: fixed-size batches in input order: ``floor(row_idx / size)``."""
-    d = df if "row_idx" in df.columns else with_row_index(df, order)
+    d = df if "row_idx" in df.columns else with_row_index(df, order, materialize_input=materialize_input)
     d = d.withColumn(name, F.floor(F.col("row_idx") / F.lit(size)).cast("bigint")) \
          .withColumn("pos_in_batch", (F.col("row_idx") % F.lit(size)).cast("int"))
     return d if keep_index else d.drop("row_idx")
@@ -99,15 +107,29 @@ def with_batches(df: DataFrame, order, size: int = 8, name: str = "batch_id",
 
 # --- filters -------------------------------------------------------------------
 
+def filter_once(df: DataFrame, predicate) -> DataFrame:
+    """Keep rows where ``predicate(row_struct)`` holds, evaluating costly columns once.
+
+    A plain ``filter`` on a computed column is pushed below the projection
+    that computes it, with the column's whole expression inlined into the
+    condition, so heavy string/array work runs twice.  Filtering a
+    one-element array and inlining it back keeps the predicate above the
+    projection (the generator's output cannot be pushed through).
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.inline(F.filter(F.array(row), predicate)))
+
+
 def chat_word_count(messages: Column | str) -> Column:
     """Total whitespace-word count of all message contents of a chat."""
     return F.aggregate(col_(messages), F.lit(0),
                        lambda acc, m: acc + word_count(m["content"]))
 
 
-def word_budget(chat: DataFrame, max_words: int = 200, messages: str = "messages") -> DataFrame:
-    """keep chats whose total word count is strictly below ``max_words``."""
-    return chat.filter(chat_word_count(messages) < max_words)
+def word_budget(chat: DataFrame, max_words: int = 200, messages: str = "messages",
+                out: str = "n_words") -> DataFrame:
+    """keep chats whose total word count is strictly below ``max_words`` (count kept as ``out``)."""
+    return filter_once(chat.withColumn(out, chat_word_count(messages)), lambda r: r[out] < max_words)
 
 
 def word_budget_long(turns: DataFrame, max_words: int = 200, key: str = "conv_id",
@@ -167,7 +189,7 @@ def preview(df: DataFrame, every: int = 10, n: int = 5, batch: str = "batch_id",
 
 def trainable_only(df: DataFrame, labels: str = "labels") -> DataFrame:
     """drop rows whose labels are all the ignore value."""
-    return df.filter(F.exists(F.col(labels), lambda x: x != -100))
+    return filter_once(df, lambda r: F.coalesce(F.exists(r[labels], lambda x: x != -100), F.lit(False)))
 
 
 def drop_na_reasons(df: DataFrame, reasons: str = "reasons") -> DataFrame:

@@ -81,14 +81,15 @@ def sft_rows(df: DataFrame, flavour: str = "chat", max_len: int = 512, eos: str
         d = PR.render_prompt(d, "newline", bos=bos, out="_prompt")
     else:
         raise ValueError(f"unknown flavour {flavour!r}")
-    d = d.filter(F.col("_text").isNotNull())
+    # Rows whose text is null (unknown role) keep null arrays; ``trainable_only`` drops them.
     enc = _encode(d, F.col("_text"), F.col("_prompt"), max_len)
     return enc.select(*keep, "tokens", "input_ids", "labels", "attention_mask")
 
 
 def trainable_only(df: DataFrame) -> DataFrame:
-    """drop rows whose labels are all -100."""
-    return df.filter(F.exists("labels", lambda x: x != IGNORE))
+    """drop rows whose labels are all -100 (chats with an unknown role have null labels)."""
+    from veracity.operators.rows import filter_once
+    return filter_once(df, lambda r: F.coalesce(F.exists(r["labels"], lambda x: x != IGNORE), F.lit(False)))
 
 
 def pad_batches(df: DataFrame, batch: str = "batch_id", pad_id: int = 0,

@@ -250,8 +250,8 @@ def chat_explicit_confidence(spark, sf):
 
 @query("word_budget")
 def word_budget(spark, sf):
-    from veracity.operators.rows import chat_word_count, word_budget as wb
-    return wb(_chats(spark, sf), 200).select("conv_id", chat_word_count("messages").alias("n_words"))
+    from veracity.operators.rows import word_budget as wb
+    return wb(_chats(spark, sf), 200).select("conv_id", "n_words")
 
 
 @query("word_budget_long")
@@ -459,7 +459,7 @@ def sft_rows_completion(spark, sf):
 def pad_batches(spark, sf):
     from veracity.operators.rows import with_batches
     from veracity.operators.training import pad_batches as pb
-    b = pb(with_batches(_sft(spark, sf), "conv_id", size=8))
+    b = pb(with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True))
     return b.select("conv_id", "batch_id", F.size("input_ids").cast("bigint").alias("padded_len"),
                     F.size(F.filter("attention_mask", lambda x: x == 0)).cast("bigint").alias("n_pad"),
                     F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_ignored"))
@@ -469,7 +469,7 @@ def pad_batches(spark, sf):
 def unpad(spark, sf):
     from veracity.operators.rows import with_batches
     from veracity.operators.training import pad_batches as pb, unpad as up
-    b = up(pb(with_batches(_sft(spark, sf), "conv_id", size=8)))
+    b = up(pb(with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True)))
     return b.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     (F.col("input_ids") == F.transform("tokens", lambda w: F.xxhash64(w))).alias("same_ids"))
 
