@@ -560,8 +560,8 @@ WHERE row_idx < 700 AND row_idx >= 100 AND row_idx < 150
 
 _RANK = "row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1"
 ORACLE["split_rows"] = f"""
-SELECT doc_id, 'test' AS split FROM (SELECT doc_id, {_RANK} AS r FROM documents) z
-WHERE r < (SELECT ceil(0.01 * count(*)) FROM documents)
+SELECT doc_id, CASE WHEN r < (SELECT ceil(0.01 * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT doc_id, {_RANK} AS r FROM documents) z
 """
 
 ORACLE["seeded_order"] = f"SELECT doc_id, {_RANK} AS shuffle_idx FROM documents"
@@ -845,5 +845,5 @@ UNION ALL SELECT 'under_100_words', count(*) FROM w WHERE nw < 100
 ORACLE["judge_two_line"] = with_(JUDGE) + f"""
 SELECT qid, attempt, {strip("regexp_extract(reply, 'Explanation:([^' || chr(10) || ']*)', 1)")} AS explanation,
        try_cast(nullif(regexp_extract(reply, 'Score:\\s*([0-9]+)', 1), '') AS BIGINT) AS score
-FROM judge WHERE {strip("regexp_extract(reply, 'Explanation:([^' || chr(10) || ']*)', 1)")} <> ''
+FROM judge
 """
