@@ -128,3 +128,12 @@ def test_stream_resumes_from_checkpoint(spark):
     stream_calibration(stream(), sink, ck).awaitTermination()  # same checkpoint: only the new file is read
     rep = report_from_histogram(spark.read.parquet(sink)).first()
     assert rep.n == 3 and rep.auroc == 1.0
+
+
+def test_cut_hedge_and_flag_valid(spark):
+    from veracity.operators.responses import flag_valid
+    df = spark.createDataFrame([("Paris I am sure",), ("Paris",), ("I am x I am y",)], "a string")
+    assert [r.a for r in PR.cut_hedge(df, "a").collect()] == ["Paris ", "Paris", "I am x "]
+    r = spark.createDataFrame([("x Confidence: 3",), ("",), ("I am sure",)], "response string")
+    assert [x.valid for x in flag_valid(r).collect()] == [True, False, False]
+    assert [x.valid for x in flag_valid(r, "rtuning").collect()] == [False, False, True]

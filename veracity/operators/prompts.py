@@ -104,6 +104,12 @@ def chat_prompt_answer(df: DataFrame, style: str = "eval", eos: str = EOS, bos:
                           "question": F.when(ok, question)})
 
 
+def cut_hedge(df: DataFrame, col: str, marker: str = M.HEDGE) -> DataFrame:
+    """Cut a text at the last ``marker`` (kept unchanged when absent; no strip after)."""
+    c = F.col(col)
+    return df.withColumn(col, F.when(c.contains(marker), py_slice(c, None, rfind(c, marker))).otherwise(c))
+
+
 def render_prompt(df: DataFrame, style: str = "newline", question: str = "question",
                   response: str | None = None, instruction: str | None = None,
                   bos: str | None = None, out: str = "prompt") -> DataFrame:

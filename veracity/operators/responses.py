@@ -62,6 +62,11 @@ def clean_responses(df: DataFrame, response: str = "response", rtuning: bool = F
     }).withColumn("was_truncated", F.col("truncated") != F.col(response))
 
 
+def flag_valid(df: DataFrame, mode: str = "main", response: str = "response") -> DataFrame:
+    """``valid`` = non-empty and carrying the mode's confidence marker."""
+    return df.withColumn("valid", P.is_valid(response, mode))
+
+
 def resolve_attempts(attempts: DataFrame, max_tries: int = 3, mode: str = "main",
                      key: str = "qid") -> DataFrame:
     """One response per question out of its recorded attempts.

@@ -217,3 +217,8 @@ def cap_test_split(test: DataFrame, n_train: int, divisor: int = 100,
                    index: str = "row_idx") -> DataFrame:
     """test rows capped at ``n_train // divisor`` (in file order)."""
     return test.filter(F.col(index) < n_train // divisor)
+
+
+def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
+    """Row count per split (used as caps by later slices)."""
+    return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))

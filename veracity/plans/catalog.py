@@ -349,8 +349,8 @@ def sample_rows(spark, sf):
 def split_sizes(spark, sf):
     from veracity.operators.rows import split_rows as sr
     d = D.table(spark, sf, "documents").select("doc_id")
-    s = sr(d, "doc_id", 0.01, seed=42)
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    from veracity.operators.rows import split_sizes as ss
+    return ss(sr(d, "doc_id", 0.01, seed=42))
 
 
 # --- J8 consistency: clustering, pairing, ratings ------------------------------------------
