@@ -137,3 +137,17 @@ def test_cut_hedge_and_flag_valid(spark):
     r = spark.createDataFrame([("x Confidence: 3",), ("",), ("I am sure",)], "response string")
     assert [x.valid for x in flag_valid(r).collect()] == [True, False, False]
     assert [x.valid for x in flag_valid(r, "rtuning").collect()] == [False, False, True]
+
+
+def test_stream_records_append_once(spark):
+    from veracity.streaming.calibration import stream_records
+    d = tempfile.mkdtemp(prefix="veracity-records-")
+    src, out, ck = os.path.join(d, "in"), os.path.join(d, "out"), os.path.join(d, "ck")
+    schema = "qid long, response string"
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).coalesce(1).write.parquet(os.path.join(src, "p1"))
+    stream = lambda: spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+    stream_records(stream(), out, ck).awaitTermination()
+    spark.createDataFrame([(3, "c")], schema).coalesce(1).write.parquet(os.path.join(src, "p2"))
+    stream_records(stream(), out, ck).awaitTermination()
+    stream_records(stream(), out, ck).awaitTermination()  # nothing new: no duplicates
+    assert sorted(r.qid for r in spark.read.schema(schema).json(out).collect()) == [1, 2, 3]

@@ -47,6 +47,22 @@ def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str
     return w.start()
 
 
+def stream_records(stream_df: DataFrame, path: str, checkpoint: str, fmt: str = "json",
+                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """ST2/ST3: append each micro-batch's rows to a file sink.
+
+    The file sink and the checkpoint together commit every batch exactly
+    once; a restarted query resumes after the last committed batch.
+    """
+    w = stream_df.writeStream.format(fmt).outputMode("append").option("path", path) \
+        .option("checkpointLocation", checkpoint)
+    if processing_time:
+        w = w.trigger(processingTime=processing_time)
+    elif available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
 def report_from_histogram(hist: DataFrame, group_cols=()) -> DataFrame:
     """Overall metrics from a (confidence, correctness, cnt) histogram."""
     keys = list(group_cols)
