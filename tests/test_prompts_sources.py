@@ -151,3 +151,10 @@ def test_stream_records_append_once(spark):
     stream_records(stream(), out, ck).awaitTermination()
     stream_records(stream(), out, ck).awaitTermination()  # nothing new: no duplicates
     assert sorted(r.qid for r in spark.read.schema(schema).json(out).collect()) == [1, 2, 3]
+
+
+def test_read_any_folder_of_jsonl(spark):
+    d = tempfile.mkdtemp(prefix="veracity-any-")
+    out = os.path.join(d, "records")
+    spark.createDataFrame([(1, "a"), (2, "b")], "qid long, response string").write.json(out)
+    assert sorted(r.qid for r in IO.read_any(spark, out).collect()) == [1, 2]
