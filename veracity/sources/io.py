@@ -51,7 +51,8 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
     if fs.getFileStatus(jvm_path).isDirectory():  # a folder of part files: sniff the first data file
         parts = sorted(st.getPath().toString() for st in fs.listStatus(jvm_path)
-                       if st.isFile() and not st.getPath().getName().startswith(("_", ".")))
+                       if st.isFile() and st.getLen() > 0
+                       and not st.getPath().getName().startswith(("_", ".")))
         if not parts:
             raise ValueError(f"no data files under {path}")
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parts[0])  # noqa: SLF001
