@@ -62,3 +62,13 @@ def test_oracle(spark, con, name):
     idx = [rel.columns.index(c) for c in sorted(cols)]
     drows = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert srows == drows
+
+
+def test_scan_pushes_filter(spark):
+    plan = _plan(E.queries()["response_mask"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in plan
+
+
+def test_report_is_partially_aggregated(spark):
+    plan = _plan(E.queries()["calibration_by_lang"](spark, SF_SMALL))
+    assert "partial_count" in plan and "partial_sum" in plan
