@@ -89,3 +89,11 @@ def test_strip_matches_python(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice(ws + "ab é") for _ in range(rnd.randint(0, 10))) for _ in range(300)]
     assert one_col(spark, texts, py_strip) == [t.strip() for t in texts]
+
+
+def test_word_count_matches_python_split(spark):
+    from veracity.functions.text import word_count
+    ws = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(ws + "abé") for _ in range(rnd.randint(0, 20))) for _ in range(300)]
+    assert one_col(spark, texts, word_count) == [len(t.split()) for t in texts]

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.markers import PY_WHITESPACE_CHARS
+from veracity.functions.markers import PY_WHITESPACE_CHARS, PY_WHITESPACE_CLASS
 
-WORD_SPLIT = "[ \t\n\r\f]+"
+# Python str.split() with no argument splits on runs of any isspace character.
+WORD_SPLIT = PY_WHITESPACE_CLASS + "+"
 
 
 def col_(c: Column | str) -> Column:
@@ -57,7 +58,7 @@ def py_slice(c: Column | str, start: Column | int | None = None,
 
 
 def word_count(c: Column | str) -> Column:
-    """Number of whitespace-separated words (Python ``len(s.split())`` on ASCII space)."""
+    """Number of whitespace-separated words (Python ``len(s.split())``)."""
     return F.size(F.filter(F.split(col_(c), WORD_SPLIT), lambda w: w != ""))
 
 

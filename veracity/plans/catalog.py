@@ -574,8 +574,8 @@ def ppo_slices(spark, sf):
     s = sr(d, "doc_id", 0.1, seed=7)
     train = with_row_index(s.filter(F.col("split") == "train").drop("split"), "doc_id")
     test = with_row_index(s.filter(F.col("split") == "test").drop("split"), "doc_id")
-    capped = capped_split(train, cap=800, start=0, n=800)
-    n_train = capped.count()
+    n_train = train.filter(F.col("row_idx") < 800).count()  # the test cap counts the capped rows
+    capped = capped_split(train, cap=800, start=100, n=500)
     t = cap_test_split(test, n_train)
     return capped.select("doc_id", F.lit("train").alias("split")).unionByName(
         t.select("doc_id", F.lit("test").alias("split")))

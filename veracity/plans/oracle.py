@@ -500,7 +500,7 @@ turns2 AS (SELECT * FROM t2)
 SELECT conv_id, prompt, question FROM ({_chat_pa('eval').replace('FROM turns', 'FROM turns2')}) z
 """
 
-_WC = "len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))"
+_WC = f"len(list_filter(regexp_split_to_array(content, '{WS}+'), lambda w: w <> ''))"
 ORACLE["word_budget"] = with_(TURNS) + f"""
 SELECT conv_id, CAST(sum({_WC}) AS INTEGER) AS n_words FROM turns GROUP BY conv_id HAVING sum({_WC}) < 200
 """
@@ -708,7 +708,7 @@ FROM f
 
 
 def tok(e: str) -> str:
-    return f"list_filter(regexp_split_to_array({e}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({e}, '{WS}+'), lambda w: w <> '')"
 
 
 _PIECE = (f"CASE WHEN role IN ('system', 'user') THEN {_tagged('content')} "
@@ -829,8 +829,8 @@ WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS
 s AS MATERIALIZED (SELECT doc_id, CASE WHEN r < (SELECT ceil(0.1 * count(*)) FROM documents) THEN 'test' ELSE 'train' END AS split FROM r),
 tr AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM s WHERE split = 'train'),
 te AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM s WHERE split = 'test'),
-capped AS MATERIALIZED (SELECT doc_id FROM tr WHERE i < 800)
-SELECT doc_id, 'train' AS split FROM capped
+capped AS MATERIALIZED (SELECT doc_id, i FROM tr WHERE i < 800)
+SELECT doc_id, 'train' AS split FROM capped WHERE i >= 100 AND i < 600
 UNION ALL
 SELECT doc_id, 'test' AS split FROM te WHERE i < (SELECT count(*) FROM capped) // 100
 """
