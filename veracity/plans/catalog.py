@@ -592,3 +592,23 @@ def stage_counts(spark, sf):
 def judge_two_line(spark, sf):
     r = D.judge_replies(spark, sf)
     return RESP.judge_two_line(r).select("qid", "attempt", "explanation", "score")
+
+
+# --- end-to-end evaluation ----------------------------------------------------
+
+def _evaluation(spark, sf):
+    from veracity.plans.evaluation import EvaluationRun
+    return EvaluationRun(D.eval_attempts(spark, sf), D.judge_replies(spark, sf), batch_size=8, max_tries=2)
+
+
+@query("evaluation_cumulative")
+def evaluation_cumulative(spark, sf):
+    c = _evaluation(spark, sf).cumulative()
+    return _rounded(c, ["cumulative_ece", "cumulative_accuracy", "cumulative_conf_pos", "cumulative_conf_neg",
+                        "cumulative_auroc"])
+
+
+@query("evaluation_overall")
+def evaluation_overall(spark, sf):
+    o = _evaluation(spark, sf).overall()
+    return _rounded(o, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc", "mean_reward"])

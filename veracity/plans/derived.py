@@ -227,3 +227,16 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 20).alias("prompt"),
                     F.substring("text", 21, 20).alias("completion"))
+
+
+def eval_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, attempt, response: recorded attempts with reflections (four per question)."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    eid = F.col("event_id")
+    k = eid % 3
+    resp = F.concat(F.lit("answer "), _s(eid),
+                    F.when(k == 0, F.concat(F.lit(" Self-reflection: ok Confidence: "), _s(eid % 11)))
+                    .when(k == 1, F.lit(" Self-reflection: hmm"))
+                    .otherwise(F.lit("")))
+    return e.select(F.floor(eid / 4).cast("bigint").alias("qid"), (eid % 4).cast("int").alias("attempt"),
+                    resp.alias("response"))

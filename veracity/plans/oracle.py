@@ -847,3 +847,82 @@ SELECT qid, attempt, {strip("regexp_extract(reply, 'Explanation:([^' || chr(10)
        try_cast(nullif(regexp_extract(reply, 'Score:\\s*([0-9]+)', 1), '') AS BIGINT) AS score
 FROM judge
 """
+
+
+EVAL = f"""
+ea AS (
+  SELECT CAST(floor(event_id / 4) AS BIGINT) AS qid, CAST(event_id % 4 AS INTEGER) AS attempt,
+         'answer ' || CAST(event_id AS VARCHAR) ||
+         CASE event_id % 3 WHEN 0 THEN ' Self-reflection: ok Confidence: ' || CAST(event_id % 11 AS VARCHAR)
+                           WHEN 1 THEN ' Self-reflection: hmm' ELSE '' END AS response
+  FROM events
+),
+eav AS (SELECT *, coalesce(length(response) > 0 AND contains(response, 'Confidence:'), false) AS v,
+               coalesce(length(response) > 0 AND (contains(response, 'Confidence:') OR contains(response, 'I am sure')
+                        OR contains(response, 'I am unsure')), false) AS anyv
+        FROM ea),
+eg AS (SELECT qid, min(attempt) FILTER (WHERE v AND attempt <= 2) AS fv,
+              min(attempt) FILTER (WHERE attempt = 2 AND anyv) AS lr,
+              arg_min(response, attempt) FILTER (WHERE v AND attempt <= 2) AS rfv,
+              arg_min(response, attempt) FILTER (WHERE attempt = 2 AND anyv) AS rlr,
+              arg_max(response, attempt) AS rlast
+       FROM eav GROUP BY qid),
+resolved AS (SELECT qid, CASE WHEN fv IS NOT NULL THEN rfv WHEN lr IS NOT NULL THEN rlr ELSE rlast END AS response
+             FROM eg),
+eparsed AS (SELECT qid, response, {CONF} AS confidence FROM resolved),
+ejudge AS (SELECT qid, CAST(coalesce(arg_min(v, attempt) FILTER (WHERE v BETWEEN 0 AND 10 AND attempt < 3), 0) AS DOUBLE)
+                  AS correctness FROM jv GROUP BY qid),
+escored AS (SELECT p.qid, p.confidence, g.correctness, {REWARD} AS reward
+            FROM eparsed p JOIN ejudge g ON p.qid = g.qid),
+eb AS (SELECT *, CAST((row_number() OVER (ORDER BY qid) - 1) // 8 AS BIGINT) AS batch_id FROM escored),
+bp AS (
+  SELECT batch_id, count(*) AS n, sum(abs(confidence - correctness)) AS gap_sum, sum(correctness) AS acc_sum,
+         coalesce(sum(confidence) FILTER (WHERE correctness >= 7), 0.0) AS pos_sum,
+         count(*) FILTER (WHERE correctness >= 7) AS pos_n,
+         coalesce(sum(confidence) FILTER (WHERE correctness <= 3), 0.0) AS neg_sum,
+         count(*) FILTER (WHERE correctness <= 3) AS neg_n
+  FROM eb GROUP BY batch_id
+),
+h AS (SELECT batch_id, confidence / 10.0 AS p, count(*) FILTER (WHERE correctness >= 7) AS cp,
+             count(*) FILTER (WHERE correctness < 7) AS cn FROM eb GROUP BY batch_id, confidence / 10.0),
+grid AS (SELECT b.batch_id, c.p FROM (SELECT DISTINCT batch_id FROM eb) b, (SELECT DISTINCT p FROM h) c),
+g2 AS (SELECT grid.batch_id, grid.p, coalesce(h.cp, 0) AS cp, coalesce(h.cn, 0) AS cn
+       FROM grid LEFT JOIN h ON grid.batch_id = h.batch_id AND grid.p = h.p),
+r2 AS (SELECT batch_id, p,
+              sum(cp) OVER (PARTITION BY p ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ccp,
+              sum(cn) OVER (PARTITION BY p ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ccn
+       FROM g2),
+b2 AS (SELECT *, coalesce(sum(ccn) OVER (PARTITION BY batch_id ORDER BY p
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r2),
+ca AS (SELECT batch_id, CASE WHEN sum(ccp) * sum(ccn) > 0
+                             THEN sum(ccp * (below + ccn / 2.0)) / (sum(ccp) * sum(ccn)) ELSE 0.0 END AS cauroc
+       FROM b2 GROUP BY batch_id)"""
+
+ORACLE["evaluation_cumulative"] = with_(JUDGE, EVAL) + f"""
+SELECT c.batch_id, c.n_seen, c.cumulative_ece, c.cumulative_accuracy, c.cumulative_conf_pos, c.cumulative_conf_neg,
+       {rnd('ca.cauroc')} AS cumulative_auroc
+FROM (SELECT batch_id, CAST(sum(n) {_W} AS BIGINT) AS n_seen,
+             {rnd(f"sum(gap_sum) {_W} / (sum(n) {_W} * 10.0)")} AS cumulative_ece,
+             {rnd(f"sum(acc_sum) {_W} / (sum(n) {_W} * 10.0)")} AS cumulative_accuracy,
+             {rnd(f"sum(pos_sum) {_W} / (sum(greatest(pos_n, 1)) {_W} * 10.0)")} AS cumulative_conf_pos,
+             {rnd(f"sum(neg_sum) {_W} / (sum(greatest(neg_n, 1)) {_W} * 10.0)")} AS cumulative_conf_neg
+      FROM bp) c JOIN ca ON c.batch_id = ca.batch_id
+"""
+
+REPORT_AGG = """count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
+             sum(correctness) / (count(*) * 10.0) AS accuracy,
+             CASE WHEN count(*) FILTER (WHERE correctness >= 7) > 0 THEN sum(confidence) FILTER (WHERE correctness >= 7)
+                  / (count(*) FILTER (WHERE correctness >= 7) * 10.0) ELSE 0.0 END AS conf_pos,
+             CASE WHEN count(*) FILTER (WHERE correctness <= 3) > 0 THEN sum(confidence) FILTER (WHERE correctness <= 3)
+                  / (count(*) FILTER (WHERE correctness <= 3) * 10.0) ELSE 0.0 END AS conf_neg,
+             count(*) FILTER (WHERE NOT confidence BETWEEN 0 AND 10) AS n_out_of_range,
+             avg(reward) AS mean_reward"""
+SEL = f"""n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
+       {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
+       {rnd('a.auroc')} AS auroc"""
+
+ORACLE["evaluation_overall"] = with_(JUDGE, EVAL) + f"""
+SELECT {SEL}
+FROM (SELECT {REPORT_AGG}
+      FROM escored) b, ({auroc_sql('escored', [])}) a
+"""
