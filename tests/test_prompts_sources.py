@@ -158,3 +158,9 @@ def test_read_any_folder_of_jsonl(spark):
     out = os.path.join(d, "records")
     spark.createDataFrame([(1, "a"), (2, "b")], "qid long, response string").write.json(out)
     assert sorted(r.qid for r in IO.read_any(spark, out).collect()) == [1, 2]
+
+
+def test_read_split_missing_raises(spark):
+    df = spark.createDataFrame([("train", 1)], "split string, v int")
+    with pytest.raises(ValueError):
+        IO.read_split(df)

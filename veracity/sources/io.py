@@ -84,16 +84,17 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def read_split(df: DataFrame, prefer: Sequence[str] = ("validation", "test"),
                split_col: str = "split") -> DataFrame:
-    """Rows of the first available split in ``prefer`` order.
+    """Rows of the first available split in ``prefer`` order (error when none exists).
 
-    The choice is one aggregate over the split column (a handful of values).
+    Which splits exist is one distinct over the split column restricted to
+    ``prefer`` (at most ``len(prefer)`` values reach the driver); the result is
+    a literal filter, so a table partitioned by split is pruned to one folder.
     """
-    rank = F.lit(len(prefer))
-    for i, s in reversed(list(enumerate(prefer))):
-        rank = F.when(F.col(split_col) == s, F.lit(i)).otherwise(rank)
-    d = df.withColumn("_pref", rank)
-    best = d.agg(F.min("_pref").alias("_pref"))
-    return d.join(F.broadcast(best), "_pref").filter(F.col("_pref") < len(prefer)).drop("_pref")
+    present = {r[0] for r in df.filter(F.col(split_col).isin(*prefer)).select(split_col).distinct().collect()}
+    for name in prefer:
+        if name in present:
+            return df.filter(F.col(split_col) == name)
+    raise ValueError(f"none of the splits {list(prefer)} is present")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "json") -> None:
@@ -120,7 +121,8 @@ def write_snapshots(df: DataFrame, path: str, every: int = 100, index: str = "ro
 
 def to_metric_log(df: DataFrame, run_id: str, step: str, metrics: Sequence[str]) -> DataFrame:
     """Wide metric rows -> long ``(run_id, step, metric, value)`` rows."""
-    long = df.unpivot([step], list(metrics), "metric", "value")
+    wide = df.select(step, *[F.col(m).cast("double").alias(m) for m in metrics])  # one value type
+    long = wide.unpivot([step], list(metrics), "metric", "value")
     return long.select(F.lit(run_id).alias("run_id"), F.col(step).alias("step"), "metric",
                        F.col("value").cast("double").alias("value"))
 
