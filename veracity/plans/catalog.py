@@ -612,3 +612,23 @@ def evaluation_cumulative(spark, sf):
 def evaluation_overall(spark, sf):
     o = _evaluation(spark, sf).overall()
     return _rounded(o, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc", "mean_reward"])
+
+
+def _reason_pairs(spark, sf, pair):
+    from veracity.operators import cluster as CL
+    s = RESP.split_samples(D.samples(spark, sf), "text")
+    clusters = CL.leader_clusters(s, CLUSTER_T, text="chain")
+    p = CL.pair_reasons(CL.group_samples(s), clusters, pair=pair)
+    z = p.select("question_id", F.posexplode(F.arrays_zip("reasons", "kept_clusters")).alias("k", "z"))
+    return z.select("question_id", F.col("k").cast("int").alias("k"), F.col("z.reasons").alias("reason"),
+                    F.col("z.kept_clusters.leader_idx").alias("leader_idx"), F.col("z.kept_clusters.size").alias("size"))
+
+
+@query("reason_pairs")
+def reason_pairs(spark, sf):
+    return _reason_pairs(spark, sf, "position")
+
+
+@query("reason_pairs_leader")
+def reason_pairs_leader(spark, sf):
+    return _reason_pairs(spark, sf, "leader")

@@ -926,3 +926,26 @@ SELECT {SEL}
 FROM (SELECT {REPORT_AGG}
       FROM escored) b, ({auroc_sql('escored', [])}) a
 """
+
+
+def _pairs_sql(mode: str) -> str:
+    if mode == "position":
+        zipped = ("list_transform(range(1, least(len(refl), len(cls)) + 1), "
+                  "lambda k: {'reason': refl[k], 'c': cls[k]})")
+    else:
+        zipped = "list_transform(cls, lambda c: {'reason': refl[c.leader + 1], 'c': c})"
+    return with_(SAMPLES, SPLIT_SAMPLES, PAIRS, LEADERS) + f"""
+, reasons AS (SELECT question_id, list(reflection ORDER BY sample_idx) AS refl FROM split_samples GROUP BY question_id),
+cl AS (SELECT question_id, list({{'pos': cluster_pos, 'leader': leader_idx, 'size': size}} ORDER BY cluster_pos) AS cls
+       FROM ranked GROUP BY question_id),
+z AS (SELECT cl.question_id,
+             list_filter({zipped}, lambda p: NOT contains(p.reason, 'N/A')) AS pairs
+      FROM cl JOIN reasons r ON r.question_id = cl.question_id)
+SELECT question_id, CAST(k - 1 AS INTEGER) AS k, pairs[k].reason AS reason, pairs[k].c.leader AS leader_idx,
+       pairs[k].c.size AS size
+FROM z, range(1, len(pairs) + 1) t(k)
+"""
+
+
+ORACLE["reason_pairs"] = _pairs_sql("position")
+ORACLE["reason_pairs_leader"] = _pairs_sql("leader")
