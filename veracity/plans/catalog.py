@@ -49,7 +49,7 @@ def parse_main(spark, sf):
 @query("calibration_by_lang")
 def calibration_by_lang(spark, sf):
     parsed = RESP.parse_responses(D.responses(spark, sf), "main")
-    scored = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
+    scored = RESP.score_responses(parsed, D.gold_scores(spark, sf))
     rep = MET.calibration_report(scored, ["dataset"])
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc", "mean_reward"])
 
@@ -86,7 +86,7 @@ def parse_report(spark, sf):
 
 def _scored(spark, sf):
     parsed = RESP.parse_responses(D.responses(spark, sf), "main")
-    return RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
+    return RESP.score_responses(parsed, D.gold_scores(spark, sf))
 
 
 @query("reward")
@@ -98,7 +98,7 @@ def reward(spark, sf):
 @query("reward_sign")
 def reward_sign(spark, sf):
     parsed = RESP.parse_responses(D.responses(spark, sf), "main")
-    s = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"), variant="sign")
+    s = RESP.score_responses(parsed, D.gold_scores(spark, sf), variant="sign")
     return s.select("qid", r6("reward").alias("reward"))
 
 
@@ -169,7 +169,7 @@ def judge_scores(spark, sf):
 @query("output_records")
 def output_records(spark, sf):
     parsed = RESP.parse_responses(D.responses(spark, sf), "main")
-    s = RESP.score_responses(parsed, D.gold(spark, sf).select("qid", "correctness"))
+    s = RESP.score_responses(parsed, D.gold_scores(spark, sf))
     g = D.gold(spark, sf).select("qid", F.col("gold_text").alias("best_answer"))
     return RESP.output_records(s, g).select("qid", "best_answer", "response", "correctness")
 
@@ -562,7 +562,7 @@ def stream_calibration(spark, sf):
             .otherwise(F.concat(F.lit("Confidence: "), c, F.lit(" Self-reflection: late"))))
     s = stream.select(F.col("doc_id").alias("qid"), lang.alias("dataset"), resp.alias("response"))
     parsed = RESP.parse_responses(s, "main")
-    scored = parsed.join(D.gold(spark, sf).select("qid", "correctness"), "qid")
+    scored = parsed.join(D.gold_scores(spark, sf), "qid")
     rep = run_to_report(spark, scored, _scratch(spark, "stream-calibration"), ["dataset"])
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])
 

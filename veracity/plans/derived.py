@@ -50,6 +50,14 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           gtext.alias("gold_text"))
 
 
+def gold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, correctness from ``labels`` alone (joined later with responses derived from documents)."""
+    lab = table(spark, sf_dir, "labels")
+    corr = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(10.0))
+            .when(F.col("quality") == 1, F.lit(5.0)).otherwise(F.lit(2.0)))
+    return lab.select(F.col("doc_id").alias("qid"), corr.alias("correctness"))
+
+
 def rtuning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, response in the sure/unsure style."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

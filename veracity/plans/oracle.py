@@ -97,10 +97,17 @@ def clamp(x: str) -> str:
 
 REWARD = f"2.0 * (0.5 - power({clamp('g.correctness')} / 10.0 - {clamp('p.confidence')} / 10.0, 2))"
 
+GOLD_SCORES = """
+gold_scores AS (
+  SELECT doc_id AS qid,
+         CAST(CASE WHEN quality = 1 AND toxic = 0 THEN 10.0 WHEN quality = 1 THEN 5.0 ELSE 2.0 END AS DOUBLE) AS correctness
+  FROM labels
+)"""
+
 SCORED = f"""
 scored AS (
   SELECT p.*, g.correctness, {REWARD} AS reward
-  FROM parsed p JOIN gold g ON p.qid = g.qid
+  FROM parsed p JOIN gold_scores g ON p.qid = g.qid
 )"""
 
 
@@ -128,7 +135,7 @@ def auroc_sql(src: str, keys: list[str]) -> str:
 ORACLE["parse_main"] = with_(RESPONSES, PARSED) + \
     "SELECT qid, reflection, confidence, parse_status FROM parsed"
 
-ORACLE["calibration_by_lang"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+ORACLE["calibration_by_lang"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
 SELECT b.dataset, n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
        {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
        {rnd('a.auroc')} AS auroc
@@ -225,7 +232,7 @@ FROM t
 ORACLE["parse_report"] = with_(RESPONSES, PARSED) + \
     "SELECT parse_status, count(*) AS n_rows FROM parsed GROUP BY parse_status"
 
-ORACLE["reward"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+ORACLE["reward"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
 SELECT qid, correctness, confidence, {r6('reward', 'reward')},
        NOT (correctness BETWEEN 0 AND 10 AND confidence BETWEEN 0 AND 10) AS reward_out_of_range
 FROM scored
@@ -244,14 +251,14 @@ FROM parsed p JOIN gold g ON p.qid = g.qid
 """
 
 _NTAIL = pyslice("response", f"{find('response', 'Confidence:')} + 11", None)
-ORACLE["nonsense_penalty"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+ORACLE["nonsense_penalty"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
 SELECT qid, coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true) AS nonsense,
        (floor(CASE WHEN coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true)
                   THEN -1.0 ELSE reward END * 1e6 + 0.5) / 1e6) AS reward
 FROM scored
 """
 
-ORACLE["calibration_overall"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+ORACLE["calibration_overall"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
 SELECT n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
        {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
        {rnd('a.auroc')} AS auroc
@@ -267,7 +274,7 @@ FROM (SELECT count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.
 """
 
 
-ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, PARSED, SCORED) + """
+ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + """
 SELECT dataset, (floor((avg(abs(confidence - reward))) * 1e6 + 0.5) / 1e6) AS conf_reward_gap, count(*) AS n
 FROM scored GROUP BY dataset
 """
@@ -389,7 +396,7 @@ SELECT qid, CAST(coalesce(arg_min(v, attempt) FILTER (WHERE v BETWEEN 0 AND 10 A
 FROM jv GROUP BY qid
 """
 
-ORACLE["output_records"] = with_(RESPONSES, GOLD, PARSED, SCORED) + """
+ORACLE["output_records"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + """
 SELECT s.qid, g.gold_text AS best_answer, s.response, s.correctness
 FROM scored s JOIN gold g ON s.qid = g.qid
 """
@@ -810,7 +817,7 @@ SELECT CAST(question_id // 100 AS BIGINT) AS snapshot, count(*) AS n_rows, count
 FROM ratings GROUP BY 1
 """
 
-ORACLE["stream_calibration"] = with_(RESPONSES, GOLD, PARSED, SCORED) + f"""
+ORACLE["stream_calibration"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
 SELECT b.dataset, n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos,
        {rnd('conf_neg')} AS conf_neg, {rnd('a.auroc')} AS auroc
 FROM (SELECT dataset, count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
