@@ -12,9 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity import session as SESSION
+from veracity.functions import text as TEXT
+from veracity.operators import cluster as CL
 from veracity.operators import metrics as MET
+from veracity.operators import prompts as PR
 from veracity.operators import responses as RESP
+from veracity.operators import rows as ROWS
+from veracity.operators import runlog as RUNLOG
+from veracity.operators import schema as SCHEMA
+from veracity.operators import training as TRAIN
 from veracity.plans import derived as D
+from veracity.plans import evaluation as EVAL
+from veracity.sources import io as IO
+from veracity.streaming import calibration as STREAM
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,8 +139,7 @@ def conf_reward_gap(spark, sf):
 
 
 def _order_batches(spark, sf, size=8):
-    from veracity.operators.rows import with_batches
-    return with_batches(D.scored_orders(spark, sf), "o_orderkey", size=size)
+    return ROWS.with_batches(D.scored_orders(spark, sf), "o_orderkey", size=size)
 
 
 @query("calibration_batches")
@@ -152,8 +162,7 @@ def auroc_cumulative(spark, sf):
 
 @query("preview")
 def preview(spark, sf):
-    from veracity.operators.rows import preview as pv
-    return pv(_order_batches(spark, sf)).select("o_orderkey", "batch_id", "pos_in_batch")
+    return ROWS.preview(_order_batches(spark, sf)).select("o_orderkey", "batch_id", "pos_in_batch")
 
 
 @query("resolve_attempts")
@@ -176,9 +185,8 @@ def output_records(spark, sf):
 
 @query("metric_log")
 def metric_log(spark, sf):
-    from veracity.sources.io import to_metric_log
     b = MET.batch_metrics(_order_batches(spark, sf))
-    long = to_metric_log(b, run_id="orders", step="batch_id",
+    long = IO.to_metric_log(b, run_id="orders", step="batch_id",
                          metrics=["ece", "accuracy", "conf_pos", "conf_neg"])
     return _rounded(long, ["value"])
 
@@ -186,15 +194,13 @@ def metric_log(spark, sf):
 # --- J1 / J2 ingest and prompts ----------------------------------------------------
 
 def _chats(spark, sf):
-    from veracity.operators.schema import build_chats
-    return build_chats(D.turns(spark, sf))
+    return SCHEMA.build_chats(D.turns(spark, sf))
 
 
 @query("qa_normalise")
 def qa_normalise(spark, sf):
-    from veracity.operators.schema import detect_format, normalise
     raw = D.qa_records(spark, sf)
-    q = normalise(raw, detect_format(raw))
+    q = SCHEMA.normalise(raw, SCHEMA.detect_format(raw))
     return q.select("qid", "question", "best_answer",
                     F.array_join("correct_answers", "|").alias("correct_answers"),
                     F.array_join("negative_answers", "|").alias("negative_answers"))
@@ -202,100 +208,84 @@ def qa_normalise(spark, sf):
 
 @query("yesno_normalise")
 def yesno_normalise(spark, sf):
-    from veracity.operators.schema import detect_format, normalise
     raw = D.yesno_records(spark, sf)
-    q = normalise(raw, detect_format(raw))
+    q = SCHEMA.normalise(raw, SCHEMA.detect_format(raw))
     return q.select("qid", "best_answer", F.array_join("correct_answers", "|").alias("correct_answers"))
 
 
 @query("qa_prompts")
 def qa_prompts(spark, sf):
-    from veracity.operators.prompts import render_prompt
-    from veracity.operators.schema import normalise
-    q = normalise(D.qa_records(spark, sf), "qa")
-    q = render_prompt(q, "tag", out="prompt_tag")
-    q = render_prompt(q, "tag", instruction="Say how sure you are.", bos="<s>", out="prompt_tag_conf")
-    q = render_prompt(q, "newline", out="prompt_newline")
-    q = render_prompt(q, "newline", instruction="Say how sure you are.", out="prompt_newline_conf")
-    q = render_prompt(q, "untuned", out="prompt_untuned")
-    q = render_prompt(q, "pair", response="best_answer", out="prompt_pair")
+    q = SCHEMA.normalise(D.qa_records(spark, sf), "qa")
+    q = PR.render_prompt(q, "tag", out="prompt_tag")
+    q = PR.render_prompt(q, "tag", instruction="Say how sure you are.", bos="<s>", out="prompt_tag_conf")
+    q = PR.render_prompt(q, "newline", out="prompt_newline")
+    q = PR.render_prompt(q, "newline", instruction="Say how sure you are.", out="prompt_newline_conf")
+    q = PR.render_prompt(q, "untuned", out="prompt_untuned")
+    q = PR.render_prompt(q, "pair", response="best_answer", out="prompt_pair")
     return q.select("qid", "prompt_tag", "prompt_tag_conf", "prompt_newline", "prompt_newline_conf",
                     "prompt_untuned", "prompt_pair")
 
 
 @query("chat_train_text")
 def chat_train_text(spark, sf):
-    from veracity.operators.prompts import chat_text
-    return chat_text(_chats(spark, sf)).select("conv_id", "text")
+    return PR.chat_text(_chats(spark, sf)).select("conv_id", "text")
 
 
 @query("chat_prompt_answer")
 def chat_prompt_answer(spark, sf):
-    from veracity.operators.prompts import chat_prompt_answer as cpa
-    return cpa(_chats(spark, sf), "eval").select("conv_id", "prompt", "answer", "question")
+    return PR.chat_prompt_answer(_chats(spark, sf), "eval").select("conv_id", "prompt", "answer", "question")
 
 
 @query("chat_prompt_answer_ppo")
 def chat_prompt_answer_ppo(spark, sf):
-    from veracity.operators.prompts import chat_prompt_answer as cpa
-    return cpa(_chats(spark, sf), "ppo", bos="<s>").select("conv_id", "prompt", "answer", "question")
+    return PR.chat_prompt_answer(_chats(spark, sf), "ppo", bos="<s>").select("conv_id", "prompt", "answer", "question")
 
 
 @query("chat_explicit_confidence")
 def chat_explicit_confidence(spark, sf):
-    from veracity.operators.prompts import chat_prompt_answer as cpa
-    c = cpa(_chats(spark, sf), "eval", instruction="State your confidence. ")
+    c = PR.chat_prompt_answer(_chats(spark, sf), "eval", instruction="State your confidence. ")
     return c.select("conv_id", "prompt", "question")
 
 
 @query("word_budget")
 def word_budget(spark, sf):
-    from veracity.operators.rows import word_budget as wb
-    return wb(_chats(spark, sf), 200).select("conv_id", "n_words")
+    return ROWS.word_budget(_chats(spark, sf), 200).select("conv_id", "n_words")
 
 
 @query("word_budget_long")
 def word_budget_long(spark, sf):
-    from veracity.operators.rows import word_budget_long as wbl
-    from veracity.functions.text import word_count
-    t = wbl(D.turns(spark, sf), 100, text="content")
-    return t.groupBy("conv_id").agg(F.sum(word_count("content")).alias("n_words"),
+    t = ROWS.word_budget_long(D.turns(spark, sf), 100, text="content")
+    return t.groupBy("conv_id").agg(F.sum(TEXT.word_count("content")).alias("n_words"),
                                     F.count(F.lit(1)).alias("n_messages"))
 
 
 @query("chat_validate")
 def chat_validate(spark, sf):
-    from veracity.operators.schema import build_chats, validate_chat
     t = D.turns(spark, sf)
     t = t.withColumn("role", F.when((F.col("conv_id") % 17 == 0) & (F.col("turn") == 1), F.lit("tool"))
                      .otherwise(F.col("role")))
-    good, bad = validate_chat(build_chats(t))
+    good, bad = SCHEMA.validate_chat(SCHEMA.build_chats(t))
     return good.select("conv_id", F.lit("ok").alias("status")).unionByName(
         bad.select("conv_id", F.col("problem").alias("status")))
 
 
 @query("prompt_completion")
 def prompt_completion(spark, sf):
-    from veracity.operators.prompts import join_completion
-    return join_completion(D.pair_records(spark, sf)).select("qid", "text")
+    return PR.join_completion(D.pair_records(spark, sf)).select("qid", "text")
 
 
 @query("sft_text_from_pairs")
 def sft_text_from_pairs(spark, sf):
-    from veracity.operators.prompts import chat_text
-    from veracity.operators.schema import qa_to_chat
     q = D.qa_records(spark, sf).withColumnRenamed("answer", "response")
-    return chat_text(qa_to_chat(q)).select(F.col("conv_id").alias("qid"), "text")
+    return PR.chat_text(SCHEMA.qa_to_chat(q)).select(F.col("conv_id").alias("qid"), "text")
 
 
 @query("judge_prompt")
 def judge_prompt(spark, sf):
-    from veracity.operators.prompts import judge_prompt as jp
-    from veracity.operators.schema import normalise
-    q = normalise(D.qa_records(spark, sf), "qa")
+    q = SCHEMA.normalise(D.qa_records(spark, sf), "qa")
     q = q.withColumn("response", F.concat(F.lit("resp <QUESTION> "), F.col("qid").cast("string")))
-    q = jp(q, out="judge_prompt")
-    q = jp(q, template="Q=<QUESTION>|R=<RESPONSE>|B=<BEST_ANSWER>|O=<OTHER_CORRECT_ANSWERS>",
+    q = PR.judge_prompt(q, out="judge_prompt")
+    q = PR.judge_prompt(q, template="Q=<QUESTION>|R=<RESPONSE>|B=<BEST_ANSWER>|O=<OTHER_CORRECT_ANSWERS>",
            others="correct_answers", out="judge_prompt_other")
     return q.select("qid", "judge_prompt", "judge_prompt_other")
 
@@ -304,53 +294,44 @@ def judge_prompt(spark, sf):
 
 @query("row_index")
 def row_index(spark, sf):
-    from veracity.operators.rows import with_row_index
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return with_row_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
+    return ROWS.with_row_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
 
 
 @query("row_slice")
 def row_slice(spark, sf):
-    from veracity.operators.rows import row_slice as rs, with_row_index, word_budget
-    from veracity.operators.schema import build_chats
     # F1 then F2: the slice counts rows that passed the word budget, in chat order.
-    c = word_budget(build_chats(D.turns(spark, sf)), 400)
-    return rs(with_row_index(c, "conv_id"), 5, 20).select("conv_id", "row_idx")
+    c = ROWS.word_budget(SCHEMA.build_chats(D.turns(spark, sf)), 400)
+    return ROWS.row_slice(ROWS.with_row_index(c, "conv_id"), 5, 20).select("conv_id", "row_idx")
 
 
 @query("double_slice")
 def double_slice(spark, sf):
-    from veracity.operators.rows import capped_split, with_row_index
-    d = with_row_index(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return capped_split(d, cap=700, start=100, n=50).select("doc_id", "row_idx")
+    d = ROWS.with_row_index(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
+    return ROWS.capped_split(d, cap=700, start=100, n=50).select("doc_id", "row_idx")
 
 
 @query("split_rows")
 def split_rows(spark, sf):
-    from veracity.operators.rows import split_rows as sr
     d = D.table(spark, sf, "documents").select("doc_id")
-    return sr(d, "doc_id", 0.01, seed=42).select("doc_id", "split")
+    return ROWS.split_rows(d, "doc_id", 0.01, seed=42).select("doc_id", "split")
 
 
 @query("seeded_order")
 def seeded_order(spark, sf):
-    from veracity.operators.rows import seeded_order as so
     d = D.table(spark, sf, "documents").select("doc_id")
-    return so(d, "doc_id", seed=42).select("doc_id", "shuffle_idx")
+    return ROWS.seeded_order(d, "doc_id", seed=42).select("doc_id", "shuffle_idx")
 
 
 @query("sample_rows")
 def sample_rows(spark, sf):
-    from veracity.operators.rows import sample_rows as smp
-    return smp(D.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", k=3, seed=42)
+    return ROWS.sample_rows(D.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", k=3, seed=42)
 
 
 @query("split_sizes")
 def split_sizes(spark, sf):
-    from veracity.operators.rows import split_rows as sr
     d = D.table(spark, sf, "documents").select("doc_id")
-    from veracity.operators.rows import split_sizes as ss
-    return ss(sr(d, "doc_id", 0.01, seed=42))
+    return ROWS.split_sizes(ROWS.split_rows(d, "doc_id", 0.01, seed=42))
 
 
 # --- J8 consistency: clustering, pairing, ratings ------------------------------------------
@@ -360,74 +341,65 @@ CLUSTER_T = 0.25  # the driver embeddings have no pair above 0.9 (max about 0.51
 
 @query("similar_pairs")
 def similar_pairs(spark, sf):
-    from veracity.operators.cluster import similar_pairs as sp
-    p = sp(D.samples(spark, sf), CLUSTER_T)
+    p = CL.similar_pairs(D.samples(spark, sf), CLUSTER_T)
     return p.select("question_id", "i", "j", r6("cosine").alias("cosine"))
 
 
 @query("leader_clusters")
 def leader_clusters(spark, sf):
-    from veracity.operators.cluster import leader_clusters as lc
-    return lc(D.samples(spark, sf), CLUSTER_T).select("question_id", "cluster_pos", "leader_idx", "size",
-                                                      "size_rank")
+    clusters = CL.leader_clusters(D.samples(spark, sf), CLUSTER_T)
+    return clusters.select("question_id", "cluster_pos", "leader_idx", "size", "size_rank")
 
 
 @query("group_samples")
 def group_samples(spark, sf):
-    from veracity.operators.cluster import group_samples as gs
     s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")
-    g = gs(s)
-    return g.select("question_id", F.col("n_samples").cast("bigint").alias("n_samples"), F.array_join("chains", "|").alias("chains"),
+    g = CL.group_samples(s)
+    return g.select("question_id", F.col("n_samples").cast("bigint").alias("n_samples"),
+                    F.array_join("chains", "|").alias("chains"),
                     F.array_join("reflections", "|").alias("reflections"))
 
 
 @query("cluster_listing")
 def cluster_listing(spark, sf):
-    from veracity.operators import cluster as CL
-    from veracity.operators.prompts import cluster_listing as listing, rating_prompt, summary_prompt
     s = RESP.split_samples(D.samples(spark, sf), "text")
     clusters = CL.leader_clusters(s, CLUSTER_T, text="chain")
     paired = CL.pair_reasons(CL.group_samples(s), clusters)
     question = F.concat(F.lit("[INST] question "), F.col("question_id").cast("string"), F.lit(" [/INST]"))
-    lst = listing("kept_clusters")
+    lst = PR.cluster_listing("kept_clusters")
     return paired.select(
         "question_id", F.col("n_clusters").cast("bigint").alias("n_clusters"),
         F.size("reasons").cast("bigint").alias("n_kept"), lst.alias("listing"),
-        summary_prompt("reasons").alias("summary_prompt"),
-        rating_prompt(question, lst, F.get("reasons", 0)).alias("rating_prompt"))
+        PR.summary_prompt("reasons").alias("summary_prompt"),
+        PR.rating_prompt(question, lst, F.get("reasons", 0)).alias("rating_prompt"))
 
 
 @query("rating_extract")
 def rating_extract(spark, sf):
-    from veracity.operators.cluster import extract_ratings
-    return extract_ratings(D.rating_replies(spark, sf), max_tries=4)
+    return CL.extract_ratings(D.rating_replies(spark, sf), max_tries=4)
 
 
 @query("rating_mean")
 def rating_mean(spark, sf):
-    from veracity.operators.cluster import extract_ratings, rating_mean as rm
-    m = rm(extract_ratings(D.rating_replies(spark, sf), max_tries=3))
+    m = CL.rating_mean(CL.extract_ratings(D.rating_replies(spark, sf), max_tries=3))
     return _rounded(m, ["mean_score"])
 
 
 @query("rated_questions_capped")
 def rated_questions_capped(spark, sf):
-    from veracity.operators.cluster import cap_questions, extract_ratings
-    r = extract_ratings(D.rating_replies(spark, sf), max_tries=4)
-    return cap_questions(r.select("question_id", "numerical_score", "parsed"), 100)
+    r = CL.extract_ratings(D.rating_replies(spark, sf), max_tries=4)
+    return CL.cap_questions(r.select("question_id", "numerical_score", "parsed"), 100)
 
 
 @query("summary_extract")
 def summary_extract(spark, sf):
-    from veracity.operators.cluster import extract_summaries
-    return extract_summaries(D.summary_replies(spark, sf), max_tries=3)
+    return CL.extract_summaries(D.summary_replies(spark, sf), max_tries=3)
 
 
 # --- J9 training tables -----------------------------------------------------------
 
 def _sft(spark, sf, max_len=400):
-    from veracity.operators.training import sft_rows as sr, trainable_only
-    return trainable_only(sr(_chats(spark, sf), "chat", max_len=max_len, keep=("conv_id",)))
+    return TRAIN.trainable_only(TRAIN.sft_rows(_chats(spark, sf), "chat", max_len=max_len, keep=("conv_id",)))
 
 
 @query("sft_rows")
@@ -440,26 +412,22 @@ def sft_rows(spark, sf):
 
 @query("sft_rows_pairs")
 def sft_rows_pairs(spark, sf):
-    from veracity.operators.training import sft_rows as sr
     q = D.qa_records(spark, sf).withColumnRenamed("answer", "response")
-    r = sr(q, "pair", max_len=64, keep=("qid",))
+    r = TRAIN.sft_rows(q, "pair", max_len=64, keep=("qid",))
     return r.select("qid", F.size("tokens").cast("bigint").alias("n_tokens"),
                     F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"))
 
 
 @query("sft_rows_completion")
 def sft_rows_completion(spark, sf):
-    from veracity.operators.training import sft_rows as sr
-    r = sr(D.pair_records(spark, sf), "prompt_completion", max_len=6, keep=("qid",))
+    r = TRAIN.sft_rows(D.pair_records(spark, sf), "prompt_completion", max_len=6, keep=("qid",))
     return r.select("qid", F.size("tokens").cast("bigint").alias("n_tokens"),
                     F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"))
 
 
 @query("pad_batches")
 def pad_batches(spark, sf):
-    from veracity.operators.rows import with_batches
-    from veracity.operators.training import pad_batches as pb
-    b = pb(with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True))
+    b = TRAIN.pad_batches(ROWS.with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True))
     return b.select("conv_id", "batch_id", F.size("input_ids").cast("bigint").alias("padded_len"),
                     F.size(F.filter("attention_mask", lambda x: x == 0)).cast("bigint").alias("n_pad"),
                     F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_ignored"))
@@ -467,22 +435,20 @@ def pad_batches(spark, sf):
 
 @query("unpad")
 def unpad(spark, sf):
-    from veracity.operators.rows import with_batches
-    from veracity.operators.training import pad_batches as pb, unpad as up
-    b = up(pb(with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True)))
+    b = TRAIN.unpad(TRAIN.pad_batches(ROWS.with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True)))
     return b.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     (F.col("input_ids") == F.transform("tokens", lambda w: F.xxhash64(w))).alias("same_ids"))
 
 
 def _mask_rows(spark, sf):
-    from veracity.operators.training import response_mask as rm, tokens
     t = D.turns(spark, sf).filter(F.col("role") == "assistant")
     k = F.col("turn") % 3
-    resp = (F.when(k == 0, F.concat(F.substring("content", 1, 60), F.lit(" Confidence: "), F.col("turn").cast("string")))
-            .when(k == 1, F.concat(F.substring("content", 1, 60), F.lit(" Confidence:")))
-            .otherwise(F.substring("content", 1, 60)))
-    t = t.select("conv_id", "turn", tokens(resp).alias("tokens"))
-    return rm(t.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
+    head = F.substring("content", 1, 60)
+    resp = (F.when(k == 0, F.concat(head, F.lit(" Confidence: "), F.col("turn").cast("string")))
+            .when(k == 1, F.concat(head, F.lit(" Confidence:")))
+            .otherwise(head))
+    t = t.select("conv_id", "turn", TRAIN.tokens(resp).alias("tokens"))
+    return TRAIN.response_mask(t.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
 
 
 @query("response_mask")
@@ -494,9 +460,8 @@ def response_mask(spark, sf):
 
 @query("check_lengths")
 def check_lengths(spark, sf):
-    from veracity.operators.training import check_lengths as cl
-    good, bad = cl(_mask_rows(spark, sf))
-    return good.select(F.lit("equal").alias("status")).unionByName(bad.select(F.lit("different").alias("status"))) \
+    good, bad = TRAIN.check_lengths(_mask_rows(spark, sf))
+    return good.select(F.lit("equal").alias("status")).unionByName(bad.select(F.lit("different").alias("status")))\
         .groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -504,40 +469,34 @@ def check_lengths(spark, sf):
 
 @query("best_checkpoints")
 def best_checkpoints(spark, sf):
-    from veracity.operators.runlog import best_checkpoints as bc
-    return _rounded(bc(D.run_log(spark, sf)), ["value"])
+    return _rounded(RUNLOG.best_checkpoints(D.run_log(spark, sf)), ["value"])
 
 
 @query("loss_rollup")
 def loss_rollup(spark, sf):
-    from veracity.operators.runlog import loss_rollup as lr
-    return _rounded(lr(D.run_log(spark, sf), k=10, grad_acc=4), ["avg_loss"])
+    return _rounded(RUNLOG.loss_rollup(D.run_log(spark, sf), k=10, grad_acc=4), ["avg_loss"])
 
 
 # --- S*, J10 sources, sinks, streaming -------------------------------------------------
 
 def _scratch(spark, name: str) -> str:
     import uuid
-    from veracity.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{SESSION.checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("json_roundtrip")
 def json_roundtrip(spark, sf):
-    from veracity.sources.io import read_jsonl, write_records
     path = _scratch(spark, "responses-json")
-    write_records(D.responses(spark, sf), path)
-    back = read_jsonl(spark, path, "qid bigint, dataset string, response string")
+    IO.write_records(D.responses(spark, sf), path)
+    back = IO.read_jsonl(spark, path, "qid bigint, dataset string, response string")
     return RESP.parse_responses(back, "main").select("qid", "dataset", "confidence")
 
 
 @query("snapshot_roundtrip")
 def snapshot_roundtrip(spark, sf):
-    from veracity.operators.cluster import extract_ratings
-    from veracity.sources.io import write_snapshots
     path = _scratch(spark, "ratings-snapshots")
-    r = extract_ratings(D.rating_replies(spark, sf), max_tries=4).withColumn("row_idx", F.col("question_id"))
-    write_snapshots(r, path, every=100)
+    r = CL.extract_ratings(D.rating_replies(spark, sf), max_tries=4).withColumn("row_idx", F.col("question_id"))
+    IO.write_snapshots(r, path, every=100)
     back = spark.read.schema("question_id bigint, reply string, numerical_score double, parsed boolean, "
                              "row_idx bigint, snapshot bigint").json(path)
     return back.groupBy(F.col("snapshot").cast("bigint").alias("snapshot")).agg(
@@ -546,7 +505,6 @@ def snapshot_roundtrip(spark, sf):
 
 @query("stream_calibration")
 def stream_calibration(spark, sf):
-    from veracity.streaming.calibration import run_to_report
     docs = D.table(spark, sf, "documents")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf.rstrip('/')}/documents*.parquet")
     # Same derivation as the batch view, on the stream, joined with the static gold table.
@@ -563,29 +521,29 @@ def stream_calibration(spark, sf):
     s = stream.select(F.col("doc_id").alias("qid"), lang.alias("dataset"), resp.alias("response"))
     parsed = RESP.parse_responses(s, "main")
     scored = parsed.join(D.gold_scores(spark, sf), "qid")
-    rep = run_to_report(spark, scored, _scratch(spark, "stream-calibration"), ["dataset"])
+    rep = STREAM.run_to_report(spark, scored, _scratch(spark, "stream-calibration"), ["dataset"])
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])
 
 
 @query("ppo_slices")
 def ppo_slices(spark, sf):
-    from veracity.operators.rows import cap_test_split, capped_split, split_rows as sr, with_row_index
     d = D.table(spark, sf, "documents").select("doc_id")
-    s = sr(d, "doc_id", 0.1, seed=7)
-    train = with_row_index(s.filter(F.col("split") == "train").drop("split"), "doc_id")
-    test = with_row_index(s.filter(F.col("split") == "test").drop("split"), "doc_id")
+    s = ROWS.split_rows(d, "doc_id", 0.1, seed=7)
+    train = ROWS.with_row_index(s.filter(F.col("split") == "train").drop("split"), "doc_id")
+    test = ROWS.with_row_index(s.filter(F.col("split") == "test").drop("split"), "doc_id")
     n_train = train.filter(F.col("row_idx") < 800).count()  # the test cap counts the capped rows
-    capped = capped_split(train, cap=800, start=100, n=500)
-    t = cap_test_split(test, n_train)
+    capped = ROWS.capped_split(train, cap=800, start=100, n=500)
+    t = ROWS.cap_test_split(test, n_train)
     return capped.select("doc_id", F.lit("train").alias("split")).unionByName(
         t.select("doc_id", F.lit("test").alias("split")))
 
 
 @query("stage_counts")
 def stage_counts(spark, sf):
-    from veracity.operators.rows import stage_counts as sc, word_budget
     chats = _chats(spark, sf)
-    return sc({"chats": chats, "under_200_words": word_budget(chats, 200), "under_100_words": word_budget(chats, 100)})
+    return ROWS.stage_counts({"chats": chats,
+                              "under_200_words": ROWS.word_budget(chats, 200),
+                              "under_100_words": ROWS.word_budget(chats, 100)})
 
 
 @query("judge_two_line")
@@ -597,8 +555,7 @@ def judge_two_line(spark, sf):
 # --- end-to-end evaluation ----------------------------------------------------
 
 def _evaluation(spark, sf):
-    from veracity.plans.evaluation import EvaluationRun
-    return EvaluationRun(D.eval_attempts(spark, sf), D.judge_replies(spark, sf), batch_size=8, max_tries=2)
+    return EVAL.EvaluationRun(D.eval_attempts(spark, sf), D.judge_replies(spark, sf), batch_size=8, max_tries=2)
 
 
 @query("evaluation_cumulative")
@@ -615,7 +572,6 @@ def evaluation_overall(spark, sf):
 
 
 def _reason_pairs(spark, sf, pair):
-    from veracity.operators import cluster as CL
     s = RESP.split_samples(D.samples(spark, sf), "text")
     clusters = CL.leader_clusters(s, CLUSTER_T, text="chain")
     p = CL.pair_reasons(CL.group_samples(s), clusters, pair=pair)
