@@ -203,7 +203,18 @@ def calibration_report(scored: DataFrame, group_cols: Sequence[str] = ()) -> Dat
 
 
 def conf_reward_gap(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Mean |confidence - reward| (mixes 0..10 with -1..1, kept under its own name)."""
-    return scored.groupBy(*group_cols).agg(
-        F.avg(F.abs(_conf() - F.col("reward"))).alias("conf_reward_gap"),
+    """Mean |confidence - reward| (mixes 0..10 with -1..1, kept under its own name).
+
+    Rewards are at most 1, so for confidence >= 1 the gap is confidence -
+    reward: large confidences (parsed digit runs can be huge) are summed
+    apart from the small rewards, which keeps the sum independent of the
+    summation order.
+    """
+    conf, rew = _conf(), F.col("reward")
+    big = conf >= 1.0
+    a = scored.groupBy(*group_cols).agg(
+        F.coalesce(F.sum(F.when(big, conf)), F.lit(0.0)).alias("_c"),
+        F.coalesce(F.sum(F.when(big, rew)), F.lit(0.0)).alias("_r"),
+        F.coalesce(F.sum(F.when(~big, F.abs(conf - rew))), F.lit(0.0)).alias("_s"),
         F.count(F.lit(1)).alias("n"))
+    return a.select(*group_cols, ((F.col("_c") - F.col("_r") + F.col("_s")) / F.col("n")).alias("conf_reward_gap"), "n")

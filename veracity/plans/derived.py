@@ -23,7 +23,7 @@ def _s(c) -> F.Column:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, dataset, response: five response shapes chosen by ``doc_id % 10``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    a = F.concat(F.lit("Answer: "), F.substring("text", 1, 40))
+    a = F.concat(F.lit("Answer: "), F.col("text"))
     c = _s((F.col("doc_id") * 7 + 3) % 13)
     k = F.col("doc_id") % 10
     lang = F.col("lang")
@@ -62,7 +62,7 @@ def rtuning_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, response in the sure/unsure style."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 4
-    a = F.substring("text", 1, 30)
+    a = F.col("text")
     resp = (F.when(k == 0, F.concat(a, F.lit(" I am unsure.")))
             .when(k == 1, F.concat(a, F.lit(" I am sure.")))
             .when(k == 2, F.concat(F.lit("unsure: "), a))
@@ -74,7 +74,7 @@ def legacy_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, response in the ``... I am N% sure`` style."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 5
-    a = F.substring("text", 1, 30)
+    a = F.col("text")
     n = _s(F.col("doc_id") % 101)
     resp = (F.when(k == 0, F.concat(a, F.lit(". I am "), n, F.lit("% sure")))
             .when(k == 1, F.concat(a, F.lit(" I am I am "), n, F.lit(" of 4")))
@@ -88,7 +88,7 @@ def decoded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, raw decoded text with padding, tags and text after the stop marker."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") % 4
-    a = F.substring("text", 1, 25)
+    a = F.col("text")
     c = _s(F.col("doc_id") % 11)
     resp = (F.when(k == 0, F.concat(F.lit("<pad><pad>[INST] q [/INST] "), a, F.lit(" Confidence: "), c,
                                     F.lit(" and more text")))
@@ -231,10 +231,11 @@ def yesno_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, prompt, completion (both cut from one document) for prompt+completion rows."""
+    """qid, prompt, completion: the two halves of one whole document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select(F.col("doc_id").alias("qid"), F.substring("text", 1, 20).alias("prompt"),
-                    F.substring("text", 21, 20).alias("completion"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return d.select(F.col("doc_id").alias("qid"), F.substring("text", F.lit(1), half).alias("prompt"),
+                    F.substring("text", half + 1, F.length("text")).alias("completion"))
 
 
 def eval_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

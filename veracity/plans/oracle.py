@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 def rnd(e: str) -> str:
     """6-place rounding in plain IEEE steps (same bits as the Spark side)."""
-    return f"(floor(({e}) * 1e6 + 0.5) / 1e6)"
+    return f"(CASE WHEN abs({e}) < 4e9 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE ({e}) END)"
 
 
 def strip(e: str) -> str:
@@ -56,7 +56,7 @@ responses AS (
     WHEN doc_id % 10 = 7 THEN a || ' Confidence: ' || c
     WHEN doc_id % 10 = 8 THEN a || ' Self-reflection: about ' || lang || ' Confidence: ' || c || '/10'
     ELSE 'Confidence: ' || c || ' Self-reflection: late' END AS response
-  FROM (SELECT doc_id, lang, 'Answer: ' || substring(text, 1, 40) AS a,
+  FROM (SELECT doc_id, lang, 'Answer: ' || text AS a,
                CAST((doc_id * 7 + 3) % 13 AS VARCHAR) AS c FROM documents) z
 )"""
 
@@ -159,20 +159,20 @@ def r6(e: str, name: str) -> str:
 ORACLE["parse_rtuning"] = """
 SELECT doc_id AS qid, CAST(CASE WHEN contains(r, 'unsure') THEN 0.0 ELSE 10.0 END AS DOUBLE) AS confidence,
        CASE WHEN contains(r, 'unsure') THEN 'unsure' ELSE 'sure' END AS parse_status
-FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substring(text, 1, 30) || ' I am unsure.'
-                                   WHEN 1 THEN substring(text, 1, 30) || ' I am sure.'
-                                   WHEN 2 THEN 'unsure: ' || substring(text, 1, 30)
-                                   ELSE substring(text, 1, 30) END AS r FROM documents) z
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' I am unsure.'
+                                   WHEN 1 THEN text || ' I am sure.'
+                                   WHEN 2 THEN 'unsure: ' || text
+                                   ELSE text END AS r FROM documents) z
 """
 
 _LIDX = rfind("response", "I am")
 ORACLE["parse_legacy"] = f"""
 WITH lr AS (
   SELECT doc_id AS qid, CASE doc_id % 5
-      WHEN 0 THEN substring(text, 1, 30) || '. I am ' || CAST(doc_id % 101 AS VARCHAR) || '% sure'
-      WHEN 1 THEN substring(text, 1, 30) || ' I am I am ' || CAST(doc_id % 101 AS VARCHAR) || ' of 4'
-      WHEN 2 THEN substring(text, 1, 30) || ' ' || CAST(doc_id % 101 AS VARCHAR)
-      WHEN 3 THEN '' ELSE substring(text, 1, 30) END AS response
+      WHEN 0 THEN text || '. I am ' || CAST(doc_id % 101 AS VARCHAR) || '% sure'
+      WHEN 1 THEN text || ' I am I am ' || CAST(doc_id % 101 AS VARCHAR) || ' of 4'
+      WHEN 2 THEN text || ' ' || CAST(doc_id % 101 AS VARCHAR)
+      WHEN 3 THEN '' ELSE text END AS response
   FROM documents)
 SELECT qid, {pyslice('response', None, _LIDX)} AS answer,
        {single_number(pyslice('response', _LIDX, None))} AS confidence,
@@ -214,11 +214,11 @@ _Z = "replace(response, '<pad>', '')"
 ORACLE["clean_response"] = f"""
 WITH dr AS (
   SELECT doc_id AS qid, CASE doc_id % 4
-      WHEN 0 THEN '<pad><pad>[INST] q [/INST] ' || substring(text, 1, 25) || ' Confidence: '
+      WHEN 0 THEN '<pad><pad>[INST] q [/INST] ' || text || ' Confidence: '
                   || CAST(doc_id % 11 AS VARCHAR) || ' and more text'
-      WHEN 1 THEN '[INST] q [/INST] ' || substring(text, 1, 25) || ' I am sure. tail'
-      WHEN 2 THEN substring(text, 1, 25) || '<pad>'
-      ELSE '[INST] q [/INST]' || substring(text, 1, 25) END AS response
+      WHEN 1 THEN '[INST] q [/INST] ' || text || ' I am sure. tail'
+      WHEN 2 THEN text || '<pad>'
+      ELSE '[INST] q [/INST]' || text END AS response
   FROM documents),
 t AS (
   SELECT qid, response, {pyslice(_Z, find(_Z, '[/INST]'), None)} AS cleaned,
@@ -275,7 +275,8 @@ FROM (SELECT count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.
 
 
 ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + """
-SELECT dataset, (floor((avg(abs(confidence - reward))) * 1e6 + 0.5) / 1e6) AS conf_reward_gap, count(*) AS n
+SELECT dataset, (CASE WHEN abs((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) < 4e9 THEN floor(((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) * 1e6 + 0.5) / 1e6 ELSE ((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) END) AS conf_reward_gap,
+       count(*) AS n
 FROM scored GROUP BY dataset
 """
 
@@ -523,8 +524,8 @@ FROM (SELECT conv_id, CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN 'tool' ELSE r
 GROUP BY conv_id
 """
 
-_P = "substring(text, 1, 20)"
-_C = "substring(text, 21, 20)"
+_P = "substring(text, 1, CAST(floor(length(text) / 2) AS INTEGER))"
+_C = "substring(text, CAST(floor(length(text) / 2) AS INTEGER) + 1, length(text))"
 ORACLE["prompt_completion"] = f"""
 SELECT doc_id AS qid,
        CASE WHEN NOT (length({_P}) > 0 AND right({_P}, 1) IN (' ', chr(10), chr(9)))
@@ -741,16 +742,16 @@ ORACLE["sft_rows"] = with_(TURNS, SFT) + \
 _PAIR_T = f"{lit('[INST]' + _NL)} || {strip('question')} || {lit(_NL + '[/INST]' + _NL)} || {strip('answer')} || chr(10)"
 _PAIR_P = f"{lit('[INST]' + _NL)} || {strip('question')} || {lit(_NL + '[/INST]' + _NL)}"
 ORACLE["sft_rows_pairs"] = with_(QA_RAW) + f"""
-SELECT qid, len(list_slice({tok(_PAIR_T)}, 1, 64)) AS n_tokens,
-       least(least(len({tok(_PAIR_P)}), 64), len(list_slice({tok(_PAIR_T)}, 1, 64))) AS n_masked
+SELECT qid, len(list_slice({tok(_PAIR_T)}, 1, 400)) AS n_tokens,
+       least(least(len({tok(_PAIR_P)}), 400), len(list_slice({tok(_PAIR_T)}, 1, 400))) AS n_masked
 FROM qa_raw
 """
 
 _PC = (f"CASE WHEN NOT (length({_P}) > 0 AND right({_P}, 1) IN (' ', chr(10), chr(9))) "
        f"AND NOT (left({_C}, 1) IN (' ', chr(10), chr(9))) THEN {_P} || ' ' || {_C} ELSE {_P} || {_C} END || '</s>'")
 ORACLE["sft_rows_completion"] = f"""
-SELECT doc_id AS qid, len(list_slice({tok(_PC)}, 1, 6)) AS n_tokens,
-       least(least(len({tok(_P)}), 6), len(list_slice({tok(_PC)}, 1, 6))) AS n_masked
+SELECT doc_id AS qid, len(list_slice({tok(_PC)}, 1, 400)) AS n_tokens,
+       least(least(len({tok(_P)}), 400), len(list_slice({tok(_PC)}, 1, 400))) AS n_masked
 FROM documents
 """
 
@@ -769,8 +770,8 @@ ORACLE["unpad"] = with_(TURNS, SFT) + "SELECT conv_id, n_tokens AS n_ids, true A
 
 MASKS = f"""
 mr AS (
-  SELECT conv_id, turn, {tok("CASE turn % 3 WHEN 0 THEN substring(content, 1, 60) || ' Confidence: ' || CAST(turn AS VARCHAR) "
-                            "WHEN 1 THEN substring(content, 1, 60) || ' Confidence:' ELSE substring(content, 1, 60) END")}
+  SELECT conv_id, turn, {tok("CASE turn % 3 WHEN 0 THEN content || ' Confidence: ' || CAST(turn AS VARCHAR) "
+                            "WHEN 1 THEN content || ' Confidence:' ELSE content END")}
          AS tokens
   FROM turns WHERE role = 'assistant'
 ),
