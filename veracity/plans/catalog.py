@@ -42,9 +42,12 @@ def r6(c) -> F.Column:
     """Round to 6 places as ``floor(x * 1e6 + 0.5) / 1e6``: plain IEEE steps, so the
     oracle gets the same bits (``round`` differs between engines on ties)."""
     x = F.col(c) if isinstance(c, str) else c
-    # floor() returns a long in Spark; beyond |x| = 4e9 a double has no 6th
-    # decimal left anyway, so large values are passed through unchanged.
-    return F.when(F.abs(x) < 4e9, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)
+    # Beyond |x| = 4e9 a double has no 6th decimal left (and floor() would
+    # overflow a long), so large values keep 12 significant digits instead:
+    # sums of huge parsed confidences differ in the last bits between engines.
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - 11)
+    return (F.when(F.abs(x) < 4e9, F.floor(x * 1e6 + 0.5) / 1e6)
+            .otherwise(F.floor(x / scale + 0.5) * scale))
 
 
 def _rounded(df: DataFrame, cols) -> DataFrame:

@@ -14,7 +14,9 @@ ORACLE: dict[str, str] = {}
 
 def rnd(e: str) -> str:
     """6-place rounding in plain IEEE steps (same bits as the Spark side)."""
-    return f"(CASE WHEN abs({e}) < 4e9 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE ({e}) END)"
+    scale = f"power(10.0, floor(log10(abs({e}))) - 11)"
+    return (f"(CASE WHEN abs({e}) < 4e9 THEN floor(({e}) * 1e6 + 0.5) / 1e6 "
+            f"ELSE floor(({e}) / {scale} + 0.5) * {scale} END)")
 
 
 def strip(e: str) -> str:
@@ -274,9 +276,11 @@ FROM (SELECT count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.
 """
 
 
-ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + """
-SELECT dataset, (CASE WHEN abs((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) < 4e9 THEN floor(((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) * 1e6 + 0.5) / 1e6 ELSE ((coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) - coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) + coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)) END) AS conf_reward_gap,
-       count(*) AS n
+_GAP = ("(coalesce(sum(confidence) FILTER (WHERE confidence >= 1), 0.0) "
+        "- coalesce(sum(reward) FILTER (WHERE confidence >= 1), 0.0) "
+        "+ coalesce(sum(abs(confidence - reward)) FILTER (WHERE confidence < 1), 0.0)) / count(*)")
+ORACLE["conf_reward_gap"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
+SELECT dataset, {rnd(_GAP)} AS conf_reward_gap, count(*) AS n
 FROM scored GROUP BY dataset
 """
 
