@@ -97,3 +97,22 @@ def test_word_count_matches_python_split(spark):
     rnd = random.Random(8)
     texts = ["".join(rnd.choice(ws + "abé") for _ in range(rnd.randint(0, 20))) for _ in range(300)]
     assert one_col(spark, texts, word_count) == [len(t.split()) for t in texts]
+
+
+def test_limited_tokens_equal_truncated_split(spark):
+    from veracity.operators.training import tokens
+    ws = " \t\n　\xa0"
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(ws + "ab") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    full = one_col(spark, texts, lambda c: tokens(c))
+    for n in (0, 1, 3, 7):
+        assert one_col(spark, texts, lambda c: tokens(c, n)) == [f[:n] for f in full]
+
+
+def test_truncate_at_marker_matches_lazy_regex(spark):
+    rnd = random.Random(13)
+    parts = ["[/INST]", "Confidence: ", "7", "12", "I am sure", "I am unsure", "x", " ", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(500)]
+    pat = re.compile(r"(?s)^(.*?\[/INST\].*?(?:Confidence: [0-9]+|I am sure|I am unsure))")
+    exp = [(m.group(1) if (m := pat.match(t)) else t) for t in texts]
+    assert one_col(spark, texts, lambda c: P.truncate_at_marker(c, rtuning=True)) == exp

@@ -120,15 +120,21 @@ def truncate_at_marker(response: Column | str, rtuning: bool = False) -> Column:
 
     The stop markers are ``Confidence: <digits>`` (and ``I am sure`` /
     ``I am unsure`` in r-tuning mode), searched after the first ``[/INST]``.
-    Text without a marker is returned unchanged.
+    Text without a marker is returned unchanged.  Two linear searches
+    (``instr`` for the tag, ``regexp_instr`` for the marker) instead of one
+    lazy regex that backtracks over long texts.
     """
     r = col_(response)
     alts = [r"Confidence: [0-9]+"]
     if rtuning:
         alts += [r"I am sure", r"I am unsure"]
-    pattern = r"(?s)^(.*?\[/INST\].*?(?:" + "|".join(alts) + "))"
-    head = F.regexp_extract(r, pattern, 1)
-    return F.when(head != "", head).otherwise(r)
+    pattern = "(" + "|".join(alts) + ")"
+    tag = F.instr(r, M.INST_CLOSE)
+    tail = F.substring(r, tag + len(M.INST_CLOSE), F.length(r) + 1)
+    at = F.regexp_instr(tail, F.lit(pattern), F.lit(1))
+    hit = F.regexp_extract(tail, pattern, 1)
+    end = tag + len(M.INST_CLOSE) - 1 + at - 1 + F.length(hit)
+    return F.when((tag > 0) & (at > 0), F.substring(r, F.lit(1), end)).otherwise(r)
 
 
 def is_valid(response: Column | str, mode: str = "main") -> Column:

@@ -20,10 +20,18 @@ from veracity.operators import prompts as PR
 IGNORE = M.IGNORE_INDEX
 
 
-def tokens(text: Column | str) -> Column:
-    """Whitespace tokens of a text (empty pieces dropped)."""
+def tokens(text: Column | str, max_len: int | None = None) -> Column:
+    """Whitespace tokens of a text (empty pieces dropped).
+
+    With ``max_len`` only the first ``max_len`` tokens are returned (the
+    truncation of the encoders); the split then stops after ``max_len + 2``
+    pieces, since the last piece only holds words that truncation drops.
+    """
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(t, WORD_SPLIT), lambda w: w != "")
+    if max_len is None:
+        return F.filter(F.split(t, WORD_SPLIT), lambda w: w != "")
+    pieces = F.split(t, WORD_SPLIT, max_len + 2)
+    return F.slice(F.filter(pieces, lambda w: w != ""), 1, max_len)
 
 
 def token_ids(toks: Column) -> Column:
@@ -44,8 +52,8 @@ def tokenize_with(df: DataFrame, fn: Callable, text: str, out: str = "input_ids"
 
 
 def _encode(d: DataFrame, text: Column, prompt: Column, max_len: int) -> DataFrame:
-    toks = F.slice(tokens(text), 1, max_len)
-    n_prompt = F.least(F.size(tokens(prompt)), F.lit(max_len))
+    toks = tokens(text, max_len)
+    n_prompt = F.size(tokens(prompt, max_len))
     d = d.withColumns({"tokens": toks, "_np": n_prompt})
     d = d.withColumn("input_ids", token_ids(F.col("tokens")))
     # Mask by concatenation rather than a lambda over the prompt length: a
