@@ -117,3 +117,14 @@ def test_cluster_counts_on_embeddings(spark):
     from veracity.plans import derived as D
     n = CL.leader_clusters(D.samples(spark, SF_MID), 0.25).count()
     assert n == 119
+
+
+def test_release_scratch(spark):
+    import os
+    from veracity.session import _SCRATCH, release_scratch
+    df = spark.range(0, 100).withColumnRenamed("id", "k")
+    R.with_row_index(df, "k").count()
+    paths = [p for p in _SCRATCH]
+    assert paths and all(os.path.exists(p) for p in paths)
+    assert release_scratch(spark) >= 1
+    assert not any(os.path.exists(p) for p in paths)

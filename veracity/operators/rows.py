@@ -12,14 +12,13 @@ count, not by the data.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.text import col_, word_count
-from veracity.session import checkpoint_dir
+from veracity.session import scratch_path
 
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition position in the low 33 bits
 
@@ -37,7 +36,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     recomputing the plan) and computes the input exactly once.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -485,8 +485,7 @@ def loss_rollup(spark, sf):
 # --- S*, J10 sources, sinks, streaming -------------------------------------------------
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-    return f"{SESSION.checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return SESSION.scratch_path(spark, name)
 
 
 @query("json_roundtrip")
