@@ -78,3 +78,12 @@ def test_r6_rounds_huge_values(spark):
     got = [r[0] for r in df.select(r6("x")).collect()]
     assert got[0] == 33001176376200.0  # 12 significant digits above 4e9 (no long overflow)
     assert got[1:] == [1.234568, 0.0]
+
+
+def test_cumulative_auroc_guard(spark):
+    import pytest
+    df = spark.range(0, 50).select((F.col("id") // 8).alias("batch_id"), F.col("id").cast("double").alias("confidence"),
+                                   (F.col("id") % 11).cast("double").alias("correctness"))
+    with pytest.raises(ValueError):
+        MET.cumulative_auroc(df, max_distinct=10)
+    assert MET.cumulative_auroc(df, max_distinct=64).count() == 7
