@@ -82,7 +82,7 @@ def test_r6_rounds_huge_values(spark):
 
 def test_cumulative_auroc_guard(spark):
     import pytest
-    df = spark.range(0, 50).select((F.col("id") // 8).alias("batch_id"), F.col("id").cast("double").alias("confidence"),
+    df = spark.range(0, 50).select(F.floor(F.col("id") / 8).alias("batch_id"), F.col("id").cast("double").alias("confidence"),
                                    (F.col("id") % 11).cast("double").alias("correctness"))
     with pytest.raises(ValueError):
         MET.cumulative_auroc(df, max_distinct=10)
