@@ -72,3 +72,14 @@ def test_scan_pushes_filter(spark):
 def test_report_is_partially_aggregated(spark):
     plan = _plan(E.queries()["calibration_by_lang"](spark, SF_SMALL))
     assert "partial_count" in plan and "partial_sum" in plan
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECT))
+def test_single_partition_only_over_aggregates(spark, name):
+    """A single-partition exchange may only gather already aggregated rows
+    (partition counts, block totals, global aggregates), never raw rows."""
+    lines = _plan(E.queries()[name](spark, SF_SMALL)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = lines[i + 1].strip().lstrip("+-: ")
+            assert child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (name, child[:80])
