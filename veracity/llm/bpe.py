@@ -157,7 +157,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def short(batches):
         enc = Encoder(ranks.value, pattern)
         for b in batches:
-            packed = [enc.pack([m.group() for m in enc.split.finditer(t)] if t else []) for t in b.column(1).to_pylist()]
+            packed = [enc.pack(enc.split.findall(t) if t else []) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _listed(packed)], ["key", "ids"])
 
     def cut(batches):

@@ -7,10 +7,11 @@ labelled or not, so an expression that is rare in one class falls back to the sa
 estimate in both and says little.  Spelling rather than whole words lets inflected forms
 of an insult share their evidence.
 
-A passage is scored by the difference of the two log-likelihoods for each byte of it.
-A document's features are that ratio over the whole text and over its worst ``PASSAGE``
-consecutive words; a logistic curve, fitted on labelled documents that the counts have not
-seen, maps them to 0 to 1.
+A word is scored by the difference of its two log-likelihoods.  A document's features are
+normalised by its length: the mean difference for each byte, and the mean for each word of
+what exceeds one and two units (a few insults in a long text do not drown in the rest);
+and the sums over its worst one, three and five words.  A logistic curve, fitted on
+labelled documents that the counts have not seen, maps them to 0 to 1.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from veracity.llm.common import Rolling, chunks, documents, fold, held_out, mix,
 ORDER = 5
 #: Rows of the gram table; spellings that share a row share counts.
 BUCKETS = 1 << 19
-DISCOUNT = 0.75
-PASSAGE = 8
+DISCOUNT = 0.95
+#: Units that a word must exceed to count, each with the rate added before its logarithm.
+EXCESS = {1.0: 0.01, 2.0: 0.003}
+#: Numbers of worst words that are summed.
+WORST = (1, 3, 5)
+FEATURES = ["whole", *(f"excess{k:g}" for k in EXCESS), *(f"worst{k}" for k in WORST)]
 #: At most so many labelled documents (least xxhash64 of the id first) teach the classes.
 MAX_LABELLED = 200_000
 #: At most so many of them fit the logistic curve.
@@ -115,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         chosen = learn.where(fold(F.col("doc_id")) == 3).mapInArrow(
             lambda batches: (b.filter(pa.array(np.isin(b.column(0).to_numpy(), ids.value))) for b in batches), learn.schema)
         got = features(chosen, model).toPandas().sort_values("doc_id").merge(fit_on, on="doc_id")
-        model["curve"] = _logistic(got[["whole", "worst"]].to_numpy(), got["toxic"].to_numpy(float))
+        model["curve"] = _logistic(got[FEATURES].to_numpy(), got["toxic"].to_numpy(float))
     return model
 
 
@@ -160,36 +165,42 @@ def _ratio(model: dict, gram: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, whole, worst): log-likelihood difference for each byte, of the text and of its worst passage."""
+    """doc_id and ``FEATURES`` of every row; a text without words has the features of an even text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("whole", T.DoubleType()), T.StructField("worst", T.DoubleType())])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.DoubleType()) for c in FEATURES]])
 
     def run(batches):
         roll, m = Rolling(0x9E3779B97F4A7C15), sent.value
         for part in chunks(batches, "text"):
             flat, at = raw(part.column(1))
             starts, ends, first = words(flat, at)
-            whole, worst = np.zeros(part.num_rows), np.zeros(part.num_rows)
+            n = np.diff(first)
+            out = {c: np.zeros(part.num_rows) for c in FEATURES}
             if len(starts) and m["ready"]:
                 _, one, back = np.unique(word_hashes(roll, flat, starts, ends), return_index=True, return_inverse=True)
                 gram, word = _spell(flat, starts[one], ends[one])
                 each = np.bincount(word, weights=_ratio(m, gram), minlength=len(one))[back]
-                value, size = (np.concatenate([[0], np.cumsum(x)]) for x in (each, ends - starts))
-                lo = np.arange(len(starts))
-                stop = np.repeat(first[1:], np.diff(first))
-                hi = np.minimum(lo + PASSAGE, stop)
-                passage = (value[hi] - value[lo]) / (size[hi] - size[lo])
-                short = (hi - lo < PASSAGE) & (lo > np.repeat(first[:-1], np.diff(first)))
-                passage[short] = -np.inf
-                full = np.flatnonzero(np.diff(first))
-                worst[full] = np.maximum.reduceat(passage, first[full])
-                whole[full] = (value[first[full + 1]] - value[first[full]]) / (size[first[full + 1]] - size[first[full]])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole), pa.array(worst)], ["doc_id", "whole", "worst"])
+                out["whole"] = _sums(each, first) / np.maximum(_sums(ends - starts, first), 1)
+                for k in EXCESS:
+                    out[f"excess{k:g}"] = _sums(np.maximum(each - k, 0), first) / np.maximum(n, 1)
+                doc = np.repeat(np.arange(len(n)), n)
+                worst = each[np.lexsort((-each, doc))]
+                rank = np.arange(len(each)) - np.repeat(first[:-1], n)
+                for k in WORST:
+                    out[f"worst{k}"] = _sums(np.where(rank < k, worst, 0), first)
+            for k, rate in EXCESS.items():
+                out[f"excess{k:g}"] = np.log(out[f"excess{k:g}"] + rate)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(out[c]) for c in FEATURES]], ["doc_id", *FEATURES])
 
     return docs.mapInArrow(run, schema)
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> dict:
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
@@ -206,7 +217,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score): one row for every row; 0 where nothing could be learned.
 
-    Empty and null texts have both features 0, as a text that favours neither class.
+    Empty and null texts score as a text that favours neither class in any word.
     """
     small_batches(docs.sparkSession)
     rows = features(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), model)
@@ -214,7 +225,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     if c is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     z = F.lit(float(c["w"][0]))
-    for k, name in enumerate(("whole", "worst")):
+    for k, name in enumerate(FEATURES):
         z = z + (F.col(name) - float(c["mean"][k])) / float(c["scale"][k]) * float(c["w"][k + 1])
     return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
