@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veracity.llm import bpe, langid, packing, quality, sharding, toxicity, warc
+from veracity.llm import bpe, langid, minhash, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op8_quality_rules": quality.op8_quality_rules,
     "op4_extendible_shards": sharding.op4_extendible_shards,
+    "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
     "op6_language_id": langid.op6_language_id,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
