@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veracity.llm import bpe, langid, minhash, packing, quality, sharding, toxicity, warc
+from veracity.llm import bpe, langid, minhash, packing, quality, recompress, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": recompress.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op8_quality_rules": quality.op8_quality_rules,
