@@ -54,8 +54,10 @@ def boundaries(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
             head = np.flatnonzero(alone[:-1])
             tail = np.flatnonzero(alone[1:])
             long = tail - head + 1
+            st_ = st
             name, st, en = np.where(long > 1, mix(name[head] * np.uint64(0x9FB21C651E98DF25) + long.astype(np.uint64)), name[head]), st[head], en[tail]
-            lc, rc = _beside(lc[head], rc[tail], starts_doc, st, far)
+            wide_l, wide_r = _beside(lc, rc, starts_doc, st_, far)  # a run ends where the next symbol differs
+            lc, rc = wide_l[head], wide_r[tail]
         left = mix(name + np.uint64(r * 0xA24BAED4963EE407 % (1 << 64))) >> np.uint64(63) == 1
         pair = np.zeros(len(st) + 1, bool)  # pair[i + 1]: symbols i and i + 1 join
         pair[1:-1] = left[:-1] & ~left[1:] & ~starts_doc[st[1:]]
