@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veracity.llm import bpe, langid, minhash, packing, quality, recompress, sharding, toxicity, warc
+from veracity.llm import bpe, embeddings, langid, minhash, packing, quality, recompress, sharding, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": recompress.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op7_embedding_near_duplicates": embeddings.op7_embedding_near_duplicates,
     "op8_quality_rules": quality.op8_quality_rules,
     "op4_extendible_shards": sharding.op4_extendible_shards,
     "op5_minhash_near_duplicates": minhash.op5_minhash_near_duplicates,
