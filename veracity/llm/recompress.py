@@ -207,7 +207,7 @@ def _entries(batches):
             continue
         whole_a, whole_b = reader.passage(lo, hi + WINDOW)
         key = mix(rank + (rank >> np.uint64(60)))
-        whole = mix(whole_b ^ (whole_a >> np.uint64(1)) + (at - lo).astype(np.uint64))
+        whole = mix((whole_b ^ (whole_a >> np.uint64(1))) + (at - lo).astype(np.uint64))
         doc, pos = reader.doc[reader.row[lo]], reader.pos(lo)
         order, new, same = _firsts(key, whole, doc, pos)
         more, first = order[~new & ~same], order[new]

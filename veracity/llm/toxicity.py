@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ DISCOUNT = 0.95
 EXCESS = {1.0: 0.01, 2.0: 0.003}
 #: Numbers of worst words that are summed.
 WORST = (1, 3, 5)
-FEATURES = ["whole", *(f"excess{k:g}" for k in EXCESS), *(f"worst{k}" for k in WORST)]
+FEATURES = ["toxic_whole", *(f"toxic_excess{k:g}" for k in EXCESS), *(f"toxic_worst{k}" for k in WORST)]
 #: At most so many labelled documents (least xxhash64 of the id first) teach the classes.
 MAX_LABELLED = 200_000
 #: At most so many of them fit the logistic curve.
@@ -60,7 +61,7 @@ def _cut(gram: np.ndarray, n: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     def count(batches):
         roll, held = Rolling(0x9E3779B97F4A7C15), []
         for part in chunks(batches, "text"):
-            flat, at = raw(part.column(1))
+            flat, at = raw(pc.utf8_lower(part.column(1)))
             starts, ends, first = words(flat, at)
             if not len(starts):
                 continue
@@ -165,15 +166,16 @@ def _ratio(model: dict, gram: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and ``FEATURES`` of every row; a text without words has the features of an even text."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.DoubleType()) for c in FEATURES]])
+    """``docs`` with ``FEATURES``, replacing such columns; a text without words has the features of an even text."""
+    docs = docs.drop(*FEATURES)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index("text")
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.DoubleType()) for c in FEATURES]])
 
     def run(batches):
         roll, m = Rolling(0x9E3779B97F4A7C15), sent.value
         for part in chunks(batches, "text"):
-            flat, at = raw(part.column(1))
+            flat, at = raw(pc.utf8_lower(part.column(where)))
             starts, ends, first = words(flat, at)
             n = np.diff(first)
             out = {c: np.zeros(part.num_rows) for c in FEATURES}
@@ -181,17 +183,17 @@ def features(docs: DataFrame, model: dict) -> DataFrame:
                 _, one, back = np.unique(word_hashes(roll, flat, starts, ends), return_index=True, return_inverse=True)
                 gram, word = _spell(flat, starts[one], ends[one])
                 each = np.bincount(word, weights=_ratio(m, gram), minlength=len(one))[back]
-                out["whole"] = _sums(each, first) / np.maximum(_sums(ends - starts, first), 1)
+                out["toxic_whole"] = _sums(each, first) / np.maximum(_sums(ends - starts, first), 1)
                 for k in EXCESS:
-                    out[f"excess{k:g}"] = _sums(np.maximum(each - k, 0), first) / np.maximum(n, 1)
+                    out[f"toxic_excess{k:g}"] = _sums(np.maximum(each - k, 0), first) / np.maximum(n, 1)
                 doc = np.repeat(np.arange(len(n)), n)
                 worst = each[np.lexsort((-each, doc))]
                 rank = np.arange(len(each)) - np.repeat(first[:-1], n)
                 for k in WORST:
-                    out[f"worst{k}"] = _sums(np.where(rank < k, worst, 0), first)
+                    out[f"toxic_worst{k}"] = _sums(np.where(rank < k, worst, 0), first)
             for k, rate in EXCESS.items():
-                out[f"excess{k:g}"] = np.log(out[f"excess{k:g}"] + rate)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(out[c]) for c in FEATURES]], ["doc_id", *FEATURES])
+                out[f"toxic_excess{k:g}"] = np.log(out[f"toxic_excess{k:g}"] + rate)
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[c]) for c in FEATURES]], [*part.schema.names, *FEATURES])
 
     return docs.mapInArrow(run, schema)
 
@@ -214,24 +216,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return {"mean": mean, "scale": scale, "w": w}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score): one row for every row; 0 where nothing could be learned.
+def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
+    """``docs`` with the score under ``out``, for every row; 0 where nothing could be learned.
 
     Empty and null texts score as a text that favours neither class in any word.
     """
     small_batches(docs.sparkSession)
-    rows = features(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), model)
-    c = model["curve"]
-    if c is None:
-        return rows.select("doc_id", F.lit(0.0).alias("score"))
-    z = F.lit(float(c["w"][0]))
-    for k, name in enumerate(FEATURES):
-        z = z + (F.col(name) - float(c["mean"][k])) / float(c["scale"][k]) * float(c["w"][k + 1])
-    return rows.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    rows = features(docs.drop(out), model)
+    z = F.lit(-700.0)
+    if c := model["curve"]:
+        z = F.lit(float(c["w"][0]))
+        for k, name in enumerate(FEATURES):
+            z = z + (F.col(name) - float(c["mean"][k])) / float(c["scale"][k]) * float(c["w"][k + 1])
+    return rows.withColumn(out, 1 / (1 + F.exp(-z))).drop(*FEATURES)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                                     (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """Documents with a score below the threshold."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, "_toxic").where(F.col("_toxic") < threshold).drop("_toxic")
