@@ -313,11 +313,11 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession, 500)
     doc, version = known_id(F.col("doc_id")), F.xxhash64(text).bitwiseAND(0xFFFFFF)
     cuts = repeated(docs.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))) \
-        .groupBy("doc").agg(F.collect_list("pos").alias("_at"), F.collect_list("n").alias("_sizes"))
+        .groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("pos").alias("__at"), F.collect_list("n").alias("__sizes"))
     rows = docs.drop("kept", "n_words", "n_removed")
     kept = rows.columns
-    rows = rows.withColumn("_version", version).join(cuts, doc == cuts["doc"], "left").drop("doc")
-    i = [rows.columns.index(c) for c in (text, "_version", "_at", "_sizes")]
+    rows = rows.withColumn("__version", version).join(cuts, doc == F.col("__doc"), "left").drop("__doc")
+    i = [rows.columns.index(c) for c in (text, "__version", "__at", "__sizes")]
 
     def run(batches):
         for b in batches:
@@ -336,7 +336,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     w = left + w[end:]
                 out.append(b" ".join(w).decode())
                 gone.append(total[-1] - len(w))
-            cols = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] not in ("_version", "_at", "_sizes")]
+            cols = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] not in ("__version", "__at", "__sizes")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                              [*kept, "kept", "n_words", "n_removed"])
 
