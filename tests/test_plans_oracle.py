@@ -8,10 +8,11 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from veracity.plans.catalog import QUERIES
+from veracity.plans.oracle import ORACLE
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SIDE_EFFECT = {"json_roundtrip", "snapshot_roundtrip", "stream_calibration"}
 
 
 def _plan(df):
@@ -24,9 +25,9 @@ def test_entry_smoke(spark):
     assert "ece" in df.columns and "auroc" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECT))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plan(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas",
                  "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan, f"{name}: {node}"
@@ -52,12 +53,12 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = QUERIES[name](spark, SF_SMALL)
     cols = sdf.columns
     srows = sorted((tuple(_norm(r[c]) for c in sorted(cols)) for r in sdf.collect()), key=repr)
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(ORACLE[name])
     assert sorted(rel.columns) == sorted(cols)
     idx = [rel.columns.index(c) for c in sorted(cols)]
     drows = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
@@ -70,10 +71,19 @@ def test_scan_pushes_filter(spark):
 
 
 def test_report_is_partially_aggregated(spark):
-    plan = _plan(E.queries()["calibration_by_lang"](spark, SF_SMALL))
+    plan = _plan(E.queries()["calibration_batches"](spark, SF_SMALL))
     assert "partial_count" in plan and "partial_sum" in plan
 
 
+def test_histogram_window_is_split(spark):
+    """No window orders all distinct confidences in one partition: its keys hold the integer part."""
+    plan = _plan(E.queries()["calibration_overall"](spark, SF_SMALL))
+    assert "_b0" in plan
+    for line in plan.splitlines():
+        if "Window" in line and "conf" in line and "windowspecdefinition(" in line:
+            assert "_b0" in line or "_b1" in line
+
+
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECT))
 def test_single_partition_only_over_aggregates(spark, name):
     """A single-partition exchange may only gather already aggregated rows

@@ -164,3 +164,31 @@ def test_read_split_missing_raises(spark):
     df = spark.createDataFrame([("train", 1)], "split string, v int")
     with pytest.raises(ValueError):
         IO.read_split(df)
+
+
+def _file(text):
+    import os
+    path = os.path.join(tempfile.mkdtemp(prefix="veracity-any-"), "data.json")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_read_any_keeps_good_rows_beside_bad_lines(spark):
+    chat = '{"id": %d, "messages": [{"role": "user", "content": "x"}]}'
+    lines = [chat % i for i in range(200)]
+    lines[50:50] = ['{"id": 9, "messages": [{"role"', "not json at all"]
+    good, bad = IO.read_checked(spark, _file("\n".join(lines) + "\n"))
+    assert sorted(r.id for r in good.collect()) == list(range(200))
+    assert {r.line for r in bad.collect()} == {"not json at all", '{"id": 9, "messages": [{"role"'}
+
+
+def test_read_any_form_does_not_depend_on_the_number_of_records(spark):
+    chat = '{"messages": [{"role": "user", "content": "x"}]}'
+    one, two = (IO.read_any(spark, _file("\n".join([chat] * n) + "\n")) for n in (1, 2))
+    assert one.schema == two.schema and (one.count(), two.count()) == (1, 2)
+    pretty = IO.read_any(spark, _file('{\n "question": ["a", "b"],\n "answer": ["c", "d"]\n}\n'))
+    assert [(r.question, r.answer) for r in pretty.orderBy("row_idx").collect()] == [("a", "c"), ("b", "d")]
+    nested = IO.read_any(spark, _file('{"messages": [[{"role": "user", "content": "x"}], [{"role": "user", "content": "y"}]]}'))
+    assert nested.count() == 2
+    assert IO.read_any(spark, _file('{"a": [1, 2]}'), fmt="jsonl").count() == 1

@@ -26,7 +26,7 @@ def test_split_rows_ratio(spark):
 
 def test_running_sums_small_blocks(spark):
     df = spark.range(0, 300).select(F.col("id").alias("b"), (F.col("id") % 5).alias("v"), (F.col("id") % 2).alias("g"))
-    out = R.running_sums(df, "b", ["v"], partition_cols=["g"], block_size=16).collect()
+    out = R.running_sums(df, "b", ["v"], partition_cols=["g"], widths=(16, 64)).collect()
     exp = {}
     for g in (0, 1):
         acc = 0

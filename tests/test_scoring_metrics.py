@@ -80,10 +80,31 @@ def test_r6_rounds_huge_values(spark):
     assert got[1:] == [1.234568, 0.0]
 
 
-def test_cumulative_auroc_guard(spark):
-    import pytest
-    df = spark.range(0, 50).select(F.floor(F.col("id") / 8).alias("batch_id"), F.col("id").cast("double").alias("confidence"),
-                                   (F.col("id") % 11).cast("double").alias("correctness"))
-    with pytest.raises(ValueError):
-        MET.cumulative_auroc(df, max_distinct=10)
-    assert MET.cumulative_auroc(df, max_distinct=64).count() == 7
+def test_cumulative_auroc_counts_pairs(spark, monkeypatch):
+    """Hundreds of distinct confidences, groups, nulls and ties, with and without split windows."""
+    import random
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i // 5, None if rng.random() < .05 else float(round(rng.choice([rng.random() * 9, rng.randint(0, 400)]), 2)), float(rng.randint(0, 10)))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, batch_id long, confidence double, correctness double")
+    want = {}
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        for b in {r[1] for r in own}:
+            seen = [r for r in own if r[1] <= b and r[2] is not None]
+            pos, neg = [r[2] for r in seen if r[3] >= 7], [r[2] for r in seen if r[3] < 7]
+            u = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+            want[g, b] = (u / (len(pos) * len(neg)) if pos and neg else 0.0, sum(r[2] is None for r in own if r[1] <= b))
+    for small in (12, 2):
+        monkeypatch.setattr(MET, "SMALL_LEVELS", small)
+        got = {(r.g, r.batch_id): (r.cumulative_auroc, r.n_null) for r in MET.cumulative_auroc(df, ["g"], count_null=True).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_confidence_without_value(spark):
+    df = spark.createDataFrame([(0, 5.0, 10.0), (0, None, 0.0)], "batch_id long, confidence double, correctness double")
+    r = MET.batch_metrics(df).first()
+    assert (r.n, r.ece, r.conf_pos, r.conf_neg) == (2, 0.5, 0.5, 0.0)
+    r = MET.calibration_report(df).first()
+    assert (r.n, r.ece, r.auroc) == (2, 0.5, 0.0)

@@ -7,6 +7,8 @@ being taken).  Digits are ASCII digits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,9 +72,9 @@ def main_status(response: Column | str) -> Column:
 
 
 def sure_confidence(response: Column | str) -> Column:
-    """Sure/unsure parse: 0 when the text contains ``unsure``, else 10."""
+    """Sure/unsure parse: 0 when the text contains ``unsure``, else 10; null for a null text."""
     r = col_(response)
-    return F.when(r.contains(M.UNSURE), F.lit(0.0)).otherwise(F.lit(10.0))
+    return F.when(r.contains(M.UNSURE), F.lit(0.0)).when(r.isNotNull(), F.lit(10.0))
 
 
 def legacy_answer(response: Column | str) -> Column:
@@ -115,11 +117,12 @@ def clean_response(response: Column | str) -> Column:
     return py_slice(z, find(z, M.INST_CLOSE), None)
 
 
-def truncate_at_marker(response: Column | str, rtuning: bool = False) -> Column:
+def truncate_at_marker(response: Column | str, rtuning: bool = False, literal: str | None = None) -> Column:
     """Cut a recorded text right after the first stop marker.
 
     The stop markers are ``Confidence: <digits>`` (and ``I am sure`` /
-    ``I am unsure`` in r-tuning mode), searched after the first ``[/INST]``.
+    ``I am unsure`` in r-tuning mode), or ``literal`` alone where it is given,
+    searched after the first ``[/INST]``.
     Text without a marker is returned unchanged.  Two linear searches
     (``instr`` for the tag, ``regexp_instr`` for the marker) instead of one
     lazy regex that backtracks over long texts.
@@ -128,6 +131,8 @@ def truncate_at_marker(response: Column | str, rtuning: bool = False) -> Column:
     alts = [r"Confidence: [0-9]+"]
     if rtuning:
         alts += [r"I am sure", r"I am unsure"]
+    if literal is not None:
+        alts = [re.escape(literal)]
     pattern = "(" + "|".join(alts) + ")"
     tag = F.instr(r, M.INST_CLOSE)
     tail = F.substring(r, tag + len(M.INST_CLOSE), F.length(r) + 1)
@@ -152,10 +157,15 @@ def is_valid(response: Column | str, mode: str = "main") -> Column:
 
 
 def has_nonsense(response: Column | str) -> Column:
-    """True when no token follows ``Confidence:`` (or the marker is missing)."""
+    """True when no whitespace token follows the one that completes ``Confidence:`` (or the marker is missing).
+
+    The same rule as the response mask (T6) on whitespace tokens: the prefix
+    that first holds the marker must be shorter than the whole response.
+    """
     r = col_(response)
     tail = py_slice(r, find(r, M.CONFIDENCE_BARE) + len(M.CONFIDENCE_BARE), None)
-    return F.coalesce(~r.contains(M.CONFIDENCE_BARE) | (py_strip(tail) == ""), F.lit(True))
+    rest = F.regexp_replace(tail, "^" + M.PY_WHITESPACE_CLASS.replace("[", "[^", 1) + "*", "")
+    return F.coalesce(~r.contains(M.CONFIDENCE_BARE) | (py_strip(rest) == ""), F.lit(True))
 
 
 # --- judge replies ---------------------------------------------------------------
@@ -168,7 +178,7 @@ def judge_value(reply: Column | str) -> Column:
     r = col_(reply)
     first = F.split_part(r, F.lit("\n"), F.lit(1))
     v = py_strip(F.split_part(first, F.lit(":"), F.lit(2))).try_cast("double")
-    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15) & first.contains(":")
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0 ** 63) & first.contains(":")
     return F.when(ok, v.try_cast("bigint"))
 
 

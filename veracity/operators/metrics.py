@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veracity.operators.rows import running_sums
+from veracity.operators.rows import materialize, running_sums
 
 POS_MIN = 7   # correctness >= 7 counts as right (conf_pos, AUROC target)
 NEG_MAX = 3   # correctness <= 3 counts as wrong (conf_neg)
@@ -34,18 +34,21 @@ def batch_partials(scored: DataFrame, group_cols: Sequence[str] = (),
 
     Sums are kept on the 0..10 scale and divided by 10 only when a metric is
     formed, so integer confidences sum exactly whatever the summation order.
+    A row without a confidence counts in ``n`` and the accuracy; the metrics of
+    confidence are means over the rows that have one (``gap_n`` of them).
     """
     conf, corr = _conf(), _corr()
     pos = corr >= POS_MIN
     neg = corr <= NEG_MAX
     return scored.groupBy(*group_cols, batch).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.abs(conf - corr)).alias("gap_sum"),
+        F.coalesce(F.sum(F.abs(conf - corr)), F.lit(0.0)).alias("gap_sum"),
+        F.count(conf - corr).alias("gap_n"),
         F.sum(corr).alias("acc_sum"),
         F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("pos_sum"),
-        F.count(F.when(pos, 1)).alias("pos_n"),
+        F.count(F.when(pos, conf)).alias("pos_n"),
         F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("neg_sum"),
-        F.count(F.when(neg, 1)).alias("neg_n"),
+        F.count(F.when(neg, conf)).alias("neg_n"),
     )
 
 
@@ -59,7 +62,7 @@ def batch_metrics(scored: DataFrame, group_cols: Sequence[str] = (),
     p = batch_partials(scored, group_cols, batch)
     return p.select(
         *group_cols, batch, "n",
-        _ratio("gap_sum", "n").alias("ece"),
+        _ratio("gap_sum", "gap_n").alias("ece"),
         _ratio("acc_sum", "n").alias("accuracy"),
         _ratio("pos_sum", "pos_n").alias("conf_pos"),
         _ratio("neg_sum", "neg_n").alias("conf_neg"),
@@ -79,21 +82,38 @@ def cumulative_metrics(scored: DataFrame, group_cols: Sequence[str] = (),
              .withColumn("neg_d", F.greatest(F.col("neg_n"), F.lit(1)))
     else:
         p = p.withColumn("pos_d", F.col("pos_n")).withColumn("neg_d", F.col("neg_n"))
-    vals = ["n", "gap_sum", "acc_sum", "pos_sum", "pos_d", "neg_sum", "neg_d"]
+    vals = ["n", "gap_sum", "gap_n", "acc_sum", "pos_sum", "pos_d", "neg_sum", "neg_d"]
     c = running_sums(p, batch, vals, partition_cols=group_cols)
     return c.select(
         *group_cols, batch,
         F.col("cum_n").alias("n_seen"),
-        _ratio("cum_gap_sum", "cum_n").alias("cumulative_ece"),
+        _ratio("cum_gap_sum", "cum_gap_n").alias("cumulative_ece"),
         _ratio("cum_acc_sum", "cum_n").alias("cumulative_accuracy"),
         _ratio("cum_pos_sum", "cum_pos_d").alias("cumulative_conf_pos"),
         _ratio("cum_neg_sum", "cum_neg_d").alias("cumulative_conf_neg"),
     )
 
 
+#: Confidences are summed up inside each integer, then over each 2^20 of these.
+CONF_WIDTHS = (1, 1 << 20)
+#: Levels of batch blocks whose confidences are ordered in one window each.
+SMALL_LEVELS = 12
+
+
+def _below(h: DataFrame, keys: Sequence[str], p: str, value: str = "cn") -> DataFrame:
+    """``h`` with ``below``: sum of ``value`` over the smaller ``p`` of the same keys.
+
+    The histogram (one row per distinct confidence) is written once, as the
+    running sums read it at several levels.
+    """
+    r = running_sums(materialize(h, "conf-histogram"), p, [value], partition_cols=keys, widths=CONF_WIDTHS)
+    return r.withColumn("below", F.col(f"cum_{value}") - F.col(value)).drop(f"cum_{value}")
+
+
 def _histogram(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Right and wrong rows by confidence; rows without a confidence or correctness are left out."""
     target = _corr() >= POS_MIN
-    return scored.groupBy(*keys, (_conf() / 10.0).alias("p")).agg(
+    return scored.where(_conf().isNotNull() & _corr().isNotNull()).groupBy(*keys, (_conf() / 10.0).alias("p")).agg(
         F.count(F.when(target, 1)).alias("cp"),
         F.count(F.when(~target, 1)).alias("cn"))
 
@@ -104,9 +124,7 @@ def auroc(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     ``sum_p cp(p) * (neg below p + cn(p) / 2) / (P * N)``; 0 when one class
     is missing.  The histogram has one row per distinct confidence.
     """
-    h = _histogram(scored, group_cols)
-    w = Window.partitionBy(*group_cols).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("below", F.coalesce(F.sum("cn").over(w), F.lit(0)))
+    h = _below(_histogram(scored, group_cols), group_cols, "p")
     a = h.groupBy(*group_cols).agg(
         F.sum(F.col("cp") * (F.col("below") + F.col("cn") / 2.0)).alias("u"),
         F.sum("cp").alias("n_pos"), F.sum("cn").alias("n_neg"))
@@ -115,36 +133,57 @@ def auroc(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("auroc"))
 
 
-def cumulative_auroc(scored: DataFrame, batch: str = "batch_id",
-                     max_distinct: int = 128) -> DataFrame:
-    """A6 cumulative: ROC area over all rows of batches <= each batch.
+def cumulative_auroc(scored: DataFrame, group_cols: Sequence[str] = (), batch: str = "batch_id",
+                     count_null: bool = False) -> DataFrame:
+    """A6 cumulative: ROC area over all rows of batches <= each batch, for each group.
 
-    Built on a (batch x distinct confidence) grid of running counts.  The
-    grid is made by exploding the list of distinct confidences on every
-    batch row; that list is checked against ``max_distinct`` before it is
-    broadcast, so the grid stays within ``max_distinct`` rows per batch
-    (batches hold 8 rows by default, and confidences are 0..10 in practice).
-    Above the limit use ``auroc()`` for the final value.
+    A batch adds to the area's numerator the pairs of which it holds the later
+    row: its right rows against the wrong ones of batches before, its wrong
+    rows against the right ones before, and the pairs within it.  The pairs
+    across batches are counted by halving: at level ``l`` the batches fall in
+    blocks of ``2^(l+1)``, and the rows of a block's right half meet the running
+    counts by confidence of its left half.  Each pair of batches is apart at
+    one level only, so every histogram row is used ``log2(batches)`` times,
+    whatever the number of confidences.  Rows without a confidence or
+    correctness are left out (``count_null`` adds how many, up to the batch).
     """
-    h = _histogram(scored, [batch])
-    confs = h.select("p").distinct()
-    n_conf = confs.count()
-    if n_conf > max_distinct:
-        raise ValueError(f"{n_conf} distinct confidences > {max_distinct}; "
-                         "use auroc() for the final value")
-    conf_list = [r[0] for r in confs.orderBy("p").collect()]
-    batches = scored.select(batch).distinct()
-    grid = batches.select(batch, F.explode(F.array(*[F.lit(float(v)) for v in conf_list])).alias("p"))
-    g = grid.join(h, [batch, "p"], "left").fillna(0, subset=["cp", "cn"])
-    g = running_sums(g, batch, ["cp", "cn"], partition_cols=["p"])
-    w = Window.partitionBy(batch).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("cum_cn").over(w), F.lit(0)))
-    a = g.groupBy(batch).agg(
-        F.sum(F.col("cum_cp") * (F.col("below") + F.col("cum_cn") / 2.0)).alias("u"),
-        F.sum("cum_cp").alias("n_pos"), F.sum("cum_cn").alias("n_neg"))
-    return a.select(batch, F.when(F.col("n_pos") * F.col("n_neg") > 0,
-                                  F.col("u") / (F.col("n_pos") * F.col("n_neg")))
-                    .otherwise(F.lit(0.0)).alias("cumulative_auroc"))
+    keys = list(group_cols)
+    h = materialize(_histogram(scored, [*keys, batch]), "batch-histogram")
+    batches = scored.groupBy(*keys, batch).agg(
+        F.count(F.when(_conf().isNull() | _corr().isNull(), 1)).alias("n_null"))
+    top = batches.agg(F.max(batch)).first()[0]
+    levels = max(1, int(top or 0).bit_length())
+    at = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    e = h.select(*keys, batch, "p", "cp", "cn", at).withColumns({
+        "block": F.expr(f"shiftright(`{batch}`, level + 1)"), "right": F.expr(f"shiftright(`{batch}`, level) & 1 = 1")})
+    block = [*keys, "level", "block"]
+    # Left half of every block by confidence; the confidences of its right half are in it with 0.
+    left = e.groupBy(*block, "p").agg(*[F.sum(F.when(~F.col("right"), F.col(c)).otherwise(0)).alias(f"l{c}") for c in ("cp", "cn")],
+                                      F.max("right").alias("met"))
+    left = materialize(left, "auroc-levels")
+    # A block of a low level holds the rows of at most 2^SMALL_LEVELS batches, which one window can order.
+    whole = Window.partitionBy(*block)
+    upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = left.where(F.col("level") < SMALL_LEVELS).select(
+        "*", F.sum("lcp").over(upto).alias("cum_lcp"), F.sum("lcn").over(upto).alias("cum_lcn"), F.sum("lcp").over(whole).alias("tcp"))
+    if levels > SMALL_LEVELS:
+        high = left.where(F.col("level") >= SMALL_LEVELS)
+        total = high.groupBy(*block).agg(F.sum("lcp").alias("tcp"))
+        run = run.unionByName(running_sums(high, "p", ["lcp", "lcn"], partition_cols=block, widths=CONF_WIDTHS).join(total, block))
+    run = run.where("met")
+    across = (e.where("right").join(run, [*block, "p"])
+              .select(*keys, batch, (F.col("cp") * (F.col("cum_lcn") - F.col("lcn") / 2.0)
+                                     + F.col("cn") * (F.col("tcp") - F.col("cum_lcp") + F.col("lcp") / 2.0)).alias("u")))
+    w = Window.partitionBy(*keys, batch).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # the rows of one batch
+    inside = h.select(*keys, batch, (F.col("cp") * (F.coalesce(F.sum("cn").over(w), F.lit(0)) + F.col("cn") / 2.0)).alias("u"))
+    gained = across.unionByName(inside).groupBy(*keys, batch).agg(F.sum("u").alias("u"))
+    sizes = h.groupBy(*keys, batch).agg(F.sum("cp").alias("cp"), F.sum("cn").alias("cn"))
+    each = (batches.join(gained, [*keys, batch], "left").join(sizes, [*keys, batch], "left")
+            .fillna(0, subset=["u", "cp", "cn"]))
+    each = materialize(each, "auroc-gains")
+    a = running_sums(each, batch, ["u", "cp", "cn", "n_null"], partition_cols=keys)
+    area = F.when(F.col("cum_cp") * F.col("cum_cn") > 0, F.col("cum_u") / (F.col("cum_cp") * F.col("cum_cn"))).otherwise(F.lit(0.0))
+    return a.select(*keys, batch, area.alias("cumulative_auroc"), *([F.col("cum_n_null").alias("n_null")] if count_null else []))
 
 
 def report_from_conf_histogram(hp: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -157,10 +196,13 @@ def report_from_conf_histogram(hp: DataFrame, keys: Sequence[str]) -> DataFrame:
     one aggregate then yields every metric and the ROC area.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
-    h = hp.withColumn("below", F.coalesce(F.sum("cn").over(w), F.lit(0)))
+    # A null confidence has a row of its own, which has no place in the order.
+    h = hp.withColumns({"conf": F.coalesce("conf", F.lit(float("-inf"))), "_gap_n": F.when(F.col("conf").isNull(), 0).otherwise(F.col("n")),
+                        "cp": F.when(F.col("conf").isNull(), 0).otherwise(F.col("cp")),
+                        "cn": F.when(F.col("conf").isNull(), 0).otherwise(F.col("cn"))})
+    h = _below(h, keys, "conf")
     has_reward = "reward_sum" in hp.columns
-    aggs = [F.sum("n").alias("n"), F.sum("gap_sum").alias("_gap"), F.sum("acc_sum").alias("_acc"),
+    aggs = [F.sum("n").alias("n"), F.sum("gap_sum").alias("_gap"), F.sum("_gap_n").alias("_gn"), F.sum("acc_sum").alias("_acc"),
             F.sum("pos_sum").alias("_pos"), F.sum("pos_n").alias("_pos_n"),
             F.sum("neg_sum").alias("_neg"), F.sum("neg_n").alias("_neg_n"),
             F.sum("n_out").alias("n_out_of_range"),
@@ -170,7 +212,7 @@ def report_from_conf_histogram(hp: DataFrame, keys: Sequence[str]) -> DataFrame:
         aggs += [F.sum("reward_sum").alias("_rs"), F.sum("reward_n").alias("_rn")]
     a = h.groupBy(*keys).agg(*aggs)
     return a.select(
-        *keys, "n", _ratio("_gap", "n").alias("ece"), _ratio("_acc", "n").alias("accuracy"),
+        *keys, "n", _ratio("_gap", "_gn").alias("ece"), _ratio("_acc", "n").alias("accuracy"),
         _ratio("_pos", "_pos_n").alias("conf_pos"), _ratio("_neg", "_neg_n").alias("conf_neg"),
         "n_out_of_range",
         *([(F.col("_rs") / F.col("_rn")).alias("mean_reward")] if has_reward else []),
@@ -191,9 +233,9 @@ def calibration_report(scored: DataFrame, group_cols: Sequence[str] = ()) -> Dat
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(pos, 1)).alias("cp"), F.count(F.when(~pos, 1)).alias("cn"),
-        F.sum(F.abs(conf - corr)).alias("gap_sum"), F.sum(corr).alias("acc_sum"),
-        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("pos_sum"), F.count(F.when(pos, 1)).alias("pos_n"),
-        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("neg_sum"), F.count(F.when(neg, 1)).alias("neg_n"),
+        F.coalesce(F.sum(F.abs(conf - corr)), F.lit(0.0)).alias("gap_sum"), F.sum(corr).alias("acc_sum"),
+        F.coalesce(F.sum(F.when(pos, conf)), F.lit(0.0)).alias("pos_sum"), F.count(F.when(pos, conf)).alias("pos_n"),
+        F.coalesce(F.sum(F.when(neg, conf)), F.lit(0.0)).alias("neg_sum"), F.count(F.when(neg, conf)).alias("neg_n"),
         F.count(F.when(~conf.between(0, 10), 1)).alias("n_out"),
     ]
     if "reward" in scored.columns:

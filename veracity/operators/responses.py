@@ -32,7 +32,8 @@ def parse_responses(df: DataFrame, mode: str = "main", response: str = "response
             "answer": r,
             "reflection": F.lit(""),
             "confidence": P.sure_confidence(r),
-            "parse_status": F.when(r.contains("unsure"), F.lit("unsure")).otherwise(F.lit("sure")),
+            "parse_status": F.when(r.isNull(), F.lit("no_text")).when(r.contains("unsure"), F.lit("unsure"))
+                             .otherwise(F.lit("sure")),
         })
     if mode == "legacy":
         return df.withColumns({
@@ -54,11 +55,12 @@ def split_samples(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"chain": P.sample_chain(text), "reflection": P.sample_reflection(text)})
 
 
-def clean_responses(df: DataFrame, response: str = "response", rtuning: bool = False) -> DataFrame:
-    """R5 + R6: strip padding, keep text from the first ``[/INST]``, cut at the stop marker."""
+def clean_responses(df: DataFrame, response: str = "response", rtuning: bool = False,
+                    literal: str | None = None) -> DataFrame:
+    """R5 + R6: strip padding, keep text from the first ``[/INST]``, cut at the stop marker (or ``literal``)."""
     return df.withColumns({
         "cleaned": P.clean_response(response),
-        "truncated": P.truncate_at_marker(response, rtuning),
+        "truncated": P.truncate_at_marker(response, rtuning, literal),
     }).withColumn("was_truncated", F.col("truncated") != F.col(response))
 
 
@@ -68,17 +70,20 @@ def flag_valid(df: DataFrame, mode: str = "main", response: str = "response") ->
 
 
 def resolve_attempts(attempts: DataFrame, max_tries: int = 3, mode: str = "main",
-                     key: str = "qid") -> DataFrame:
+                     key: str = "qid", style: str = "eval") -> DataFrame:
     """One response per question out of its recorded attempts.
 
     Attempt 0 is the first answer, 1..max_tries the retries, max_tries+1 the
     forced-suffix attempt.  The first attempt valid in ``mode`` wins; if none,
     the last retry is kept when it holds any marker; otherwise the forced
-    attempt is kept whatever it holds.
+    attempt is kept whatever it holds.  ``style="ppo"`` knows one marker only,
+    ``Confidence:``, so a last retry with any other goes to the forced attempt.
     """
+    if style not in ("eval", "ppo"):
+        raise ValueError(f"unknown style {style!r}")
     a = attempts.withColumns({
-        "_valid": P.is_valid("response", mode),
-        "_any": P.is_valid("response", "any"),
+        "_valid": P.is_valid("response", "main" if style == "ppo" else mode),
+        "_any": P.is_valid("response", "main" if style == "ppo" else "any"),
     })
     fv_key = F.when(F.col("_valid") & (F.col("attempt") <= max_tries), F.col("attempt"))
     lr_key = F.when((F.col("attempt") == max_tries) & F.col("_any"), F.col("attempt"))
@@ -114,9 +119,20 @@ def judge_scores(replies: DataFrame, max_tries: int = 3, key: str = "qid",
 
 
 def score_responses(parsed: DataFrame, gold: DataFrame, key: str = "qid",
-                    correctness: str = "correctness", variant: str = "quadratic") -> DataFrame:
-    """Attach gold correctness by key and compute the reward."""
-    s = parsed.join(gold, key)
+                    correctness: str = "correctness", variant: str = "quadratic",
+                    unjudged: str = "drop") -> DataFrame:
+    """Attach gold correctness by key and compute the reward.
+
+    A question without a score is outside the scored set (``drop``) or, as
+    when its judge failed, kept with correctness 0 and ``judged`` false (``zero``).
+    """
+    if unjudged == "zero":
+        s = parsed.join(gold.withColumn("judged", F.lit(True)), key, "left").withColumns({
+            correctness: F.coalesce(F.col(correctness), F.lit(0.0)), "judged": F.coalesce("judged", F.lit(False))})
+    elif unjudged == "drop":
+        s = parsed.join(gold, key)
+    else:
+        raise ValueError(f"unknown rule {unjudged!r} for unjudged questions")
     return s.withColumns({
         "reward": S.reward(correctness, "confidence", variant),
         "reward_out_of_range": S.out_of_range(correctness, "confidence"),

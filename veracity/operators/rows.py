@@ -73,26 +73,31 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
 
 def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                  partition_cols: Sequence[str] = (), prefix: str = "cum_",
-                 block_size: int = 1 << 20) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` along a dense integer ``order_col``.
+                 widths: Sequence[int] = (1 << 12, 1 << 24)) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` along a numeric ``order_col`` without ties.
 
-    Two levels so no window sees more than ``block_size`` rows: running sums
-    inside blocks of the order column, plus the totals of earlier blocks
-    (one row per block, a small table).
+    The order values are cut into blocks of ``widths[0]``, these into blocks of
+    ``widths[1]`` and so on (each a multiple of the one before).  A row's sum is
+    that inside its block plus the earlier blocks of each level, so every
+    window works inside one block of the next level.
     """
     pcols = list(partition_cols)
-    d = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_size)))
-    w_in = (Window.partitionBy(*pcols, "_blk").orderBy(order_col)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = d.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in value_cols])
-    totals = d.groupBy(*pcols, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    w_blk = Window.partitionBy(*pcols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*pcols, "_blk", *[
-        F.coalesce(F.sum(f"_t_{c}").over(w_blk), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
-    joined = inner.join(offsets, [*pcols, "_blk"])
-    return joined.select(
-        *[c for c in df.columns],
-        *[(F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in value_cols])
+    blocks = [f"_b{k}" for k in range(len(widths))]
+    d = df.withColumns({b: F.floor(F.col(order_col) / F.lit(w)) for b, w in zip(blocks, widths)})
+    inside = Window.partitionBy(*pcols, *blocks).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in value_cols])
+    offsets, total = None, d
+    for k in reversed(range(len(blocks))):  # from the widest level: what lies before each of its blocks
+        level = blocks[k:]
+        total = d.groupBy(*pcols, *level).agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+        before = Window.partitionBy(*pcols, *level[1:]).orderBy(level[0]).rowsBetween(Window.unboundedPreceding, -1)
+        own = total.select(*pcols, *level, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_n_{c}") for c in value_cols])
+        if offsets is not None:
+            own = own.join(offsets, [*pcols, *level[1:]]).select(
+                *pcols, *level, *[(F.col(f"_n_{c}") + F.col(f"_o_{c}")).alias(f"_n_{c}") for c in value_cols])
+        offsets = own.select(*pcols, *level, *[F.col(f"_n_{c}").alias(f"_o_{c}") for c in value_cols])
+    out = out.join(offsets, [*pcols, *blocks])
+    return out.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in value_cols])
 
 
 def with_batches(df: DataFrame, order, size: int = 8, name: str = "batch_id",
@@ -120,9 +125,9 @@ def filter_once(df: DataFrame, predicate) -> DataFrame:
 
 
 def chat_word_count(messages: Column | str) -> Column:
-    """Total whitespace-word count of all message contents of a chat."""
+    """Total whitespace-word count of all message contents of a chat; a null content has no words."""
     return F.aggregate(col_(messages), F.lit(0),
-                       lambda acc, m: acc + word_count(m["content"]))
+                       lambda acc, m: acc + F.coalesce(word_count(m["content"]), F.lit(0)))
 
 
 def word_budget(chat: DataFrame, max_words: int = 200, messages: str = "messages",
@@ -147,6 +152,16 @@ def row_slice(df: DataFrame, start: int, n: int | None, index: str = "row_idx")
     return df.filter(cond)
 
 
+def slice_in_order(df: DataFrame, order, start: int, n: int, name: str = "row_idx") -> DataFrame:
+    """rows ``start .. start+n-1`` in order, as a top-k: no other row is moved or kept.
+
+    The row index is numbered over the ``n`` rows of the slice alone.
+    """
+    keys = _cols(order)
+    cut = df.orderBy(*keys).offset(start).limit(n)
+    return cut.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1 + start).cast("bigint"))
+
+
 def seeded_key(key: Column | str, seed: int) -> Column:
     """Reproducible pseudo-random order key: ``md5('<seed>:<key>')``."""
     return F.md5(F.concat(F.lit(f"{seed}:"), col_(key).cast("string")))
@@ -186,11 +201,6 @@ def preview(df: DataFrame, every: int = 10, n: int = 5, batch: str = "batch_id",
     return df.filter((F.col(batch) % every == 0) & (F.col(pos) < n))
 
 
-def trainable_only(df: DataFrame, labels: str = "labels") -> DataFrame:
-    """drop rows whose labels are all the ignore value."""
-    return filter_once(df, lambda r: F.coalesce(F.exists(r[labels], lambda x: x != -100), F.lit(False)))
-
-
 def drop_na_reasons(df: DataFrame, reasons: str = "reasons") -> DataFrame:
     """drop reasons containing ``N/A``; drop the row when none is left."""
     d = df.withColumn(reasons, F.filter(F.col(reasons), lambda x: ~x.contains("N/A")))
@@ -212,6 +222,13 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def condition_counts(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """rows of ``df`` that meet each condition, counted in one pass over it."""
+    one = df.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in stages.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(k).alias("n_rows")) for k in stages]))
+                      .alias("s")).select("s.stage", "s.n_rows")
+
+
 def cap_test_split(test: DataFrame, n_train: int, divisor: int = 100,
                    index: str = "row_idx") -> DataFrame:
     """test rows capped at ``n_train // divisor`` (in file order)."""

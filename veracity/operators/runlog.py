@@ -1,8 +1,7 @@
 """Run-log roll-ups (A9, A10) over long metric tables ``(run_id, step, ...)``.
 
-Both are ordered per run.  Ordered frames use the two-level running helper
-(``running_agg``) with blocks of steps, so a run with very many logged steps
-is still split over many window partitions.
+Both are ordered per run.  The running minimum works on blocks of steps, so a
+run with very many logged steps is still split over many window partitions.
 """
 
 from __future__ import annotations
@@ -47,10 +46,14 @@ def loss_rollup(log: DataFrame, k: int, grad_acc: int = 1, run: str = "run_id",
     """A10: every ``k`` steps: summed step loss, mean over ranks, / grad_acc / k.
 
     Steps start at 1; window ``w`` covers steps ``(w-1)*k+1 .. w*k`` and is
-    logged at step ``w*k``.
+    logged at step ``w*k``, once every rank of the run has reached it.  Steps
+    after the last such window are not logged.
     """
     w = F.floor((F.col(step) - 1) / k)
     g = log.groupBy(run, w.alias("_w")).agg(
-        F.sum(loss).alias("_sum"), F.countDistinct(rank).alias("n_ranks"), F.count(F.lit(1)).alias("n_rows"))
-    return g.select(run, ((F.col("_w") + 1) * k).cast("bigint").alias("log_step"),
-                    (F.col("_sum") / F.col("n_ranks") / grad_acc / k).alias("avg_loss"), "n_ranks", "n_rows")
+        F.sum(loss).alias("_sum"), F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct(F.when(F.col(step) == (w + 1) * k, F.col(rank))).alias("_reached"))
+    ranks = log.groupBy(run).agg(F.countDistinct(rank).alias("n_ranks"))
+    return g.join(ranks, run).filter(F.col("_reached") == F.col("n_ranks")).select(
+        run, ((F.col("_w") + 1) * k).cast("bigint").alias("log_step"),
+        (F.col("_sum") / F.col("n_ranks") / grad_acc / k).alias("avg_loss"), "n_ranks", "n_rows")

@@ -8,8 +8,10 @@ task).  Lengths are then in those tokens.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ def tokenize_with(df: DataFrame, fn: Callable, text: str, out: str = "input_ids"
     """Plug in a tokeniser: ``fn(list[str]) -> list[list[int]]`` applied per Arrow batch."""
     from pyspark.sql.types import ArrayType, LongType, StructType
     schema = StructType(list(df.schema.fields)).add(out, ArrayType(LongType()))
+    register_pickle_by_value(sys.modules[__name__])  # executors need not have this package installed
 
     def run(batches):
         for pdf in batches:
@@ -51,11 +54,16 @@ def tokenize_with(df: DataFrame, fn: Callable, text: str, out: str = "input_ids"
     return df.mapInPandas(run, schema)
 
 
-def _encode(d: DataFrame, text: Column, prompt: Column, max_len: int) -> DataFrame:
-    toks = tokens(text, max_len)
-    n_prompt = F.size(tokens(prompt, max_len))
-    d = d.withColumns({"tokens": toks, "_np": n_prompt})
-    d = d.withColumn("input_ids", token_ids(F.col("tokens")))
+def _encode(d: DataFrame, text: Column, prompt: Column, max_len: int, tokenizer: Callable | None = None) -> DataFrame:
+    if tokenizer is None:
+        d = d.withColumns({"tokens": tokens(text, max_len), "_np": F.size(tokens(prompt, max_len))})
+        d = d.withColumn("input_ids", token_ids(F.col("tokens")))
+    else:
+        d = tokenize_with(d.withColumn("_whole", text), tokenizer, "_whole", "_ids")
+        d = tokenize_with(d.withColumn("_head_text", prompt), tokenizer, "_head_text", "_head_ids")
+        d = d.withColumns({"input_ids": F.when(F.col("_whole").isNotNull(), F.slice("_ids", 1, max_len)),
+                           "_np": F.least(F.size("_head_ids"), F.lit(max_len))})
+        d = d.withColumn("tokens", F.col("input_ids").cast("array<string>")).drop("_whole", "_head_text", "_ids", "_head_ids")
     # Mask by concatenation rather than a lambda over the prompt length: a
     # lambda capturing an outer column would have that column's whole
     # expression inlined and re-evaluated for every element.
@@ -69,9 +77,13 @@ def _encode(d: DataFrame, text: Column, prompt: Column, max_len: int) -> DataFra
 
 
 def sft_rows(df: DataFrame, flavour: str = "chat", max_len: int = 512, eos: str = PR.EOS,
-             bos: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+             bos: str | None = None, keep: tuple[str, ...] = (), tokenizer: Callable | None = None) -> DataFrame:
     """Encoded training rows (tokens, input_ids, labels, attention_mask).
 
+    ``tokenizer`` (``list[str] -> list[list[int]]``, run on Arrow batches)
+    replaces the whitespace tokens: its ids fill ``input_ids`` and the length
+    of the prompt's ids sets the masked labels.
+
     chat: all messages rendered (P8), prompt = all but the last message, so
     earlier assistant turns are masked too.  prompt_completion: P16 join.
     pair: QA training pair.  The prompt part of the labels is set to -100.
@@ -90,10 +102,24 @@ def sft_rows(df: DataFrame, flavour: str = "chat", max_len: int = 512, eos: str
     else:
         raise ValueError(f"unknown flavour {flavour!r}")
     # Rows whose text is null (unknown role) keep null arrays; ``trainable_only`` drops them.
-    enc = _encode(d, F.col("_text"), F.col("_prompt"), max_len)
+    enc = _encode(d, F.col("_text"), F.col("_prompt"), max_len, tokenizer)
     return enc.select(*keep, "tokens", "input_ids", "labels", "attention_mask")
 
 
+def encode_prompts(df: DataFrame, prompt: str = "prompt", max_len: int = 512, tokenizer: Callable | None = None) -> DataFrame:
+    """T1 for evaluation and PPO prompts: input_ids and attention_mask, no labels.
+
+    Prompts keep their first ``max_len`` ids; ``n_cut`` counts the ids beyond.
+    """
+    if tokenizer is None:
+        d = df.withColumn("_ids", token_ids(tokens(prompt)))
+    else:
+        d = tokenize_with(df, tokenizer, prompt, "_ids")
+    ids = F.slice("_ids", 1, max_len)
+    return d.withColumns({"input_ids": ids, "attention_mask": F.array_repeat(F.lit(1), F.size(ids)),
+                          "n_cut": F.greatest(F.size("_ids") - max_len, F.lit(0))}).drop("_ids")
+
+
 def trainable_only(df: DataFrame) -> DataFrame:
     """drop rows whose labels are all -100 (chats with an unknown role have null labels)."""
     from veracity.operators.rows import filter_once
@@ -119,23 +145,39 @@ def unpad(df: DataFrame, ids: str = "input_ids", mask: str = "attention_mask") -
     return df.withColumn(ids, F.transform(F.filter(z, lambda x: x["m"] == 1), lambda x: x["t"]))
 
 
+def marker_end(toks: Column | str, marker: str = M.CONFIDENCE_BARE, joiner: str = " ") -> Column:
+    """Least number of leading tokens whose joined text holds ``marker``; null if even all do not.
+
+    The end of the marker in the joined text is mapped back through the
+    running token lengths, so the marker may be spread over several tokens
+    (``joiner=""`` for sub-word pieces that carry their own spaces).
+    """
+    t = F.col(toks) if isinstance(toks, str) else toks
+    end = F.instr(F.array_join(t, joiner), marker) - 1 + len(marker)
+    gap = len(joiner)
+    state = F.aggregate(
+        t, F.struct(F.lit(0).alias("n"), F.lit(-gap).alias("len")),
+        lambda a, x: F.when(a["len"] >= end, a).otherwise(
+            F.struct((a["n"] + 1).alias("n"), (a["len"] + gap + F.length(x)).alias("len"))))
+    return F.when(end >= len(marker), state["n"])
+
+
 def response_mask(df: DataFrame, toks: str = "tokens", marker: str = M.CONFIDENCE_BARE,
-                  old_length: str | None = None) -> DataFrame:
+                  old_length: str | None = None, joiner: str = " ") -> DataFrame:
     """0 before the first position whose decoded prefix holds ``marker``, 1 from there.
 
-    With whitespace tokens the prefix holds the marker from the token after
-    the first token that contains it.  No such position inside the response
-    means the response is nonsense: the mask then starts at ``old_length``
-    (the length before the forced retry) when given, else covers everything.
+    No such position inside the response means the response is nonsense: the
+    mask then starts at ``old_length`` (the length before the forced retry)
+    when given, else covers everything.
     """
-    hits = F.filter(F.transform(F.col(toks), lambda t, i: F.when(t.contains(marker), i)), lambda x: x.isNotNull())
-    first = F.get(hits, 0) + 1
-    ok = first.isNotNull() & (first < F.size(toks))
+    df = df.withColumn("_first", marker_end(toks, marker, joiner))
+    first = F.col("_first")
+    ok = F.coalesce(first < F.size(toks), F.lit(False))
     start = F.when(ok, first)
     if old_length is not None:
         start = F.coalesce(start, F.col(old_length))
     start = F.coalesce(start, F.lit(0))
-    d = df.withColumns({"first_idx": F.when(ok, first), "nonsense": ~ok, "_start": start})
+    d = df.withColumns({"first_idx": F.when(ok, first), "nonsense": ~ok, "_start": start}).drop("_first")
     n = F.size(toks)
     s0 = F.least(F.col("_start"), n)
     return d.withColumn("response_mask", F.concat(F.array_repeat(F.lit(0), s0),

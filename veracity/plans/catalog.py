@@ -165,6 +165,18 @@ def auroc_cumulative(spark, sf):
     return _rounded(MET.cumulative_auroc(_order_batches(spark, sf)), ["cumulative_auroc"])
 
 
+@query("auroc_cumulative_wide")
+def auroc_cumulative_wide(spark, sf):
+    b = ROWS.with_batches(D.wide_confidences(spark, sf), "o_orderkey", size=64)
+    return _rounded(MET.cumulative_auroc(b, ["o_orderstatus"], count_null=True), ["cumulative_auroc"])
+
+
+@query("batches_with_nulls")
+def batches_with_nulls(spark, sf):
+    b = MET.batch_metrics(ROWS.with_batches(D.wide_confidences(spark, sf), "o_orderkey", size=64), ["o_orderstatus"])
+    return _rounded(b, ["ece", "accuracy", "conf_pos", "conf_neg"])
+
+
 @query("preview")
 def preview(spark, sf):
     return ROWS.preview(_order_batches(spark, sf)).select("o_orderkey", "batch_id", "pos_in_batch")
@@ -175,6 +187,22 @@ def resolve_attempts(spark, sf):
     return RESP.resolve_attempts(D.attempts(spark, sf), max_tries=2, mode="main")
 
 
+@query("resolve_attempts_five")
+def resolve_attempts_five(spark, sf):
+    return RESP.resolve_attempts(D.five_attempts(spark, sf), max_tries=3, mode="main")
+
+
+@query("resolve_attempts_ppo")
+def resolve_attempts_ppo(spark, sf):
+    return RESP.resolve_attempts(D.five_attempts(spark, sf), max_tries=3, style="ppo")
+
+
+@query("truncate_literal")
+def truncate_literal(spark, sf):
+    c = RESP.clean_responses(D.decoded_responses(spark, sf), literal="I am")
+    return c.select("qid", "truncated", "was_truncated")
+
+
 @query("judge_scores")
 def judge_scores(spark, sf):
     return RESP.judge_scores(D.judge_replies(spark, sf), max_tries=3)
@@ -306,14 +334,14 @@ def row_index(spark, sf):
 @query("row_slice")
 def row_slice(spark, sf):
     # F1 then F2: the slice counts rows that passed the word budget, in chat order.
-    c = ROWS.word_budget(SCHEMA.build_chats(D.turns(spark, sf)), 400)
-    return ROWS.row_slice(ROWS.with_row_index(c, "conv_id"), 5, 20).select("conv_id", "row_idx")
+    c = ROWS.word_budget(SCHEMA.build_chats(D.turns(spark, sf)), 400).select("conv_id")
+    return ROWS.slice_in_order(c, "conv_id", 5, 20).select("conv_id", "row_idx")
 
 
 @query("double_slice")
 def double_slice(spark, sf):
-    d = ROWS.with_row_index(D.table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return ROWS.capped_split(d, cap=700, start=100, n=50).select("doc_id", "row_idx")
+    d = D.table(spark, sf, "documents").select("doc_id")
+    return ROWS.slice_in_order(d, "doc_id", 100, min(50, 700 - 100)).select("doc_id", "row_idx")
 
 
 @query("split_rows")
@@ -386,7 +414,7 @@ def rating_extract(spark, sf):
 
 @query("rating_mean")
 def rating_mean(spark, sf):
-    m = CL.rating_mean(CL.extract_ratings(D.rating_replies(spark, sf), max_tries=3))
+    m = CL.rating_mean(CL.extract_ratings(D.rating_replies(spark, sf), max_tries=4))
     return _rounded(m, ["mean_score"])
 
 
@@ -456,6 +484,18 @@ def _mask_rows(spark, sf):
     return TRAIN.response_mask(t.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
 
 
+@query("response_mask_subwords")
+def response_mask_subwords(spark, sf):
+    # Pieces of three characters, so the marker is spread over several tokens.
+    t = D.turns(spark, sf).filter(F.col("role") == "assistant")
+    text = F.concat("content", F.when(F.col("turn") % 3 == 2, F.lit("")).otherwise(F.lit(" Confidence:")),
+                    F.when(F.col("turn") % 3 == 0, F.lit(" 7 of 10")).otherwise(F.lit("")))
+    pieces = F.filter(F.split(F.regexp_replace(text, "(?s)(.{3})", "$1\x01"), "\x01"), lambda x: x != "")
+    m = TRAIN.response_mask(t.select("conv_id", "turn", pieces.alias("tokens")), joiner="")
+    return m.select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), "first_idx", "nonsense",
+                    F.aggregate("response_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_ones"))
+
+
 @query("response_mask")
 def response_mask(spark, sf):
     m = _mask_rows(spark, sf)
@@ -479,7 +519,7 @@ def best_checkpoints(spark, sf):
 
 @query("loss_rollup")
 def loss_rollup(spark, sf):
-    return _rounded(RUNLOG.loss_rollup(D.run_log(spark, sf), k=10, grad_acc=4), ["avg_loss"])
+    return _rounded(RUNLOG.loss_rollup(D.dense_log(spark, sf), k=10, grad_acc=3), ["avg_loss"])
 
 
 # --- S*, J10 sources, sinks, streaming -------------------------------------------------
@@ -545,9 +585,8 @@ def ppo_slices(spark, sf):
 @query("stage_counts")
 def stage_counts(spark, sf):
     chats = _chats(spark, sf)
-    return ROWS.stage_counts({"chats": chats,
-                              "under_200_words": ROWS.word_budget(chats, 200),
-                              "under_100_words": ROWS.word_budget(chats, 100)})
+    n = chats.select(ROWS.chat_word_count("messages").alias("n"))
+    return ROWS.condition_counts(n, {"chats": F.lit(True), "under_200_words": F.col("n") < 200, "under_100_words": F.col("n") < 100})
 
 
 @query("judge_two_line")
@@ -556,6 +595,19 @@ def judge_two_line(spark, sf):
     return RESP.judge_two_line(r).select("qid", "attempt", "explanation", "score")
 
 
+@query("read_any_rejects")
+def read_any_rejects(spark, sf):
+    path = _scratch(spark, "chats-jsonl")
+    whole = F.to_json(F.struct("conv_id", "messages"))
+    lines = _chats(spark, sf).select(F.explode(F.when(F.col("conv_id") % 10 == 0, F.array(whole, F.concat(F.lit("{bad "), "conv_id")))
+                                               .otherwise(F.array(whole))).alias("value"))
+    lines.write.text(path)
+    good, bad = IO.read_checked(spark, path)
+    return good.select(F.lit("good").alias("status"), "conv_id", F.size("messages").cast("bigint").alias("n")).unionByName(
+        bad.groupBy().agg(F.lit("bad").alias("status"), F.lit(-1).cast("bigint").alias("conv_id"), F.count(F.lit(1)).alias("n"))
+        .select("status", "conv_id", "n"))
+
+
 # --- end-to-end evaluation ----------------------------------------------------
 
 def _evaluation(spark, sf):
@@ -569,6 +621,14 @@ def evaluation_cumulative(spark, sf):
                         "cumulative_auroc"])
 
 
+@query("evaluation_records")
+def evaluation_records(spark, sf):
+    # The judge never answered for every seventh question: they stay, with score 0.
+    replies = D.judge_replies(spark, sf).where(F.col("qid") % 7 != 0)
+    run = EVAL.EvaluationRun(D.eval_attempts(spark, sf), replies, batch_size=8, max_tries=2)
+    return run.records().select("qid", "response", "confidence", "correctness", "judged", r6("reward").alias("reward"))
+
+
 @query("evaluation_overall")
 def evaluation_overall(spark, sf):
     o = _evaluation(spark, sf).overall()

@@ -43,9 +43,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     corr = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(10.0))
             .when(F.col("quality") == 1, F.lit(5.0)).otherwise(F.lit(2.0)))
     k = F.col("doc_id") % 3
-    gtext = (F.when(k == 0, F.substring("text", 12, 5))
-             .when(k == 1, F.concat(F.lit(" "), F.substring("text", 20, 4), F.lit("\t")))
-             .otherwise(F.substring("text", 100, 8)))
+    gtext = (F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit(" "), F.col("text"), F.lit("\t")))
+             .otherwise(F.concat(F.col("text"), F.lit(" and more"))))
     return lab.join(doc, "doc_id").select(F.col("doc_id").alias("qid"), corr.alias("correctness"),
                                           gtext.alias("gold_text"))
 
@@ -202,6 +201,38 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("value") / 500.0).alias("value"))
 
 
+def dense_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, step, rank, value: 20 runs with two ranks, steps 1, 2, ... without gaps, from ``events``.
+
+    The number of steps is not a multiple of ten, and in some runs one rank
+    stops a step before the other.
+    """
+    from pyspark.sql import Window
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    run = F.col("event_id") % 20
+    i = F.row_number().over(Window.partitionBy(run).orderBy("event_id")) - 1
+    return e.select(run.alias("run_id"), (F.floor(i / 2) + 1).cast("bigint").alias("step"), (i % 2).cast("int").alias("rank"),
+                    (F.col("value") / 500.0).alias("value"))
+
+
+def five_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, attempt, response: first answer, three retries and the forced attempt, from ``events``."""
+    eid = F.col("event_id")
+    resp = F.concat(F.lit("draft "), _s(eid),
+                    F.when(eid % 6 == 0, F.concat(F.lit(" Confidence: "), _s(eid % 11)))
+                    .when(eid % 13 < 5, F.lit(" I am sure")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "events").select(F.floor(eid / 5).cast("bigint").alias("qid"), (eid % 5).cast("int").alias("attempt"),
+                                                 resp.alias("response"))
+
+
+def wide_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_orderstatus, confidence (thousands of values, some null), correctness from ``orders``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_totalprice")
+    conf = F.when(F.col("o_orderkey") % 29 != 0, F.floor("o_totalprice") % 6007)
+    return o.select("o_orderkey", "o_orderstatus", conf.cast("double").alias("confidence"),
+                    (F.col("o_custkey") % 11).cast("double").alias("correctness"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, content from ``conversations``."""
     c = table(spark, sf_dir, "conversations")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veracity.operators import metrics as MET
 from veracity.operators import responses as RESP
 from veracity.operators.rows import with_batches
+from veracity.sources.io import to_metric_log
 
 
 def scored_run(attempts: DataFrame, judge_replies: DataFrame, max_tries: int = 3, mode: str = "main",
@@ -23,7 +24,7 @@ def scored_run(attempts: DataFrame, judge_replies: DataFrame, max_tries: int = 3
     parsed = RESP.parse_responses(resolved, mode)
     judged = RESP.judge_scores(judge_replies, judge_tries, key).select(
         key, F.col("score").cast("double").alias("correctness"))
-    return RESP.score_responses(parsed, judged, key)
+    return RESP.score_responses(parsed, judged, key, unjudged="zero")  # a failed judge scores 0
 
 
 class EvaluationRun:
@@ -43,11 +44,14 @@ class EvaluationRun:
 
     def batched(self) -> DataFrame:
         if self._batched is None:
-            self._batched = with_batches(self.scored, self.key, size=self.batch_size)
+            slim = self.scored.select(self.key, "confidence", "correctness")  # the index copies no text
+            self._batched = with_batches(slim, self.key, size=self.batch_size)
         return self._batched
 
-    def records(self) -> DataFrame:
-        return self.scored.select(self.key, "response", "confidence", "correctness", "reward")
+    def records(self, questions: DataFrame | None = None) -> DataFrame:
+        """Result rows; with ``questions`` (key, question, best_answer, correct_answers) also those."""
+        out = self.scored.select(self.key, "response", "confidence", "correctness", "judged", "reward")
+        return out if questions is None else questions.join(out, self.key)
 
     def batches(self) -> DataFrame:
         return MET.batch_metrics(self.batched())
@@ -56,5 +60,11 @@ class EvaluationRun:
         b = self.batched()
         return MET.cumulative_metrics(b).join(MET.cumulative_auroc(b), "batch_id")
 
+    def metric_log(self, run_id: str) -> DataFrame:
+        """Per-batch and cumulative metrics as (run_id, step, metric, value) rows."""
+        names = ["ece", "accuracy", "conf_pos", "conf_neg"]
+        both = self.batches().join(self.cumulative(), "batch_id")
+        return to_metric_log(both, run_id, "batch_id", [*names, *[f"cumulative_{m}" for m in [*names, "auroc"]]])
+
     def overall(self, group_cols=()) -> DataFrame:
         return MET.calibration_report(self.scored, group_cols)

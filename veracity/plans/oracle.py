@@ -1,13 +1,16 @@
 """DuckDB oracle SQL for every query of ``plans/catalog.py``.
 
-Written independently of the Spark code, against the same driver tables
-(pre-registered views).  Python string helpers below only spell out
+Written against the same driver tables (pre-registered views) and importing
+nothing from the Spark code; the rules of the operators and of the derived
+views are stated again here.  Python string helpers below only spell out
 repeated SQL fragments (Python ``strip`` / ``find`` / slicing rules).
 """
 
 from __future__ import annotations
 
-from veracity.functions.markers import PY_WHITESPACE_CLASS as WS
+# Whitespace as Python's str.strip() knows it, as a regex class.
+WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NOT_WS = WS.replace("[", "[^", 1)
 
 ORACLE: dict[str, str] = {}
 
@@ -66,9 +69,9 @@ GOLD = """
 gold AS (
   SELECT l.doc_id AS qid,
          CAST(CASE WHEN quality = 1 AND toxic = 0 THEN 10.0 WHEN quality = 1 THEN 5.0 ELSE 2.0 END AS DOUBLE) AS correctness,
-         CASE WHEN l.doc_id % 3 = 0 THEN substring(d.text, 12, 5)
-              WHEN l.doc_id % 3 = 1 THEN ' ' || substring(d.text, 20, 4) || chr(9)
-              ELSE substring(d.text, 100, 8) END AS gold_text
+         CASE WHEN l.doc_id % 3 = 0 THEN d.text
+              WHEN l.doc_id % 3 = 1 THEN ' ' || d.text || chr(9)
+              ELSE d.text || ' and more' END AS gold_text
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 )"""
 
@@ -253,9 +256,10 @@ FROM parsed p JOIN gold g ON p.qid = g.qid
 """
 
 _NTAIL = pyslice("response", f"{find('response', 'Confidence:')} + 11", None)
+_AFTER = f"regexp_replace({_NTAIL}, '^{NOT_WS}*', '')"  # what follows the token that completes the marker
 ORACLE["nonsense_penalty"] = with_(RESPONSES, GOLD, GOLD_SCORES, PARSED, SCORED) + f"""
-SELECT qid, coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true) AS nonsense,
-       (floor(CASE WHEN coalesce(NOT contains(response, 'Confidence:') OR {strip(_NTAIL)} = '', true)
+SELECT qid, coalesce(NOT contains(response, 'Confidence:') OR {strip(_AFTER)} = '', true) AS nonsense,
+       (floor(CASE WHEN coalesce(NOT contains(response, 'Confidence:') OR {strip(_AFTER)} = '', true)
                   THEN -1.0 ELSE reward END * 1e6 + 0.5) / 1e6) AS reward
 FROM scored
 """
@@ -691,7 +695,7 @@ ratings AS (
 
 ORACLE["rating_extract"] = with_(RATINGS, _ratings(4)) + "SELECT * FROM ratings"
 
-ORACLE["rating_mean"] = with_(RATINGS, _ratings(3)) + f"""
+ORACLE["rating_mean"] = with_(RATINGS, _ratings(4)) + f"""
 SELECT {rnd('avg(numerical_score) FILTER (WHERE parsed)')} AS mean_score,
        count(*) FILTER (WHERE parsed) AS n_parsed, count(*) AS n_questions
 FROM ratings
@@ -807,11 +811,105 @@ FROM (SELECT *, min(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN
 WHERE value < least(1.0, coalesce(pm, 1.0))
 """
 
-ORACLE["loss_rollup"] = with_(RUN_LOG) + f"""
-SELECT run_id, CAST(((step - 1) // 10 + 1) * 10 AS BIGINT) AS log_step,
-       {rnd('sum(value) / count(DISTINCT rank) / 4 / 10')} AS avg_loss,
-       count(DISTINCT rank) AS n_ranks, count(*) AS n_rows
-FROM run_log GROUP BY run_id, (step - 1) // 10
+# A window is logged when its last step has been completed, by all ranks (each sums its own steps).
+ORACLE["loss_rollup"] = f"""
+WITH numbered AS (SELECT event_id % 20 AS run_id, value / 500.0 AS value,
+                         row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) - 1 AS i FROM events),
+dense AS (SELECT run_id, i // 2 + 1 AS step, i % 2 AS rank, value FROM numbered),
+ranks AS (SELECT run_id, count(DISTINCT rank) AS n_ranks FROM dense GROUP BY run_id),
+done AS (SELECT run_id, min(last) AS last FROM (SELECT run_id, rank, max(step) AS last FROM dense GROUP BY ALL) z GROUP BY run_id)
+SELECT d.run_id, CAST(((step + 9) // 10) * 10 AS BIGINT) AS log_step, {rnd('sum(value) / any_value(n_ranks) / 3 / 10')} AS avg_loss,
+       any_value(n_ranks) AS n_ranks, count(*) AS n_rows
+FROM dense d JOIN ranks r ON d.run_id = r.run_id JOIN done e ON d.run_id = e.run_id
+WHERE ((step + 9) // 10) * 10 <= e.last
+GROUP BY d.run_id, (step + 9) // 10
+"""
+
+ORACLE["response_mask_subwords"] = with_(TURNS) + """
+, t AS (SELECT conv_id, turn, content || CASE WHEN turn % 3 = 2 THEN '' ELSE ' Confidence:' END
+               || CASE WHEN turn % 3 = 0 THEN ' 7 of 10' ELSE '' END AS text FROM turns WHERE role = 'assistant'),
+m AS (SELECT conv_id, turn, CAST((length(text) + 2) // 3 AS BIGINT) AS n_tokens,
+             CASE WHEN strpos(text, 'Confidence:') > 0 THEN (strpos(text, 'Confidence:') + 10 + 2) // 3 END AS pos FROM t)
+SELECT conv_id, turn, n_tokens, CAST(CASE WHEN pos < n_tokens THEN pos END AS INTEGER) AS first_idx,
+       NOT coalesce(pos < n_tokens, false) AS nonsense,
+       CAST(CASE WHEN pos < n_tokens THEN n_tokens - pos ELSE n_tokens END AS BIGINT) AS n_ones
+FROM m
+"""
+
+ORACLE["read_any_rejects"] = with_(TURNS) + """
+SELECT 'good' AS status, conv_id, count(*) AS n FROM turns GROUP BY conv_id
+UNION ALL SELECT 'bad', -1, count(DISTINCT conv_id) FROM turns WHERE conv_id % 10 = 0
+"""
+
+WIDE = """
+wide AS (
+  SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 29 <> 0 THEN CAST(floor(o_totalprice) % 6007 AS DOUBLE) END AS confidence,
+         CAST(o_custkey % 11 AS DOUBLE) AS correctness, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS BIGINT) AS batch_id
+  FROM orders
+)"""
+
+# Every pair of a right and a wrong row counts from the batch on that holds the later of the two.
+ORACLE["auroc_cumulative_wide"] = with_(WIDE) + f"""
+, pairs AS (SELECT p.o_orderstatus, greatest(p.batch_id, n.batch_id) AS batch_id,
+                   sum(CASE WHEN p.confidence > n.confidence THEN 1.0 WHEN p.confidence = n.confidence THEN 0.5 ELSE 0.0 END) AS u
+            FROM wide p JOIN wide n ON p.o_orderstatus = n.o_orderstatus AND p.correctness >= 7 AND n.correctness < 7
+            WHERE p.confidence IS NOT NULL AND n.confidence IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT o_orderstatus, batch_id, count(*) FILTER (WHERE correctness >= 7 AND confidence IS NOT NULL) AS np,
+                 count(*) FILTER (WHERE correctness < 7 AND confidence IS NOT NULL) AS nn, count(*) FILTER (WHERE confidence IS NULL) AS nu
+          FROM wide GROUP BY ALL),
+run AS (SELECT s.o_orderstatus, s.batch_id, sum(coalesce(u, 0)) OVER w AS u, sum(np) OVER w AS np, sum(nn) OVER w AS nn, sum(nu) OVER w AS nu
+        FROM sizes s LEFT JOIN pairs p ON s.o_orderstatus = p.o_orderstatus AND s.batch_id = p.batch_id
+        WINDOW w AS (PARTITION BY s.o_orderstatus ORDER BY s.batch_id))
+SELECT o_orderstatus, batch_id, {rnd('CASE WHEN np * nn > 0 THEN u / (np * nn) ELSE 0.0 END')} AS cumulative_auroc,
+       CAST(nu AS BIGINT) AS n_null
+FROM run
+"""
+
+ORACLE["batches_with_nulls"] = with_(WIDE) + f"""
+SELECT o_orderstatus, batch_id, count(*) AS n,
+       {rnd('coalesce(avg(abs(confidence - correctness)), 0.0) / 10.0')} AS ece, {rnd('avg(correctness) / 10.0')} AS accuracy,
+       {rnd('coalesce(avg(confidence) FILTER (WHERE correctness >= 7), 0.0) / 10.0')} AS conf_pos,
+       {rnd('coalesce(avg(confidence) FILTER (WHERE correctness <= 3), 0.0) / 10.0')} AS conf_neg
+FROM wide GROUP BY o_orderstatus, batch_id
+"""
+
+FIVE = """
+five AS (
+  SELECT CAST(floor(event_id / 5) AS BIGINT) AS qid, CAST(event_id % 5 AS INTEGER) AS attempt,
+         'draft ' || CAST(event_id AS VARCHAR) || CASE WHEN event_id % 6 = 0 THEN ' Confidence: ' || CAST(event_id % 11 AS VARCHAR)
+              WHEN event_id % 13 < 5 THEN ' I am sure' ELSE '' END AS response
+  FROM events
+)"""
+
+
+def _resolved_five(kept_retry: str) -> str:
+    """First answer or retry with a confidence; else the third retry if ``kept_retry``; else the last attempt."""
+    return with_(FIVE) + f"""
+, chosen AS (SELECT qid, count(*) AS n_attempts, max(attempt) AS last,
+                    min(attempt) FILTER (WHERE attempt <= 3 AND contains(response, 'Confidence:')) AS good,
+                    min(attempt) FILTER (WHERE attempt = 3 AND ({kept_retry})) AS retry FROM five GROUP BY qid)
+SELECT c.qid, f.attempt, f.response, n_attempts, good IS NOT NULL AS resolved
+FROM chosen c JOIN five f ON c.qid = f.qid AND f.attempt = coalesce(good, retry, last)
+"""
+
+
+ORACLE["resolve_attempts_five"] = _resolved_five(
+    "contains(response, 'Confidence:') OR contains(response, 'I am sure') OR contains(response, 'I am unsure')")
+ORACLE["resolve_attempts_ppo"] = _resolved_five("contains(response, 'Confidence:')")
+
+ORACLE["truncate_literal"] = """
+WITH dr AS (
+  SELECT doc_id AS qid, CASE doc_id % 4
+      WHEN 0 THEN '<pad><pad>[INST] q [/INST] ' || text || ' Confidence: ' || CAST(doc_id % 11 AS VARCHAR) || ' and more text'
+      WHEN 1 THEN '[INST] q [/INST] ' || text || ' I am sure. tail'
+      WHEN 2 THEN text || '<pad>'
+      ELSE '[INST] q [/INST]' || text END AS response
+  FROM documents),
+t AS (SELECT qid, response, strpos(response, '[/INST]') AS tag,
+             strpos(substring(response, strpos(response, '[/INST]') + 7), 'I am') AS hit FROM dr)
+SELECT qid, CASE WHEN tag > 0 AND hit > 0 THEN substring(response, 1, tag + 6 + hit + 3) ELSE response END AS truncated,
+       (tag > 0 AND hit > 0 AND length(response) > tag + 6 + hit + 3) AS was_truncated
+FROM t
 """
 
 
@@ -933,6 +1031,13 @@ SEL = f"""n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos'
        {rnd('conf_neg')} AS conf_neg, n_out_of_range, {rnd('mean_reward')} AS mean_reward,
        {rnd('a.auroc')} AS auroc"""
 
+ORACLE["evaluation_records"] = with_(JUDGE, EVAL) + f"""
+, ez AS (SELECT p.qid, response, confidence, coalesce(g.correctness, 0.0) AS correctness, g.qid IS NOT NULL AS judged
+         FROM eparsed p LEFT JOIN (SELECT * FROM ejudge WHERE qid % 7 <> 0) g ON p.qid = g.qid)
+SELECT p.qid, p.response, p.confidence, p.correctness, p.judged, {rnd(REWARD)} AS reward
+FROM ez p JOIN ez g ON p.qid = g.qid
+"""
+
 ORACLE["evaluation_overall"] = with_(JUDGE, EVAL) + f"""
 SELECT {SEL}
 FROM (SELECT {REPORT_AGG}

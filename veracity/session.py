@@ -32,10 +32,10 @@ def get_spark(master: str | None = None, app: str = "veracity",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("VERACITY_DRIVER_MEMORY", "16g"))
-        .config("spark.checkpoint.dir",
-                os.environ.get("VERACITY_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="veracity-ckpt-"))
-        .getOrCreate()
     )
+    if os.environ.get("VERACITY_CHECKPOINT_DIR"):
+        spark = spark.config("spark.checkpoint.dir", os.environ["VERACITY_CHECKPOINT_DIR"])
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
@@ -55,7 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    # Unset (a session built elsewhere for tests): a private scratch folder.
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # Unset (a local session built elsewhere for tests): a private scratch folder.
     local = tempfile.mkdtemp(prefix="veracity-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

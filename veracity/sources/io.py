@@ -7,11 +7,12 @@ removes the every-rank-writes-the-same-file race of the original.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_columnar_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -45,41 +46,76 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None =
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Pick the reader by sniffing the file shape on the driver (first bytes only)."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    if fs.getFileStatus(jvm_path).isDirectory():  # a folder of part files: sniff the first data file
-        parts = sorted(st.getPath().toString() for st in fs.listStatus(jvm_path)
+HEAD_BYTES = 1 << 20
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """Up to ``HEAD_BYTES`` of the file, or of the first data file of a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    if fs.getFileStatus(where).isDirectory():
+        parts = sorted(st.getPath().toString() for st in fs.listStatus(where)
                        if st.isFile() and st.getLen() > 0
                        and not st.getPath().getName().startswith(("_", ".")))
         if not parts:
             raise ValueError(f"no data files under {path}")
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parts[0])  # noqa: SLF001
-    stream = fs.open(jvm_path)
-    try:
-        head = bytearray()
-        while len(head) < 4096:
-            b = stream.read()
-            if b < 0:
-                break
-            if chr(b).strip():
-                head.append(b)
-                break
-    finally:
-        stream.close()
-    first = chr(head[0]) if head else ""
-    if first == "[":
-        return spark.read.option("multiLine", True).json(path)
-    if first == "{":
-        lines = spark.read.json(path)
-        if "_corrupt_record" in lines.columns:  # one pretty-printed object
-            return read_columnar_json(spark, path)
-        all_arrays = all(isinstance(f.dataType, ArrayType) for f in lines.schema.fields)
-        if all_arrays and lines.limit(2).count() == 1:  # one object of column lists
-            return read_columnar_json(spark, path)
-        return lines
-    return spark.read.parquet(path)
+        path = parts[0]
+    rows = (spark.read.format("binaryFile").load(path)
+            .select(F.substring("content", 1, HEAD_BYTES).alias("head")).limit(1).collect())
+    return bytes(rows[0]["head"]).decode("utf-8", "replace") if rows else ""
+
+
+def sniff_format(spark: SparkSession, path: str) -> str:
+    """``records``, ``columnar``, ``jsonl`` or ``parquet``, from the form of the first value alone.
+
+    An object whose first field is a list of plain values or of lists is
+    columnar; any other object is a record, on one line (``jsonl``) or spread
+    over several (``records``).  Neither the number of records nor a bad line
+    plays a part; a caller that knows better names the format.
+    """
+    head = _head(spark, path).lstrip("\ufeff \t\r\n")
+    if head.startswith("["):
+        return "records"
+    if not head.startswith("{"):
+        return "parquet"
+    field = re.match(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(\[\s*[^\s{\]])?', head)
+    if field and field[1]:
+        return "columnar"
+    first = head.split("\n", 1)[0].rstrip()
+    return "jsonl" if len(head) > len(first) and first.endswith("}") or "\n" not in head else "records"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of a file in any of the formats, and the lines that are not rows (``line``).
+
+    Bad lines of JSON Lines never change how the others are read; the other
+    formats are one value, so they are read whole or fail.
+    """
+    fmt = fmt or sniff_format(spark, path)
+    none = spark.createDataFrame([], "line string")
+    if fmt == "records":
+        return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path), none
+    if fmt == "columnar":
+        return read_columnar_json(spark, path), none
+    if fmt == "parquet":
+        return spark.read.parquet(path), none
+    if fmt != "jsonl":
+        raise ValueError(f"unknown format {fmt!r}")
+    bad = "_corrupt_record"
+    inferred = [f for f in spark.read.json(path).schema.fields if f.name != bad]
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if not inferred:
+        return spark.createDataFrame([], StructType([])), lines.select(F.col("value").alias("line"))
+    schema = StructType([*inferred, StructField(bad, StringType())])
+    parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": bad}).alias("row"))
+    good = F.col("row").isNotNull() & F.col(f"row.{bad}").isNull()
+    return (parsed.filter(good).select(*[F.col(f"row.`{f.name}`") for f in inferred]),
+            parsed.filter(~good).select(F.col("value").alias("line")))
+
+
+def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """The good rows of ``read_checked``; use that to see the lines left out."""
+    return read_checked(spark, path, fmt)[0]
 
 
 def read_split(df: DataFrame, prefer: Sequence[str] = ("validation", "test"),
