@@ -116,17 +116,17 @@ def test_scorer_hook(spark):
 
 
 def test_stream_resumes_from_checkpoint(spark):
-    from veracity.streaming.calibration import stream_calibration, report_from_histogram
+    from veracity.streaming.calibration import latest_histogram, report_from_histogram, stream_calibration
     d = tempfile.mkdtemp(prefix="veracity-stream-")
     src, sink, ck = os.path.join(d, "in"), os.path.join(d, "hist"), os.path.join(d, "ck")
     schema = "confidence double, correctness double"
     spark.createDataFrame([(8.0, 10.0), (2.0, 0.0)], schema).coalesce(1).write.parquet(os.path.join(src, "p1"))
     stream = lambda: spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
     stream_calibration(stream(), sink, ck).awaitTermination()
-    assert spark.read.parquet(sink).agg(F.sum("cnt")).first()[0] == 2
+    assert latest_histogram(spark, sink).agg(F.sum("cnt")).first()[0] == 2
     spark.createDataFrame([(9.0, 10.0)], schema).coalesce(1).write.parquet(os.path.join(src, "p2"))
     stream_calibration(stream(), sink, ck).awaitTermination()  # same checkpoint: only the new file is read
-    rep = report_from_histogram(spark.read.parquet(sink)).first()
+    rep = report_from_histogram(latest_histogram(spark, sink)).first()
     assert rep.n == 3 and rep.auroc == 1.0
 
 

@@ -2,9 +2,10 @@
 
 Scored rows arrive as a stream; the running state is a histogram of
 (confidence, correctness) pairs with counts, so state grows with the number
-of distinct values, not with rows.  Every micro-batch replaces the histogram
-table in the sink (complete output, idempotent per epoch); the checkpoint
-keeps the source position and the state, so a restarted query resumes where
+of distinct values, not with rows.  Every micro-batch writes the whole histogram
+to a folder of its own epoch (written again alike if the epoch is retried), and
+readers take the last complete one, so no reader sees a table in the making; the
+checkpoint keeps the source position and the state, so a restarted query resumes where
 it stopped.  The report (gap, accuracy, conf_pos/neg, AUROC) is computed from
 the histogram with the batch formulas.
 
@@ -33,11 +34,11 @@ def histogram(scored: DataFrame, group_cols=()) -> DataFrame:
 def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str,
                        group_cols=(), available_now: bool = True,
                        processing_time: str | None = None) -> StreamingQuery:
-    """Start the running-histogram query; each epoch overwrites the histogram table."""
+    """Start the running-histogram query; each epoch has a folder below ``sink_path``."""
     hist = histogram(scored_stream, group_cols)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+        batch.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
 
     w = hist.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     if processing_time:
@@ -47,6 +48,21 @@ def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str
     return w.start()
 
 
+def latest_histogram(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The histogram of the last epoch that was written completely.
+
+    An epoch counts once its commit marker is there, which Spark writes last.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    fs = hadoop(sink_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    folders = [f.getPath() for f in fs.listStatus(hadoop(sink_path)) if f.getPath().getName().startswith("epoch=")]
+    done = [int(f.getName()[len("epoch="):]) for f in folders if fs.exists(hadoop(f, "_SUCCESS"))]
+    last = max(done, default=None)
+    if last is None:
+        raise ValueError(f"no epoch has been written below {sink_path}")
+    return spark.read.parquet(f"{sink_path}/epoch={last}")
+
+
 def stream_records(stream_df: DataFrame, path: str, checkpoint: str, fmt: str = "json",
                    available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """ST2/ST3: append each micro-batch's rows to a file sink.
@@ -85,4 +101,4 @@ def run_to_report(spark: SparkSession, scored_stream: DataFrame, work_dir: str,
     sink = os.path.join(work_dir, "histogram")
     q = stream_calibration(scored_stream, sink, os.path.join(work_dir, "checkpoint"), group_cols)
     q.awaitTermination()
-    return report_from_histogram(spark.read.parquet(sink), group_cols)
+    return report_from_histogram(latest_histogram(spark, sink), group_cols)
