@@ -8,6 +8,9 @@ may be wrong and hashing the others turns that into equality of keys.  No pair w
 distance is missed: for sets of similarity 0.85 the default distance is 4.3 standard
 deviations above the expected one.
 
+Pairs so found are sifted by a longer signature, which tells similarities apart more
+sharply; pairs at the threshold pass it with the same certainty.
+
 Documents with equal sets are one node from the start.  Within a key only the pairs with
 its first node are compared at first; the links found there join components, and then
 only pairs of one key whose components still differ are looked at, in blocks.  Every link
@@ -29,6 +32,10 @@ from veracity.llm.common import (Rolling, chunks, components, documents, given_i
 SHINGLE = 5
 POSITIONS = 64
 DISTANCE = 22
+#: Further positions of 8 bits, which only sift the pairs that the first ones found.
+SIFTING = 448
+#: Standard deviations above the expected distance at which a pair is ruled out.
+DEVIATIONS = 4.4
 #: Errors enumerated within a chunk.
 ERRORS = 1
 #: Nodes of one key that are compared in one piece; larger keys are split in blocks of half of it.
@@ -72,13 +79,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         roll, seq = _rolls()
-        seeds = mix(np.arange(1, POSITIONS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        seeds = mix(np.arange(1, POSITIONS + SIFTING + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for part in chunks(batches, "text"):
             s, at = shingle_sets(*raw(part.column(1)), roll, seq)
             n = np.diff(at)
             full = np.flatnonzero(n)
             f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            sig = np.zeros((len(n), POSITIONS), "<u2")
+            sig = np.zeros((len(n), POSITIONS + SIFTING), "<u2")
             if len(full):
                 f1[full] = np.add.reduceat(mix(s), at[full])
                 f2[full] = np.add.reduceat(mix(s ^ np.uint64(0x5851F42D4C957F2D)), at[full])
@@ -87,7 +94,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sig[full, j] = mix(least) >> np.uint64(48)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                 pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                 pa.array([x[:POSITIONS].tobytes() + k.tobytes() + x[POSITIONS:].astype(np.uint8).tobytes()
+                           for x, k in zip(sig, n.astype("<u4"))], pa.binary())],
+                ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
     rows = docs.select(known_id(F.col("doc_id")).alias("doc_id"), F.col("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
@@ -100,7 +109,7 @@ def keys(nodes: DataFrame, distance: int = DISTANCE, errors: int = ERRORS) -> Da
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS).astype(np.uint64)
+            sig = _signs(b.column(1))[0].astype(np.uint64)
             each = mix(sig + (np.arange(POSITIONS).astype(np.uint64) << np.uint64(16)) + np.uint64(1))
             for c, (at, allowed) in enumerate(chunk_plan):
                 whole = each[:, at].sum(1, dtype=np.uint64)
@@ -111,17 +120,41 @@ def keys(nodes: DataFrame, distance: int = DISTANCE, errors: int = ERRORS) -> Da
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, d) of the pairs whose signatures differ in at most ``distance`` positions."""
+def _signs(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and sifting positions of a column of signatures, and the sizes of the sets."""
+    head = 2 * POSITIONS
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), head + 4 + SIFTING)
+    return (np.ascontiguousarray(flat[:, :head]).view("<u2"), flat[:, head + 4:],
+            np.ascontiguousarray(flat[:, head:head + 4]).view("<u4")[:, 0].astype(np.int64))
+
+
+def _apart(x, y, distance: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each pair of rows over the first positions, and whether the pair may be a link.
+
+    Sets whose sizes alone rule the similarity out are no link either.
+    """
+    d = (x[0] != y[0]).sum(1)
+    ok = (d <= distance) & (share[1] * np.minimum(x[2], y[2]) >= share[0] * np.maximum(x[2], y[2]))
+    ok[ok] = d[ok] + (x[1][ok] != y[1][ok]).sum(1) <= sifting(share)
+    return d.astype(np.int32), ok
+
+
+def sifting(share: tuple[int, int]) -> int:
+    """Largest distance over all positions at which a pair of similarity ``share`` is still expected."""
+    s, n = share[0] / share[1], POSITIONS + SIFTING
+    return int(np.ceil(n * (1 - s) + DEVIATIONS * np.sqrt(n * s * (1 - s))))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b, d) of the pairs whose signatures are near."""
     sig = nodes.select("node", "sig")
     both = (pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
             .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b"))
 
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), "<u2").reshape(-1, POSITIONS) for k in (2, 3))
-            d = (x != y).sum(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], ["a", "b", "d"]).filter(pa.array(d <= distance))
+            d, ok = _apart(_signs(t.column(2)), _signs(t.column(3)), distance, share)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], ["a", "b", "d"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long, d int")
 
@@ -164,8 +197,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: tuple
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b): pairs of one key with different roots and signatures within ``distance``.
+def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of one key with different roots and near signatures.
 
     ``rows`` has key, n (nodes of the key), node, root, sig.  A large key is dealt in blocks,
     every pair of blocks being a piece of its own, so no task holds more than ``BLOCK`` of them.
@@ -193,7 +226,7 @@ def _across(rows: DataFrame, distance: int) -> DataFrame:
     def found(t):
         t = t.combine_chunks()
         key, i, j, own, node, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "root"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
+        sig = _signs(t.column("sig"))
         end = np.append(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(key))
         left = np.repeat(end, np.diff(np.concatenate([[0], end]))) - np.arange(len(key))  # rows of the piece from here on
         for step in range(1, int(left.max())):
@@ -202,7 +235,7 @@ def _across(rows: DataFrame, distance: int) -> DataFrame:
             ok = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
             x, y = x[ok], y[ok]
             if len(x):
-                ok = (sig[x] != sig[y]).sum(1) <= distance
+                ok = _apart([v[x] for v in sig], [v[y] for v in sig], distance, share)[1]
                 x, y = node[x[ok]], node[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -224,7 +257,7 @@ def near_groups(docs: DataFrame, share: tuple[int, int] = (85, 100), distance: i
     shared = keys(nodes, distance).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
     member = stored(keys(nodes, distance).join(shared.select("key", "hub", "n"), "key"), "members")
     star = member.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    close = stored(_near(star, nodes, distance), "close")
+    close = stored(_near(star, nodes, distance, share), "close")
     first = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     links = stored(_confirmed(first, docs, nodes, share), "links")
     roots = components(links)
@@ -232,7 +265,7 @@ def near_groups(docs: DataFrame, share: tuple[int, int] = (85, 100), distance: i
     rooted = member.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig"), "node")
-    rest = stored(_across(open_rows, distance).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = stored(_across(open_rows, distance, share).join(first, ["a", "b"], "left_anti"), "rest")
     more = stored(_confirmed(rest, docs, nodes, share), "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
