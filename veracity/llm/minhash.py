@@ -102,20 +102,45 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
+def key_plan(distance: int, errors: int) -> list[tuple[int, list[int]]]:
+    """(number, positions that must agree) of every key of a signature, in order."""
+    ways = [(c, k, sorted(set(at) - set(wrong))) for c, (at, allowed) in enumerate(plan(POSITIONS, distance, errors))
+            for k, wrong in enumerate(combinations(at, allowed))]
+    return [((c << 32) + (k << 8) + 1, at) for c, k, at in ways]
+
+
+def _named(sig: np.ndarray) -> np.ndarray:
+    """A fingerprint of each value and its position."""
+    return mix(sig.astype(np.uint64) + (np.arange(POSITIONS).astype(np.uint64) << np.uint64(16)) + np.uint64(1))
+
+
+def _key(each: np.ndarray, way: tuple[int, list[int]]) -> np.ndarray:
+    return mix(each[:, way[1]].sum(1, dtype=np.uint64) + np.uint64(way[0]))
+
+
+def _first_key(x: np.ndarray, y: np.ndarray, ways) -> np.ndarray:
+    """The first key that each pair of signatures has in common (0 where there is none)."""
+    same, out = x == y, np.zeros(len(x), np.uint64)
+    todo = np.arange(len(x))
+    for way in ways:
+        hit = same[todo][:, way[1]].all(1)
+        out[todo[hit]] = _key(_named(x[todo[hit]]), way)
+        todo = todo[~hit]
+        if not len(todo):
+            break
+    return out
+
+
 def keys(nodes: DataFrame, distance: int = DISTANCE, errors: int = ERRORS) -> DataFrame:
     """(key, node): equal keys for all nodes whose signatures differ in at most ``distance`` positions."""
-    chunk_plan = plan(POSITIONS, distance, errors)
+    ways = key_plan(distance, errors)
 
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy()
-            sig = _signs(b.column(1))[0].astype(np.uint64)
-            each = mix(sig + (np.arange(POSITIONS).astype(np.uint64) << np.uint64(16)) + np.uint64(1))
-            for c, (at, allowed) in enumerate(chunk_plan):
-                whole = each[:, at].sum(1, dtype=np.uint64)
-                for k, wrong in enumerate(combinations(at, allowed)):
-                    key = mix(whole - each[:, list(wrong)].sum(1, dtype=np.uint64) + np.uint64((c << 32) + (k << 8) + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+            each = _named(_signs(b.column(1))[0])
+            for way in ways:
+                yield pa.RecordBatch.from_arrays([pa.array(_key(each, way).view(np.int64)), pa.array(node)], ["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
@@ -198,11 +223,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: tuple
 
 
 def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of one key with different roots and near signatures.
+    """(a, b): pairs of one key with different roots and near signatures, each given by its first common key alone.
 
     ``rows`` has key, n (nodes of the key), node, root, sig.  A large key is dealt in blocks,
     every pair of blocks being a piece of its own, so no task holds more than ``BLOCK`` of them.
     """
+    ways = key_plan(distance, ERRORS)
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pieces = (rows.withColumn("blocks", blocks).withColumn("own", own)
@@ -236,6 +262,8 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
             x, y = x[ok], y[ok]
             if len(x):
                 ok = _apart([v[x] for v in sig], [v[y] for v in sig], distance, share)[1]
+                x, y = x[ok], y[ok]
+                ok = _first_key(sig[0][x], sig[0][y], ways) == key[x].view(np.uint64)
                 x, y = node[x[ok]], node[y[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
