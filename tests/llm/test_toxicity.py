@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +65,44 @@ def test_stage_removes_what_is_predicted(spark):
     out = X.toxicity_stage(spark, docs, SF_TINY)
     rejected = X.op3_toxicity(spark, SF_TINY).where("predicted = 1").count()
     assert out.columns == docs.columns and out.count() == docs.count() - rejected
+
+
+def test_no_gram_is_dropped(spark):
+    """The ratios of grams of a corpus with many distinct ones, against a direct computation."""
+    rng = np.random.default_rng(4)
+    spelt = ["".join(map(chr, w)) for w in rng.integers(97, 123, (120_000, 5))]
+    rows = [(i, " ".join(spelt[200 * i:200 * i + 200])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    m = X.train(docs, labels)
+
+    types, of = set(), (Counter(), Counter())
+    for i, t in rows:
+        fold = zlib.crc32(str(i).encode()) % 4
+        grams = [("\0" * 5 + w)[k + 1:k + 6] for w in t.split() for k in range(5)] if fold != 2 else []
+        types.update(grams)
+        if fold < 2:
+            of[i % 2].update(grams)
+
+    def terms(n):
+        total, kinds = Counter(), Counter()
+        for g, k in n.items():
+            total[g[:-1]] += k
+            kinds[g[:-1]] += 1
+        return lambda g, p: (max(n[g] - .95, 0) + .95 * kinds[g[:-1]] * p) / total[g[:-1]] if total[g[:-1]] else p
+
+    lower, below = [], types
+    for _ in range(4):
+        n = Counter(g[1:] for g in below)
+        lower.append(terms(n))
+        below = set(n)
+    top = [terms(n) for n in of]
+    some = sorted(types)[::997]
+    want = []
+    for g in some:
+        p = 1 / 256
+        for k, f in enumerate(reversed(lower)):
+            p = f(g[4 - k:], p)
+        want.append(np.log(top[1](g, p)) - np.log(top[0](g, p)))
+    got = X._ratio(m, np.array([sum(ord(c) << 8 * j for j, c in enumerate(reversed(g))) for g in some], np.uint64))
+    assert len(types) > 150_000 and np.abs(got - want).max() < 1e-4

@@ -23,11 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, chunks, documents, fold, held_out, mix, raw, small_batches, word_hashes, words
+from veracity.llm.common import Rolling, chunks, documents, fold, held_out, raw, small_batches, word_hashes, words
 
 ORDER = 5
-#: Rows of the gram table; spellings that share a row share counts.
-BUCKETS = 1 << 19
 DISCOUNT = 0.95
 #: Units that a word must exceed to count, each with the rate added before its logarithm.
 EXCESS = {1.0: 0.01, 2.0: 0.003}
@@ -40,8 +38,22 @@ MAX_LABELLED = 200_000
 MAX_FITTED = 20_000
 
 
+class Terms:
+    """Numbers by gram, one for every gram that was counted; others have ``rest``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: float):
+        self.keys, self.values, self.rest = keys, values.astype(np.float32), np.float32(rest)
+
+    def __getitem__(self, gram: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(gram), self.rest)
+        at = np.minimum(np.searchsorted(self.keys, gram), len(self.keys) - 1)
+        return np.where(self.keys[at] == gram, self.values[at], self.rest)
+
+
 def _bucket(gram: np.ndarray, n: int) -> np.ndarray:
-    return (mix(gram * np.uint64(8) + np.uint64(n)) >> np.uint64(20)).astype(np.int64) % BUCKETS
+    """What ``Terms`` know a gram or context of order ``n`` by: the gram itself, each order having its own."""
+    return gram
 
 
 def _spell(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +87,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Gram tables of both classes, shared lower orders and the logistic curve.
 
     Documents of the held-out fold teach nothing; null texts, ids and labels are ignored.
-    The counts reach the driver as at most ``BUCKETS`` rows.
+    The counts reach the driver as one row for every distinct gram of the words, of which
+    there are far fewer than words; the tables are as long as that.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -106,13 +119,11 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             for lo in range(0, len(gram), 50_000):
                 s = slice(lo, lo + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_bucket(gram[s], ORDER).astype(np.int32)), pa.array(gram[s].astype(np.int64)), pa.array(t[s]), pa.array(o[s])],
-                    ["bucket", "gram", "toxic", "ordinary"])
+                    [pa.array(gram[s].astype(np.int64)), pa.array(t[s]), pa.array(o[s])], ["gram", "toxic", "ordinary"])
 
     learn = _texts(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))))
-    rows = (learn.mapInArrow(count, "bucket int, gram long, toxic long, ordinary long").groupBy("bucket")
-            .agg(F.min("gram").alias("gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-            .orderBy("bucket").toPandas())
+    rows = (learn.mapInArrow(count, "gram long, toxic long, ordinary long").groupBy("gram")
+            .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas().sort_values("gram"))
     model = _tables(rows["gram"].to_numpy(np.int64).astype(np.uint64), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float))
     model["curve"] = None
     fit_on = known[known["fold"] == 3].head(MAX_FITTED).sort_values("doc_id")
@@ -131,7 +142,7 @@ def _summed(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
 
 
 def _tables(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> dict:
-    """Kneser-Ney terms by bucket: for each order the discounted share and the weight of the next lower order."""
+    """Kneser-Ney terms by gram: for each order the discounted share and the weight of the next lower order."""
     model = {"ready": toxic.sum() > 0 and ordinary.sum() > 0, "top": [], "lower": []}
     for n in (toxic, ordinary):
         model["top"].append(_order(gram, n, ORDER))
@@ -142,16 +153,13 @@ def _tables(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> dict:
     return model
 
 
-def _order(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _order(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[Terms, Terms]:
     seen = n > 0
-    gram, n = gram[seen], n[seen]
-    at, ctx = _bucket(gram, order), _bucket(gram >> np.uint64(8), order - 1 + 8)
-    total = np.bincount(ctx, weights=n, minlength=BUCKETS)
-    kinds = np.bincount(ctx, minlength=BUCKETS)
-    share = np.zeros(BUCKETS, np.float32)
-    np.maximum.at(share, at, ((n - DISCOUNT).clip(0) / total[ctx]).astype(np.float32))
-    rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0).astype(np.float32)
-    return share, rest
+    gram, n = _bucket(gram[seen], order), n[seen]
+    contexts, ctx = np.unique(_bucket(gram >> np.uint64(8), order - 1 + 8), return_inverse=True)
+    total = np.bincount(ctx, weights=n, minlength=len(contexts))
+    kinds = np.bincount(ctx, minlength=len(contexts))
+    return Terms(gram, (n - DISCOUNT).clip(0) / total[ctx], 0.0), Terms(contexts, DISCOUNT * kinds / total, 1.0)
 
 
 def _ratio(model: dict, gram: np.ndarray) -> np.ndarray:
