@@ -101,3 +101,15 @@ def test_stage_keeps_one_of_each_group(spark, edge_docs):
     assert out.columns == edge_docs.columns
     ids = [r.doc_id for r in out.collect()]
     assert 1 in ids and 2 not in ids and 4 in ids and 5 in ids
+
+
+def test_rows_without_or_under_one_id_are_told_apart(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcd"}
+    rows = [(5, text["a"]), (None, text["a"] + " tail"), (None, text["b"]), (None, text["c"]), (None, text["c"]), (None, None),
+            (7, text["d"]), (7, text["b"] + " tail"), (None, text["d"])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    out = M.near_duplicate_stage(spark, docs, "").collect()
+    want = [(5, text["a"]), (7, text["b"] + " tail"), (None, text["c"]), (None, None), (7, text["d"])]
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(want, key=str)
+    groups = M.near_groups(docs).collect()
+    assert len(groups) == len(rows) and sum(r.kept for r in groups) == len(want)

@@ -38,6 +38,8 @@ SIFTING = 448
 DEVIATIONS = 4.4
 #: Errors enumerated within a chunk.
 ERRORS = 1
+#: Name of the column that numbers the rows inside the operator.
+ROW = "__row"
 #: Nodes of one key that are compared in one piece; larger keys are split in blocks of half of it.
 BLOCK = 2_048
 
@@ -74,14 +76,14 @@ def _rolls() -> tuple[Rolling, Rolling]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig): set size, 128-bit fingerprint of the set and signature."""
+    """(row, doc_id, n_shingles, f1, f2, sig): set size, 128-bit fingerprint of the set and signature."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         roll, seq = _rolls()
         seeds = mix(np.arange(1, POSITIONS + SIFTING + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for part in chunks(batches, "text"):
-            s, at = shingle_sets(*raw(part.column(1)), roll, seq)
+            s, at = shingle_sets(*raw(part.column(2)), roll, seq)
             n = np.diff(at)
             full = np.flatnonzero(n)
             f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -93,13 +95,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     least = np.minimum.reduceat((s ^ seed) * (seed | np.uint64(1)), at[full])
                     sig[full, j] = mix(least) >> np.uint64(48)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                  pa.array([x[:POSITIONS].tobytes() + k.tobytes() + x[POSITIONS:].astype(np.uint8).tobytes()
                            for x, k in zip(sig, n.astype("<u4"))], pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                ["row", "doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    rows = docs.select(known_id(F.col("doc_id")).alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    rows = docs.select(F.col(ROW).alias("row"), known_id(F.col("doc_id")).alias("doc_id"), F.col("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def key_plan(distance: int, errors: int) -> list[tuple[int, list[int]]]:
@@ -184,27 +186,20 @@ def _near(pairs: DataFrame, nodes: DataFrame, distance: int, share: tuple[int, i
     return both.mapInArrow(run, "a long, b long, d int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets have share[1] * intersection >= share[0] * union."""
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(known_id(F.col("doc_id")).alias("node"), "text").join(needed, "node", "left_semi")
+    texts = docs.select(F.col(ROW).alias("node"), "text").join(needed, "node", "left_semi")
 
     def sets(batches):
         roll, seq = _rolls()
         for part in chunks(batches, "text"):
             s, at = shingle_sets(*raw(part.column(1)), roll, seq)
-            print_, full = np.zeros(part.num_rows, np.uint64), np.flatnonzero(np.diff(at))
-            if len(full):
-                print_[full] = np.add.reduceat(mix(s), at[full])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(print_.view(np.int64)), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())],
-                ["node", "own_f1", "own"])
+                [part.column(0), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["node", "own"])
 
-    # A node whose id has several texts has a set for each; a pair is a link if any of them are.
-    own = (texts.select("node", "text").mapInArrow(sets, "node long, own_f1 long, own binary")
-           .join(nodes.select("node", "f1"), "node").where("own_f1 = f1").groupBy("node", "f1").agg(F.first("own").alias("own")))
-    own = stored(own.select("node", "own"), "sets")
+    own = stored(texts.select("node", "text").mapInArrow(sets, "node long, own binary"), "sets")
     both = (pairs.join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
             .join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").select("a", "b", "own_a", "own_b"))
 
@@ -271,37 +266,56 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, written so that it stays the same wherever it is read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def near_groups(docs: DataFrame, share: tuple[int, int] = (85, 100), distance: int = DISTANCE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for every row of ``docs``.
 
     ``component_id`` is the least doc_id of the group (itself included), ``kept`` says that
-    the row has it.  Null and empty texts have no shingles and stay alone.  Rows with a null
-    id rank after all others (a group of only such rows has a null component).  Rows that
-    repeat an id are one document: what any of their texts links to, all of them do.
+    the row is the one of its group that stays, which has that id.  Null and empty texts
+    have no shingles and stay alone.  Rows with a null id rank after all others (a group of
+    only such rows has a null component).  Ids only label the groups: rows under one id, or
+    without one, are as different as their texts.
+    """
+    return _grouped(numbered(docs.select("doc_id", "text")), share, distance).drop(ROW)
+
+
+def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFrame:
+    """``near_groups`` of numbered rows, with their numbers.
+
+    A node is named by the first row of its set, so different sets are different nodes.
     """
     signed = stored(signatures(docs), "signatures")
     nodes = stored(signed.where("n_shingles > 0").groupBy("f1", "f2")
-                   .agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "nodes")
+                   .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("sig").alias("sig"))
+                   .select("f1", "f2", "first", F.col("first.row").alias("node"), "sig"), "nodes")
     shared = keys(nodes, distance).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
     member = stored(keys(nodes, distance).join(shared.select("key", "hub", "n"), "key"), "members")
     star = member.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     close = stored(_near(star, nodes, distance, share), "close")
     first = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-    links = stored(_confirmed(first, docs, nodes, share), "links")
+    links = stored(_confirmed(first, docs, share), "links")
     roots = components(links)
 
     rooted = member.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig"), "node")
     rest = stored(_across(open_rows, distance, share).join(first, ["a", "b"], "left_anti"), "rest")
-    more = stored(_confirmed(rest, docs, nodes, share), "links")
+    more = stored(_confirmed(rest, docs, share), "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
-    named = nodes.join(roots, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("root"))
-    out = signed.join(named, ["f1", "f2"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select(given_id(F.col("doc_id")).alias("doc_id"), "n_shingles", given_id(root).alias("component_id"),
-                      (F.col("doc_id") == root).alias("kept"))
+    linked = nodes.select("node", "first").join(roots, "node")
+    labels = linked.groupBy("root").agg(F.min("first").alias("label"))
+    named = (nodes.join(roots, "node", "left").join(labels, "root", "left")
+             .select("f1", "f2", F.coalesce("label", "first").alias("label")))
+    out = signed.select("row", "doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    alone = F.col("n_shingles") == 0
+    label = F.when(alone, F.col("doc_id")).otherwise(F.col("label.doc_id"))
+    return out.select(F.col("row").alias(ROW), given_id(F.col("doc_id")).alias("doc_id"), "n_shingles",
+                      given_id(label).alias("component_id"), (alone | (F.col("row") == F.col("label.row"))).alias("kept"))
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +323,7 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the least id, of every group of similarity 0.8 or more."""
-    kept = near_groups(docs, share=(80, 100), distance=27).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Keep one row, that with the least id, of every group of similarity 0.8 or more."""
+    rows = numbered(docs)
+    kept = _grouped(rows, (80, 100), 27).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
