@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veracity.llm import bpe, embeddings, langid, minhash, packing, quality, recompress, sharding, toxicity, warc
+from veracity.llm import (bpe, embeddings, langid, minhash, packing, pieces, quality, recompress, sharding, spelling,
+                          toxicity, warc)
 
 QUERIES = {
     "op1_substring_dedup": recompress.op1_substring_dedup,
@@ -15,6 +16,8 @@ QUERIES = {
     "op6_language_id": langid.op6_language_id,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 ORACLE = {
