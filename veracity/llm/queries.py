@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veracity.llm import (bpe, embeddings, langid, minhash, packing, pieces, quality, recompress, sharding, spelling,
-                          toxicity, warc)
+                          toxicity, treap, warc)
 
 QUERIES = {
     "op1_substring_dedup": recompress.op1_substring_dedup,
@@ -18,9 +18,11 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_lexical_search": treap.op13_lexical_search,
 }
 
 ORACLE = {
     "op2_warc": warc.ORACLE_SQL,
     "op4_extendible_shards": sharding.ORACLE_SQL,
+    "op13_lexical_search": treap.ORACLE_SQL,
 }
