@@ -34,7 +34,7 @@ def test_no_python_in_plan(spark, name):
 
 
 def test_scan_prunes_columns(spark):
-    df = E.queries()["parse_main"](spark, SF_SMALL)
+    df = QUERIES["parse_main"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
 
@@ -66,30 +66,56 @@ def test_oracle(spark, con, name):
 
 
 def test_scan_pushes_filter(spark):
-    plan = _plan(E.queries()["response_mask"](spark, SF_SMALL))
+    plan = _plan(QUERIES["response_mask"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in plan
 
 
 def test_report_is_partially_aggregated(spark):
-    plan = _plan(E.queries()["calibration_batches"](spark, SF_SMALL))
+    plan = _plan(QUERIES["calibration_batches"](spark, SF_SMALL))
     assert "partial_count" in plan and "partial_sum" in plan
 
 
 def test_histogram_window_is_split(spark):
     """No window orders all distinct confidences in one partition: its keys hold the integer part."""
-    plan = _plan(E.queries()["calibration_overall"](spark, SF_SMALL))
+    plan = _plan(QUERIES["calibration_overall"](spark, SF_SMALL))
     assert "_b0" in plan
     for line in plan.splitlines():
         if "Window" in line and "conf" in line and "windowspecdefinition(" in line:
             assert "_b0" in line or "_b1" in line
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECT))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_single_partition_only_over_aggregates(spark, name):
     """A single-partition exchange may only gather already aggregated rows
     (partition counts, block totals, global aggregates), never raw rows."""
-    lines = _plan(E.queries()[name](spark, SF_SMALL)).split("\n")
+    lines = _plan(QUERIES[name](spark, SF_SMALL)).split("\n")
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1].strip().lstrip("+-: ")
             assert child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")), (name, child[:80])
+
+
+def test_every_test_module_imports():
+    """A module that fails to import would hide all its tests."""
+    import importlib.util
+    import pathlib
+    here = pathlib.Path(__file__).parent
+    for path in sorted(here.glob("test_*.py")):
+        if path != pathlib.Path(__file__):
+            spec = importlib.util.spec_from_file_location(f"import_check_{path.stem}", path)
+            spec.loader.exec_module(importlib.util.module_from_spec(spec))
+
+
+def test_base_queries_without_the_optional_packages(monkeypatch):
+    """The base queries stay when a third-party module that only some operators need is missing."""
+    import builtins
+    real = builtins.__import__
+
+    def missing(name, *args, **kwargs):
+        if name.split(".")[0] == "zstandard" or name.startswith("veracity.llm"):
+            raise ImportError(f"No module named {name!r}")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", missing)
+    assert set(E.queries()) == set(QUERIES)
+    assert set(E.oracle_sql()) == set(ORACLE)

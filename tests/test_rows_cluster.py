@@ -113,6 +113,41 @@ def test_response_mask(spark):
     assert got == [[0, 0, 1], [1, 1], [1]]
 
 
+def _mask_loop(tokens, joiner=" ", marker="Confidence:"):
+    """First position whose decoded prefix holds the marker, by trying every prefix."""
+    for n in range(1, len(tokens) + 1):
+        if marker in joiner.join(tokens[:n]):
+            return (None if n == len(tokens) else n), n == len(tokens), [0] * (n if n < len(tokens) else 0) + [1] * (len(tokens) - n if n < len(tokens) else len(tokens))
+    return None, True, [1] * len(tokens)
+
+
+def test_response_mask_equals_the_prefix_loop(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(200):
+        words = [rnd.choice(["a", "Conf", "idence:", "Confidence:", "x:", "Confidence", ":"]) for _ in range(rnd.randrange(0, 12))]
+        rows.append((i, words))
+    for joiner in (" ", ""):
+        df = spark.createDataFrame(rows, "i int, tokens array<string>")
+        got = {r.i: (r.first_idx, r.nonsense, r.response_mask) for r in T.response_mask(df, joiner=joiner).collect()}
+        assert got == {i: _mask_loop(w, joiner) for i, w in rows}
+
+
+def test_response_mask_joins_tokens_once(spark):
+    df = spark.createDataFrame([(["a", "Confidence:", "7"],)], "tokens array<string>")
+    d = T.response_mask(df.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
+    for out in (d, T.length_report(d), T.check_lengths(d)[0]):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+        assert plan.count("array_join") == 1
+
+
+def test_length_report_and_quarantine(spark):
+    df = spark.createDataFrame([([1], [1]), ([1, 2], [1]), (None, [1]), ([], [])], "input_ids array<int>, response_mask array<int>")
+    good, bad = T.check_lengths(df)
+    assert (good.count(), bad.count()) == (2, 2)
+    assert {r.status: r.n_rows for r in T.length_report(df).collect()} == {"equal": 2, "different": 2}
+
+
 def test_cluster_counts_on_embeddings(spark):
     from veracity.plans import derived as D
     n = CL.leader_clusters(D.samples(spark, SF_MID), 0.25).count()

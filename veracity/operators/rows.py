@@ -124,6 +124,16 @@ def filter_once(df: DataFrame, predicate) -> DataFrame:
     return df.select(F.inline(F.filter(F.array(row), predicate)))
 
 
+def computed_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns, each computed once for a row however often it is used later.
+
+    Catalyst may copy a column's expression to every use; the output of a
+    generator over a one-element array cannot be copied.
+    """
+    row = F.struct(*[c.alias(k) for k, c in cols.items()])
+    return df.drop(*cols).select("*", F.inline(F.array(row)))
+
+
 def chat_word_count(messages: Column | str) -> Column:
     """Total whitespace-word count of all message contents of a chat; a null content has no words."""
     return F.aggregate(col_(messages), F.lit(0),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from veracity.functions import markers as M
 from veracity.functions.text import WORD_SPLIT
 from veracity.operators import prompts as PR
+from veracity.operators.rows import computed_once, filter_once
 
 IGNORE = M.IGNORE_INDEX
 
@@ -122,7 +123,6 @@ def encode_prompts(df: DataFrame, prompt: str = "prompt", max_len: int = 512, to
 
 def trainable_only(df: DataFrame) -> DataFrame:
     """drop rows whose labels are all -100 (chats with an unknown role have null labels)."""
-    from veracity.operators.rows import filter_once
     return filter_once(df, lambda r: F.coalesce(F.exists(r["labels"], lambda x: x != IGNORE), F.lit(False)))
 
 
@@ -148,18 +148,20 @@ def unpad(df: DataFrame, ids: str = "input_ids", mask: str = "attention_mask") -
 def marker_end(toks: Column | str, marker: str = M.CONFIDENCE_BARE, joiner: str = " ") -> Column:
     """Least number of leading tokens whose joined text holds ``marker``; null if even all do not.
 
-    The end of the marker in the joined text is mapped back through the
-    running token lengths, so the marker may be spread over several tokens
-    (``joiner=""`` for sub-word pieces that carry their own spaces).
+    The marker's end in the joined text is found once and meets the running
+    token lengths, so the marker may be spread over several tokens
+    (``joiner=""`` for sub-word pieces that carry their own spaces).  The end
+    is part of the fold's state: a lambda that took it from outside would join
+    all tokens again for each token.
     """
     t = F.col(toks) if isinstance(toks, str) else toks
-    end = F.instr(F.array_join(t, joiner), marker) - 1 + len(marker)
     gap = len(joiner)
-    state = F.aggregate(
-        t, F.struct(F.lit(0).alias("n"), F.lit(-gap).alias("len")),
-        lambda a, x: F.when(a["len"] >= end, a).otherwise(
-            F.struct((a["n"] + 1).alias("n"), (a["len"] + gap + F.length(x)).alias("len"))))
-    return F.when(end >= len(marker), state["n"])
+    start = F.struct(F.lit(0).alias("n"), F.lit(-gap).alias("len"),
+                     (F.instr(F.array_join(t, joiner), marker) - 1 + len(marker)).alias("end"))
+    state = F.aggregate(t, start, lambda a, x: F.when(a["len"] >= a["end"], a).otherwise(F.struct(
+        (a["n"] + 1).alias("n"), (a["len"] + gap + F.length(x)).alias("len"), a["end"].alias("end"))),
+        lambda a: F.when(a["end"] >= len(marker), a["n"]))
+    return state
 
 
 def response_mask(df: DataFrame, toks: str = "tokens", marker: str = M.CONFIDENCE_BARE,
@@ -168,23 +170,34 @@ def response_mask(df: DataFrame, toks: str = "tokens", marker: str = M.CONFIDENC
 
     No such position inside the response means the response is nonsense: the
     mask then starts at ``old_length`` (the length before the forced retry)
-    when given, else covers everything.
+    when given, else covers everything.  Linear in the number of tokens.
     """
-    df = df.withColumn("_first", marker_end(toks, marker, joiner))
-    first = F.col("_first")
-    ok = F.coalesce(first < F.size(toks), F.lit(False))
+    d = computed_once(df, {"_first": marker_end(toks, marker, joiner)})
+    first, n = F.col("_first"), F.size(toks)
+    ok = F.coalesce(first < n, F.lit(False))
     start = F.when(ok, first)
     if old_length is not None:
         start = F.coalesce(start, F.col(old_length))
-    start = F.coalesce(start, F.lit(0))
-    d = df.withColumns({"first_idx": F.when(ok, first), "nonsense": ~ok, "_start": start}).drop("_first")
-    n = F.size(toks)
-    s0 = F.least(F.col("_start"), n)
-    return d.withColumn("response_mask", F.concat(F.array_repeat(F.lit(0), s0),
-                                                  F.array_repeat(F.lit(1), n - s0))).drop("_start")
+    s0 = F.least(F.coalesce(start, F.lit(0)), n)
+    return d.withColumns({"first_idx": F.when(ok, first), "nonsense": ~ok, "response_mask": F.concat(
+        F.array_repeat(F.lit(0), s0), F.array_repeat(F.lit(1), n - s0))}).drop("_first")
+
+
+def same_length(a: str = "input_ids", b: str = "response_mask") -> Column:
+    """Whether two arrays of a row have equal length (a null array differs from everything)."""
+    return F.coalesce((F.size(a) == F.size(b)) & F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(False))
 
 
 def check_lengths(df: DataFrame, a: str = "input_ids", b: str = "response_mask") -> tuple[DataFrame, DataFrame]:
-    """Rows whose two arrays have equal length, and the others (quarantine)."""
-    eq = F.size(a) == F.size(b)
-    return df.filter(eq), df.filter(~eq)
+    """Rows whose two arrays have equal length, and the others (quarantine).
+
+    Each side reads ``df`` for itself; ``length_report`` counts both in one pass.
+    """
+    d = computed_once(df, {"_same": same_length(a, b)})
+    return d.filter("_same").drop("_same"), d.filter("not _same").drop("_same")
+
+
+def length_report(df: DataFrame, a: str = "input_ids", b: str = "response_mask") -> DataFrame:
+    """(status, n_rows) of rows with equal and with different lengths, in one pass."""
+    status = F.when(same_length(a, b), F.lit("equal")).otherwise(F.lit("different"))
+    return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -480,7 +480,7 @@ def _mask_rows(spark, sf):
     resp = (F.when(k == 0, F.concat(head, F.lit(" Confidence: "), F.col("turn").cast("string")))
             .when(k == 1, F.concat(head, F.lit(" Confidence:")))
             .otherwise(head))
-    t = t.select("conv_id", "turn", TRAIN.tokens(resp).alias("tokens"))
+    t = ROWS.computed_once(t.select("conv_id", "turn", resp.alias("response")), {"tokens": TRAIN.tokens("response")}).drop("response")
     return TRAIN.response_mask(t.withColumn("input_ids", F.transform("tokens", lambda w: F.xxhash64(w))))
 
 
@@ -490,8 +490,12 @@ def response_mask_subwords(spark, sf):
     t = D.turns(spark, sf).filter(F.col("role") == "assistant")
     text = F.concat("content", F.when(F.col("turn") % 3 == 2, F.lit("")).otherwise(F.lit(" Confidence:")),
                     F.when(F.col("turn") % 3 == 0, F.lit(" 7 of 10")).otherwise(F.lit("")))
-    pieces = F.filter(F.split(F.regexp_replace(text, "(?s)(.{3})", "$1\x01"), "\x01"), lambda x: x != "")
-    m = TRAIN.response_mask(t.select("conv_id", "turn", pieces.alias("tokens")), joiner="")
+
+    def pieces(c):
+        return F.filter(F.split(F.regexp_replace(c, "(?s)(.{3})", "$1\x01"), "\x01"), lambda x: x != "")
+
+    t = ROWS.computed_once(t.select("conv_id", "turn", text.alias("text")), {"tokens": pieces(F.col("text"))}).drop("text")
+    m = TRAIN.response_mask(t, joiner="")
     return m.select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), "first_idx", "nonsense",
                     F.aggregate("response_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_ones"))
 
@@ -505,9 +509,7 @@ def response_mask(spark, sf):
 
 @query("check_lengths")
 def check_lengths(spark, sf):
-    good, bad = TRAIN.check_lengths(_mask_rows(spark, sf))
-    return good.select(F.lit("equal").alias("status")).unionByName(bad.select(F.lit("different").alias("status")))\
-        .groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+    return TRAIN.length_report(_mask_rows(spark, sf))
 
 
 # --- J11 run logs -----------------------------------------------------------------
