@@ -24,6 +24,50 @@ def test_split_rows_ratio(spark):
     assert s.filter(F.col("split") == "test").count() == math.ceil(0.0005 * 1000)
 
 
+def _seeded(keys, seed):
+    import hashlib
+    return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k))
+
+
+def test_split_is_the_head_of_the_seeded_order(spark, monkeypatch):
+    keys = [k * 37 % 9001 for k in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for digits, ratio in ((4, 0.01), (1, 0.37), (1, 0.0), (2, 1.0)):
+        monkeypatch.setattr(R, "CUT_DIGITS", digits)
+        got = {r.k for r in R.split_rows(df, "k", ratio, seed=5).collect() if r.split == "test"}
+        assert got == set(_seeded(keys, 5)[:math.ceil(ratio * len(keys))])
+
+
+def test_split_of_empty_null_and_repeated_keys(spark):
+    none = spark.createDataFrame([], "k long")
+    assert R.split_rows(none, "k", 0.5).count() == 0
+    df = spark.createDataFrame([(1,)] * 50 + [(k,) for k in range(2, 52)], "k long")
+    sides = {}
+    for r in R.split_rows(df, "k", 0.3).collect():
+        sides.setdefault(r.k, set()).add(r.split)
+    assert all(len(s) == 1 for s in sides.values())  # equal keys stay together
+
+
+def test_split_writes_no_index_and_runs_no_job(spark):
+    from veracity.session import _SCRATCH
+    df = spark.range(0, 1000).withColumnRenamed("id", "k")
+    before = len(_SCRATCH)
+    plan = R.split_rows(df, "k", 0.1)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert len(_SCRATCH) == before and "Join" not in plan.split("scalar-subquery")[0]
+
+
+def test_capped_train_and_test(spark):
+    keys = list(range(2000))
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long")
+    out = R.capped_train_and_test(df, "k", 0.1, seed=7, cap=800, start=100, n=900)
+    test = set(_seeded(keys, 7)[:200])
+    train = [k for k in keys if k not in test][:800]
+    assert sorted(r.k for r in out.collect() if r.split == "train") == train[100:800]
+    assert sorted(r.k for r in out.collect() if r.split == "test") == sorted(test)[:8]
+    few = R.capped_train_and_test(df.limit(300), "k", 0.1, seed=7, cap=800, start=0, n=10)
+    assert sum(r.split == "test" for r in few.collect()) == 270 // 100
+
+
 def test_running_sums_small_blocks(spark):
     df = spark.range(0, 300).select(F.col("id").alias("b"), (F.col("id") % 5).alias("v"), (F.col("id") % 2).alias("g"))
     out = R.running_sums(df, "b", ["v"], partition_cols=["g"], widths=(16, 64)).collect()

@@ -11,7 +11,6 @@ count, not by the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,13 +182,57 @@ def seeded_order(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_i
     return with_row_index(d, ["_h", key], name=name).drop("_h")
 
 
+#: Hex digits by which ``order_cut`` first tells keys apart: 65 536 groups.
+CUT_DIGITS = 4
+
+
+def order_cut(df: DataFrame, key: str, seed: int, rank: Column) -> Column:
+    """The order key (md5, key) of the row that stands at ``rank`` (from 1) in seeded order, as a scalar.
+
+    Distributed selection: one pass counts the keys by their first md5 digits,
+    which names the group that holds the rank; a second pass puts that group's
+    keys (one in 65 536) in order.  ``rank`` may use the total row count, column
+    ``n``.  Nothing is numbered or written, and no job runs before the result is used.
+    """
+    d = df.select(seeded_key(key, seed).alias("_h"), F.col(key).alias("_k"))
+    first = F.substring("_h", 1, CUT_DIGITS)
+
+    def located(rows, group, at):
+        counts = rows.groupBy(group.alias("_g")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        d = counts.select("_g", upto.alias("_upto"), (upto - F.col("_c")).alias("_before"),
+                          F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+        d = d.withColumn("_at", at.cast("bigint"))
+        return d.where("_before < _at and _at <= _upto").select(F.struct("_g", (F.col("_at") - F.col("_before")).alias("_at")).alias("_f"))
+
+    group = located(d, first, rank).scalar()
+    return located(d.where(first == group["_g"]), F.struct("_h", "_k"), group["_at"]).select("_f._g").scalar()
+
+
 def split_rows(df: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """train/test split; test = first ``ceil(ratio * n)`` rows of the seeded order."""
-    n = df.count()
-    n_test = math.ceil(ratio * n)
-    d = seeded_order(df, key, seed, name="_rank")
-    return d.withColumn("split", F.when(F.col("_rank") < n_test, F.lit("test"))
-                        .otherwise(F.lit("train"))).drop("_rank")
+    """train/test split; test = first ``ceil(ratio * n)`` rows of the seeded order.
+
+    ``key`` must be unique; rows that repeat a key stay on one side together.
+    The rows pass once, with a comparison to the cut key (``order_cut``).
+    """
+    cut = order_cut(df, key, seed, F.ceil(F.lit(float(ratio)) * F.col("n")))
+    test = F.coalesce(F.struct(seeded_key(key, seed), F.col(key)) <= cut, F.lit(False))
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+
+
+def capped_train_and_test(df: DataFrame, key: str, ratio: float, seed: int, cap: int, start: int, n: int,
+                          divisor: int = 100) -> DataFrame:
+    """F5 after F3: rows ``start .. start+n-1`` of the first ``cap`` training rows in key order, and the first
+    (number of capped training rows) // ``divisor`` test rows, with ``split``.
+
+    Both are top-k, so no row index is written; the training rows are counted up to ``cap`` alone.
+    """
+    s = split_rows(df, key, ratio, seed)
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    rows = slice_in_order(train, key, start, max(0, min(n, cap - start))).drop("row_idx")
+    counted = train.select(key).limit(cap).agg(F.count(F.lit(1)).alias("c")).scalar()
+    first = slice_in_order(test, key, 0, cap // divisor)
+    return rows.unionByName(cap_test_split(first, counted, divisor).drop("row_idx"))
 
 
 def capped_split(df: DataFrame, cap: int, start: int, n: int,
@@ -239,10 +282,11 @@ def condition_counts(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
                       .alias("s")).select("s.stage", "s.n_rows")
 
 
-def cap_test_split(test: DataFrame, n_train: int, divisor: int = 100,
+def cap_test_split(test: DataFrame, n_train: int | Column, divisor: int = 100,
                    index: str = "row_idx") -> DataFrame:
     """test rows capped at ``n_train // divisor`` (in file order)."""
-    return test.filter(F.col(index) < n_train // divisor)
+    n = n_train if isinstance(n_train, Column) else F.lit(n_train)
+    return test.filter(F.col(index) < F.floor(n / divisor))
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:

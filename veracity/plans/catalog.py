@@ -574,14 +574,7 @@ def stream_calibration(spark, sf):
 @query("ppo_slices")
 def ppo_slices(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id")
-    s = ROWS.split_rows(d, "doc_id", 0.1, seed=7)
-    train = ROWS.with_row_index(s.filter(F.col("split") == "train").drop("split"), "doc_id")
-    test = ROWS.with_row_index(s.filter(F.col("split") == "test").drop("split"), "doc_id")
-    n_train = train.filter(F.col("row_idx") < 800).count()  # the test cap counts the capped rows
-    capped = ROWS.capped_split(train, cap=800, start=100, n=500)
-    t = ROWS.cap_test_split(test, n_train)
-    return capped.select("doc_id", F.lit("train").alias("split")).unionByName(
-        t.select("doc_id", F.lit("test").alias("split")))
+    return ROWS.capped_train_and_test(d, "doc_id", 0.1, seed=7, cap=800, start=100, n=500)
 
 
 @query("stage_counts")
