@@ -116,6 +116,63 @@ def test_leader_clusters_match_loop(spark):
         assert [(l, s) for _, l, s in mine] == exp
 
 
+def _greedy(n, edges):
+    """Leaders and sizes from an edge list, by the sequential rule."""
+    near = {}
+    for i, j in edges:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    left, out = set(range(n)), []
+    for i in range(n):
+        if i in left:
+            got = (near.get(i, set()) & left) | {i}
+            left -= got if len(got) > 1 else {i}
+            if len(got) > 1:
+                out.append((i, len(got)))
+    return out
+
+
+def test_rounds_equal_the_sequential_rule(spark):
+    rnd = random.Random(4)
+    rows, expected = [], {}
+    for q in range(12):
+        n = rnd.choice([5, 30, 200])
+        if q == 0:
+            edges = [(i, i + 1) for i in range(12)]  # a chain in sample order
+        elif q == 1:
+            edges = [(0, j) for j in range(1, 150)] + [(j, j + 1) for j in range(1, 150, 2)]  # one hub
+        else:
+            edges = list({tuple(sorted(rnd.sample(range(n), 2))) for _ in range(rnd.randrange(1, 4 * n))})
+        expected[q] = _greedy(max(n, 200), edges)
+        rows += [(q, i, j) for i, j in edges]
+    pairs = spark.createDataFrame(rows, "question_id long, i int, j int")
+    for limit in (0, 10 ** 6):
+        got = {}
+        for r in CL.leaders_of_pairs(pairs, fold_pairs=limit).collect():
+            got.setdefault(r.question_id, []).append((r.leader_idx, r.size))
+        assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in expected.items() if v}
+
+
+def test_large_question_in_rounds(spark):
+    """One question of 100 000 samples with neighbours anywhere, decided without a row that holds it."""
+    n = 100_000
+    rnd = random.Random(6)
+    edges = list({(i, rnd.randrange(i + 1, n)) for i in range(n - 1) for _ in range(2)})
+    import pandas as pd
+    pairs = spark.createDataFrame(pd.DataFrame(edges, columns=["i", "j"])).select(
+        F.lit(0).cast("long").alias("question_id"), F.col("i").cast("int"), F.col("j").cast("int"))
+    got = sorted((r.leader_idx, r.size) for r in CL.leaders_of_pairs(pairs).collect())
+    assert got == _greedy(n, edges)
+
+
+def test_checked_clusters_give_back_vectors_without_direction(spark):
+    rows = [(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.1]), (0, 3, None), (1, 0, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "question_id long, sample_idx int, embedding array<double>")
+    good, bad = CL.checked_clusters(df, 0.9)
+    assert [(r.question_id, r.leader_idx, r.size) for r in good.collect()] == [(0, 1, 2)]
+    assert sorted((r.question_id, r.sample_idx) for r in bad.collect()) == [(0, 0), (0, 3), (1, 0)]
+
+
 def test_similar_pairs_chunking(spark):
     rnd = random.Random(2)
     rows = [(0, i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(90)]

@@ -7,10 +7,10 @@ key, so a question with many samples is spread over many tasks instead of one.
 Questions with at most ``chunk`` samples (the usual case: tens of samples) are
 not replicated at all.
 
-C3 ``leader_clusters``: greedy leader clustering in sample order.  The rule is
-sequential inside a question (a sample's fate depends on earlier leaders), so
-it runs as one ``aggregate()`` fold per question over that question's
-neighbour lists (only pairs above the threshold), in the JVM.
+C3 ``leader_clusters``: greedy leader clustering in sample order.  A sample's
+fate depends on earlier leaders.  Questions with few similar pairs are folded
+over their neighbour lists, one row each; larger ones are decided in parallel
+rounds, sample by sample, so no row holds a whole question.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions import markers as M
 from veracity.functions import parse as P
-from veracity.operators.rows import filter_once
+from veracity.operators.rows import filter_once, materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,15 +58,12 @@ def similar_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "questi
     return pairs
 
 
-def leader_clusters(samples: DataFrame, threshold: float = 0.9, key: str = "question_id",
-                    idx: str = "sample_idx", embedding: str = "embedding",
-                    text: str | None = None) -> DataFrame:
-    """One row per cluster: leader index, size, rank by size (desc, stable on index).
+#: Similar pairs of a question up to which its leaders are found by one fold over one row.
+FOLD_PAIRS = 20_000
 
-    Samples without any later neighbour can only be singletons, which the rule
-    drops, so only samples with neighbours enter the fold.
-    """
-    pairs = similar_pairs(samples, threshold, key, idx, embedding)
+
+def _folded(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, leader_idx, size) of questions whose pairs fit one row: a fold over the neighbour lists in sample order."""
     adj = pairs.groupBy(key, "i").agg(F.array_sort(F.collect_list("j")).alias("js"))
     nodes = adj.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("nodes"))
     init = F.struct(F.array().cast("array<int>").alias("taken"),
@@ -80,16 +77,80 @@ def leader_clusters(samples: DataFrame, threshold: float = 0.9, key: str = "ques
             F.struct(F.array_union(st["taken"], nd["js"]).alias("taken"), emitted.alias("out")))
 
     folded = nodes.select(key, F.aggregate("nodes", init, step)["out"].alias("clusters"))
-    out = folded.select(key, F.posexplode("clusters").alias("cluster_pos", "c")).select(
-        key, "cluster_pos", F.col("c.leader").alias("leader_idx"), F.col("c.size").alias("size"))
-    w = Window.partitionBy(key).orderBy(F.desc("size"), "leader_idx")
-    out = out.withColumn("size_rank", F.row_number().over(w) - 1)
+    return folded.select(key, F.explode("clusters").alias("c")).select(
+        key, F.col("c.leader").alias("leader_idx"), F.col("c.size").alias("size"))
+
+
+def _taken(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, n): the samples that some earlier leader takes.
+
+    The leaders are the first maximal independent set in sample order.  In
+    every round the samples without an undecided smaller neighbour lead, their
+    neighbours are taken, and both leave with their pairs.  At least the
+    smallest sample of each question is decided in a round; a chain of
+    neighbours in sample order needs a round for every second link.  Rounds
+    are written to the shared folder, and no row holds more than one pair.
+    """
+    left, taken = pairs.select(key, "i", "j"), None
+    while True:
+        leads = left.select(key, "i").distinct().join(left.select(key, F.col("j").alias("i")).distinct(), [key, "i"], "left_anti")
+        now = materialize(left.join(leads, [key, "i"], "left_semi").select(key, F.col("j").alias("n")).distinct(), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        if now.isEmpty():
+            return taken
+        left = materialize(left.join(now.withColumnRenamed("n", "i"), [key, "i"], "left_anti")
+                           .join(now.withColumnRenamed("n", "j"), [key, "j"], "left_anti"), "undecided")
+
+
+def _by_rounds(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, leader_idx, size) as ``_folded`` gives it, for questions of any size: a taken sample goes to its least leader."""
+    of_leaders = pairs.select(key, "i", "j").join(_taken(pairs, key).withColumnRenamed("n", "i"), [key, "i"], "left_anti")
+    return (of_leaders.groupBy(key, "j").agg(F.min("i").alias("leader_idx"))
+            .groupBy(key, "leader_idx").agg((F.count(F.lit(1)) + 1).cast("int").alias("size")))
+
+
+def leaders_of_pairs(pairs: DataFrame, key: str = "question_id", fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """(key, leader_idx, size) from the similar pairs (i < j) of each question.
+
+    Questions of up to ``fold_pairs`` pairs are folded in one row each, larger
+    ones take part in the rounds of ``_taken``; both give the same clusters.
+    """
+    pairs = materialize(pairs.select(key, "i", "j"), "similar-pairs")
+    large = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > fold_pairs).select(key)
+    if large.isEmpty():
+        return _folded(pairs, key)
+    large = materialize(large, "large-questions")
+    return (_folded(pairs.join(large, key, "left_anti"), key)
+            .unionByName(_by_rounds(pairs.join(large, key, "left_semi"), key)))
+
+
+def leader_clusters(samples: DataFrame, threshold: float = 0.9, key: str = "question_id",
+                    idx: str = "sample_idx", embedding: str = "embedding",
+                    text: str | None = None, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """One row per cluster: leader index, size, rank by size (desc, stable on index).
+
+    Samples without any later neighbour can only be singletons, which the rule
+    drops, so only samples with neighbours take part.  Samples whose vector is
+    zero or null are in no cluster; ``checked_clusters`` gives them back.
+    """
+    out = leaders_of_pairs(similar_pairs(samples, threshold, key, idx, embedding), key, fold_pairs)
+    place, rank = Window.partitionBy(key).orderBy("leader_idx"), Window.partitionBy(key).orderBy(F.desc("size"), "leader_idx")
+    out = out.select(key, (F.row_number().over(place) - 1).alias("cluster_pos"), "leader_idx", "size",
+                     (F.row_number().over(rank) - 1).alias("size_rank"))
     if text is not None:
         t = samples.select(key, F.col(idx).alias("leader_idx"), F.col(text).alias("response"))
         out = out.join(t, [key, "leader_idx"])
     return out
 
 
+def checked_clusters(samples: DataFrame, threshold: float = 0.9, key: str = "question_id", idx: str = "sample_idx",
+                     embedding: str = "embedding", text: str | None = None,
+                     fold_pairs: int = FOLD_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """C3 with C4: the clusters, and the samples left out because their vector is zero or null."""
+    good, bad = quarantine_zero(samples, embedding)
+    return leader_clusters(good.drop("_norm"), threshold, key, idx, embedding, text, fold_pairs), bad
+
+
 def group_samples(samples: DataFrame, key: str = "question_id", idx: str = "sample_idx",
                   cols=("chain", "reflection")) -> DataFrame:
     """The samples of a question as arrays in sample order."""

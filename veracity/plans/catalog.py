@@ -384,6 +384,14 @@ def leader_clusters(spark, sf):
     return clusters.select("question_id", "cluster_pos", "leader_idx", "size", "size_rank")
 
 
+@query("leader_clusters_growing")
+def leader_clusters_growing(spark, sf):
+    # A question that grows with the table, in rounds (limit of 200 pairs for the fold, so both ways run here).
+    good, zero = CL.checked_clusters(D.growing_samples(spark, sf), CLUSTER_T, fold_pairs=200)
+    return good.select("question_id", F.lit("cluster").alias("kind"), F.col("leader_idx").alias("sample_idx"), "size", "size_rank").unionByName(
+        zero.select("question_id", F.lit("no vector").alias("kind"), "sample_idx", F.lit(0).alias("size"), F.lit(-1).alias("size_rank")))
+
+
 @query("group_samples")
 def group_samples(spark, sf):
     s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")

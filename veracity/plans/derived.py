@@ -185,6 +185,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "vec_id", text.alias("text"), "embedding")
 
 
+def growing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, sample_idx, embedding from ``embeddings``: question 0 holds a third of all vectors, so it
+    grows with the table; the others have ten each, and some vectors are zero or missing."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    v = F.col("vec_id")
+    zero = F.transform("embedding", lambda x: x * F.lit(0).cast("float"))
+    vector = F.when(v % 41 == 0, zero).when(v % 97 == 5, F.lit(None)).otherwise(F.col("embedding"))
+    return e.select(F.when(v % 3 == 0, F.lit(0)).otherwise(F.floor(v / 15) + 1).cast("bigint").alias("question_id"),
+                    v.cast("int").alias("sample_idx"), vector.alias("embedding"))
+
+
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, confidence, correctness from ``orders`` (for batch metrics at scale)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")

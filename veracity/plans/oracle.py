@@ -636,6 +636,18 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s
 ORACLE["leader_clusters"] = with_(SAMPLES, PAIRS, LEADERS) + \
     "SELECT question_id, cluster_pos, leader_idx, size, size_rank FROM ranked"
 
+GROWING = """
+samples AS (
+  SELECT CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id // 15 + 1 END AS question_id, CAST(vec_id AS INTEGER) AS sample_idx,
+         CASE WHEN vec_id % 41 = 0 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT))
+              WHEN vec_id % 97 = 5 THEN NULL ELSE embedding END AS embedding
+  FROM embeddings)"""
+
+ORACLE["leader_clusters_growing"] = with_(GROWING, PAIRS, LEADERS) + """
+SELECT question_id, 'cluster' AS kind, leader_idx AS sample_idx, size, size_rank FROM ranked
+UNION ALL SELECT question_id, 'no vector', sample_idx, 0, -1 FROM nv WHERE nrm IS NULL OR NOT nrm > 0
+"""
+
 ORACLE["group_samples"] = with_(SAMPLES, SPLIT_SAMPLES) + """
 SELECT question_id, count(*) AS n_samples, string_agg(chain, '|' ORDER BY sample_idx) AS chains,
        string_agg(reflection, '|' ORDER BY sample_idx) AS reflections
