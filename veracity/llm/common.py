@@ -151,8 +151,27 @@ class Rolling:
         return mix((prefix[hi] - prefix[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64))
 
 
+#: Word bytes fingerprinted at once (or one longer word).
+WORD_BYTES = 1 << 20
+
+
 def word_hashes(roll: Rolling, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return roll.of(roll.prefix(flat.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """Fingerprint of every word; the power table is as long as the longest word, and nothing else as the text."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    roll.tables(int(size.max()))
+    through = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(len(size), np.uint64)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(through, through[lo] + WORD_BYTES, "right")) - 1)
+        first = through[lo:hi] - through[lo]
+        inside = np.arange(int(through[hi] - through[lo])) - np.repeat(first, size[lo:hi])
+        letters = flat[inside + np.repeat(starts[lo:hi], size[lo:hi])].astype(np.uint64) + np.uint64(1)
+        out[lo:hi] = np.add.reduceat(letters * roll.power[inside], first)
+        lo = hi
+    return mix(out + size.astype(np.uint64))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
