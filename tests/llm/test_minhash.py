@@ -90,7 +90,7 @@ def test_every_pair_within_the_distance_shares_a_key(spark):
         a = rng.integers(0, 1 << 16, M.POSITIONS).astype("<u2")
         b = a.copy()
         b[rng.choice(M.POSITIONS, M.DISTANCE, replace=False)] ^= 1
-        rows += [(2 * i, a.tobytes() + bytes(M.SIFTING + 4)), (2 * i + 1, b.tobytes() + bytes(M.SIFTING + 4))]
+        rows += [(2 * i, a.tobytes() + bytes(4)), (2 * i + 1, b.tobytes() + bytes(4))]
     keys = M.keys(spark.createDataFrame(rows, "node long, sig binary")).distinct()
     pairs = {(r.a, r.b) for r in keys.alias("x").join(keys.alias("y"), "key").where("x.node < y.node").selectExpr("x.node AS a", "y.node AS b").distinct().collect()}
     assert {(2 * i, 2 * i + 1) for i in range(60)} <= pairs
@@ -113,3 +113,12 @@ def test_rows_without_or_under_one_id_are_told_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(want, key=str)
     groups = M.near_groups(docs).collect()
     assert len(groups) == len(rows) and sum(r.kept for r in groups) == len(want)
+
+
+def test_query_goes_by_the_id(spark, tmp_path):
+    text = " ".join(f"t{i}" for i in range(80))
+    rows = spark.createDataFrame([(1, text), (1, text), (2, text), (3, " ".join(f"z{i}" for i in range(90))), (None, "x y")], "doc_id long, text string")
+    rows.select("doc_id", "text", *[F.lit(None).cast("string").alias(c) for c in ("lang", "source")], F.lit(0).cast("long").alias("n_chars")) \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in M.op5_minhash_near_duplicates(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veracity.llm.common import (Rolling, chunks, components, documents, given_id, known_id, lower, mix, raw, small_batches,
@@ -76,7 +76,7 @@ def _rolls() -> tuple[Rolling, Rolling]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_shingles, f1, f2, sig): set size, 128-bit fingerprint of the set and signature."""
+    """(row, doc_id, n_shingles, f1, f2, sig, sift): set size, 128-bit fingerprint of the set, signature with the size, sifting positions."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -96,12 +96,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sig[full, j] = mix(least) >> np.uint64(48)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                 pa.array([x[:POSITIONS].tobytes() + k.tobytes() + x[POSITIONS:].astype(np.uint8).tobytes()
-                           for x, k in zip(sig, n.astype("<u4"))], pa.binary())],
-                ["row", "doc_id", "n_shingles", "f1", "f2", "sig"])
+                 pa.array([x[:POSITIONS].tobytes() + k.tobytes() for x, k in zip(sig, n.astype("<u4"))], pa.binary()),
+                 pa.array([x.tobytes() for x in sig[:, POSITIONS:].astype(np.uint8)], pa.binary())],
+                ["row", "doc_id", "n_shingles", "f1", "f2", "sig", "sift"])
 
     rows = docs.select(F.col(ROW).alias("row"), known_id(F.col("doc_id")).alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, f1 long, f2 long, sig binary, sift binary")
 
 
 def key_plan(distance: int, errors: int) -> list[tuple[int, list[int]]]:
@@ -147,23 +147,21 @@ def keys(nodes: DataFrame, distance: int = DISTANCE, errors: int = ERRORS) -> Da
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _signs(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and sifting positions of a column of signatures, and the sizes of the sets."""
+def _signs(column) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a column of signatures, and the sizes of the sets."""
     head = 2 * POSITIONS
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), head + 4 + SIFTING)
-    return (np.ascontiguousarray(flat[:, :head]).view("<u2"), flat[:, head + 4:],
-            np.ascontiguousarray(flat[:, head:head + 4]).view("<u4")[:, 0].astype(np.int64))
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), head + 4)
+    return (np.ascontiguousarray(flat[:, :head]).view("<u2"), np.ascontiguousarray(flat[:, head:]).view("<u4")[:, 0].astype(np.int64))
 
 
-def _apart(x, y, distance: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each pair of rows over the first positions, and whether the pair may be a link.
+def _sifts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIFTING)
 
-    Sets whose sizes alone rule the similarity out are no link either.
-    """
+
+def _apart(x, y, distance: int, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each pair of signatures, and whether the pair may be a link by that and by the sizes of the sets."""
     d = (x[0] != y[0]).sum(1)
-    ok = (d <= distance) & (share[1] * np.minimum(x[2], y[2]) >= share[0] * np.maximum(x[2], y[2]))
-    ok[ok] = d[ok] + (x[1][ok] != y[1][ok]).sum(1) <= sifting(share)
-    return d.astype(np.int32), ok
+    return d.astype(np.int32), (d <= distance) & (share[1] * np.minimum(x[1], y[1]) >= share[0] * np.maximum(x[1], y[1]))
 
 
 def sifting(share: tuple[int, int]) -> int:
@@ -172,18 +170,28 @@ def sifting(share: tuple[int, int]) -> int:
     return int(np.ceil(n * (1 - s) + DEVIATIONS * np.sqrt(n * s * (1 - s))))
 
 
+def _both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with the column of either node, as x and y."""
+    own = nodes.select("node", column)
+    return (pairs.join(own.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
+            .join(own.select(F.col("node").alias("a"), F.col(column).alias("x")), "a"))
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b, d) of the pairs whose signatures are near."""
-    sig = nodes.select("node", "sig")
-    both = (pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b"))
+    """(a, b, d) of the pairs whose signatures are near; the sifting positions are fetched only for pairs that pass the first ones."""
 
-    def run(batches):
+    def first(batches):
         for t in batches:
             d, ok = _apart(_signs(t.column(2)), _signs(t.column(3)), distance, share)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(d)], ["a", "b", "d"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long, d int")
+    def second(batches):
+        for t in batches:
+            d = t.column(2).to_numpy() + (_sifts(t.column(3)) != _sifts(t.column(4))).sum(1)
+            yield t.select(["a", "b", "d"]).filter(pa.array(d <= sifting(share)))
+
+    near = _both(pairs, nodes, "sig").select("a", "b", "x", "y").mapInArrow(first, "a long, b long, d int")
+    return _both(near, nodes, "sift").select("a", "b", "d", "x", "y").mapInArrow(second, "a long, b long, d int")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -220,7 +228,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
 def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
     """(a, b): pairs of one key with different roots and near signatures, each given by its first common key alone.
 
-    ``rows`` has key, n (nodes of the key), node, root, sig.  A large key is dealt in blocks,
+    ``rows`` has key, n (nodes of the key), node, root, sig, sift.  A large key is dealt in blocks,
     every pair of blocks being a piece of its own, so no task holds more than ``BLOCK`` of them.
     """
     ways = key_plan(distance, ERRORS)
@@ -228,7 +236,7 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pieces = (rows.withColumn("blocks", blocks).withColumn("own", own)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig"))
+              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "sift"))
 
     def run(batches):
         held = None
@@ -247,7 +255,7 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
     def found(t):
         t = t.combine_chunks()
         key, i, j, own, node, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "root"))
-        sig = _signs(t.column("sig"))
+        sig, sift = _signs(t.column("sig")), _sifts(t.column("sift"))
         end = np.append(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(key))
         left = np.repeat(end, np.diff(np.concatenate([[0], end]))) - np.arange(len(key))  # rows of the piece from here on
         for step in range(1, int(left.max())):
@@ -256,7 +264,9 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
             ok = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
             x, y = x[ok], y[ok]
             if len(x):
-                ok = _apart([v[x] for v in sig], [v[y] for v in sig], distance, share)[1]
+                d, ok = _apart([v[x] for v in sig], [v[y] for v in sig], distance, share)
+                x, y, d = x[ok], y[ok], d[ok]
+                ok = d + (sift[x] != sift[y]).sum(1) <= sifting(share)
                 x, y = x[ok], y[ok]
                 ok = _first_key(sig[0][x], sig[0][y], ways) == key[x].view(np.uint64)
                 x, y = node[x[ok]], node[y[ok]]
@@ -266,6 +276,14 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _unlinked(close: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of the near pairs whose nodes still lie in different components."""
+    of = roots.select("node", "root")
+    both = (close.join(of.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+            .join(of.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left"))
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for every row, written so that it stays the same wherever it is read."""
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
@@ -290,20 +308,25 @@ def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFram
     """
     signed = stored(signatures(docs), "signatures")
     nodes = stored(signed.where("n_shingles > 0").groupBy("f1", "f2")
-                   .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("sig").alias("sig"))
-                   .select("f1", "f2", "first", F.col("first.row").alias("node"), "sig"), "nodes")
-    shared = keys(nodes, distance).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("n")).where("hub < top")
-    member = stored(keys(nodes, distance).join(shared.select("key", "hub", "n"), "key"), "members")
+                   .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.min("sig").alias("sig"), F.min("sift").alias("sift"))
+                   .select("f1", "f2", "first", F.col("first.row").alias("node"), "sig", "sift"), "nodes")
+    one_key = Window.partitionBy("key")
+    member = stored(keys(nodes, distance).withColumns({"hub": F.min("node").over(one_key), "n": F.count("*").over(one_key)})
+                    .where("n > 1"), "members")
     star = member.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     close = stored(_near(star, nodes, distance, share), "close")
     first = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     links = stored(_confirmed(first, docs, share), "links")
     roots = components(links)
 
-    rooted = member.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    # Every pair with a key's first node has been compared, so only keys with two further nodes are open.  A node's
+    # pairs with its other hubs, near but not yet confirmed, are among ``close``.
+    rooted = (member.where("n > 2 and hub <> node").join(roots, "node", "left")
+              .select("key", F.col("n").alias("n"), "node", F.coalesce("root", "node").alias("root")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig"), "node")
-    rest = stored(_across(open_rows, distance, share).join(first, ["a", "b"], "left_anti"), "rest")
+    open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig", "sift"), "node")
+    found = _across(open_rows, distance, share).unionByName(_unlinked(close, roots)).distinct()
+    rest = stored(found.join(first, ["a", "b"], "left_anti"), "rest")
     more = stored(_confirmed(rest, docs, share), "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
@@ -319,7 +342,8 @@ def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFram
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    """Groups of documents; here ``kept`` goes by the id, so rows that share the least id of a group are all kept."""
+    return near_groups(documents(spark, sf_dir)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
