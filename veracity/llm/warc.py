@@ -31,9 +31,15 @@ REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample; empty if there is too little text to train on."""
-    rows = (pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id"), "page_id")
-            .limit(SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect())
+    """A dictionary from a bounded sample; empty if there is too little text to train on.
+
+    The ids are chosen first, so that only the chosen pages' text leaves its task.
+    """
+    pages = pages.where(F.col("html").isNotNull())
+    order = F.xxhash64("page_id"), F.col("page_id")
+    ids = pages.select("page_id").orderBy(*order).limit(SAMPLE_PAGES).distinct().select(F.col("page_id").alias("chosen"))
+    rows = (pages.join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("chosen")), "left_semi")  # SAMPLE_PAGES ids at most
+            .select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy(*order, "html").limit(SAMPLE_PAGES).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.html.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
