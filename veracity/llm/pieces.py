@@ -35,9 +35,9 @@ SPACE = "▁"
 #: Distinct words a task remembers; beyond it the memory starts afresh.
 CACHE = 400_000
 #: Words of a long text handled at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Text bytes of a chunk: larger than elsewhere, as each chunk looks up its distinct words once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Symbols of a segment from which a pair that must be merged alone goes to the heap.
 LONG = 256
 NONE = np.int32(2 ** 31 - 1)
@@ -317,11 +317,11 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     ``ids`` is an array of ints, or with ``packed`` their little-endian 32-bit bytes.  A null
     text counts as empty and has begin and end ids alone.  Repeated rows, null keys and ties
     each give a row; an empty table gives none; other columns are not read, whatever their
-    names.  Memory grows with a chunk of 8 MB of text or the longest text.  The model file
+    names.  Memory grows with a chunk of 4 MB of text or the longest text.  The model file
     must be readable on the driver; its tables are broadcast (fixed size).
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     tables = spark.sparkContext.broadcast(Tables(model_path))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
