@@ -192,3 +192,46 @@ def test_read_any_form_does_not_depend_on_the_number_of_records(spark):
     nested = IO.read_any(spark, _file('{"messages": [[{"role": "user", "content": "x"}], [{"role": "user", "content": "y"}]]}'))
     assert nested.count() == 2
     assert IO.read_any(spark, _file('{"a": [1, 2]}'), fmt="jsonl").count() == 1
+
+
+def test_read_any_never_loses_lines_whose_first_field_is_a_list(spark, tmp_path):
+    import json
+    from veracity.sources import io as IO
+    rows = [{"tokens": [i, i + 1], "labels": [0, 1]} for i in range(100)]
+    path = tmp_path / "lists.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    assert IO.read_any(spark, str(path)).count() == 100
+    path = tmp_path / "scalar.jsonl"
+    path.write_text("\n".join(json.dumps({**r, "id": i}) for i, r in enumerate(rows)))
+    got = IO.read_any(spark, str(path))
+    assert got.count() == 100 and set(got.columns) == {"tokens", "labels", "id"}
+
+
+def test_read_any_tells_one_object_from_many_lines(spark, tmp_path, monkeypatch):
+    import gzip
+    import json
+    from veracity.sources import io as IO
+    cols = {"question": ["a", "b", "c"], "answer": ["x", "y", "z"]}
+    one, pretty = tmp_path / "one.json", tmp_path / "pretty.json"
+    one.write_text(json.dumps(cols))
+    pretty.write_text(json.dumps(cols, indent=1))
+    for path in (one, pretty):
+        assert [(r.question, r.answer) for r in IO.read_any(spark, str(path)).orderBy("row_idx").collect()] == [("a", "x"), ("b", "y"), ("c", "z")]
+    mixed = tmp_path / "mixed.json"  # one record with a list and a scalar is a row
+    mixed.write_text(json.dumps({"tokens": [1, 2], "id": 7}))
+    assert IO.read_any(spark, str(mixed)).count() == 1
+    zipped = tmp_path / "lists.json.gz"
+    zipped.write_bytes(gzip.compress("\n".join(json.dumps({"t": [i]}) for i in range(20)).encode()))
+    assert IO.read_any(spark, str(zipped)).count() == 20
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}.json").write_text(json.dumps({"t": [i, i]}) + "\n")
+    assert IO.read_any(spark, str(folder)).count() == 3
+    monkeypatch.setattr(IO, "HEAD_BYTES", 64)  # the first value is longer than what is looked at
+    long = tmp_path / "long.jsonl"
+    long.write_text("\n".join(json.dumps({"t": list(range(100))}) for _ in range(5)))
+    assert IO.read_any(spark, str(long)).count() == 5
+    wide = tmp_path / "wide.json"
+    wide.write_text(json.dumps({"q": list(range(100)), "a": list(range(100))}))
+    assert IO.read_any(spark, str(wide)).count() == 100

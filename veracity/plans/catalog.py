@@ -239,6 +239,13 @@ def qa_normalise(spark, sf):
                     F.array_join("negative_answers", "|").alias("negative_answers"))
 
 
+@query("scoring_view")
+def scoring_view(spark, sf):
+    # What scoring needs, without the negatives.
+    v = SCHEMA.scoring_view(SCHEMA.normalise(D.qa_records(spark, sf), "qa"))
+    return v.withColumn("correct_answers", F.array_join("correct_answers", "|"))
+
+
 @query("yesno_normalise")
 def yesno_normalise(spark, sf):
     raw = D.yesno_records(spark, sf)
@@ -611,6 +618,51 @@ def read_any_rejects(spark, sf):
         .select("status", "conv_id", "n"))
 
 
+@query("read_any_lists")
+def read_any_lists(spark, sf):
+    # Lines whose first field is a list of plain values: still one row for each line.
+    path = _scratch(spark, "lists-jsonl")
+    t = D.turns(spark, sf).withColumn("tokens", TRAIN.tokens("content"))
+    t.select("tokens", F.transform("tokens", lambda x: F.length(x)).alias("labels"), "conv_id", "turn").write.json(path)
+    back = IO.read_any(spark, path)
+    return back.select("conv_id", F.col("turn").cast("int").alias("turn"), F.size("tokens").cast("bigint").alias("n_tokens"),
+                       F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_chars"))
+
+
+@query("split_choice")
+def split_choice(spark, sf):
+    # The whole folder is read, and the first split there is in order of preference.
+    path = _scratch(spark, "splits")
+    d = D.table(spark, sf, "documents").select("doc_id", "lang")
+    named = F.when(F.col("doc_id") % 10 == 0, F.lit("test")).otherwise(F.lit("train"))
+    d.withColumn("split", named).write.partitionBy("split").parquet(path)
+    return IO.read_split(spark.read.parquet(path)).select("doc_id", "lang", "split")
+
+
+@query("hedge_cut")
+def hedge_cut(spark, sf):
+    # Answers that end in a stated confidence lose it.
+    t = D.turns(spark, sf)
+    hedged = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), F.concat("content", F.lit(" I am 80% sure")))
+    chats = SCHEMA.build_chats(t.withColumn("content", F.coalesce(hedged, F.col("content"))))
+    return PR.chat_prompt_answer(chats, "eval", cut_hedge=True).select("conv_id", "prompt", "answer")
+
+
+@query("min_clusters")
+def min_clusters(spark, sf):
+    clusters = CL.leader_clusters(D.samples(spark, sf), CLUSTER_T)
+    n = clusters.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_clusters"))
+    return CL.min_clusters(n, 3)
+
+
+@query("encode_prompts")
+def encode_prompts(spark, sf):
+    # T1 for evaluation prompts: at most 64 ids, and how many were cut.
+    p = PR.chat_prompt_answer(_chats(spark, sf), "eval")
+    e = TRAIN.encode_prompts(p, max_len=64)
+    return e.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"), F.col("n_cut").cast("bigint").alias("n_cut"))
+
+
 # --- end-to-end evaluation ----------------------------------------------------
 
 def _evaluation(spark, sf):

@@ -1078,3 +1078,30 @@ FROM z, range(1, len(pairs) + 1) t(k)
 
 ORACLE["reason_pairs"] = _pairs_sql("position")
 ORACLE["reason_pairs_leader"] = _pairs_sql("leader")
+
+
+# --- readers, hedges, cluster counts, prompts ------------------------------------------------
+
+ORACLE["read_any_lists"] = with_(TURNS) + f"""
+SELECT conv_id, turn, len({tok('content')}) AS n_tokens,
+       CAST(coalesce(list_sum(list_transform({tok('content')}, lambda x: length(x))), 0) AS BIGINT) AS n_chars
+FROM turns
+"""
+
+ORACLE["split_choice"] = "SELECT doc_id, lang, 'test' AS split FROM documents WHERE doc_id % 10 = 0"
+
+ORACLE["hedge_cut"] = with_(TURNS) + f"""
+, turns2 AS (SELECT conv_id, turn, role, i, n,
+                    CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN content || ' I am 80% sure' ELSE content END AS content FROM turns)
+SELECT conv_id, prompt, {_HEDGE_CUT} AS answer FROM ({_chat_pa('eval').replace('FROM turns', 'FROM turns2')}) z
+"""
+
+ORACLE["min_clusters"] = with_(SAMPLES, PAIRS, LEADERS) + \
+    "SELECT question_id, count(*) AS n_clusters FROM ranked GROUP BY question_id HAVING count(*) >= 3"
+
+ORACLE["encode_prompts"] = with_(TURNS) + f"""
+SELECT conv_id, least(len({tok('prompt')}), 64) AS n_ids, greatest(len({tok('prompt')}) - 64, 0) AS n_cut
+FROM ({_chat_pa('eval')}) z
+"""
+
+ORACLE["scoring_view"] = f"SELECT qid, question, best_answer, correct_answers FROM ({ORACLE['qa_normalise']}) z"

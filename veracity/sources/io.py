@@ -7,6 +7,7 @@ removes the every-rank-writes-the-same-file race of the original.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -49,40 +50,67 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None =
 HEAD_BYTES = 1 << 20
 
 
-def _head(spark: SparkSession, path: str) -> str:
-    """Up to ``HEAD_BYTES`` of the file, or of the first data file of a folder."""
+def _head(spark: SparkSession, path: str) -> tuple[str, bool, bool]:
+    """Up to ``HEAD_BYTES`` of the file (of a folder: its first data file), whether that is all of it, and whether it is the only file.
+
+    Only these bytes are read, through Spark's file systems.
+    """
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    if fs.getFileStatus(where).isDirectory():
-        parts = sorted(st.getPath().toString() for st in fs.listStatus(where)
-                       if st.isFile() and st.getLen() > 0
-                       and not st.getPath().getName().startswith(("_", ".")))
-        if not parts:
+    status = fs.getFileStatus(where)
+    files = [status]
+    if status.isDirectory():
+        files = sorted((st for st in fs.listStatus(where) if st.isFile() and st.getLen() > 0
+                        and not st.getPath().getName().startswith(("_", "."))), key=lambda st: st.getPath().toString())
+        if not files:
             raise ValueError(f"no data files under {path}")
-        path = parts[0]
-    rows = (spark.read.format("binaryFile").load(path)
-            .select(F.substring("content", 1, HEAD_BYTES).alias("head")).limit(1).collect())
-    return bytes(rows[0]["head"]).decode("utf-8", "replace") if rows else ""
+    stream = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(  # noqa: SLF001
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(files[0].getPath())  # noqa: SLF001
+    opened = fs.open(files[0].getPath())
+    try:
+        data = bytes((stream.createInputStream(opened) if stream else opened).readNBytes(HEAD_BYTES))
+    finally:
+        opened.close()
+    return data.decode("utf-8", "replace"), len(data) < HEAD_BYTES, len(files) == 1
 
 
 def sniff_format(spark: SparkSession, path: str) -> str:
-    """``records``, ``columnar``, ``jsonl`` or ``parquet``, from the form of the first value alone.
-
-    An object whose first field is a list of plain values or of lists is
-    columnar; any other object is a record, on one line (``jsonl``) or spread
-    over several (``records``).  Neither the number of records nor a bad line
-    plays a part; a caller that knows better names the format.
+    """``records``, ``columnar``, ``jsonl`` or ``parquet``.
+
+    A file is columnar only if one object spans it and every field of it is a
+    list, all of one length: a second value after the first makes it JSON
+    Lines, whatever the first line's fields are, and so do several files.  An
+    object that does not end within ``HEAD_BYTES`` is JSON Lines if two lines
+    of the table are objects by themselves.  Neither the number of records nor
+    a bad line plays a part; a caller that knows better names the format.
     """
-    head = _head(spark, path).lstrip("\ufeff \t\r\n")
+    head, all_of_it, alone = _head(spark, path)
+    head = head.lstrip("\ufeff \t\r\n")
     if head.startswith("["):
         return "records"
     if not head.startswith("{"):
         return "parquet"
-    field = re.match(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*(\[\s*[^\s{\]])?', head)
-    if field and field[1]:
-        return "columnar"
     first = head.split("\n", 1)[0].rstrip()
-    return "jsonl" if len(head) > len(first) and first.endswith("}") or "\n" not in head else "records"
+    try:
+        value, end = json.JSONDecoder(strict=False).raw_decode(head)
+    except ValueError:
+        value, end = None, len(head)
+    if value is None:  # longer than the head, or no JSON
+        if all_of_it or _object_lines(spark, path) > 1:
+            return "jsonl"
+        return "columnar" if re.match(r'\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\[', head) else "records"
+    if head[end:].strip() or not all_of_it or not alone:
+        return "jsonl" if first.endswith("}") else "records"
+    lists = [v for v in value.values() if isinstance(v, list)]
+    if value and len(lists) == len(value) and len({len(v) for v in lists}) == 1 and not any(isinstance(x, dict) for v in lists for x in v):
+        return "columnar"
+    return "jsonl" if len(first) >= end else "records"
+
+
+def _object_lines(spark: SparkSession, path: str) -> int:
+    """Lines that are an object by themselves, counted up to two."""
+    line = F.trim("value")
+    return spark.read.text(path).where(line.startswith("{") & line.endswith("}")).limit(2).count()
 
 
 def read_checked(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
