@@ -195,7 +195,11 @@ def _near(pairs: DataFrame, nodes: DataFrame, distance: int, share: tuple[int, i
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets have share[1] * intersection >= share[0] * union."""
+    """The pairs (a, b) whose full sets have share[1] * intersection >= share[0] * union.
+
+    Pairs first meet with 16 bits of each shingle: equal shingles agree in them, so what they
+    rule out is no link, and whole hashes move only for the pairs left.
+    """
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(F.col(ROW).alias("node"), "text").join(needed, "node", "left_semi")
@@ -204,12 +208,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
         roll, seq = _rolls()
         for part in chunks(batches, "text"):
             s, at = shingle_sets(*raw(part.column(1)), roll, seq)
+            brief = (s & np.uint64(0xFFFF)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["node", "own"])
+                [part.column(0), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+                 pa.array([brief[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["node", "own", "brief"])
 
-    own = stored(texts.select("node", "text").mapInArrow(sets, "node long, own binary"), "sets")
-    both = (pairs.join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-            .join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").select("a", "b", "own_a", "own_b"))
+    own = stored(texts.select("node", "text").mapInArrow(sets, "node long, own binary, brief binary"), "sets")
+
+    def possible(batches):
+        held = np.zeros(1 << 16, bool)
+        for t in batches:
+            ok = []
+            for x, y in zip(t.column(2), t.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u2") for v in (x, y))
+                most = min(_hits(held, x, y), _hits(held, y, x))  # never less than the intersection
+                ok.append(share[1] * most >= share[0] * (len(x) + len(y) - most))
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def run(batches):
         for t in batches:
@@ -220,9 +234,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
                 merged.sort(kind="stable")
                 same = int((merged[1:] == merged[:-1]).sum())
                 ok.append(share[1] * same >= share[0] * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = _both(pairs, own, "brief").select("a", "b", "x", "y").mapInArrow(possible, "a long, b long")
+    return _both(left, own, "own").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def _hits(held: np.ndarray, x: np.ndarray, y: np.ndarray) -> int:
+    """How many of x's values are among y's; ``held`` is all False before and after."""
+    held[y] = True
+    n = int(held[x].sum())
+    held[y] = False
+    return n
 
 
 def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
