@@ -40,6 +40,8 @@ DEVIATIONS = 4.4
 ERRORS = 1
 #: Name of the column that numbers the rows inside the operator.
 ROW = "__row"
+#: Row numbers that a join sends to every task (8 bytes each) instead of moving texts.
+SENT_ROWS = 4_000_000
 #: Nodes of one key that are compared in one piece; larger keys are split in blocks of half of it.
 BLOCK = 2_048
 
@@ -202,7 +204,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
     """
     pairs = pairs.select("a", "b")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(ROW).alias("node"), "text").join(needed, "node", "left_semi")
+    texts = _matched(docs.select(F.col(ROW).alias("node"), "text"), needed, "node", "left_semi")
 
     def sets(batches):
         roll, seq = _rolls()
@@ -240,6 +242,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
     return _both(left, own, "own").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _matched(rows: DataFrame, ids: DataFrame, by: str, how: str) -> DataFrame:
+    """Semi or anti join of rows with texts by row numbers, which are counted first.
+
+    Up to ``SENT_ROWS`` numbers go to every task, so that no text moves; beyond, both sides are shuffled.
+    """
+    ids = stored(ids, "numbers")
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, by, how)
+
+
 def _hits(held: np.ndarray, x: np.ndarray, y: np.ndarray) -> int:
     """How many of x's values are among y's; ``held`` is all False before and after."""
     held[y] = True
@@ -372,5 +383,5 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row, that with the least id, of every group of similarity 0.8 or more."""
     rows = numbered(docs)
-    kept = _grouped(rows, (80, 100), 27).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    gone = _grouped(rows, (80, 100), 27).where("not kept").select(ROW)
+    return _matched(rows, gone, ROW, "left_anti").drop(ROW)
