@@ -225,12 +225,12 @@ def capped_train_and_test(df: DataFrame, key: str, ratio: float, seed: int, cap:
     """F5 after F3: rows ``start .. start+n-1`` of the first ``cap`` training rows in key order, and the first
     (number of capped training rows) // ``divisor`` test rows, with ``split``.
 
-    Both are top-k, so no row index is written; the training rows are counted up to ``cap`` alone.
+    Both are top-k, so no row index is written; the number of training rows is one aggregate.
     """
     s = split_rows(df, key, ratio, seed)
     train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
     rows = slice_in_order(train, key, start, max(0, min(n, cap - start))).drop("row_idx")
-    counted = train.select(key).limit(cap).agg(F.count(F.lit(1)).alias("c")).scalar()
+    counted = train.agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("c")).scalar()
     first = slice_in_order(test, key, 0, cap // divisor)
     return rows.unionByName(cap_test_split(first, counted, divisor).drop("row_idx"))
 
