@@ -61,3 +61,11 @@ def test_same_rows_same_bins(spark):
     docs = table(spark, "documents")
     a, b = (sorted(map(tuple, K.packed_documents(d).collect())) for d in (docs, docs.repartition(7)))
     assert a == b
+
+
+def test_one_key_with_many_equal_lengths_is_spread(spark):
+    """A null key with a third and more of the rows, all of one length, does not meet in one group."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.lit(100).alias("n"))
+    got = K.pack(df, "k", "n", group=100).where("k is null").collect()
+    groups = [r.bin_id.split("-")[0] for r in got]
+    assert len(got) == 1000 and max(map(groups.count, set(groups))) < 100

@@ -71,13 +71,17 @@ def pack(df: DataFrame, key: str, length: str, capacities: tuple[int, ...] = CAP
 
     A row longer than the largest capacity gives several pieces, in order of ``start``.
     Null or zero lengths give one piece of length 0 without a bin.  Repeated rows are packed
-    each on its own; rows are ordered by length, then key, so ties do not matter.
+    each on its own; rows are ordered by length, then key, so ties do not matter.  Groups
+    are dealt by a number of the row too, so one key with any share of the rows is spread
+    over all of them; which row shares a group with which depends on how the input is cut
+    into partitions.
     """
     top = max(capacities)
-    rows = stored(df.select(F.col(key).alias("key"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("total")), "lengths")
+    rows = stored(df.select(F.col(key).alias("key"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("total"),
+                            F.monotonically_increasing_id().alias("row")), "lengths")
     cut = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / top) - 1, F.lit(0)).cast("int"))).alias("piece")
-    pieces = rows.select("key", "total", cut).select(
-        "key", "piece", (F.col("piece").cast("long") * top).alias("start"),
+    pieces = rows.select("key", "total", "row", cut).select(
+        "key", "piece", "row", (F.col("piece").cast("long") * top).alias("start"),
         F.least(F.lit(top), F.col("total") - F.col("piece").cast("long") * top).alias("length"))
     n = rows.agg(F.sum(F.greatest(F.ceil(F.col("total") / top), F.lit(1)))).first()[0] or 0
     groups = max(1, -(-n // group))
@@ -85,12 +89,12 @@ def pack(df: DataFrame, key: str, length: str, capacities: tuple[int, ...] = CAP
     schema = f"key {key_type}, piece int, start long, length long, bin_id string, bin_offset long, bin_capacity int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "key", "row", "piece"], ascending=[False, True, True, True], kind="stable")
         b, at, cap = best_fit(pdf["length"].to_numpy(), capacities, cost)
         name = str(pdf["grp"].iloc[0])
-        return pdf.assign(bin_id=[f"{name}-{x}" for x in b], bin_offset=at, bin_capacity=cap.astype(np.int32)).drop(columns="grp")
+        return pdf.assign(bin_id=[f"{name}-{x}" for x in b], bin_offset=at, bin_capacity=cap.astype(np.int32)).drop(columns=["grp", "row"])
 
-    spread = F.pmod(F.xxhash64("key", "piece", "length"), F.lit(groups))
+    spread = F.pmod(F.xxhash64("key", "piece", "length", "row"), F.lit(groups))
     packed = pieces.where("length > 0").withColumn("grp", spread).groupBy("grp").applyInPandas(run, schema)
     empty = pieces.where("length <= 0").select(
         "key", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"),
