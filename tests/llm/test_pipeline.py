@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 
 from veracity.llm import minhash, packing, recompress
 from veracity.llm.common import components, documents, stored
@@ -41,3 +42,25 @@ def test_components(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(90)}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """The tables' own columns may be named like anything that a stage computes."""
+    docs = documents(spark, SF_TINY)
+    clash = ["kept", "n_words", "n_removed", "_text", "__at", "__doc", "__version", "toxic_whole", "score", "_toxic",
+             "lang_pred", "_lang", "_posterior", "__row", "row", "component_id"]
+    wide = docs.select("*", *[(F.col("doc_id") * 7 + k).alias(c) for k, c in enumerate(clash)]).select(*reversed([*docs.columns, *clash]))
+    for name, stage in C.STAGES[:-1]:
+        out = stored(stage(spark, wide, SF_TINY), "stage")
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id * 7 + k for r in rows for k, c in enumerate(clash)), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, SF_TINY).select("doc_id").collect()}, name
+
+
+def test_stages_of_empty_tables_and_odd_rows(spark, edge_docs, no_docs):
+    for name, stage in C.STAGES:
+        out = stage(spark, no_docs, SF_TINY)
+        assert out.count() == 0, name
+        got = stage(spark, edge_docs, SF_TINY).collect()
+        assert name == "packing" or {r.doc_id for r in got} <= {r.doc_id for r in edge_docs.collect()}, name

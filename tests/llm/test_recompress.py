@@ -97,3 +97,27 @@ def test_stage_keeps_columns_and_untouched_texts(spark, edge_docs):
     got = {(r.doc_id, r.text) for r in out.collect()}
     assert (6, " \t\n\r ") in got and (2, "") in got and (4, None) in got
     assert np.all([r.n_chars == len(r.text) for r in out.where("doc_id = 2").collect()])
+
+
+def test_many_texts_under_one_id(spark):
+    """A third of the rows has no id, another a common one; every text is cut as its own words say."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(rng.randint(5, 30))]
+        rows.append(([None, 5, 100 + i][i % 3], " ".join(own + (passage if i % 2 else []) + own[:3])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = R.remove_repeats(df).collect()
+    assert len(got) == 90
+    whole = [r for r in got if "p0" in r.text.split() and r.n_removed == 0]
+    assert len(whole) == 1 and whole[0].doc_id == 5  # the least id with the passage keeps it
+    for r in got:
+        w = r.text.split()
+        want = w if r in whole or "p0" not in w else [x for x in w if x[0] != "p"]
+        assert r.kept.split() == want and r.n_removed == len(w) - len(want)
+
+
+def test_repeated_ids_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(R, "REPEATED_IDS", 0)
+    test_many_texts_under_one_id(spark)

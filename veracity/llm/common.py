@@ -49,6 +49,18 @@ def given_id(doc_id: Column) -> Column:
     return F.when(doc_id != NULL_ID, doc_id)
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``used`` in one struct, and the columns that give the table back.
+
+    An operator's own columns then cannot clash with the table's, whatever their names.
+    """
+    rest = [c for c in docs.columns if c not in used]
+    if not rest:
+        return docs, [F.col(c) for c in docs.columns]
+    kept = docs.select(*[F.col(c) for c in used if c in docs.columns], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    return kept, [F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives executors."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import chunks, documents, held_out, small_batches
+from veracity.llm.common import aside, chunks, documents, held_out, small_batches
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -125,5 +125,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Keep documents whose language is known with a posterior of at least ``least``."""
-    known = predict(docs, learnt(docs), out=("_lang", "_posterior"))
-    return known.where((F.col("_lang") != "und") & (F.col("_posterior") >= least)).drop("_lang", "_posterior")
+    rows, back = aside(docs, "doc_id", "text", "lang")
+    known = predict(rows, learnt(docs))
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*back)

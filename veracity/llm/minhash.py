@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veracity.llm.common import (Rolling, chunks, components, documents, given_id, known_id, lower, mix, raw, small_batches,
+from veracity.llm.common import (Rolling, aside, chunks, components, documents, given_id, known_id, lower, mix, raw, small_batches,
                                  stored, word_hashes, words)
 
 SHINGLE = 5
@@ -382,6 +382,7 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row, that with the least id, of every group of similarity 0.8 or more."""
-    rows = numbered(docs)
+    rows, back = aside(docs, "doc_id", "text")
+    rows = numbered(rows)
     gone = _grouped(rows, (80, 100), 27).where("not kept").select(ROW)
-    return _matched(rows, gone, ROW, "left_anti").drop(ROW)
+    return _matched(rows, gone, ROW, "left_anti").select(*back)

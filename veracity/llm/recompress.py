@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, chunks, documents, known_id, mix, raw, small_batches, stored, word_hashes, words
+from veracity.llm.common import Rolling, aside, chunks, documents, known_id, mix, raw, small_batches, stored, word_hashes, words
 
 WINDOW = 20
 #: Two rounds name stretches of about four words, which leaves room to slide within a window;
@@ -34,6 +34,8 @@ ROUNDS = 2
 RUN_ROUNDS = (1,)
 #: A boundary name with more passages than this within a task sends its windows on at once.
 HEAVY = 64
+#: Up to so many repeated ids (counted first) are sent to the tasks; beyond, the join with them is shuffled.
+REPEATED_IDS = 1_000_000
 
 
 def boundaries(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS):
@@ -132,13 +134,14 @@ def filed(h: np.ndarray, first: np.ndarray, window: int = WINDOW):
 
 
 ENTRY, WINDOWS, REMOVED, MARK, PROBE = range(5)
-_ROWS = "kind byte, key long, whole long, doc long, pos long, n int"
-_NAMES = ["kind", "key", "whole", "doc", "pos", "n"]
+_ROWS = "kind byte, key long, whole long, doc long, version long, pos long, n int"
+_NAMES = ["kind", "key", "whole", "doc", "version", "pos", "n"]
 
 
-def _batch(kind, key, whole, doc, pos, n) -> pa.RecordBatch:
+def _batch(kind, key, whole, doc, version, pos, n) -> pa.RecordBatch:
     size = len(doc)
-    full = [np.broadcast_to(np.asarray(x, t), size) for x, t in ((kind, np.int8), (key, None), (whole, None), (doc, np.int64), (pos, np.int64), (n, np.int32))]
+    full = [np.broadcast_to(np.asarray(x, t), size) for x, t in ((kind, np.int8), (key, None), (whole, None), (doc, np.int64), (version, np.int64), (pos, np.int64),
+                                                                 (n, np.int32))]
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x) for x in full], _NAMES)
 
 
@@ -159,19 +162,20 @@ class _Reader:
     def passage(self, lo, hi):
         return (self.rolls[2].of(self.prefix[0], lo, hi), self.rolls[3].of(self.prefix[1], lo, hi))
 
-    def pos(self, at: np.ndarray) -> np.ndarray:
-        """Place within the document and version of its text, ordered by place."""
-        return (at - self.first[self.row[at]] << 24) | self.version[self.row[at]]
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, version of its text, and word number within it."""
+        row = self.row[at]
+        return self.doc[row], self.version[row], at - self.first[row]
 
 
-def _firsts(key, whole, doc, pos):
-    """Order by (key, whole, doc, pos); whether each is the first of its (key, whole), and whether the first's very place."""
-    order = np.lexsort((pos, doc, whole, key))
-    key, whole, doc, pos = key[order], whole[order], doc[order], pos[order]
+def _firsts(key, whole, doc, version, pos):
+    """Order by (key, whole, doc, pos, version); whether each is the first of its (key, whole), and whether the first's very place."""
+    order = np.lexsort((version, pos, doc, whole, key))
+    key, whole, doc, version, pos = key[order], whole[order], doc[order], version[order], pos[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else new
-    return order, new, (doc == doc[lead]) & (pos == pos[lead])
+    return order, new, (doc == doc[lead]) & (pos == pos[lead]) & (version == version[lead])
 
 
 def _spans(reader: _Reader, lo: np.ndarray, hi: np.ndarray):
@@ -182,7 +186,8 @@ def _spans(reader: _Reader, lo: np.ndarray, hi: np.ndarray):
     new[1:] = (lo[1:] > hi[:-1] + 1) | (reader.row[lo[1:]] != reader.row[lo[:-1]])
     last = np.append(np.flatnonzero(new)[1:], len(lo)) - 1
     lo, hi = lo[new], hi[last] if len(lo) else hi
-    return _batch(REMOVED, reader.pos(lo) * 31 + reader.doc[reader.row[lo]], 0, reader.doc[reader.row[lo]], reader.pos(lo), hi - lo + WINDOW)
+    doc, version, pos = reader.place(lo)
+    return _batch(REMOVED, pos * 31 + doc + version, 0, doc, version, pos, hi - lo + WINDOW)
 
 
 def _windows(reader: _Reader, lo: np.ndarray, hi: np.ndarray):
@@ -190,10 +195,10 @@ def _windows(reader: _Reader, lo: np.ndarray, hi: np.ndarray):
     n = hi - lo + 1
     w = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     a, b = reader.passage(w, w + WINDOW)
-    doc, pos = reader.doc[reader.row[w]], reader.pos(w)
-    order, new, same = _firsts(a, b, doc, pos)
+    doc, version, pos = reader.place(w)
+    order, new, same = _firsts(a, b, doc, version, pos)
     first, more = order[new], order[~new & ~same]
-    yield _batch(WINDOWS, a[first], b[first], doc[first], pos[first], 1)
+    yield _batch(WINDOWS, a[first], b[first], doc[first], version[first], pos[first], 1)
     yield _spans(reader, w[more], w[more])
 
 
@@ -208,30 +213,30 @@ def _entries(batches):
         whole_a, whole_b = reader.passage(lo, hi + WINDOW)
         key = mix(rank + (rank >> np.uint64(60)))
         whole = mix((whole_b ^ (whole_a >> np.uint64(1))) + (at - lo).astype(np.uint64))
-        doc, pos = reader.doc[reader.row[lo]], reader.pos(lo)
-        order, new, same = _firsts(key, whole, doc, pos)
+        doc, version, pos = reader.place(lo)
+        order, new, same = _firsts(key, whole, doc, version, pos)
         more, first = order[~new & ~same], order[new]
         if len(more):
             yield _spans(reader, lo[more], hi[more])
         names, back, kinds = np.unique(key[first], return_inverse=True, return_counts=True)
         heavy = kinds > HEAVY
         if heavy.any():
-            yield _batch(MARK, names[heavy], 0, np.zeros(heavy.sum()), 0, 0)
+            yield _batch(MARK, names[heavy], 0, np.zeros(heavy.sum()), 0, 0, 0)
             many = first[heavy[back]]
             yield from _windows(reader, lo[many], hi[many])
             first = first[~heavy[back]]
-        yield _batch(ENTRY, key[first], whole[first], doc[first], pos[first], (hi - lo + 1)[first])
+        yield _batch(ENTRY, key[first], whole[first], doc[first], version[first], pos[first], (hi - lo + 1)[first])
 
 
 def _resolve(batches):
     """Rows sorted by kind of name, name, passage and place: repeats become removed stretches, open cases probes."""
-    last = None  # (class, key, whole), its first (doc, pos), several passages seen, first of the only passage not sent yet
+    last = None  # (class, key, whole), its first (doc, version, pos), several passages seen, first of the only passage not sent yet
     for b in batches:
-        kind, key, whole, doc, pos, n = (b.column(c).to_numpy() for c in range(6))
+        kind, key, whole, doc, version, pos, n = (b.column(c).to_numpy() for c in range(7))
         away = kind == REMOVED
         if away.any():
-            yield _batch(REMOVED, 0, 0, doc[away], pos[away], n[away])
-            kind, key, whole, doc, pos, n = (x[~away] for x in (kind, key, whole, doc, pos, n))
+            yield _batch(REMOVED, 0, 0, doc[away], version[away], pos[away], n[away])
+            kind, key, whole, doc, version, pos, n = (x[~away] for x in (kind, key, whole, doc, version, pos, n))
         if not len(kind):
             continue
         single = kind == WINDOWS
@@ -244,10 +249,11 @@ def _resolve(batches):
             new[0] = new_key[0] or last["whole"] != (bool(mark[0]), int(whole[0]))
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         own = lead < 0  # goes on with the passage of the batch before
-        first_doc, first_pos = np.where(own, last["doc"] if last else 0, doc[lead]), np.where(own, last["pos"] if last else 0, pos[lead])
-        again = ~new & ~mark & ((doc != first_doc) | (pos != first_pos))
+        before = last["first"] if last else (0, 0, 0)
+        first = [np.where(own, x, of[lead]) for x, of in zip(before, (doc, version, pos))]
+        again = ~new & ~mark & ((doc != first[0]) | (version != first[1]) | (pos != first[2]))
         if again.any():
-            yield _batch(REMOVED, 0, 0, doc[again], pos[again], n[again] + WINDOW - 1)
+            yield _batch(REMOVED, 0, 0, doc[again], version[again], pos[again], n[again] + WINDOW - 1)
         # Passages of each name; a mark counts as several.
         group = np.cumsum(new_key) - 1
         count = np.bincount(group + 1, weights=new + 2 * mark, minlength=int(group[-1]) + 2)
@@ -256,50 +262,61 @@ def _resolve(batches):
         several = count[group + 1] >= 2
         probe = new & several & ~single & ~mark
         if last is not None and last["held"] is not None and not new_key[0] and several[0]:
-            d, p, m = last["held"]
-            yield _batch(PROBE, 0, 0, [d], [p], [m])
+            d, v, p, m = last["held"]
+            yield _batch(PROBE, 0, 0, [d], [v], [p], [m])
             last["held"] = None
         if probe.any():
-            yield _batch(PROBE, 0, 0, doc[probe], pos[probe], n[probe])
+            yield _batch(PROBE, 0, 0, doc[probe], version[probe], pos[probe], n[probe])
         send = new & single
         if send.any():
-            yield _batch(WINDOWS, key[send], whole[send], doc[send], pos[send], n[send])
+            yield _batch(WINDOWS, key[send], whole[send], doc[send], version[send], pos[send], n[send])
         i, end = len(key) - 1, group == group[-1]
         held = None
         if not single[i] and not several[i]:
             f = np.flatnonzero(end & new & ~mark)
-            held = (int(doc[f[0]]), int(pos[f[0]]), int(n[f[0]])) if len(f) else last["held"]
-        last = {"key": (bool(single[i]), int(key[i])), "whole": (bool(mark[i]), int(whole[i])), "doc": int(first_doc[i]), "pos": int(first_pos[i]),
+            held = tuple(int(x[f[0]]) for x in (doc, version, pos, n)) if len(f) else last["held"]
+        last = {"key": (bool(single[i]), int(key[i])), "whole": (bool(mark[i]), int(whole[i])), "first": tuple(int(x[i]) for x in first),
                 "count": count[group[-1] + 1], "held": held}
 
 
 def _probed(batches):
-    """Single windows of the entries that each document's probes name."""
+    """Single windows of the entries that the probes of each text name."""
     reader = _Reader()
     for part in chunks(batches, "text"):
         reader.read(part)
         lo, n = [], []
         for i, (pos, size) in enumerate(zip(part.column(3), part.column(4))):
-            pos, size = pos.values.to_numpy(), size.values.to_numpy()
-            mine = (pos & 0xFFFFFF) == reader.version[i]
-            lo.append((pos[mine] >> 24) + reader.first[i])
-            n.append(size[mine])
+            lo.append(pos.values.to_numpy() + reader.first[i])
+            n.append(size.values.to_numpy())
         lo, n = np.concatenate(lo), np.concatenate(n).astype(np.int64)
         if len(lo):
             yield from _windows(reader, lo, lo + n - 1)
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df.repartition("key").sortWithinPartitions(F.col("kind") == WINDOWS, "key", F.col("kind") == ENTRY, "whole", "doc", "pos")
+    return df.repartition("key").sortWithinPartitions(F.col("kind") == WINDOWS, "key", F.col("kind") == ENTRY, "whole", "doc", "pos", "version")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, pos, n): stretches of n words to remove, from place pos >> 24 of the text version pos & 0xFFFFFF."""
+    """(doc, version, pos, n): stretches of n words to remove, from word ``pos`` of that version of the document's text."""
     seen = stored(_ordered(docs.select("doc", "version", "text").mapInArrow(_entries, _ROWS)).mapInArrow(_resolve, _ROWS), "entries")
-    probes = seen.where(F.col("kind") == PROBE).groupBy("doc").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("sizes"))
-    single = docs.join(probes, "doc").select("doc", "version", "text", "at", "sizes").mapInArrow(_probed, _ROWS)
+    probes = seen.where(F.col("kind") == PROBE).groupBy("doc", "version").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("sizes"))
+    single = docs.join(probes, ["doc", "version"]).select("doc", "version", "text", "at", "sizes").mapInArrow(_probed, _ROWS)
     single = _ordered(single.unionByName(seen.where(F.col("kind") == WINDOWS))).mapInArrow(_resolve, _ROWS)
-    return stored(seen.where(F.col("kind") == REMOVED).unionByName(single.where(F.col("kind") == REMOVED)).select("doc", "pos", "n"), "removed")
+    return stored(seen.where(F.col("kind") == REMOVED).unionByName(single.where(F.col("kind") == REMOVED)).select("doc", "version", "pos", "n"), "removed")
+
+
+def _versioned(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` (``__doc``) with ``__version``: 0 where the id has one row, else the text's fingerprint of 64 bits.
+
+    So lists and joins by (id, version) hold one text, however many rows have one id or none.
+    """
+    many = stored(rows.groupBy("__doc").count().where("count > 1").select("__doc", F.lit(True).alias("__many")), "repeated-ids")
+    n = many.count()
+    if not n:
+        return rows.withColumn("__version", F.lit(0).cast("long"))
+    rows = rows.join(F.broadcast(many) if n <= REPEATED_IDS else many, "__doc", "left")
+    return rows.withColumn("__version", F.when(F.col("__many"), F.xxhash64(text)).otherwise(F.lit(0))).drop("__many")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -311,32 +328,31 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     repeat an id count as one document too, equal texts being the same place.
     """
     small_batches(docs.sparkSession, 500)
-    doc, version = known_id(F.col("doc_id")), F.xxhash64(text).bitwiseAND(0xFFFFFF)
-    cuts = repeated(docs.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))) \
-        .groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("pos").alias("__at"), F.collect_list("n").alias("__sizes"))
     rows = docs.drop("kept", "n_words", "n_removed")
     kept = rows.columns
-    rows = rows.withColumn("__version", version).join(cuts, doc == F.col("__doc"), "left").drop("__doc")
-    i = [rows.columns.index(c) for c in (text, "__version", "__at", "__sizes")]
+    rows = _versioned(rows.withColumn("__doc", known_id(F.col("doc_id"))), text)
+    cuts = (repeated(rows.select(F.col("__doc").alias("doc"), F.col("__version").alias("version"), F.col(text).alias("text")))
+            .groupBy(F.col("doc").alias("__doc"), F.col("version").alias("__version"))
+            .agg(F.collect_list("pos").alias("__at"), F.collect_list("n").alias("__sizes")))
+    rows = rows.join(cuts, ["__doc", "__version"], "left").select(*kept, "__at", "__sizes")
+    i = [rows.columns.index(c) for c in (text, "__at", "__sizes")]
 
     def run(batches):
         for b in batches:
             out, total, gone = [], [], []
-            for t, version, at, sizes in zip(*(b.column(k) for k in i)):
+            for t, at, sizes in zip(*(b.column(k) for k in i)):
                 w = (t.as_py() or "").encode().split()
                 total.append(len(w))
                 if at.is_valid:
                     at, sizes = at.values.to_numpy(), sizes.values.to_numpy()
-                    mine = (at & 0xFFFFFF) == version.as_py()
-                    left, at = [], at[mine] >> 24
-                    order, end = np.argsort(at), 0
-                    for lo, n in zip(at[order].tolist(), sizes[mine][order].tolist()):
+                    left, order, end = [], np.argsort(at), 0
+                    for lo, n in zip(at[order].tolist(), sizes[order].tolist()):
                         left += w[end:lo] if lo > end else []
                         end = max(end, lo + n)
                     w = left + w[end:]
                 out.append(b" ".join(w).decode())
                 gone.append(total[-1] - len(w))
-            cols = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] not in ("__version", "__at", "__sizes")]
+            cols = [b.column(k) for k in range(b.num_columns) if b.schema.names[k] not in ("__at", "__sizes")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
                                              [*kept, "kept", "n_words", "n_removed"])
 
@@ -352,9 +368,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; n_chars follows.  Texts that lose nothing stay as they are."""
-    got = remove_repeats(docs.select("*", F.col("text").alias("_text")), "_text")
+    rows, back = aside(docs, "doc_id", "text", "n_chars")
+    got = remove_repeats(rows)
     changed = F.col("n_removed") > 0
     columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.withColumns(columns).select(*docs.columns)
+    return got.withColumns(columns).select(*back)

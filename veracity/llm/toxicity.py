@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, chunks, documents, fold, held_out, raw, small_batches, word_hashes, words
+from veracity.llm.common import Rolling, aside, chunks, documents, fold, held_out, raw, small_batches, word_hashes, words
 
 ORDER = 5
 DISCOUNT = 0.95
@@ -249,4 +249,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> Da
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """Documents with a score below the threshold."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "_toxic").where(F.col("_toxic") < threshold).drop("_toxic")
+    rows, back = aside(docs, "doc_id", "text")
+    return score(rows, model).where(F.col("score") < threshold).select(*back)
