@@ -69,6 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are stored.
+
+    Spark removes a shuffle once the driver's JVM has collected the plan that made it, which
+    in a driver with room may be long after the last use; a collection makes it do so now.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

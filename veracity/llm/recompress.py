@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, aside, chunks, documents, known_id, mix, raw, small_batches, stored, word_hashes, words
+from veracity.llm.common import Rolling, aside, chunks, documents, free_shuffles, known_id, mix, raw, small_batches, stored, word_hashes, words
 
 WINDOW = 20
 #: Two rounds name stretches of about four words, which leaves room to slide within a window;
@@ -300,10 +300,13 @@ def _ordered(df: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc, version, pos, n): stretches of n words to remove, from word ``pos`` of that version of the document's text."""
     seen = stored(_ordered(docs.select("doc", "version", "text").mapInArrow(_entries, _ROWS)).mapInArrow(_resolve, _ROWS), "entries")
+    free_shuffles(docs.sparkSession)
     probes = seen.where(F.col("kind") == PROBE).groupBy("doc", "version").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("sizes"))
     single = docs.join(probes, ["doc", "version"]).select("doc", "version", "text", "at", "sizes").mapInArrow(_probed, _ROWS)
     single = _ordered(single.unionByName(seen.where(F.col("kind") == WINDOWS))).mapInArrow(_resolve, _ROWS)
-    return stored(seen.where(F.col("kind") == REMOVED).unionByName(single.where(F.col("kind") == REMOVED)).select("doc", "version", "pos", "n"), "removed")
+    removed = stored(seen.where(F.col("kind") == REMOVED).unionByName(single.where(F.col("kind") == REMOVED)).select("doc", "version", "pos", "n"), "removed")
+    free_shuffles(docs.sparkSession)
+    return removed
 
 
 def _versioned(rows: DataFrame, text: str) -> DataFrame:
@@ -328,6 +331,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     repeat an id count as one document too, equal texts being the same place.
     """
     small_batches(docs.sparkSession, 500)
+    free_shuffles(docs.sparkSession)
     rows = docs.drop("kept", "n_words", "n_removed")
     kept = rows.columns
     rows = _versioned(rows.withColumn("__doc", known_id(F.col("doc_id"))), text)
