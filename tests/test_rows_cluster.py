@@ -182,6 +182,44 @@ def test_similar_pairs_chunking(spark):
     assert a == b and len(a) > 0
 
 
+def test_similar_pairs_of_blocks_lose_nothing(spark):
+    """Dense directions, equal vectors, opposite ones, several questions: pairs equal to the double loop, few compared."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = []
+    for q, n in ((0, 900), (1, 400), (2, 30)):
+        centres = rng.normal(size=(12, 6))
+        for i in range(n):
+            v = centres[i % 12] + rng.normal(size=6) * 0.08
+            if i % 50 == 7:
+                v = centres[0]
+            if i % 61 == 3:
+                v = -centres[1]
+            rows.append((q, i, [float(x) for x in v]))
+    rows += [(0, 900, [0.0] * 6), (0, 901, None), (1, 400, [float("nan")] * 6), (1, 401, [1e200] * 6), (3, 0, None)]
+    df = spark.createDataFrame(rows, "question_id long, sample_idx int, embedding array<double>")
+    want = set()
+    for q in (0, 1, 2):
+        own = [(i, np.array(v)) for k, i, v in rows if k == q and v is not None and 0 < np.sqrt((np.array(v) ** 2).sum()) < np.inf]
+        unit = np.array([v / np.linalg.norm(v) for _, v in own])
+        hit = np.argwhere(np.triu(unit @ unit.T > 0.97, 1))
+        want |= {(q, own[a][0], own[b][0]) for a, b in hit}
+    got = CL.similar_pairs(df, 0.97, chunk=32, pivots=16).select("question_id", "i", "j").collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == want and len(want) > 1000
+    seen = {r.question_id: r for r in CL.compared_pairs(df, 0.97, chunk=32, pivots=16).collect()}
+    assert seen[0].n_samples == 900 and seen[0].n_pairs == 900 * 899 // 2
+    assert sum(1 for q, _, _ in want if q == 0) <= seen[0].n_compared < seen[0].n_pairs / 3
+    assert seen[2].n_compared == seen[2].n_pairs == 30 * 29 // 2
+
+
+def test_similar_pairs_without_rows_and_at_extreme_thresholds(spark):
+    schema = "question_id long, sample_idx int, embedding array<double>"
+    assert CL.similar_pairs(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([(0, i, [1.0, float(i % 3)]) for i in range(20)], schema)
+    for t in (-1.5, -1.0, 0.5, 0.999999):
+        assert CL.similar_pairs(df, t, chunk=4, pivots=4).count() == CL.similar_pairs(df, t, chunk=100).count()
+
+
 def test_zero_vector_quarantined(spark):
     df = spark.createDataFrame([(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0])],
                                "question_id long, sample_idx int, embedding array<double>")

@@ -1,11 +1,11 @@
 """Similarity clustering of sampled responses (C1-C7) and rating roll-ups.
 
 C1/C2 ``similar_pairs``: cosine similarity inside each question, strictly above
-a threshold.  The self-join is keyed on (question, chunk pair): samples are cut
-into chunks of ``chunk`` rows and every chunk pair of a question is its own join
-key, so a question with many samples is spread over many tasks instead of one.
-Questions with at most ``chunk`` samples (the usual case: tens of samples) are
-not replicated at all.
+a threshold.  The samples of a large question are put in blocks by their angles
+to a few of them (pivots); the triangle inequality excludes pairs of blocks, and
+every other pair of blocks is its own join key, so the question is spread over
+many tasks.  Questions with at most ``chunk`` samples (the usual case: tens of
+samples) are not replicated at all.
 
 C3 ``leader_clusters``: greedy leader clustering in sample order.  A sample's
 fate depends on earlier leaders.  Questions with few similar pairs are folded
@@ -15,12 +15,14 @@ rounds, sample by sample, so no row holds a whole question.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import markers as M
 from veracity.functions import parse as P
-from veracity.operators.rows import filter_once, materialize
+from veracity.operators.rows import computed_once, filter_once, materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,29 +35,131 @@ def norm(a: Column) -> Column:
 
 
 def quarantine_zero(samples: DataFrame, embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """C4: zero vectors make the original loop spin forever; split them off."""
+    """C4: zero vectors make the original loop spin forever; they, null and non-finite ones are split off."""
     d = samples.withColumn("_norm", norm(F.col(embedding)))
-    good = d.filter(F.col("_norm") > 0)
-    bad = d.filter(~(F.col("_norm") > 0) | F.col("_norm").isNull()).drop("_norm")
-    return good, bad
+    ok = F.coalesce((F.col("_norm") > 0) & (F.col("_norm") < float("inf")), F.lit(False))  # NaN is above all numbers
+    return d.filter(ok), d.filter(~ok).drop("_norm")
 
 
-def similar_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "question_id",
-                  idx: str = "sample_idx", embedding: str = "embedding", chunk: int = 256) -> DataFrame:
-    """Pairs (i < j) of one question with cosine similarity > threshold."""
+#: Added to every angle limit, so that the rounding of acos excludes no pair.
+ANGLE_SLACK = 1e-6
+
+
+def _angle(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(a, b) / (na * nb))))
+
+
+def _placed(s: DataFrame, large: DataFrame, key: str, limit: float, chunk: int, pivots: int) -> DataFrame:
+    """The rows of large questions with ``_d`` (angles to the question's pivots) and ``_block``.
+
+    A row belongs to its nearest pivot's cell, in it to a ring by its angle to
+    that pivot, and rings of more than ``chunk`` rows are cut by hash.  A
+    question's pivots and ring sizes are one row for each of its chunks, so no
+    row of a question waits in one task for its tables.
+    """
+    picked = (s.join(large, key).groupBy(key, F.pmod(F.xxhash64("_i"), F.lit(pivots)).alias("_slot"))
+              .agg(F.min_by(F.struct("_e", "_norm"), "_i").alias("_p"))
+              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_slot", "_p"))).alias("_ps")))
+
+    def for_each_chunk(t):
+        return t.join(large, key).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+
+    d = s.join(for_each_chunk(picked), [key, "_c"])
+    d = computed_once(d, {"_d": F.transform("_ps", lambda p: _angle(F.col("_e"), p["_p"]["_e"], F.col("_norm"), p["_p"]["_norm"]))}).drop("_ps")
+    width = max(limit / 2, math.pi / 64)  # at most 65 rings
+    d = computed_once(d, {"_cell": F.array_position("_d", F.array_min("_d")) * 128 + F.floor(F.array_min("_d") / width)})
+    d = materialize(d, "pivot-angles")
+    sizes = (d.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+             .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_n"))).alias("_sizes")))
+    d = d.join(for_each_chunk(sizes), [key, "_c"])
+    parts = F.ceil(F.element_at("_sizes", F.col("_cell")) / chunk)
+    return materialize(d.withColumn("_block", F.col("_cell") * (1 << 32) + F.pmod(F.xxhash64("_i"), parts)).drop("_sizes"), "blocks")
+
+
+def _partners(placed: DataFrame, key: str, limit: float, pivots: int) -> DataFrame:
+    """(key, lo, hi, n_lo, n_hi): the pairs of blocks that can hold a pair of rows within the angle ``limit``.
+
+    Two rows' angle is at least the difference of their angles to any pivot.
+    A pair of blocks is left out only if for some pivot the blocks' ranges lie
+    further apart than the limit.
+    """
+    at = [F.get("_d", F.lit(k)) for k in range(pivots)]
+    blocks = placed.groupBy(key, "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.min(x) for x in at]).alias("near"), F.array(*[F.max(x) for x in at]).alias("far"))
+    a = blocks.select(key, F.col("_block").alias("lo"), F.col("n").alias("n_lo"), F.col("near").alias("near_a"), F.col("far").alias("far_a"))
+    b = blocks.select(key, F.col("_block").alias("hi"), F.col("n").alias("n_hi"), F.col("near").alias("near_b"), F.col("far").alias("far_b"))
+
+    def gap(near, far):
+        return F.exists(F.zip_with(near, far, lambda x, y: F.coalesce(x - y > limit, F.lit(False))), lambda g: g)
+
+    apart = gap("near_a", "far_b") | gap("near_b", "far_a")
+    return materialize(a.join(b, key).where((F.col("lo") <= F.col("hi")) & ~apart).select(key, "lo", "hi", "n_lo", "n_hi"), "block-pairs")
+
+
+def _prepared(samples: DataFrame, threshold: float, key: str, idx: str, embedding: str, chunk: int, pivots: int):
+    """Rows of small questions, blocks of large ones, their block pairs (None twice without a large question)."""
     good, _ = quarantine_zero(samples, embedding)
-    s = good.select(key, idx, embedding, "_norm", F.floor(F.col(idx) / chunk).cast("int").alias("_c"))
-    n_chunks = s.groupBy(key).agg((F.max("_c") + 1).alias("_k"))
-    s = s.join(n_chunks, key)
-    # left copy of chunk c meets chunks c..k-1, right copy of chunk c meets chunks 0..c
-    left = s.select(key, F.col(idx).alias("i"), F.col(embedding).alias("ea"), F.col("_norm").alias("na"),
-                    F.col("_c").alias("lo"), F.explode(F.sequence(F.col("_c"), F.col("_k") - 1)).alias("hi"))
-    right = s.select(key, F.col(idx).alias("j"), F.col(embedding).alias("eb"), F.col("_norm").alias("nb"),
-                     F.col("_c").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("lo"))
+    s = good.select(key, F.col(idx).alias("_i"), F.col(embedding).alias("_e"), "_norm", F.floor(F.abs(idx) / chunk).cast("int").alias("_c"))
+    # no vector is read to find the large questions
+    large = materialize(samples.groupBy(key).agg((F.max(F.floor(F.abs(idx) / chunk)) + 1).cast("int").alias("_k"))
+                        .where(F.col("_k") > 1), "large-questions")
+    if large.isEmpty():
+        return s, None, None
+    limit = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
+    placed = _placed(s, large, key, limit, chunk, pivots)
+    return s.join(large, key, "left_anti"), placed, _partners(placed, key, limit, pivots)
+
+
+def similar_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "question_id",
+                  idx: str = "sample_idx", embedding: str = "embedding", chunk: int = 256, pivots: int = 32) -> DataFrame:
+    """Pairs (i < j) of one question with cosine similarity > threshold.
+
+    Questions whose ``idx`` stays below ``chunk`` are compared whole.  Larger
+    ones meet block by block, without the pairs of blocks that the angles to
+    at most ``pivots`` of their rows exclude; every pair left is compared, so
+    the result does not depend on ``chunk`` or ``pivots``.  Zero, null and
+    non-finite vectors have no partner; neither has a row with a null key or index.
+    ``idx`` is a position, counted from about 0 in each question or in the table.
+    """
+    small, placed, partners = _prepared(samples, threshold, key, idx, embedding, chunk, pivots)
+
+    def side(d, *keys):
+        a = d.select(key, *keys, F.col("_i").alias("a"), F.col("_e").alias("ea"), F.col("_norm").alias("na"))
+        return a, a.withColumnsRenamed({"a": "b", "ea": "eb", "na": "nb"})
+
     cos = dot(F.col("ea"), F.col("eb")) / (F.col("na") * F.col("nb"))
-    pairs = left.join(right, [key, "lo", "hi"]).where(F.col("i") < F.col("j"))
-    pairs = pairs.select(key, "i", "j", cos.alias("cosine")).where(F.col("cosine") > threshold)
-    return pairs
+
+    def kept(joined):
+        return joined.select(key, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), cos.alias("cosine")).where(F.col("cosine") > threshold)
+
+    a, b = side(small)
+    out = kept(a.join(b, key).where(F.col("a") < F.col("b")))
+    if placed is None:
+        return out
+    pairs = partners.select(key, "lo", "hi")
+    a, _ = side(placed.withColumnRenamed("_block", "lo").join(pairs, [key, "lo"]), "lo", "hi")
+    _, b = side(placed.withColumnRenamed("_block", "hi").join(pairs, [key, "hi"]), "lo", "hi")
+    # within a block each pair once; between blocks the smaller index may be on either side
+    return out.unionByName(kept(a.join(b, [key, "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))))
+
+
+def compared_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "question_id", idx: str = "sample_idx",
+                   embedding: str = "embedding", chunk: int = 256, pivots: int = 32) -> DataFrame:
+    """(key, n_samples, n_pairs, n_compared): what ``similar_pairs`` compares of all pairs of each question.
+
+    Counted from the sizes of the blocks and their pairs; no pair is formed.
+    """
+    small, placed, partners = _prepared(samples, threshold, key, idx, embedding, chunk, pivots)
+
+    def pairs_of(n):
+        return F.expr(f"{n} * ({n} - 1) div 2")
+
+    count = F.count(F.lit(1)).alias("n_samples")
+    out = small.groupBy(key).agg(count).select("*", pairs_of("n_samples").alias("n_pairs"), pairs_of("n_samples").alias("n_compared"))
+    if placed is None:
+        return out
+    done = partners.groupBy(key).agg(F.sum(F.when(F.col("lo") == F.col("hi"), pairs_of("n_lo")).otherwise(F.col("n_lo") * F.col("n_hi"))).alias("n_compared"))
+    return out.unionByName(placed.groupBy(key).agg(count).join(done, key).select(key, "n_samples", pairs_of("n_samples").alias("n_pairs"), "n_compared"))
 
 
 #: Similar pairs of a question up to which its leaders are found by one fold over one row.

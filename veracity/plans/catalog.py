@@ -399,6 +399,13 @@ def leader_clusters_growing(spark, sf):
         zero.select("question_id", F.lit("no vector").alias("kind"), "sample_idx", F.lit(0).alias("size"), F.lit(-1).alias("size_rank")))
 
 
+@query("similar_pairs_growing")
+def similar_pairs_growing(spark, sf):
+    # A third of all vectors in one question: its blocks, without the pairs of blocks that the pivots exclude.
+    p = CL.similar_pairs(D.folded_samples(spark, sf), 0.95)
+    return p.select("question_id", "i", "j", r6("cosine").alias("cosine"))
+
+
 @query("group_samples")
 def group_samples(spark, sf):
     s = RESP.split_samples(D.samples(spark, sf).drop("embedding"), "text")

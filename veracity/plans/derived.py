@@ -196,6 +196,16 @@ def growing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     v.cast("int").alias("sample_idx"), vector.alias("embedding"))
 
 
+def folded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``growing_samples`` with vectors of four components, each the sum of every fourth one of the whole vector."""
+    def every_fourth(k: int):
+        own = F.filter("embedding", lambda x, i: i % 4 == k)
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    sums = F.array(*[every_fourth(k) for k in range(4)])
+    return growing_samples(spark, sf_dir).withColumn("embedding", F.when(F.col("embedding").isNotNull(), sums))
+
+
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, confidence, correctness from ``orders`` (for batch metrics at scale)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")

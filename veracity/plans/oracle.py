@@ -648,6 +648,12 @@ SELECT question_id, 'cluster' AS kind, leader_idx AS sample_idx, size, size_rank
 UNION ALL SELECT question_id, 'no vector', sample_idx, 0, -1 FROM nv WHERE nrm IS NULL OR NOT nrm > 0
 """
 
+ORACLE["similar_pairs_growing"] = with_(GROWING.replace("samples AS", "whole AS", 1), """
+samples AS (SELECT question_id, sample_idx, CASE WHEN embedding IS NOT NULL THEN list_transform([0, 1, 2, 3], lambda k:
+              coalesce(list_sum(list_transform(list_filter(list_zip(embedding, range(len(embedding))), lambda p: p[2] % 4 = k),
+                                               lambda p: CAST(p[1] AS DOUBLE))), 0.0)) END AS embedding FROM whole)""", PAIRS) + \
+    f"SELECT question_id, i, j, {rnd('cosine')} AS cosine FROM pairs WHERE cosine > 0.95"
+
 ORACLE["group_samples"] = with_(SAMPLES, SPLIT_SAMPLES) + """
 SELECT question_id, count(*) AS n_samples, string_agg(chain, '|' ORDER BY sample_idx) AS chains,
        string_agg(reflection, '|' ORDER BY sample_idx) AS reflections
