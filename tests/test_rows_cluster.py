@@ -246,6 +246,35 @@ def test_loss_mask_and_padding(spark):
     assert un[0].input_ids == got[0].input_ids
 
 
+def test_padded_batches_write_keys_and_lengths_only(spark):
+    from veracity.session import _SCRATCH
+    rows = [(k, [1] * (k % 7 + 1)) for k in range(40)] + [(None, [1, 1])]
+    df = spark.createDataFrame(rows, "k long, input_ids array<long>").withColumns(
+        {"labels": F.col("input_ids"), "attention_mask": F.transform("input_ids", lambda x: F.lit(1))})
+    before = len(_SCRATCH)
+    got = {r.k: r for r in T.padded_batches(df, "k", size=8).collect()}
+    for p in _SCRATCH[before:]:
+        assert set(spark.read.parquet(p).columns) <= {"k", "_len", "_mid"}
+    order = [None, *range(40)]  # null first, as Spark sorts
+    size = {k: len(v) for k, v in rows}
+    for i, k in enumerate(order):
+        longest = max(size[x] for x in order[i // 8 * 8:i // 8 * 8 + 8])
+        assert (got[k].batch_id, len(got[k].input_ids), sum(got[k].attention_mask)) == (i // 8, longest, size[k])
+        assert got[k].labels[size[k]:] == [-100] * (longest - size[k])
+
+
+def test_row_index_of_keys_only(spark):
+    from veracity.session import _SCRATCH
+    df = spark.createDataFrame([(i % 5, i // 5, "t" * i) for i in range(60)] + [(None, 1, "n")], "a int, b int, text string")
+    before = len(_SCRATCH)
+    slim = R.with_row_index(df, ["a", "b"], keys_only=True)
+    assert slim.columns == R.with_row_index(df, ["a", "b"]).columns
+    assert set(spark.read.parquet(_SCRATCH[before]).columns) == {"a", "b", "_mid"}
+    rows = sorted(slim.collect(), key=lambda r: r.row_idx)
+    assert [r.row_idx for r in rows] == list(range(61)) and rows[0].text == "n"
+    assert [(r.a, r.b) for r in rows[1:]] == sorted((i % 5, i // 5) for i in range(60))
+
+
 def test_response_mask(spark):
     df = spark.createDataFrame([(["a", "Confidence:", "7"],), (["a", "b"],), (["Confidence:"],)], "tokens array<string>")
     got = [r.response_mask for r in T.response_mask(df).collect()]

@@ -42,14 +42,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
                    name: str = "row_idx", partitions: int | None = None,
-                   materialize_input: bool = False) -> DataFrame:
+                   materialize_input: bool = False, keys_only: bool = False) -> DataFrame:
     """Add a dense 0-based ``name`` column following ``order`` (must be a unique key).
 
+    ``keys_only`` numbers a table of the order columns (names, then) alone and joins it
+    back, nulls included, so wide rows are neither sorted nor written; the
+    input is read twice.  Without it whole rows are written.
+
     Range partitioning samples its input in a separate job; for an expensive
     input (heavy string work) ``materialize_input`` writes it once first so
     the sampling and the numbering both read parquet.
     """
     spark = df.sparkSession
+    if keys_only:
+        names = [order] if isinstance(order, str) else list(order)
+        index = with_row_index(df.select(*names), names, name, partitions)
+        return join_keys(df, index, names)
     if materialize_input:
         df = materialize(df, "row-index-input")
     if partitions is None:
@@ -70,6 +78,13 @@ def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
         "_pid", "_loc", "_mid", "_off")
 
 
+def join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the other columns of ``other`` on equal keys, where null equals null."""
+    right = other.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    on = [df[k].eqNullSafe(right[f"_key_{k}"]) for k in keys]
+    return df.join(right, on).drop(*[f"_key_{k}" for k in keys])
+
+
 def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                  partition_cols: Sequence[str] = (), prefix: str = "cum_",
                  widths: Sequence[int] = (1 << 12, 1 << 24)) -> DataFrame:
@@ -100,9 +115,9 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
 
 
 def with_batches(df: DataFrame, order, size: int = 8, name: str = "batch_id",
-                 keep_index: bool = True, materialize_input: bool = False) -> DataFrame:
+                 keep_index: bool = True, materialize_input: bool = False, keys_only: bool = False) -> DataFrame:
     """A1: fixed-size batches in input order: ``floor(row_idx / size)``."""
-    d = df if "row_idx" in df.columns else with_row_index(df, order, materialize_input=materialize_input)
+    d = df if "row_idx" in df.columns else with_row_index(df, order, materialize_input=materialize_input, keys_only=keys_only)
     d = d.withColumn(name, F.floor(F.col("row_idx") / F.lit(size)).cast("bigint")) \
          .withColumn("pos_in_batch", (F.col("row_idx") % F.lit(size)).cast("int"))
     return d if keep_index else d.drop("row_idx")

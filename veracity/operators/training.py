@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veracity.functions import markers as M
 from veracity.functions.text import WORD_SPLIT
 from veracity.operators import prompts as PR
-from veracity.operators.rows import computed_once, filter_once
+from veracity.operators.rows import computed_once, filter_once, join_keys, with_batches
 
 IGNORE = M.IGNORE_INDEX
 
@@ -129,8 +129,22 @@ def trainable_only(df: DataFrame) -> DataFrame:
 def pad_batches(df: DataFrame, batch: str = "batch_id", pad_id: int = 0,
                 label_pad: int = IGNORE) -> DataFrame:
     """Pad every row to the longest row of its batch (batches are small)."""
-    w = Window.partitionBy(batch)
-    d = df.withColumn("_max", F.max(F.size("input_ids")).over(w))
+    return _pad(df.withColumn("_max", F.max(F.size("input_ids")).over(Window.partitionBy(batch))), pad_id, label_pad)
+
+
+def padded_batches(rows: DataFrame, key: str, size: int = 8, pad_id: int = 0, label_pad: int = IGNORE) -> DataFrame:
+    """A1 + A13/T4: batches of ``size`` rows in order of ``key`` (unique), every row padded to its batch's longest.
+
+    Row numbers and batch maxima come from keys and lengths alone, which meet
+    the rows by key: token and label arrays are neither sorted nor written.
+    ``rows`` is computed twice, first for the lengths.
+    """
+    lengths = with_batches(rows.select(key, F.size("input_ids").alias("_len")), key, size=size)
+    longest = lengths.withColumn("_max", F.max("_len").over(Window.partitionBy("batch_id"))).drop("_len")
+    return _pad(join_keys(rows, longest, [key]), pad_id, label_pad)
+
+
+def _pad(d: DataFrame, pad_id: int, label_pad: int) -> DataFrame:
     fill = F.col("_max") - F.size("input_ids")
     return d.withColumns({
         "input_ids": F.concat("input_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), fill)),

@@ -482,7 +482,7 @@ def sft_rows_completion(spark, sf):
 
 @query("pad_batches")
 def pad_batches(spark, sf):
-    b = TRAIN.pad_batches(ROWS.with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True))
+    b = TRAIN.padded_batches(_sft(spark, sf), "conv_id", size=8)
     return b.select("conv_id", "batch_id", F.size("input_ids").cast("bigint").alias("padded_len"),
                     F.size(F.filter("attention_mask", lambda x: x == 0)).cast("bigint").alias("n_pad"),
                     F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_ignored"))
@@ -490,7 +490,7 @@ def pad_batches(spark, sf):
 
 @query("unpad")
 def unpad(spark, sf):
-    b = TRAIN.unpad(TRAIN.pad_batches(ROWS.with_batches(_sft(spark, sf), "conv_id", size=8, materialize_input=True)))
+    b = TRAIN.unpad(TRAIN.padded_batches(_sft(spark, sf), "conv_id", size=8))
     return b.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"),
                     (F.col("input_ids") == F.transform("tokens", lambda w: F.xxhash64(w))).alias("same_ids"))
 

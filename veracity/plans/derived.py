@@ -261,15 +261,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, question, answer, negative_answer ('/'-separated) from ``benchmark``."""
+    """qid, question, answer, negative_answer ('/'-separated) from ``benchmark``; every part holds the whole text."""
     b = table(spark, sf_dir, "benchmark")
     k = F.col("item_id") % 3
+    half = F.floor(F.length("text") / 2).cast("int")
     neg = (F.when(k == 0, F.lit(None).cast("string"))
-           .when(k == 1, F.concat(F.substring("text", 5, 6), F.lit("/"), F.substring("text", 15, 4), F.lit("/")))
+           .when(k == 1, F.concat(F.substring("text", F.lit(1), half), F.lit("/"), F.substring("text", half + 1, F.length("text")), F.lit("/")))
            .otherwise(F.lit("solo")))
     return b.select(F.col("item_id").alias("qid"),
                     F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("question"),
-                    F.concat(F.substring("text", 1, 12), F.lit(" ")).alias("answer"),
+                    F.concat(F.col("text"), F.lit(" ")).alias("answer"),
                     neg.alias("negative_answer"))
 
 

@@ -424,9 +424,9 @@ def lit(s: str) -> str:
 
 QA_RAW = """
 qa_raw AS (
-  SELECT item_id AS qid, ' ' || text || chr(10) AS question, substring(text, 1, 12) || ' ' AS answer,
+  SELECT item_id AS qid, ' ' || text || chr(10) AS question, text || ' ' AS answer,
          CASE item_id % 3 WHEN 0 THEN NULL
-              WHEN 1 THEN substring(text, 5, 6) || '/' || substring(text, 15, 4) || '/'
+              WHEN 1 THEN substring(text, 1, length(text) // 2) || '/' || substring(text, length(text) // 2 + 1) || '/'
               ELSE 'solo' END AS negative_answer
   FROM benchmark
 )"""
