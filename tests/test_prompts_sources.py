@@ -130,6 +130,30 @@ def test_stream_resumes_from_checkpoint(spark):
     assert rep.n == 3 and rep.auroc == 1.0
 
 
+def test_stream_reads_each_file_once_and_removes_old_epochs(spark):
+    from veracity.streaming.calibration import latest_histogram, stream_calibration
+    d = tempfile.mkdtemp(prefix="veracity-stream-")
+    src, sink, ck = os.path.join(d, "in"), os.path.join(d, "hist"), os.path.join(d, "ck")
+    schema = "confidence double, correctness double"
+    seen = []
+    for run in range(2):
+        for k in range(3):
+            spark.createDataFrame([(float(k), 10.0)] * (k + 1), schema).coalesce(1).write.parquet(os.path.join(src, f"p{run}{k}"))
+        q = stream_calibration(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*")), sink, ck)
+        q.awaitTermination()
+        seen.append([p["numInputRows"] for p in q.recentProgress if p["numInputRows"]])
+    assert [sum(x) for x in seen] == [6, 6] and [len(x) for x in seen] == [3, 3]
+    assert sorted(f for f in os.listdir(sink) if f.startswith("epoch=")) == ["epoch=4", "epoch=5"]
+    assert {r.confidence: r.cnt for r in latest_histogram(spark, sink).collect()} == {0.0: 2, 1.0: 4, 2.0: 6}
+
+
+def test_batches_count_in_each_group(spark):
+    from veracity.operators.rows import with_batches
+    df = spark.createDataFrame([(None if k % 3 == 0 else "a" if k % 3 == 1 else "b", k) for k in range(30)], "g string, k long")
+    got = with_batches(df, "k", size=4, group_cols=["g"]).collect()
+    assert all((r.row_idx, r.batch_id, r.pos_in_batch) == (r.k // 3, r.k // 12, r.k // 3 % 4) for r in got) and len(got) == 30
+
+
 def test_cut_hedge_and_flag_valid(spark):
     from veracity.operators.responses import flag_valid
     df = spark.createDataFrame([("Paris I am sure",), ("Paris",), ("I am x I am y",)], "a string")

@@ -115,9 +115,24 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
 
 
 def with_batches(df: DataFrame, order, size: int = 8, name: str = "batch_id",
-                 keep_index: bool = True, materialize_input: bool = False, keys_only: bool = False) -> DataFrame:
-    """A1: fixed-size batches in input order: ``floor(row_idx / size)``."""
-    d = df if "row_idx" in df.columns else with_row_index(df, order, materialize_input=materialize_input, keys_only=keys_only)
+                 keep_index: bool = True, materialize_input: bool = False, keys_only: bool = False,
+                 group_cols: Sequence[str] = ()) -> DataFrame:
+    """A1: fixed-size batches in input order: ``floor(row_idx / size)``.
+
+    With ``group_cols`` rows and batches are numbered from 0 in each group: the
+    rows are numbered in order of (group, ``order``) and the group's least
+    number, one row a group, is taken away.
+    """
+    groups = list(group_cols)
+    if groups:
+        names = [order] if isinstance(order, str) else list(order)
+        d = with_row_index(df, [*groups, *names], materialize_input=materialize_input, keys_only=keys_only)
+        first = d.groupBy(*groups).agg(F.min("row_idx").alias("_first"))
+        d = join_keys(d, first, groups).withColumn("row_idx", F.col("row_idx") - F.col("_first")).drop("_first")
+    elif "row_idx" in df.columns:
+        d = df
+    else:
+        d = with_row_index(df, order, materialize_input=materialize_input, keys_only=keys_only)
     d = d.withColumn(name, F.floor(F.col("row_idx") / F.lit(size)).cast("bigint")) \
          .withColumn("pos_in_batch", (F.col("row_idx") % F.lit(size)).cast("int"))
     return d if keep_index else d.drop("row_idx")

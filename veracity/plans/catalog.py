@@ -593,6 +593,34 @@ def stream_calibration(spark, sf):
     return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])
 
 
+def _in_two_parts(spark, rows, key, path, drain):
+    """Write half of the rows to ``path``, drain the stream, add the rest and drain it again from its checkpoint."""
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    for part in (0, 1):
+        rows.filter(F.pmod(F.xxhash64(key), F.lit(2)) == part).repartition(2).write.parquet(f"{path}/part={part}")
+        drain(stream).awaitTermination()
+
+
+@query("stream_resume")
+def stream_resume(spark, sf):
+    # ST1, ST3: several micro-batches, stopped, the source extended, resumed from the checkpoint.
+    work = _scratch(spark, "stream-resume")
+    _in_two_parts(spark, D.scored_orders(spark, sf), "o_orderkey", f"{work}/in",
+                  lambda s: STREAM.stream_calibration(s, f"{work}/histogram", f"{work}/checkpoint"))
+    rep = STREAM.report_from_histogram(STREAM.latest_histogram(spark, f"{work}/histogram"))
+    return _rounded(rep, ["ece", "accuracy", "conf_pos", "conf_neg", "auroc"])
+
+
+@query("stream_records_resume")
+def stream_records_resume(spark, sf):
+    # ST2, ST3: judge replies appended by a stream that is stopped and resumed; every row is there once.
+    work = _scratch(spark, "stream-records")
+    replies = D.judge_replies(spark, sf).select("qid", "attempt", "reply")
+    _in_two_parts(spark, replies, "qid", f"{work}/in", lambda s: STREAM.stream_records(s, f"{work}/out", f"{work}/checkpoint"))
+    back = spark.read.schema(replies.schema).json(f"{work}/out")
+    return RESP.judge_two_line(back).select("qid", "attempt", "explanation", "score")
+
+
 @query("ppo_slices")
 def ppo_slices(spark, sf):
     d = D.table(spark, sf, "documents").select("doc_id")
@@ -683,6 +711,14 @@ def evaluation_cumulative(spark, sf):
                         "cumulative_auroc"])
 
 
+@query("evaluation_metric_log")
+def evaluation_metric_log(spark, sf):
+    # A run over three datasets, each with its own batches; every metric per batch and up to it as log rows.
+    run = EVAL.EvaluationRun(D.eval_attempts(spark, sf), D.judge_replies(spark, sf), batch_size=8, max_tries=2,
+                             datasets=D.eval_datasets(spark, sf))
+    return _rounded(run.metric_log("evaluation"), ["value"])
+
+
 @query("evaluation_records")
 def evaluation_records(spark, sf):
     # The judge never answered for every seventh question: they stay, with score 0.

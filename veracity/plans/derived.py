@@ -291,6 +291,13 @@ def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.substring("text", half + 1, F.length("text")).alias("completion"))
 
 
+def eval_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, dataset of the questions of ``eval_attempts``."""
+    qid = F.floor(F.col("event_id") / 4).cast("bigint")
+    return table(spark, sf_dir, "events").select(qid.alias("qid")).distinct().select(
+        "qid", F.concat(F.lit("set "), _s(F.col("qid") % 3)).alias("dataset"))
+
+
 def eval_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, attempt, response: recorded attempts with reflections (four per question)."""
     e = table(spark, sf_dir, "events").select("event_id")

@@ -36,35 +36,45 @@ class EvaluationRun:
     """
 
     def __init__(self, attempts: DataFrame, judge_replies: DataFrame, batch_size: int = 8,
-                 max_tries: int = 3, mode: str = "main", judge_tries: int = 3, key: str = "qid"):
+                 max_tries: int = 3, mode: str = "main", judge_tries: int = 3, key: str = "qid",
+                 datasets: DataFrame | None = None):
+        """``datasets`` (key and the columns that name a question's dataset) makes each dataset a run of its own.
+
+        Its batches, cumulative metrics and log then count within the dataset;
+        questions it lacks are left out.
+        """
         self.key = key
         self.batch_size = batch_size
         self.scored = scored_run(attempts, judge_replies, max_tries, mode, judge_tries, key)
+        self.groups: list[str] = []
+        if datasets is not None:
+            self.groups = [c for c in datasets.columns if c != key]
+            self.scored = self.scored.join(datasets, key)
         self._batched: DataFrame | None = None
 
     def batched(self) -> DataFrame:
         if self._batched is None:
-            slim = self.scored.select(self.key, "confidence", "correctness")  # the index copies no text
-            self._batched = with_batches(slim, self.key, size=self.batch_size)
+            slim = self.scored.select(*self.groups, self.key, "confidence", "correctness")  # the index copies no text
+            self._batched = with_batches(slim, self.key, size=self.batch_size, group_cols=self.groups)
         return self._batched
 
     def records(self, questions: DataFrame | None = None) -> DataFrame:
         """Result rows; with ``questions`` (key, question, best_answer, correct_answers) also those."""
-        out = self.scored.select(self.key, "response", "confidence", "correctness", "judged", "reward")
+        out = self.scored.select(*self.groups, self.key, "response", "confidence", "correctness", "judged", "reward")
         return out if questions is None else questions.join(out, self.key)
 
     def batches(self) -> DataFrame:
-        return MET.batch_metrics(self.batched())
+        return MET.batch_metrics(self.batched(), self.groups)
 
     def cumulative(self) -> DataFrame:
         b = self.batched()
-        return MET.cumulative_metrics(b).join(MET.cumulative_auroc(b), "batch_id")
+        return MET.cumulative_metrics(b, self.groups).join(MET.cumulative_auroc(b, self.groups), [*self.groups, "batch_id"])
 
     def metric_log(self, run_id: str) -> DataFrame:
-        """Per-batch and cumulative metrics as (run_id, step, metric, value) rows."""
+        """Per-batch and cumulative metrics as (run_id, dataset columns, step, metric, value) rows."""
         names = ["ece", "accuracy", "conf_pos", "conf_neg"]
-        both = self.batches().join(self.cumulative(), "batch_id")
-        return to_metric_log(both, run_id, "batch_id", [*names, *[f"cumulative_{m}" for m in [*names, "auroc"]]])
+        both = self.batches().join(self.cumulative(), [*self.groups, "batch_id"])
+        return to_metric_log(both, run_id, "batch_id", [*names, *[f"cumulative_{m}" for m in [*names, "auroc"]]], self.groups)
 
-    def overall(self, group_cols=()) -> DataFrame:
-        return MET.calibration_report(self.scored, group_cols)
+    def overall(self, group_cols=None) -> DataFrame:
+        return MET.calibration_report(self.scored, self.groups if group_cols is None else group_cols)

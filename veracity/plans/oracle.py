@@ -1026,7 +1026,7 @@ ca AS (SELECT batch_id, CASE WHEN sum(ccp) * sum(ccn) > 0
                              THEN sum(ccp * (below + ccn / 2.0)) / (sum(ccp) * sum(ccn)) ELSE 0.0 END AS cauroc
        FROM b2 GROUP BY batch_id)"""
 
-ORACLE["evaluation_cumulative"] = with_(JUDGE, EVAL) + f"""
+EVAL_CUMULATIVE = f"""
 SELECT c.batch_id, c.n_seen, c.cumulative_ece, c.cumulative_accuracy, c.cumulative_conf_pos, c.cumulative_conf_neg,
        {rnd('ca.cauroc')} AS cumulative_auroc
 FROM (SELECT batch_id, CAST(sum(n) {_W} AS BIGINT) AS n_seen,
@@ -1036,6 +1036,21 @@ FROM (SELECT batch_id, CAST(sum(n) {_W} AS BIGINT) AS n_seen,
              {rnd(f"sum(neg_sum) {_W} / (sum(greatest(neg_n, 1)) {_W} * 10.0)")} AS cumulative_conf_neg
       FROM bp) c JOIN ca ON c.batch_id = ca.batch_id
 """
+ORACLE["evaluation_cumulative"] = with_(JUDGE, EVAL) + EVAL_CUMULATIVE
+
+
+def _dataset_log(k: int) -> str:
+    """Batch and cumulative metrics of the questions with ``qid % 3 = k`` as a run of their own."""
+    own = EVAL.replace("eb AS (", f"eown AS (SELECT * FROM escored WHERE qid % 3 = {k}),\neb AS (").replace(
+        "AS batch_id FROM escored)", "AS batch_id FROM eown)")
+    return with_(JUDGE, own) + f"""SELECT 'evaluation' AS run_id, 'set {k}' AS dataset, batch_id AS step, metric, value FROM
+(UNPIVOT (SELECT b.batch_id, ece, accuracy, conf_pos, conf_neg, cumulative_ece, cumulative_accuracy, cumulative_conf_pos,
+                 cumulative_conf_neg, cumulative_auroc FROM ({BATCH_METRICS}) b JOIN ({EVAL_CUMULATIVE}) c ON b.batch_id = c.batch_id)
+ ON ece, accuracy, conf_pos, conf_neg, cumulative_ece, cumulative_accuracy, cumulative_conf_pos, cumulative_conf_neg, cumulative_auroc
+ INTO NAME metric VALUE value) u"""
+
+
+ORACLE["evaluation_metric_log"] = " UNION ALL ".join(f"SELECT * FROM ({_dataset_log(k)}) t{k}" for k in range(3))
 
 REPORT_AGG = """count(*) AS n, sum(abs(confidence - correctness)) / (count(*) * 10.0) AS ece,
              sum(correctness) / (count(*) * 10.0) AS accuracy,
@@ -1111,3 +1126,11 @@ FROM ({_chat_pa('eval')}) z
 """
 
 ORACLE["scoring_view"] = f"SELECT qid, question, best_answer, correct_answers FROM ({ORACLE['qa_normalise']}) z"
+
+ORACLE["stream_resume"] = with_(ORDER_BATCHES) + f"""
+SELECT n, {rnd('ece')} AS ece, {rnd('accuracy')} AS accuracy, {rnd('conf_pos')} AS conf_pos, {rnd('conf_neg')} AS conf_neg,
+       {rnd('a.auroc')} AS auroc
+FROM (SELECT {REPORT_AGG.replace('avg(reward) AS mean_reward', 'NULL AS mean_reward')} FROM ob) b, ({auroc_sql('ob', [])}) a
+"""
+
+ORACLE["stream_records_resume"] = ORACLE["judge_two_line"]

@@ -183,11 +183,11 @@ def write_snapshots(df: DataFrame, path: str, every: int = 100, index: str = "ro
         d.write.mode("overwrite").json(path)
 
 
-def to_metric_log(df: DataFrame, run_id: str, step: str, metrics: Sequence[str]) -> DataFrame:
-    """Wide metric rows -> long ``(run_id, step, metric, value)`` rows."""
-    wide = df.select(step, *[F.col(m).cast("double").alias(m) for m in metrics])  # one value type
-    long = wide.unpivot([step], list(metrics), "metric", "value")
-    return long.select(F.lit(run_id).alias("run_id"), F.col(step).alias("step"), "metric",
+def to_metric_log(df: DataFrame, run_id: str, step: str, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Wide metric rows -> long ``(run_id, *keys, step, metric, value)`` rows."""
+    wide = df.select(*keys, step, *[F.col(m).cast("double").alias(m) for m in metrics])  # one value type
+    long = wide.unpivot([*keys, step], list(metrics), "metric", "value")
+    return long.select(F.lit(run_id).alias("run_id"), *keys, F.col(step).alias("step"), "metric",
                        F.col("value").cast("double").alias("value"))
 
 

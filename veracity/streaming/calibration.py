@@ -4,7 +4,8 @@ Scored rows arrive as a stream; the running state is a histogram of
 (confidence, correctness) pairs with counts, so state grows with the number
 of distinct values, not with rows.  Every micro-batch writes the whole histogram
 to a folder of its own epoch (written again alike if the epoch is retried), and
-readers take the last complete one, so no reader sees a table in the making; the
+readers take the last complete one, so no reader sees a table in the making; all but
+the last ``keep`` epochs are removed, so storage does not grow with batches.  The
 checkpoint keeps the source position and the state, so a restarted query resumes where
 it stopped.  The report (gap, accuracy, conf_pos/neg, AUROC) is computed from
 the histogram with the batch formulas.
@@ -33,12 +34,15 @@ def histogram(scored: DataFrame, group_cols=()) -> DataFrame:
 
 def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str,
                        group_cols=(), available_now: bool = True,
-                       processing_time: str | None = None) -> StreamingQuery:
-    """Start the running-histogram query; each epoch has a folder below ``sink_path``."""
+                       processing_time: str | None = None, keep: int = 2) -> StreamingQuery:
+    """Start the running-histogram query; each of the last ``keep`` epochs (2 or more) has a folder below ``sink_path``."""
+    if keep < 2:
+        raise ValueError("a reader needs the epoch before the one being written")
     hist = histogram(scored_stream, group_cols)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch}")
+        _remove_before(batch.sparkSession, sink_path, epoch - keep + 1)
 
     w = hist.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     if processing_time:
@@ -48,15 +52,30 @@ def stream_calibration(scored_stream: DataFrame, sink_path: str, checkpoint: str
     return w.start()
 
 
+def _epochs(spark: SparkSession, sink_path: str):
+    """The sink's file system and its (epoch, path) folders."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    fs = hadoop(sink_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    paths = [f.getPath() for f in fs.listStatus(hadoop(sink_path))]
+    return fs, [(int(p.getName()[len("epoch="):]), p) for p in paths if p.getName().startswith("epoch=")]
+
+
+def _remove_before(spark: SparkSession, sink_path: str, epoch: int) -> None:
+    """Delete the folders of epochs before ``epoch``; called when that one and the next are complete."""
+    fs, folders = _epochs(spark, sink_path)
+    for number, path in folders:
+        if number < epoch:
+            fs.delete(path, True)
+
+
 def latest_histogram(spark: SparkSession, sink_path: str) -> DataFrame:
     """The histogram of the last epoch that was written completely.
 
     An epoch counts once its commit marker is there, which Spark writes last.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
-    fs = hadoop(sink_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    folders = [f.getPath() for f in fs.listStatus(hadoop(sink_path)) if f.getPath().getName().startswith("epoch=")]
-    done = [int(f.getName()[len("epoch="):]) for f in folders if fs.exists(hadoop(f, "_SUCCESS"))]
+    fs, folders = _epochs(spark, sink_path)
+    done = [number for number, path in folders if fs.exists(hadoop(path, "_SUCCESS"))]
     last = max(done, default=None)
     if last is None:
         raise ValueError(f"no epoch has been written below {sink_path}")
