@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veracity.operators.rows import materialize, running_sums
+from veracity.operators.rows import materialize, running_sums, unsent
 
 POS_MIN = 7   # correctness >= 7 counts as right (conf_pos, AUROC target)
 NEG_MAX = 3   # correctness <= 3 counts as wrong (conf_neg)
@@ -96,8 +99,45 @@ def cumulative_metrics(scored: DataFrame, group_cols: Sequence[str] = (),
 
 #: Confidences are summed up inside each integer, then over each 2^20 of these.
 CONF_WIDTHS = (1, 1 << 20)
-#: Levels of batch blocks whose confidences are ordered in one window each.
-SMALL_LEVELS = 12
+#: Levels of batch blocks counted together by one task, at most, and the histogram rows of such a block.
+SMALL_LEVELS, BLOCK_ROWS = 14, 1 << 19
+
+
+def _within(batch: np.ndarray, p: np.ndarray, cp: np.ndarray, cn: np.ndarray, levels: int) -> np.ndarray:
+    """For each row the sum over the pairs with rows of the batches that differ in the lowest ``levels`` bits only.
+
+    A row counts, where it is the later one of a pair, its right rows against the wrong ones of
+    smaller confidence and its wrong rows against the right ones of larger confidence.  The rows
+    come in order of (batch, p); each level merges the halves of its blocks into order of p.
+    """
+    # Rank of the confidence, so that one number orders (block, confidence).
+    _, rank = np.unique(p, return_inverse=True)
+    width = np.int64(rank.max()) + 1
+    out = cp * 0.0
+    # Batch and p do not repeat together, so the pairs inside a batch are those of smaller p alone.
+    local = batch - batch.min()
+    order = np.lexsort((rank, local))
+    start = np.append(0, np.cumsum(cn[order]))
+    first = np.searchsorted(local[order], local)
+    at = np.empty(len(p), np.int64)
+    at[order] = np.arange(len(p))
+    out += cp * (start[at] - start[first] + cn / 2.0)
+    for level in range(levels):
+        block, right = batch >> (level + 1), (batch >> level) & 1 == 1
+        block = block - block.min()
+        if not right.any() or right.all():
+            continue
+        left_key = block[~right] * width + rank[~right]
+        o = np.argsort(left_key, kind="stable")
+        left_key = left_key[o]
+        wrong, good = (np.append(0, np.cumsum(x[~right][o])) for x in (cn, cp))
+        key = block[right] * width + rank[right]
+        lo, hi = np.searchsorted(left_key, key, "left"), np.searchsorted(left_key, key, "right")
+        begin, end = np.searchsorted(left_key, block[right] * width), np.searchsorted(left_key, (block[right] + 1) * width)
+        below = wrong[lo] - wrong[begin] + (wrong[hi] - wrong[lo]) / 2.0
+        above = good[end] - good[hi] + (good[hi] - good[lo]) / 2.0
+        out[right] += cp[right] * below + cn[right] * above
+    return out
 
 
 def _below(h: DataFrame, keys: Sequence[str], p: str, value: str = "cn") -> DataFrame:
@@ -133,6 +173,41 @@ def auroc(scored: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("auroc"))
 
 
+def _block_gains(h: DataFrame, keys: Sequence[str], batch: str, low: int) -> DataFrame:
+    """(keys, batch, u): the pairs within each block of ``2^low`` batches, a task's group for each block."""
+    schema = T.StructType([*[h.schema[k] for k in keys], T.StructField(batch, T.LongType()), T.StructField("u", T.DoubleType())])
+
+    def gains(t: pa.Table) -> pa.Table:
+        b, p, cp, cn = (t.column(c).to_numpy() for c in ("_at", "p", "cp", "cn"))
+        each, back = np.unique(b, return_inverse=True)
+        first = np.zeros(len(each), np.int64)
+        first[back] = np.arange(len(b))
+        u = np.bincount(back, weights=_within(b, p, cp, cn, low), minlength=len(each))
+        own = [t.column(k).take(pa.array(first)) for k in keys]
+        return pa.Table.from_arrays([*own, pa.array(each), pa.array(u)], [*keys, batch, "u"])
+
+    at = F.col(batch).cast("long")
+    rows = h.where(F.col(batch).isNotNull()).select(*keys, at.alias("_at"), "p", "cp", "cn", F.shiftright(at, low).alias("_block"))
+    return rows.groupBy(*keys, "_block").applyInArrow(gains, schema)
+
+
+def _level_gains(h: DataFrame, keys: Sequence[str], batch: str, low: int, levels: int) -> DataFrame:
+    """(keys, batch, u): the pairs across the halves of the blocks of every level from ``low`` on."""
+    at = F.explode(F.sequence(F.lit(low), F.lit(levels - 1))).alias("level")
+    e = h.select(*keys, batch, "p", "cp", "cn", at).withColumns({
+        "block": F.expr(f"shiftright(`{batch}`, level + 1)"), "right": F.expr(f"shiftright(`{batch}`, level) & 1 = 1")})
+    block = [*keys, "level", "block"]
+    # Left half of every block by confidence; the confidences of its right half are in it with 0.
+    left = e.groupBy(*block, "p").agg(*[F.sum(F.when(~F.col("right"), F.col(c)).otherwise(0)).alias(f"l{c}") for c in ("cp", "cn")],
+                                      F.max("right").alias("met"))
+    left = materialize(left, "auroc-levels")
+    total = left.groupBy(*block).agg(F.sum("lcp").alias("tcp"))
+    run = running_sums(left, "p", ["lcp", "lcn"], partition_cols=block, widths=CONF_WIDTHS).where("met").join(unsent(total), block)
+    return (e.where("right").join(unsent(run), [*block, "p"])
+            .select(*keys, batch, (F.col("cp") * (F.col("cum_lcn") - F.col("lcn") / 2.0)
+                                   + F.col("cn") * (F.col("tcp") - F.col("cum_lcp") + F.col("lcp") / 2.0)).alias("u")))
+
+
 def cumulative_auroc(scored: DataFrame, group_cols: Sequence[str] = (), batch: str = "batch_id",
                      count_null: bool = False) -> DataFrame:
     """A6 cumulative: ROC area over all rows of batches <= each batch, for each group.
@@ -143,42 +218,25 @@ def cumulative_auroc(scored: DataFrame, group_cols: Sequence[str] = (), batch: s
     across batches are counted by halving: at level ``l`` the batches fall in
     blocks of ``2^(l+1)``, and the rows of a block's right half meet the running
     counts by confidence of its left half.  Each pair of batches is apart at
-    one level only, so every histogram row is used ``log2(batches)`` times,
-    whatever the number of confidences.  Rows without a confidence or
-    correctness are left out (``count_null`` adds how many, up to the batch).
+    one level only.  The lowest levels, up to blocks of ``BLOCK_ROWS`` histogram
+    rows, are counted by one task for each block, so a row is sent once for all of
+    them and once more for each level above, whatever the number of confidences.
+    Rows without a confidence or correctness are left out (``count_null`` adds how
+    many, up to the batch).
     """
     keys = list(group_cols)
     h = materialize(_histogram(scored, [*keys, batch]), "batch-histogram")
     batches = scored.groupBy(*keys, batch).agg(
         F.count(F.when(_conf().isNull() | _corr().isNull(), 1)).alias("n_null"))
-    top = batches.agg(F.max(batch)).first()[0]
-    levels = max(1, int(top or 0).bit_length())
-    at = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    e = h.select(*keys, batch, "p", "cp", "cn", at).withColumns({
-        "block": F.expr(f"shiftright(`{batch}`, level + 1)"), "right": F.expr(f"shiftright(`{batch}`, level) & 1 = 1")})
-    block = [*keys, "level", "block"]
-    # Left half of every block by confidence; the confidences of its right half are in it with 0.
-    left = e.groupBy(*block, "p").agg(*[F.sum(F.when(~F.col("right"), F.col(c)).otherwise(0)).alias(f"l{c}") for c in ("cp", "cn")],
-                                      F.max("right").alias("met"))
-    left = materialize(left, "auroc-levels")
-    # A block of a low level holds the rows of at most 2^SMALL_LEVELS batches, which one window can order.
-    whole = Window.partitionBy(*block)
-    upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = left.where(F.col("level") < SMALL_LEVELS).select(
-        "*", F.sum("lcp").over(upto).alias("cum_lcp"), F.sum("lcn").over(upto).alias("cum_lcn"), F.sum("lcp").over(whole).alias("tcp"))
-    if levels > SMALL_LEVELS:
-        high = left.where(F.col("level") >= SMALL_LEVELS)
-        total = high.groupBy(*block).agg(F.sum("lcp").alias("tcp"))
-        run = run.unionByName(running_sums(high, "p", ["lcp", "lcn"], partition_cols=block, widths=CONF_WIDTHS).join(total, block))
-    run = run.where("met")
-    across = (e.where("right").join(run, [*block, "p"])
-              .select(*keys, batch, (F.col("cp") * (F.col("cum_lcn") - F.col("lcn") / 2.0)
-                                     + F.col("cn") * (F.col("tcp") - F.col("cum_lcp") + F.col("lcp") / 2.0)).alias("u")))
-    w = Window.partitionBy(*keys, batch).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # the rows of one batch
-    inside = h.select(*keys, batch, (F.col("cp") * (F.coalesce(F.sum("cn").over(w), F.lit(0)) + F.col("cn") / 2.0)).alias("u"))
-    gained = across.unionByName(inside).groupBy(*keys, batch).agg(F.sum("u").alias("u"))
+    most = h.groupBy(*keys, batch).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max(batch)).first()
+    levels = int(most[1] or 0).bit_length()
+    low = min(levels, SMALL_LEVELS, max(0, (BLOCK_ROWS // (most[0] or 1)).bit_length() - 1))
+    gained = _block_gains(h, keys, batch, low)
+    if levels > low:
+        gained = gained.unionByName(_level_gains(h, keys, batch, low, levels))
+    gained = gained.groupBy(*keys, batch).agg(F.sum("u").alias("u"))
     sizes = h.groupBy(*keys, batch).agg(F.sum("cp").alias("cp"), F.sum("cn").alias("cn"))
-    each = (batches.join(gained, [*keys, batch], "left").join(sizes, [*keys, batch], "left")
+    each = (batches.join(unsent(gained), [*keys, batch], "left").join(unsent(sizes), [*keys, batch], "left")
             .fillna(0, subset=["u", "cp", "cn"]))
     each = materialize(each, "auroc-gains")
     a = running_sums(each, batch, ["u", "cp", "cn", "n_null"], partition_cols=keys)

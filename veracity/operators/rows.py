@@ -40,6 +40,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the data: the rows meet by a shuffle, none passes the driver.
+
+    Spark estimates a table's size by its files, and the written tables of ids and
+    counts are many times smaller as files than as the rows it would send to all tasks.
+    """
+    return df.hint("merge")
+
+
 def with_row_index(df: DataFrame, order: Sequence[str | Column] | str | Column,
                    name: str = "row_idx", partitions: int | None = None,
                    materialize_input: bool = False, keys_only: bool = False) -> DataFrame:
@@ -97,7 +106,10 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
     """
     pcols = list(partition_cols)
     blocks = [f"_b{k}" for k in range(len(widths))]
-    d = df.withColumns({b: F.floor(F.col(order_col) / F.lit(w)) for b, w in zip(blocks, widths)})
+    at = F.col(order_col)
+    if df.schema[order_col].dataType.typeName() in ("float", "double"):
+        at = F.nanvl(at, F.lit(float("inf")))  # NaN is above all numbers
+    d = df.withColumns({b: F.floor(at / F.lit(w)) for b, w in zip(blocks, widths)})
     inside = Window.partitionBy(*pcols, *blocks).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = d.select("*", *[F.sum(c).over(inside).alias(f"_in_{c}") for c in value_cols])
     offsets, total = None, d
@@ -107,10 +119,10 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
         before = Window.partitionBy(*pcols, *level[1:]).orderBy(level[0]).rowsBetween(Window.unboundedPreceding, -1)
         own = total.select(*pcols, *level, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_n_{c}") for c in value_cols])
         if offsets is not None:
-            own = own.join(offsets, [*pcols, *level[1:]]).select(
+            own = own.join(unsent(offsets), [*pcols, *level[1:]]).select(
                 *pcols, *level, *[(F.col(f"_n_{c}") + F.col(f"_o_{c}")).alias(f"_n_{c}") for c in value_cols])
         offsets = own.select(*pcols, *level, *[F.col(f"_n_{c}").alias(f"_o_{c}") for c in value_cols])
-    out = out.join(offsets, [*pcols, *blocks])
+    out = out.join(unsent(offsets), [*pcols, *blocks])
     return out.select(*df.columns, *[(F.col(f"_in_{c}") + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in value_cols])
 
 
