@@ -8,21 +8,26 @@ many tasks.  Questions with at most ``chunk`` samples (the usual case: tens of
 samples) are not replicated at all.
 
 C3 ``leader_clusters``: greedy leader clustering in sample order.  A sample's
-fate depends on earlier leaders.  Questions with few similar pairs are folded
-over their neighbour lists, one row each; larger ones are decided in parallel
-rounds, sample by sample, so no row holds a whole question.
+fate depends on earlier leaders.  The samples of large questions are decided
+head by head and meet leaders only, not each other.  Of the others, those with few
+similar pairs are folded over their neighbour lists, one row each, and those with
+more are decided in parallel rounds, sample by sample, so no row holds a whole question.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veracity.functions import markers as M
 from veracity.functions import parse as P
-from veracity.operators.rows import computed_once, filter_once, materialize
+from veracity.operators.rows import computed_once, filter_once, materialize, unsent
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,45 +69,57 @@ def _placed(s: DataFrame, large: DataFrame, key: str, limit: float, chunk: int,
     def for_each_chunk(t):
         return t.join(large, key).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
 
-    d = s.join(for_each_chunk(picked), [key, "_c"])
+    d = s.join(large, key).withColumn("_c", F.pmod(F.xxhash64("_i"), F.col("_k")).cast("int")).drop("_k")
+    d = d.join(unsent(for_each_chunk(picked)), [key, "_c"])
     d = computed_once(d, {"_d": F.transform("_ps", lambda p: _angle(F.col("_e"), p["_p"]["_e"], F.col("_norm"), p["_p"]["_norm"]))}).drop("_ps")
     width = max(limit / 2, math.pi / 64)  # at most 65 rings
     d = computed_once(d, {"_cell": F.array_position("_d", F.array_min("_d")) * 128 + F.floor(F.array_min("_d") / width)})
     d = materialize(d, "pivot-angles")
     sizes = (d.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
              .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_n"))).alias("_sizes")))
-    d = d.join(for_each_chunk(sizes), [key, "_c"])
+    d = d.join(unsent(for_each_chunk(sizes)), [key, "_c"])
     parts = F.ceil(F.element_at("_sizes", F.col("_cell")) / chunk)
     return materialize(d.withColumn("_block", F.col("_cell") * (1 << 32) + F.pmod(F.xxhash64("_i"), parts)).drop("_sizes"), "blocks")
 
 
+#: Tasks over which the pairs of blocks of one question are dealt.
+PAIR_SLOTS = 32
+
+
 def _partners(placed: DataFrame, key: str, limit: float, pivots: int) -> DataFrame:
     """(key, lo, hi, n_lo, n_hi): the pairs of blocks that can hold a pair of rows within the angle ``limit``.
 
     Two rows' angle is at least the difference of their angles to any pivot.
     A pair of blocks is left out only if for some pivot the blocks' ranges lie
-    further apart than the limit.
+    further apart than the limit.  The blocks of a question are dealt over
+    ``PAIR_SLOTS`` tasks, each of which gets all of them as partners.
     """
     at = [F.get("_d", F.lit(k)) for k in range(pivots)]
     blocks = placed.groupBy(key, "_block").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.min(x) for x in at]).alias("near"), F.array(*[F.max(x) for x in at]).alias("far"))
-    a = blocks.select(key, F.col("_block").alias("lo"), F.col("n").alias("n_lo"), F.col("near").alias("near_a"), F.col("far").alias("far_a"))
-    b = blocks.select(key, F.col("_block").alias("hi"), F.col("n").alias("n_hi"), F.col("near").alias("near_b"), F.col("far").alias("far_b"))
+    a = blocks.select(key, F.pmod(F.xxhash64("_block"), F.lit(PAIR_SLOTS)).cast("int").alias("_slot"),
+                      F.col("_block").alias("lo"), F.col("n").alias("n_lo"), F.col("near").alias("near_a"), F.col("far").alias("far_a"))
+    b = blocks.select(key, F.explode(F.sequence(F.lit(0), F.lit(PAIR_SLOTS - 1))).alias("_slot"),
+                      F.col("_block").alias("hi"), F.col("n").alias("n_hi"), F.col("near").alias("near_b"), F.col("far").alias("far_b"))
 
     def gap(near, far):
         return F.exists(F.zip_with(near, far, lambda x, y: F.coalesce(x - y > limit, F.lit(False))), lambda g: g)
 
     apart = gap("near_a", "far_b") | gap("near_b", "far_a")
-    return materialize(a.join(b, key).where((F.col("lo") <= F.col("hi")) & ~apart).select(key, "lo", "hi", "n_lo", "n_hi"), "block-pairs")
+    return materialize(a.join(unsent(b), [key, "_slot"]).where((F.col("lo") <= F.col("hi")) & ~apart).select(key, "lo", "hi", "n_lo", "n_hi"), "block-pairs")
+
+
+def _large(samples: DataFrame, key: str, chunk: int) -> DataFrame:
+    """(key, _k): the questions of more than ``chunk`` rows and their number of chunks; no vector is read for it."""
+    return materialize(samples.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_k"))
+                       .where(F.col("_k") > 1), "large-questions")
 
 
 def _prepared(samples: DataFrame, threshold: float, key: str, idx: str, embedding: str, chunk: int, pivots: int):
     """Rows of small questions, blocks of large ones, their block pairs (None twice without a large question)."""
     good, _ = quarantine_zero(samples, embedding)
-    s = good.select(key, F.col(idx).alias("_i"), F.col(embedding).alias("_e"), "_norm", F.floor(F.abs(idx) / chunk).cast("int").alias("_c"))
-    # no vector is read to find the large questions
-    large = materialize(samples.groupBy(key).agg((F.max(F.floor(F.abs(idx) / chunk)) + 1).cast("int").alias("_k"))
-                        .where(F.col("_k") > 1), "large-questions")
+    s = good.where(F.col(idx).isNotNull()).select(key, F.col(idx).alias("_i"), F.col(embedding).alias("_e"), "_norm")
+    large = _large(samples, key, chunk)
     if large.isEmpty():
         return s, None, None
     limit = math.acos(max(-1.0, min(1.0, threshold))) + ANGLE_SLACK
@@ -114,12 +131,11 @@ def similar_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "questi
                   idx: str = "sample_idx", embedding: str = "embedding", chunk: int = 256, pivots: int = 32) -> DataFrame:
     """Pairs (i < j) of one question with cosine similarity > threshold.
 
-    Questions whose ``idx`` stays below ``chunk`` are compared whole.  Larger
+    Questions of at most ``chunk`` rows are compared whole.  Larger
     ones meet block by block, without the pairs of blocks that the angles to
     at most ``pivots`` of their rows exclude; every pair left is compared, so
     the result does not depend on ``chunk`` or ``pivots``.  Zero, null and
     non-finite vectors have no partner; neither has a row with a null key or index.
-    ``idx`` is a position, counted from about 0 in each question or in the table.
     """
     small, placed, partners = _prepared(samples, threshold, key, idx, embedding, chunk, pivots)
 
@@ -137,10 +153,10 @@ def similar_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "questi
     if placed is None:
         return out
     pairs = partners.select(key, "lo", "hi")
-    a, _ = side(placed.withColumnRenamed("_block", "lo").join(pairs, [key, "lo"]), "lo", "hi")
-    _, b = side(placed.withColumnRenamed("_block", "hi").join(pairs, [key, "hi"]), "lo", "hi")
+    a, _ = side(placed.withColumnRenamed("_block", "lo").join(unsent(pairs), [key, "lo"]), "lo", "hi")
+    _, b = side(placed.withColumnRenamed("_block", "hi").join(unsent(pairs), [key, "hi"]), "lo", "hi")
     # within a block each pair once; between blocks the smaller index may be on either side
-    return out.unionByName(kept(a.join(b, [key, "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))))
+    return out.unionByName(kept(a.join(unsent(b), [key, "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))))
 
 
 def compared_pairs(samples: DataFrame, threshold: float = 0.9, key: str = "question_id", idx: str = "sample_idx",
@@ -228,16 +244,128 @@ def leaders_of_pairs(pairs: DataFrame, key: str = "question_id", fold_pairs: int
             .unionByName(_by_rounds(pairs.join(large, key, "left_semi"), key)))
 
 
+#: Undecided samples of a question that one round decides whole, about; rows that meet its leaders in one task.
+HEAD, SLOT_ROWS = 8192, 8192
+#: Cosines nearer to the threshold than this are computed as ``dot`` and ``norm`` do, term by term.
+COSINE_SLACK = 1e-9
+
+
+class _Vectors:
+    """The ``_e`` and ``_norm`` of a table as arrays; shorter vectors are filled up with zeros."""
+
+    def __init__(self, t: pa.Table):
+        e = t.column("_e").combine_chunks()
+        self.size = pc.list_value_length(e).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.norm = t.column("_norm").to_numpy()
+        self.raw = np.zeros((len(self.size), int(self.size.max(initial=0))))
+        self.raw[np.arange(self.raw.shape[1]) < self.size[:, None]] = e.flatten().to_numpy(zero_copy_only=False)
+        self.unit = self.raw / self.norm[:, None]
+
+    def like(self, rows: np.ndarray, other: "_Vectors", threshold: float) -> np.ndarray:
+        """For ``rows`` of these and all of ``other``: is the cosine above the threshold."""
+        d = min(self.raw.shape[1], other.raw.shape[1])
+        cosine = self.unit[rows, :d] @ other.unit[:, :d].T
+        hit = cosine > threshold + COSINE_SLACK
+        a, b = np.nonzero(~hit & ~(cosine < threshold - COSINE_SLACK))
+        if len(a):
+            total = np.zeros(len(a))
+            for k in range(d):
+                total += self.raw[rows[a], k] * other.raw[b, k]
+            hit[a, b] = ~(total / (self.norm[rows[a]] * other.norm[b]) <= threshold)
+        return hit & (self.size[rows][:, None] == other.size[None, :])
+
+
+def _decided(t: pa.Table, key: str, index: np.ndarray, leader: np.ndarray) -> pa.Table:
+    own = pa.chunked_array([t.column(key).slice(0, 1).take(pa.array(np.zeros(len(index), np.int64))).combine_chunks()])
+    kind = t.schema.field("_i").type
+    return pa.Table.from_arrays([own, pa.array(index).cast(kind), pa.array(leader).cast(kind)], [key, "_i", "_l"])
+
+
+def _led(rows: DataFrame, large: DataFrame, threshold: float, key: str, head: int) -> DataFrame:
+    """(key, leader_idx, size) of the large questions, from their vectors; no pair of two followers is formed.
+
+    In every round the first ``head`` undecided samples of a question, or half as many
+    at least, are decided in sample order by one task; then all later undecided
+    samples meet the round's leaders, spread over the question's slots, and those near
+    one belong to the least.  Earlier rounds have the smaller leaders, so what a round
+    decides stays.  The leaders of a question are compared with each sample left once: the work
+    is samples times leaders, and no row or task holds more than a head and a slot.
+    """
+    left = materialize(rows.join(large, key).dropDuplicates([key, "_i", "_e"])
+                       .withColumn("_s", F.pmod(F.xxhash64("_i"), F.col("_k")).cast("int")), "undecided")
+    schema = T.StructType([left.schema[key], left.schema["_i"], T.StructField("_l", left.schema["_i"].dataType)])
+    halves = [0.5 ** k for k in range(30)]
+
+    def lead(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        v = _Vectors(t)
+        index, node = np.unique(t.column("_i").to_numpy(), return_inverse=True)
+        first = np.searchsorted(node, np.arange(len(index) + 1))
+        leader = np.full(len(index), -1)
+        for n in range(len(index)):
+            if leader[n] < 0:
+                leader[n] = n
+                near = np.zeros(len(index), bool)
+                near[node[v.like(np.arange(first[n], first[n + 1]), v, threshold).any(axis=0)]] = True
+                near[:n + 1] = False
+                leader[near & (leader < 0)] = n
+        return _decided(t, key, index, index[leader])
+
+    def follow(t: pa.Table, leaders: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        if not t.num_rows or not leaders.num_rows:
+            return _decided(t if t.num_rows else leaders, key, none, none)
+        leaders = leaders.sort_by("_i")
+        v, w, by = _Vectors(t), _Vectors(leaders), leaders.column("_i").to_numpy()
+        least = np.full(t.num_rows, len(by))
+        for lo in range(0, t.num_rows, 1024):
+            hit = v.like(np.arange(lo, min(lo + 1024, t.num_rows)), w, threshold)
+            least[lo:lo + 1024] = np.where(hit.any(axis=1), hit.argmax(axis=1), len(by))
+        index, node = np.unique(t.column("_i").to_numpy(), return_inverse=True)
+        best = np.full(len(index), len(by))
+        np.minimum.at(best, node, least)
+        return _decided(t, key, index[best < len(by)], by[best[best < len(by)]])
+
+    decided = None
+    while not left.isEmpty():
+        cuts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_i", halves, 1_000_000).alias("_q")).select(
+            key, F.expr(f"get(_q, greatest(0, cast(ceil(log2(_n / {head})) as int)))").alias("_cut"))
+        cuts = materialize(cuts, "cuts")
+        ahead = left.join(cuts, key).where(F.col("_i") <= F.col("_cut")).drop("_cut")
+        heads = materialize(ahead.groupBy(key).applyInArrow(lead, schema), "heads")
+        leaders = materialize(ahead.join(unsent(heads.where("_i = _l").select(key, "_i")), [key, "_i"], "left_semi"), "leaders")
+        leaders = leaders.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        rest = left.join(cuts, key).where(F.col("_i") > F.col("_cut")).drop("_cut")
+        taken = materialize(rest.groupBy(key, "_s").cogroup(leaders.groupBy(key, "_s")).applyInArrow(follow, schema), "taken")
+        decided = heads.unionByName(taken) if decided is None else decided.unionByName(heads).unionByName(taken)
+        left = materialize(rest.join(unsent(taken.select(key, "_i")), [key, "_i"], "left_anti"), "undecided")
+    if decided is None:
+        decided = rows.sparkSession.createDataFrame([], schema)
+    return decided.groupBy(key, F.col("_l").alias("leader_idx")).agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
+
+
 def leader_clusters(samples: DataFrame, threshold: float = 0.9, key: str = "question_id",
                     idx: str = "sample_idx", embedding: str = "embedding",
-                    text: str | None = None, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+                    text: str | None = None, fold_pairs: int = FOLD_PAIRS, chunk: int = 256, head: int = HEAD) -> DataFrame:
     """One row per cluster: leader index, size, rank by size (desc, stable on index).
 
     Samples without any later neighbour can only be singletons, which the rule
     drops, so only samples with neighbours take part.  Samples whose vector is
     zero or null are in no cluster; ``checked_clusters`` gives them back.
+    Questions of at most ``chunk`` rows are decided from their similar pairs, larger
+    ones from their vectors, ``head`` samples a round.
     """
-    out = leaders_of_pairs(similar_pairs(samples, threshold, key, idx, embedding), key, fold_pairs)
+    large = _large(samples, key, chunk)
+    if large.isEmpty():
+        out = leaders_of_pairs(similar_pairs(samples, threshold, key, idx, embedding), key, fold_pairs)
+    else:
+        small = samples.join(large, key, "left_anti")
+        out = leaders_of_pairs(similar_pairs(small, threshold, key, idx, embedding, chunk), key, fold_pairs)
+        good, _ = quarantine_zero(samples, embedding)
+        rows = good.where(F.col(idx).isNotNull()).select(
+            key, F.col(idx).alias("_i"), F.col(embedding).cast("array<double>").alias("_e"), "_norm")
+        slots = large.select(key, F.ceil(F.col("_k") * (chunk / SLOT_ROWS)).cast("int").alias("_k"))
+        out = out.unionByName(_led(rows, slots, threshold, key, head))
     place, rank = Window.partitionBy(key).orderBy("leader_idx"), Window.partitionBy(key).orderBy(F.desc("size"), "leader_idx")
     out = out.select(key, (F.row_number().over(place) - 1).alias("cluster_pos"), "leader_idx", "size",
                      (F.row_number().over(rank) - 1).alias("size_rank"))
