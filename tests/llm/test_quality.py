@@ -83,3 +83,18 @@ def test_poor_documents_are_rejected(spark):
     got = Q.op8_quality_rules(spark, sf).join(table(spark, "labels", sf), "doc_id").where("NOT base_failed")
     by = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert by[0] < 0.04 and by[1] > 0.99
+
+
+def test_every_trusted_document_teaches(spark):
+    """More trusted documents than were once taken (100 000): all count, in the ratios and for the threshold."""
+    n = 100_400
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).unionByName(
+        spark.range(n, n + 1).select(F.col("id").alias("doc_id"), F.lit("b").alias("text")))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    fold = {r.f: r.n for r in docs.where(F.col("doc_id") < n).groupBy((Q.fold(F.col("doc_id")) == 3).alias("f")).agg(F.count("*").alias("n")).collect()}
+    model = Q.train(docs, labels, evidence=1.0)
+    got = {r.text: r.score for r in docs.where(F.col("doc_id") >= n - 1).select("doc_id", "text").join(
+        Q.measure(docs.where(F.col("doc_id") >= n - 1), model).select("doc_id", "score"), "doc_id").collect()}
+    seen = fold[False]
+    assert abs(got["b"] - np.log(1 / (seen / (n + 1) + 1))) < 1e-9
+    assert abs(got["a"] - np.log((seen + 1) / (n * seen / (n + 1) + 1))) < 1e-9

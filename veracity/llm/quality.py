@@ -13,7 +13,8 @@ target has not seen.
 
 from __future__ import annotations
 
-import zlib
+import math
+import zlib  # noqa: F401  (the tests take crc32 from here)
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, chunks, documents, mix, raw, small_batches, stored, word_hashes, words
+from veracity.llm.common import Rolling, chunks, documents, fold, mix, raw, small_batches, stored, word_hashes, words
+from veracity.operators.rows import with_row_index
 
 #: An n-gram is common from one in so many of all, so there are no more of them than this.
 COMMON = 1 << 20
 #: Chunks of text whose n-grams a task sums up before it hands them on.
 SUMMED = 8
-#: At most so many trusted documents (least xxhash64 of the id first) teach the target.
-MAX_TRUSTED = 100_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -97,21 +97,23 @@ def _profile(roll: Rolling, seq: Rolling, flat: np.ndarray, at: np.ndarray) -> t
     return out, h, first
 
 
-def _trusted(labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the trusted documents that teach the target, and of those it does not see."""
-    trusted = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
-               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).select("doc_id").toPandas()["doc_id"])
-    trusted = np.sort(trusted.to_numpy(np.int64))
-    unseen = np.array([zlib.crc32(str(x).encode()) % 4 == 3 for x in trusted], bool)
-    return trusted[~unseen], trusted[unseen]
+def _trusted(labels: DataFrame) -> DataFrame:
+    """(doc_id, unseen): every trusted document's id, and whether the target does not see it."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1")
+            .select("doc_id", (fold(F.col("doc_id")) == 3).alias("unseen")))
 
 
-def _ratios(docs: DataFrame, seen: np.ndarray, evidence: float) -> dict:
+def _marked(docs: DataFrame, trusted: DataFrame, column: str) -> DataFrame:
+    """``docs`` (doc_id a long) with ``column``: null for an untrusted document, else whether the target does not see it."""
+    ids = trusted.select(F.col("doc_id").alias("_trusted"), F.col("unseen").alias(column))
+    return docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
+
+
+def _ratios(docs: DataFrame, trusted: DataFrame, evidence: float) -> dict:
     """Log ratio of every n-gram of ``docs``: the common ones as arrays, the others as a table (gram, ratio)."""
     spark = docs.sparkSession
     small_batches(spark)
-    ids = spark.sparkContext.broadcast(seen)
 
     def count(batches):
         roll, held = Rolling(0x9E3779B97F4A7C15), []
@@ -126,14 +128,15 @@ def _ratios(docs: DataFrame, seen: np.ndarray, evidence: float) -> dict:
             flat, at = raw(part.column(1))
             starts, ends, first = words(flat, at)
             gram, doc = _grams(word_hashes(roll, flat, starts, ends), first)
-            own = np.isin(part.column(0).fill_null(-1).to_numpy(), ids.value) & part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = part.column(0).to_numpy(zero_copy_only=False)
             held.append(_summed(gram, np.ones(len(gram)), own[doc]))
             if len(held) == SUMMED:
                 yield from summed()
         if held:
             yield from summed()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = F.coalesce(~F.col("_unseen"), F.lit(False)).alias("seen")
+    texts = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "_unseen").select(seen, "text")
     counts = stored(texts.mapInArrow(count, "gram long, n long, good long").groupBy("gram")
                     .agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "ngrams")
     n, good = counts.agg(F.sum("n"), F.sum("good")).first()
@@ -146,13 +149,15 @@ def _ratios(docs: DataFrame, seen: np.ndarray, evidence: float) -> dict:
             "others": counts.where(~common).select("gram", ratio)}
 
 
-def _threshold(scored: DataFrame, unseen: np.ndarray, quantile: float, margin: float) -> float:
-    """The threshold from the scores of the unseen trusted documents among ``scored``."""
-    check = scored.sparkSession.sparkContext.broadcast(unseen)
+def _threshold(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float) -> float:
+    """The threshold from the scores of all unseen trusted documents among ``scored``."""
     rows = scored.where("n_words >= 10 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "score")
-    own = rows.mapInArrow(lambda batches: (b.filter(pa.array(np.isin(b.column(0).to_numpy(), check.value))) for b in batches),
-                          rows.schema).select("score").toPandas()["score"]  # at most MAX_TRUSTED
-    return float(np.quantile(own, quantile, method="lower")) - margin if len(own) else -np.inf
+    own = stored(_marked(rows, trusted, "_unseen").where("_unseen").select("score"), "unseen-scores")
+    n = own.count()
+    if not n:
+        return -math.inf
+    at = math.floor((n - 1) * quantile)
+    return with_row_index(own, "score").where(F.col("row_idx") == at).first()["score"] - margin
 
 
 def train(docs: DataFrame, labels: DataFrame, evidence: float = 5.0, quantile: float = 0.001,
@@ -162,12 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, evidence: float = 5.0, quantile: f
     ``labels`` has doc_id and quality; rows with nulls are ignored, an id with both labels
     is not trusted.  Without trusted documents every ratio is 0 and everything passes.
     """
-    seen, unseen = _trusted(labels)
-    model = _ratios(docs, seen, evidence)
-    check = docs.sparkSession.sparkContext.broadcast(unseen)
+    trusted = stored(_trusted(labels), "trusted")
+    model = _ratios(docs, trusted, evidence)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    inside = texts.mapInArrow(lambda batches: (b.filter(pa.array(np.isin(b.column(0).to_numpy(), check.value))) for b in batches), texts.schema)
-    model["threshold"] = _threshold(_scored(inside, model), unseen, quantile, margin) if len(unseen) else -np.inf
+    inside = _marked(texts, trusted, "_unseen").where("_unseen").select("doc_id", "text")
+    model["threshold"] = _threshold(_scored(inside, model), trusted, quantile, margin)
     return model
 
 
@@ -241,6 +245,6 @@ def measure(docs: DataFrame, model: dict) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str, evidence: float = 5.0, quantile: float = 0.001,
                       margin: float = 0.05) -> DataFrame:
     docs = documents(spark, sf_dir)
-    seen, unseen = _trusted(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = stored(_scored(docs, _ratios(docs, seen, evidence)), "scored")
-    return _judged(scored, _threshold(scored, unseen, quantile, margin)).select("doc_id", *STATISTICS, "base_failed", "kept", "score")
+    trusted = stored(_trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")), "trusted")
+    scored = stored(_scored(docs, _ratios(docs, trusted, evidence)), "scored")
+    return _judged(scored, _threshold(scored, trusted, quantile, margin)).select("doc_id", *STATISTICS, "base_failed", "kept", "score")
