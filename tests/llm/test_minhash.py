@@ -122,3 +122,35 @@ def test_query_goes_by_the_id(spark, tmp_path):
         .write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in M.op5_minhash_near_duplicates(spark, str(tmp_path)).collect())
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def crowd(rng, n_docs, n_words, n_edits):
+    """Texts edited in as many places each, so that all pairs are about alike."""
+    out = []
+    for i in range(n_docs):
+        w = [f"w{k}" for k in range(n_words)]
+        for k in rng.sample(range(n_words // 10), n_edits):
+            w[10 * k + 5] = f"e{i}x{k}"
+        out.append((i, " ".join(w), "en", "s", 1))
+    return out
+
+
+def test_pairs_of_a_crowd_are_not_listed(spark, monkeypatch):
+    """Texts that are all near by signature, few of them links: the pairs handed on grow as the texts, and no link is lost."""
+    listed, confirmed = [], M._confirmed
+    monkeypatch.setattr(M, "_confirmed", lambda pairs, *more: listed.append(pairs.count()) or confirmed(pairs, *more))
+    monkeypatch.setattr(M, "HELD_PAIRS", 1000, raising=False)
+    rng = random.Random(3)
+    rows = crowd(rng, 240, 400, 11)
+    w = rows[7][1].split()
+    rows += [(1000 + i, " ".join(w[:380 - 2 * i]), "en", "s", 1) for i in range(3)]  # links of one of them
+    rows += [(2000, rows[100][1].replace("w17 ", "u ").replace("w117 ", "v "), "en", "s", 1), (None, rows[30][1] + " tail", "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = brute([(1 << 63 if d is None else d, t) for d, t, *_ in rows], 80)
+    assert 100 < len(set(want.values())) < len(rows)
+    for nodes, size in ((M.CROWD_NODES, M.CROWD_BYTES), (64, M.CROWD_BYTES), (M.CROWD_NODES, 1 << 18)) if hasattr(M, "CROWD_NODES") else ((0, 0),):
+        monkeypatch.setattr(M, "CROWD_NODES", nodes, raising=False)
+        monkeypatch.setattr(M, "CROWD_BYTES", size, raising=False)
+        got = {1 << 63 if r.doc_id is None else r.doc_id: r.component_id for r in M.near_groups(df, (80, 100), 27).collect()}
+        assert got == want
+    assert max(listed) < 8 * len(rows)

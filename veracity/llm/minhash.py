@@ -15,6 +15,12 @@ Documents with equal sets are one node from the start.  Within a key only the pa
 its first node are compared at first; the links found there join components, and then
 only pairs of one key whose components still differ are looked at, in blocks.  Every link
 is confirmed on the full sets.
+
+Many sets that are all near each other by signature, but hardly one a link, have pairs with
+the square of their number.  A piece with more than ``PAIRS`` pairs a row does not list them:
+it says which nodes its pairs connect, and the nodes so connected (a crowd) are compared on
+their full sets, each with every other, inside the tasks, which give the links that join
+components alone.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veracity.llm.common import (Rolling, aside, chunks, components, documents, given_id, known_id, lower, mix, raw, small_batches,
-                                 stored, word_hashes, words)
+                                 stored, tie, word_hashes, words)
 
 SHINGLE = 5
 POSITIONS = 64
@@ -44,6 +50,15 @@ ROW = "__row"
 SENT_ROWS = 4_000_000
 #: Nodes of one key that are compared in one piece; larger keys are split in blocks of half of it.
 BLOCK = 2_048
+#: Pairs that a piece may list for each of its rows.
+PAIRS = 8
+#: Pairs that a task holds before it connects those of pieces with too many.
+HELD_PAIRS = 1 << 18
+#: Bytes of full sets, and nodes, of a crowd that are compared in one piece.
+CROWD_BYTES = 16 << 20
+CROWD_NODES = 8_192
+#: Nodes of a block from which on a crowd is dealt in up to four blocks, so that several tasks share it.
+CROWD_SHARED = 256
 
 
 def plan(positions: int, distance: int, errors: int) -> list[tuple[list[int], int]]:
@@ -196,14 +211,8 @@ def _near(pairs: DataFrame, nodes: DataFrame, distance: int, share: tuple[int, i
     return _both(near, nodes, "sift").select("a", "b", "d", "x", "y").mapInArrow(second, "a long, b long, d int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets have share[1] * intersection >= share[0] * union.
-
-    Pairs first meet with 16 bits of each shingle: equal shingles agree in them, so what they
-    rule out is no link, and whole hashes move only for the pairs left.
-    """
-    pairs = pairs.select("a", "b")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, own, brief) of the rows that ``needed`` (node) names: whole hashes of their shingles, and 16 bits of each."""
     texts = _matched(docs.select(F.col(ROW).alias("node"), "text"), needed, "node", "left_semi")
 
     def sets(batches):
@@ -215,7 +224,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> Dat
                 [part.column(0), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
                  pa.array([brief[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["node", "own", "brief"])
 
-    own = stored(texts.select("node", "text").mapInArrow(sets, "node long, own binary, brief binary"), "sets")
+    return stored(texts.select("node", "text").mapInArrow(sets, "node long, own binary, brief binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose full sets have share[1] * intersection >= share[0] * union.
+
+    Pairs first meet with 16 bits of each shingle: equal shingles agree in them, so what they
+    rule out is no link, and whole hashes move only for the pairs left.
+    """
+    pairs = pairs.select("a", "b")
+    own = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def possible(batches):
         held = np.zeros(1 << 16, bool)
@@ -260,10 +279,12 @@ def _hits(held: np.ndarray, x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of one key with different roots and near signatures, each given by its first common key alone.
+    """(a, b, crowd): pairs of one key with different roots and near signatures, each given by its first common key alone.
 
     ``rows`` has key, n (nodes of the key), node, root, sig, sift.  A large key is dealt in blocks,
     every pair of blocks being a piece of its own, so no task holds more than ``BLOCK`` of them.
+    A piece with more than ``PAIRS`` such pairs a row gives, with ``crowd``, each node of them as b
+    and the least placed node that they connect it to as a.
     """
     ways = key_plan(distance, ERRORS)
     blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
@@ -291,11 +312,23 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
         key, i, j, own, node, root = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "root"))
         sig, sift = _signs(t.column("sig")), _sifts(t.column("sift"))
         end = np.append(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(key))
-        left = np.repeat(end, np.diff(np.concatenate([[0], end]))) - np.arange(len(key))  # rows of the piece from here on
+        size = np.diff(np.concatenate([[0], end]))
+        left, piece = np.repeat(end, size) - np.arange(len(key)), np.repeat(np.arange(len(size)), size)  # rows of the piece from here on
+        count, top, inside = np.zeros(len(size), np.int64), np.arange(len(key)), np.zeros(len(key), bool)
+        pairs, held = [], 0
+
+        def sparse():
+            """The pairs of pieces that list theirs; those of the others are connected in ``top``."""
+            x, y = (np.concatenate(v) for v in zip(*pairs))
+            crowded = (count > PAIRS * size)[piece[x]]
+            inside[x[crowded]] = inside[y[crowded]] = True
+            tie(top, x[crowded], y[crowded])
+            return x[~crowded], y[~crowded]
+
         for step in range(1, int(left.max())):
             x = np.flatnonzero(left > step)
             y = x + step
-            ok = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            ok = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & (top[x] != top[y])
             x, y = x[ok], y[ok]
             if len(x):
                 d, ok = _apart([v[x] for v in sig], [v[y] for v in sig], distance, share)
@@ -303,11 +336,62 @@ def _across(rows: DataFrame, distance: int, share: tuple[int, int]) -> DataFrame
                 ok = d + (sift[x] != sift[y]).sum(1) <= sifting(share)
                 x, y = x[ok], y[ok]
                 ok = _first_key(sig[0][x], sig[0][y], ways) == key[x].view(np.uint64)
-                x, y = node[x[ok]], node[y[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                x, y = x[ok], y[ok]
+                count += np.bincount(piece[x], minlength=len(size))
+                pairs.append((x, y))
+                held += len(x)
+            if held > HELD_PAIRS:
+                pairs, held = [sparse()], 0
+        if pairs:
+            x, y = sparse()
+            z = np.flatnonzero(inside)
+            x, y, crowd = (np.concatenate(v) for v in ((node[x], node[top[z]]), (node[y], node[z]), (np.zeros(len(x), bool), np.ones(len(z), bool))))
+            x, y = np.where(crowd, x, np.minimum(x, y)), np.where(crowd, y, np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(crowd)], ["a", "b", "crowd"])
 
     return (pieces.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(run, "a long, b long, crowd boolean").distinct())
+
+
+def _crowded(crowds: DataFrame, docs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): links between the nodes of each crowd that join all the components which any of its links join.
+
+    ``crowds`` has node, crowd, root (of the links known).  A large crowd is dealt in blocks, every
+    pair of blocks being a piece of its own, in which all nodes are compared on their full sets.
+    """
+    rows = stored(_sets(docs, crowds.select("node")).join(crowds, "node").select("crowd", "node", "root", "own"), "crowds")
+    blocks = F.ceil(F.greatest(F.sum(F.length("own").cast("long")) / (CROWD_BYTES // 2), F.count("*") / (CROWD_NODES // 2),
+                               F.least(F.count("*") / CROWD_SHARED, F.lit(4.0)))).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pieces = (rows.join(rows.groupBy("crowd").agg(blocks.alias("blocks")), "crowd").withColumn("block", block)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "own"))
+
+    def links(t):
+        size = np.array([len(v.as_buffer()) // 8 for v in t.column("own")], np.int64)
+        t, size = t.take(pa.array(np.argsort(size, kind="stable"))), np.sort(size)
+        node, block, own_block = t.column("node").to_numpy(), t.column("block").to_numpy(), bool(t.column("i")[0] == t.column("j")[0])
+        _, label = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        names, flat = np.unique(np.frombuffer(b"".join(t.column("own").to_pylist()), np.uint64), return_inverse=True)
+        at, held, out = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(names), bool), []
+        last = np.searchsorted(size, share[1] * size // share[0], "right")  # larger sets are no links
+        for x in range(len(size)):
+            y = np.arange(x + 1, last[x])
+            y = y[(label[y] != label[x]) & (own_block | (block[y] != block[x]))]
+            if not len(y):
+                continue
+            lo, hi = y[0], y[-1] + 1
+            held[flat[at[x]:at[x + 1]]] = True
+            same = np.add.reduceat(held[flat[at[lo]:at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)[y - lo]
+            held[flat[at[x]:at[x + 1]]] = False
+            for k in y[share[1] * same >= share[0] * (size[x] + size[y] - same)]:
+                if label[k] != label[x]:
+                    out.append((node[x], node[k]))
+                    label[label == label[k]] = label[x]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    return pieces.groupBy("crowd", "i", "j").applyInArrow(links, "a long, b long").distinct()
 
 
 def _unlinked(close: DataFrame, roots: DataFrame) -> DataFrame:
@@ -318,6 +402,14 @@ def _unlinked(close: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _not_of_one_crowd(pairs: DataFrame, crowds: DataFrame) -> DataFrame:
+    """The pairs (a, b) but those of one crowd, whose nodes are compared there."""
+    of = crowds.select("node", "crowd")
+    both = (pairs.join(of.select(F.col("node").alias("a"), F.col("crowd").alias("crowd_a")), "a", "left")
+            .join(of.select(F.col("node").alias("b"), F.col("crowd").alias("crowd_b")), "b", "left"))
+    return both.where(~F.coalesce(F.col("crowd_a") == F.col("crowd_b"), F.lit(False))).select("a", "b")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for every row, written so that it stays the same wherever it is read."""
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
@@ -359,9 +451,16 @@ def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFram
               .select("key", F.col("n").alias("n"), "node", F.coalesce("root", "node").alias("root")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig", "sift"), "node")
-    found = _across(open_rows, distance, share).unionByName(_unlinked(close, roots)).distinct()
-    rest = stored(found.join(first, ["a", "b"], "left_anti"), "rest")
-    more = stored(_confirmed(rest, docs, share), "links")
+    found = stored(_across(open_rows, distance, share), "found")
+    rest = found.where("not crowd").select("a", "b").unionByName(_unlinked(close, roots)).distinct().join(first, ["a", "b"], "left_anti")
+    tied = found.where("crowd").select("a", "b")
+    if tied.isEmpty():
+        more = _confirmed(stored(rest, "rest"), docs, share)
+    else:
+        crowds = stored(components(tied).withColumnRenamed("root", "crowd").join(roots, "node", "left")
+                        .select("node", "crowd", F.coalesce("root", "node").alias("root")), "crowds")
+        more = _confirmed(stored(_not_of_one_crowd(rest, crowds), "rest"), docs, share).unionByName(_crowded(crowds, docs, share))
+    more = stored(more, "links")
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
     linked = nodes.select("node", "first").join(roots, "node")
