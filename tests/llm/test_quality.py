@@ -98,3 +98,33 @@ def test_every_trusted_document_teaches(spark):
     seen = fold[False]
     assert abs(got["b"] - np.log(1 / (seen / (n + 1) + 1))) < 1e-9
     assert abs(got["a"] - np.log((seen + 1) / (n * seen / (n + 1) + 1))) < 1e-9
+
+
+def test_corpus_scored_by_its_own_counts(spark, edge_docs, no_docs, tmp_path, monkeypatch):
+    """The query's packed passes give the scores that the table of all n-grams gives, and move fewer bytes than the n-grams' rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 9 else None, " ".join(f"w{k}" for k in (rng.zipf(1.3, 60) % 5000)), "en", "s", 1) for i in range(1, 700)]
+    docs = edge_docs.unionByName(spark.createDataFrame(rows + rows[:40], edge_docs.schema)).repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 700)] + [(None, 1)], "doc_id long, quality int")
+    trusted = Q._trusted(labels)
+    model = Q._ratios(docs, trusted, 5.0)
+
+    def plain(df):
+        return sorted(((r.doc_id is None, r.doc_id or 0), tuple(r)[1:6], round(r.score, 9)) for r in df.collect())
+
+    want = plain(Q._scored(docs, model))
+    for name, value in (("PASSES", Q.PASSES), ("PASSES", 3), ("RANGE_GRAMS", 500), ("PIECE_DOCS", 7)):
+        monkeypatch.setattr(Q, name, value)
+        assert plain(Q._own_scores(docs, trusted, 5.0)) == want
+    assert plain(Q._own_scores(docs, Q._trusted(labels.limit(0)), 5.0)) == plain(Q._scored(docs, Q._ratios(docs, Q._trusted(labels.limit(0)), 5.0)))
+    assert Q._own_scores(no_docs, trusted, 5.0).collect() == []
+
+
+def test_packed_numbers_come_back(spark):
+    rng = np.random.default_rng(1)
+    for kind in ("<u4", "<u8"):
+        for n in (0, 1, 1000):
+            v = rng.integers(0, 1 << 31, n).astype(kind)
+            assert (Q._unpack(Q._pack(v), n, kind) == v).all()
+    gram = np.sort(rng.integers(0, 1 << 63, 100_000).astype(np.uint64))
+    assert len(Q._pack(np.diff(gram, prepend=np.uint64(0)))) < 7 * len(gram)

@@ -9,6 +9,11 @@ documents' other n-grams with the table is large.  A document's score is the mea
 ratio of its n-grams; a document is kept if that reaches the threshold, a fixed low
 quantile, less a margin, of the scores of trusted documents (one crc32 fold) that the
 target has not seen.
+
+A corpus that is scored by its own counts (the query) needs no table of them.  Its n-grams
+are dealt by fingerprint in ``PASSES`` passes, packed: for a piece of the corpus and a range
+of fingerprints the sorted fingerprints, each with its documents.  A task that holds a range
+of all pieces counts its n-grams and gives each document's sum of their log ratios.
 """
 
 from __future__ import annotations
@@ -22,13 +27,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.llm.common import Rolling, chunks, documents, fold, mix, raw, small_batches, stored, word_hashes, words
+from veracity.llm.common import Rolling, chunks, documents, fold, free_shuffles, mix, raw, small_batches, stored, word_hashes, words
 from veracity.operators.rows import with_row_index
 
 #: An n-gram is common from one in so many of all, so there are no more of them than this.
 COMMON = 1 << 20
 #: Chunks of text whose n-grams a task sums up before it hands them on.
 SUMMED = 8
+#: Trusted ids that a join sends to every task (9 bytes each) instead of moving texts.
+SENT_IDS = 4_000_000
+#: Passes over the corpus, each of which moves its share of the n-grams.
+PASSES = 2
+#: Bytes of text, and documents, of a piece of the corpus whose n-grams are packed at once.
+PIECE_BYTES = 16 << 20
+PIECE_DOCS = 60_000
+#: Ranges of fingerprints in a pass (at least), and n-grams with repeats in one (about, at most).
+RANGES = 16
+RANGE_GRAMS = 4 << 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -105,8 +120,12 @@ def _trusted(labels: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, trusted: DataFrame, column: str) -> DataFrame:
-    """``docs`` (doc_id a long) with ``column``: null for an untrusted document, else whether the target does not see it."""
+    """``docs`` (doc_id a long) with ``column``: null for an untrusted document, else whether the target does not see it.
+
+    Up to ``SENT_IDS`` trusted ids go to every task, so that no text moves; beyond, both sides are shuffled.
+    """
     ids = trusted.select(F.col("doc_id").alias("_trusted"), F.col("unseen").alias(column))
+    ids = F.broadcast(ids) if trusted.count() <= SENT_IDS else ids
     return docs.join(ids, F.col("doc_id") == F.col("_trusted"), "left").drop("_trusted")
 
 
@@ -229,6 +248,153 @@ def _scored(docs: DataFrame, model: dict) -> DataFrame:
     return got.select("doc_id", *STATISTICS, (total / F.greatest("n_grams", F.lit(1))).alias("score"))
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of equal bytes."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _packed(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams in ascending order, each one's first pair, and the pairs' documents and counts."""
+    order = np.argsort(gram)
+    gram = gram[order]
+    new = np.append(True, gram[1:] != gram[:-1])
+    pair = np.sort(((np.cumsum(new) - 1).astype(np.uint64) << np.uint64(32)) | doc[order].astype(np.uint64))
+    at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    of = (pair[at] >> np.uint64(32)).astype(np.int64)
+    return gram[new], np.searchsorted(of, np.arange(int(new.sum()))), (pair[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.diff(np.append(at, len(pair))).astype("<u4")
+
+
+def _own_sums(texts: DataFrame, turn: int, ranges: int, share: float, evidence: float) -> DataFrame:
+    """(key, part): for every document of ``texts`` (key, seen, text) its sum of log ratios over one pass's n-grams."""
+    small_batches(texts.sparkSession)
+    edges = [(turn * ranges + r << 64) // (PASSES * ranges) for r in range(ranges + 1)]
+    lo, hi = np.uint64(edges[0]), np.uint64(edges[-1] - 1)
+
+    def pack(batches):
+        from pyspark import TaskContext
+        roll, held, task = Rolling(0x9E3779B97F4A7C15), [], TaskContext.get().partitionId()
+        piece = docs = size = 0
+
+        def rows():
+            gram, doc = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            name = (task << 40) + (piece << 20)
+            found = piece % ranges  # the range that also hands on the documents' keys
+            if len(gram):
+                gram, first, docs_of, k = _packed(gram, doc)
+                first = np.append(first, len(k))
+                cut = np.append(np.searchsorted(gram, np.array(edges[:-1], np.uint64)), len(gram))
+            else:
+                gram, first, docs_of, k, cut = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(0, "<u4"), np.zeros(ranges + 1, np.int64))
+            for r in range(ranges):
+                a, b = cut[r], cut[r + 1]
+                if a == b and r != found:
+                    continue
+                g, at = gram[a:b], first[a:b + 1]
+                s = slice(at[0], at[-1]) if a < b else slice(0, 0)
+                yield [r, name, len(g), len(k[s]), np.concatenate([h[2] for h in held]).tobytes() if r == found else None,
+                       _pack(np.diff(g, prepend=np.uint64(0))), _pack(np.diff(at).astype("<u4")), _pack(docs_of[s]), _pack(k[s])]
+
+        def flushed():
+            for row in rows():
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+        schema = pa.schema([("range", pa.int32()), ("piece", pa.int64()), ("n_grams", pa.int32()), ("n_pairs", pa.int32()),
+                            *[(c, pa.binary()) for c in ("keys", "gaps", "pairs", "docs", "counts")]])
+        for part in chunks(batches, "text"):
+            flat, at = raw(part.column(2))
+            starts, ends, first = words(flat, at)
+            gram, doc = _grams(word_hashes(roll, flat, starts, ends), first)
+            gram = gram.view(np.uint64)
+            mine = (gram >= lo) & (gram <= hi)
+            seen = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((gram[mine], 2 * (doc[mine] + docs) + seen[doc[mine]], part.column(0).to_numpy()))
+            docs, size = docs + part.num_rows, size + len(flat)
+            if docs >= PIECE_DOCS or size >= PIECE_BYTES:
+                yield from flushed()
+                held.clear()
+                piece, docs, size = piece + 1, 0, 0
+        if held:
+            yield from flushed()
+
+    def count(t):
+        names, sizes, pairs = t.column("piece").to_numpy(), t.column("n_grams").to_numpy(), t.column("n_pairs").to_numpy()
+        blobs = {c: t.column(c).to_pylist() for c in ("keys", "gaps", "pairs", "docs", "counts")}
+
+        def all_of(c, ns, kind, change=lambda v: v):
+            return np.concatenate([change(_unpack(v, int(n), kind)) for v, n in zip(blobs[c], ns) if n] or [np.zeros(0, kind)])
+
+        ids, keys, parts = [], [], []
+        for name, k in zip(names, blobs["keys"]):
+            if k is not None:
+                own = np.frombuffer(k, np.int64)
+                ids.append(name + np.arange(len(own)))
+                keys.append(own)
+                parts.append(np.zeros(len(own)))
+        known = sum(map(len, keys))
+        if sizes.sum():
+            gram = all_of("gaps", sizes, "<u8", lambda v: np.cumsum(v, dtype=np.uint64))
+            each = all_of("pairs", sizes, "<u4").astype(np.int64)
+            doc, k = all_of("docs", pairs, "<u4").astype(np.int64), all_of("counts", pairs, "<u4").astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(each)])[:-1]
+            n, good = np.add.reduceat(k, first), np.add.reduceat(k * (doc & 1), first)
+            _, back = np.unique(gram, return_inverse=True)
+            n, good = (np.bincount(back, weights=v) for v in (n, good))
+            ratio = np.log((good + evidence) / (n * share + evidence))[back]
+            one = np.repeat(names, pairs) + (doc >> 1)
+            one, at = np.unique(one, return_inverse=True)
+            ids.append(one)
+            parts.append(np.bincount(at, weights=np.repeat(ratio, each) * k))
+        ids, parts = np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(parts or [np.zeros(0)])
+        keys = pa.concat_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.nulls(len(ids) - known, pa.int64())])
+        return pa.table({"id": ids, "key": keys, "part": parts})
+
+    blobs = texts.select("key", "seen", "text").mapInArrow(
+        pack, "range int, piece long, n_grams int, n_pairs int, keys binary, gaps binary, pairs binary, docs binary, counts binary")
+    return (blobs.groupBy("range").applyInArrow(count, "id long, key long, part double")
+            .groupBy("id").agg(F.max("key").alias("key"), F.sum("part").alias("part"))
+            .groupBy("key").agg(F.avg("part").alias("part")))  # rows of one key have equal ids and texts
+
+
+def _own_scores(docs: DataFrame, trusted: DataFrame, evidence: float) -> DataFrame:
+    """``_scored`` of ``docs`` by the ratios of their own counts, without a table of these."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType),
+                           *[T.StructField(c, T.LongType()) for c in STATISTICS]])
+
+    def profile(batches):
+        roll, seq = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+        for part in chunks(batches, "text"):
+            out, _, _ = _profile(roll, seq, *raw(part.column(2)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(out[c].astype(np.int64)) for c in STATISTICS]],
+                                             ["key", "doc_id", *STATISTICS])
+
+    grams = F.when(F.col("n_words") > 0, 2 * F.col("n_words") - 1).otherwise(0)
+    own = stored(rows.mapInArrow(profile, schema).withColumn("n_grams", grams), "profiles")
+    seen = F.coalesce(~F.col("_unseen"), F.lit(False)).alias("seen")
+    marked = _marked(own.select(F.col("doc_id").cast("long").alias("doc_id"), "n_grams"), trusted, "_unseen").select(seen, "n_grams")
+    n, good = marked.agg(F.sum("n_grams"), F.sum(F.when(F.col("seen"), F.col("n_grams")))).first()
+    if not good:
+        return own.select("doc_id", *STATISTICS, F.lit(0.0).alias("score"))
+    ranges = max(RANGES, -(-n // (PASSES * RANGE_GRAMS)))
+    texts = _marked(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted, "_unseen").select("key", seen, "text")
+    parts = None
+    for turn in range(PASSES):
+        part = stored(_own_sums(texts, turn, ranges, good / n, float(evidence)), "sums")
+        free_shuffles(spark)
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy("key").agg(F.sum("part").alias("part"))
+    return own.join(sums, "key", "left").select("doc_id", *STATISTICS, (F.col("part") / F.greatest("n_grams", F.lit(1))).alias("score"))
+
+
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(threshold)))
@@ -246,5 +412,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str, evidence: float = 5.0, q
                       margin: float = 0.05) -> DataFrame:
     docs = documents(spark, sf_dir)
     trusted = stored(_trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")), "trusted")
-    scored = stored(_scored(docs, _ratios(docs, trusted, evidence)), "scored")
+    scored = stored(_own_scores(docs, trusted, evidence), "scored")
     return _judged(scored, _threshold(scored, trusted, quantile, margin)).select("doc_id", *STATISTICS, "base_failed", "kept", "score")
