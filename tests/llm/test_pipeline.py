@@ -1,7 +1,7 @@
 import corpus_pipeline as C
 from pyspark.sql import functions as F
 
-from veracity.llm import minhash, packing, recompress
+from veracity.llm import common, minhash, packing, recompress
 from veracity.llm.common import components, documents, stored
 
 from .conftest import SF, SF_TINY, words
@@ -44,6 +44,20 @@ def test_components(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Every round costs the driver plans and tasks: edges that are stars take none, and what is returned is read, not made again."""
+    written = []
+    monkeypatch.setattr(common, "stored", lambda df, name: written.append(name) or stored(df, name))
+    star = spark.createDataFrame([(10, 10 + i) for i in range(1, 20)] + [(12, 10), (40, 41)], "a long, b long")
+    got = components(star)
+    assert written == ["edges", "roots"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.root for r in got.collect()} == {10 + i: 10 for i in range(20)} | {40: 40, 41: 40}
+    written.clear()
+    two = spark.createDataFrame([(1, 3), (2, 3), (2, 4)], "a long, b long")  # 3 has two centres
+    assert {r.node: r.root for r in components(two).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert written.count("edges") > 1
+
+
 def test_stages_leave_columns_of_any_name_alone(spark):
     """The tables' own columns may be named like anything that a stage computes."""
     docs = documents(spark, SF_TINY)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veracity.llm.common import (Rolling, aside, chunks, components, documents, given_id, known_id, lower, mix, raw, small_batches,
-                                 stored, tie, word_hashes, words)
+from veracity.llm.common import (Rolling, aside, chunks, components, documents, given_id, known_id, let_go, lower, mix, raw,
+                                 small_batches, stored, tie, word_hashes, words)
 
 SHINGLE = 5
 POSITIONS = 64
@@ -452,6 +452,7 @@ def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFram
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_rows = rooted.join(mixed, "key", "left_semi").join(nodes.select("node", "sig", "sift"), "node")
     found = stored(_across(open_rows, distance, share), "found")
+    let_go(docs.sparkSession)
     rest = found.where("not crowd").select("a", "b").unionByName(_unlinked(close, roots)).distinct().join(first, ["a", "b"], "left_anti")
     tied = found.where("crowd").select("a", "b")
     if tied.isEmpty():
@@ -461,6 +462,7 @@ def _grouped(docs: DataFrame, share: tuple[int, int], distance: int) -> DataFram
                         .select("node", "crowd", F.coalesce("root", "node").alias("root")), "crowds")
         more = _confirmed(stored(_not_of_one_crowd(rest, crowds), "rest"), docs, share).unionByName(_crowded(crowds, docs, share))
     more = stored(more, "links")
+    let_go(docs.sparkSession)
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
 
     linked = nodes.select("node", "first").join(roots, "node")
